@@ -116,13 +116,13 @@ def duplicate_exclude_anti(t) -> DataFrame:
 
 
 CONJUNCTION = SearchFilters(
-    source_type="src4", width_min=640, width_max=760, height_min=640, height_max=784, size_min=100, modified_from=1.7e9,
+    source_type="src2", width_min=640, width_max=760, height_min=640, height_max=784, size_min=100, modified_from=1.7e9,
     captured_from=1.6e9, has_gps=True, camera="model", keyword="TAG",
 )
 
 
 @query(f"""WITH {MEDIA_SQL} SELECT id, width, height, size_bytes FROM media
-WHERE source_type = 'src4' AND width BETWEEN 640 AND 760 AND height BETWEEN 640 AND 784 AND size_bytes >= 100 AND modified_at >= 1.7e9
+WHERE source_type = 'src2' AND width BETWEEN 640 AND 760 AND height BETWEEN 640 AND 784 AND size_bytes >= 100 AND modified_at >= 1.7e9
 AND photo_capture_time_epoch >= 1.6e9 AND photo_has_gps AND (contains(lower(coalesce(camera_make, '')), 'model') OR contains(lower(camera_model), 'model'))
 AND (len(list_filter(tags, lambda x: contains(lower(x), 'tag'))) > 0 OR len(list_filter(keywords, lambda x: contains(lower(x), 'tag'))) > 0)""")
 def filters_conjunction(t) -> DataFrame:
