@@ -153,7 +153,7 @@ def identify(pages: DataFrame, docs: DataFrame, params: LanguageParams = Languag
     add = lambda col: F.array(*[F.sum(F.get(col, F.lit(i))) for i in range(k)])
     domains = hosts.groupBy("suffix", "domain").agg(add("host_c").alias("domain_c"))
     suffixes = domains.groupBy("suffix").agg(add("domain_c").alias("suffix_c"))
-    total = suffixes.agg(add("suffix_c").alias("c")).first()["c"] or [0.0] * k
+    total = [c or 0.0 for c in suffixes.agg(add("suffix_c").alias("c")).first()["c"]]
     whole = sum(total) + k
     overall = F.array(*[F.lit((c + 1.0) / whole) for c in total])
     confusion = soft_counts(scored, ["declared"], langs, "declared")  # codes of two or three letters
