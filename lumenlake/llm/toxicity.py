@@ -39,7 +39,9 @@ class ToxicityParams:
     sample_text_bytes: int = 32_768  # longer rows are not used for fitting (they are scored)
     ordinary_dictionary: int = 110 * 1024
     toxic_dictionary: int = 4_096
-    contrast: float = 20.0  # a toxic training window is this many times as frequent in toxic rows
+    contrast: float = 50.0  # a toxic training window is this many times as frequent in toxic rows
+    least_share: float = 0.01  # and occurs in this share of them
+    least_evidence: float = 0.5  # log ratios below this are noise
     level: int = 19
     threshold: float = 0.7
 
@@ -153,13 +155,13 @@ def fit(rows: list[tuple[str, int]], params: ToxicityParams = ToxicityParams())
     # two thirds train the dictionaries, one third calibrates
     (ord_a, ord_b), (tox_a, tox_b) = (([w for i, w in enumerate(d) if i % 3], d[0::3]) for d in by_class)
     df_tox, df_ord = (Counter(w for d in part for w in set(d)) for part in (tox_a, ord_a))
-    least = 2 if len(tox_a) < 600 else 3
+    least = max(2 if len(tox_a) < 100 else 3, params.least_share * len(tox_a))
     rate = lambda w: (df_tox[w] / len(tox_a)) / ((df_ord[w] + 0.5) / len(ord_a))
     telling = {w for w, n in df_tox.items() if n >= least and rate(w) >= params.contrast}
     if not telling:
         telling = {w for w in df_tox if rate(w) > 1} or set(df_tox)
     ordinary = _train_dictionary([w for d in ord_a for w in d], params.ordinary_dictionary, 64)
-    toxic = _train_dictionary([w for d in tox_a for w in d if w in telling], params.toxic_dictionary, 40)
+    toxic = _train_dictionary([w for d in tox_a for w in d if w in telling], params.toxic_dictionary, 24)
     draft = ToxicityModel(ordinary, toxic, np.zeros(CELLS * CELLS), (0.0, 1.0), params.level)
     s = _Scorer(draft)
 
@@ -173,6 +175,7 @@ def fit(rows: list[tuple[str, int]], params: ToxicityParams = ToxicityParams())
     error = np.sqrt(1.0 / (n_tox + 0.5) + 1.0 / (n_ord + 0.5))
     raw = np.log(rate_tox / rate_ord)
     log_ratio = np.where(n_tox + n_ord > 0, np.sign(raw) * np.maximum(np.abs(raw) - error, 0.0), 0.0)
+    log_ratio[np.abs(log_ratio) < params.least_evidence] = 0.0
     x = np.concatenate([c_tox @ log_ratio, c_ord @ log_ratio])
     y = np.concatenate([np.ones(len(c_tox)), np.zeros(len(c_ord))])
     key = digest_of(ordinary, toxic, log_ratio.tobytes())
