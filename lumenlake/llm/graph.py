@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from lumenlake.operators.components import components
 
-from lumenlake.llm.common import written
+__all__ = ["LocalForest", "components"]
 
 
 class LocalForest:
@@ -31,50 +30,3 @@ class LocalForest:
 
     def edges(self) -> list[tuple[int, int]]:
         return [(x, self.find(x)) for x in self.parent if self.find(x) != x]
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (columns a, b); component is the smallest node.
-
-    Alternating large-star and small-star steps: every step replaces a node's links by links
-    to the smallest neighbour, so the number of links never grows, and the rounds grow with
-    the logarithm of the longest chain.  A hub's minimum is found by partial aggregation and
-    its rows are joined, which adaptive execution can split.  Each round is written to the
-    shared checkpoint folder.  Null ends and self-links are ignored; no links give no rows.
-    """
-    kind = dict(links.dtypes)["a"]
-    edges = (
-        links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    edges = written(edges, "links")
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        # large-star: neighbours above u move to u's smallest neighbour
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        # small-star: neighbours below u, and u itself, move to the smallest of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(small_low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u != v")
-            .distinct()
-        )
-        nxt = written(small, "links")
-        # stars only: no node is both an upper and a lower end, and every upper end has one link
-        stars = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(
-            nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi"
-        ).isEmpty()
-        edges = nxt
-        if stars:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return out.unionByName(roots).select(F.col("node").cast(kind), F.col("component").cast(kind))
