@@ -167,6 +167,74 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP6_SQL = """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n, pow(count(*), 0.7) AS w FROM documents GROUP BY source),
+e AS (SELECT *, w / sum(w) OVER () * 500 AS exact FROM c),
+f AS (SELECT *, greatest(1, CAST(floor(exact) AS BIGINT)) AS fl FROM e),
+g AS (SELECT *, 500 - sum(fl) OVER () AS over_, row_number() OVER (ORDER BY exact - floor(exact) DESC, source NULLS FIRST) AS rk,
+        row_number() OVER (ORDER BY fl DESC, source NULLS FIRST) AS bs FROM f),
+s AS (SELECT source, n, CAST(fl + CASE WHEN rk <= over_ THEN 1 ELSE 0 END + CASE WHEN over_ < 0 AND bs = 1 THEN over_ ELSE 0 END AS BIGINT) AS b,
+        row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM g),
+l AS (SELECT list(b ORDER BY i) AS bs FROM s),
+step AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(bs, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, bs FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p THEN d + 1 ELSE d END), p, bs FROM (
+    SELECT t, done, bs, list_min(list_filter(list_transform(range(1, len(bs) + 1), lambda i: {'due': CAST(ceil((done[i] + 1) * 500 / bs[i]) AS BIGINT), 'i': CAST(i AS BIGINT),
+      'ready': floor(done[i] * 500 / bs[i]) <= t + 1 AND done[i] < bs[i]}), lambda x: x.ready)).i AS p FROM step WHERE t < 499)),
+pat AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM step WHERE t >= 0),
+ends AS (SELECT s.*, (CAST(ceil(n / 16.0) - 1 AS BIGINT) // b) * 500 + pat.slot AS final FROM s JOIN pat ON pat.i = s.i AND pat.k = CAST(ceil(n / 16.0) - 1 AS BIGINT) % s.b),
+fin AS (SELECT CAST(max(final) AS BIGINT) AS final FROM ends),
+r AS (SELECT doc_id, d.source, s.n, s.b, s.i, row_number() OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS rank
+      FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+x AS (SELECT r.*, final, unnest(range(0, CAST(floor(((final // 500 + 1) * b * 16 - 1) / n) AS BIGINT) + 1)) AS epoch FROM r, fin),
+y AS (SELECT *, (epoch * n + rank) // 16 AS block, CAST((epoch * n + rank) % 16 AS INT) AS place FROM x)
+SELECT doc_id, source, epoch, block, place, block // b * 500 + pat.slot AS slot,
+       CAST(block // b * 500 + floor(pat.k * 500 / b) AS BIGINT) AS release, CAST(block // b * 500 + ceil((pat.k + 1) * 500 / b) AS BIGINT) AS deadline
+FROM y JOIN pat ON pat.i = y.i AND pat.k = block % b WHERE block // b * 500 + pat.slot <= final
+"""
+
+
+def _draw_sql(name: str, weight: float) -> str:
+    return f"-ln((CAST('0x' || substr(md5('{name}/' || k), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / {weight:.1f}::DOUBLE"
+
+
+def _tree_sql(tree) -> str:
+    """The shard of a key, as SQL: at each level the child of the smallest draw."""
+    regions: dict = {}
+    for x in tree:
+        regions.setdefault(x.region, {}).setdefault(x.rack, []).append(x)
+
+    def choose(children):
+        if len(children) == 1:
+            return children[0][2]
+        rows = ", ".join(f"{{'d': {_draw_sql(n, w)}, 's': {v}}}" for n, w, v in children)
+        return f"list_min([{rows}]).s"
+
+    of_region = []
+    for region, racks in sorted(regions.items()):
+        of_rack = []
+        for rack, leaves in sorted(racks.items()):
+            shards = [(f"{region}/{rack}/{x.shard}", x.weight, str(x.shard)) for x in leaves]
+            of_rack.append((f"{region}/{rack}", sum(x.weight for x in leaves), choose(shards)))
+        of_region.append((region, sum(x.weight for r in racks.values() for x in r), choose(of_rack)))
+    return choose(of_region)
+
+
+OP10_SQL = f"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+b AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, size,
+  xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, crc[(xor(c, x) % 256) + 1])), 4294967295) AS text_crc32 FROM b, t),
+s AS (SELECT *, CAST({_tree_sql(sharding.PRODUCTION_TREE)} AS INT) AS shard,
+  CAST({_tree_sql(sharding.grown(sharding.PRODUCTION_TREE))} AS INT) AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(k), size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
     return {
@@ -174,4 +242,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_revisits": OP3_SQL,
         "op4_url_rules": OP4_SQL,
         "op5_decontamination": OP5_SQL,
+        "op6_pfair_mix": OP6_SQL,
+        "op10_hash_tree_shards": OP10_SQL,
     }
