@@ -3,9 +3,9 @@
 Headers alone (id, digest, length) are shuffled by payload digest to find each payload's
 first page; the decision is joined to the pages once, responses carry the payload and
 revisits only refer to it, and every record gets fresh headers.  Archives are written by
-Spark's own committed text writer, with the record separator as line separator, so a lost
-executor leaves no half-written archive; they are read by Content-Length, so payloads that
-hold record separators are kept whole.
+Spark's own committed text writer, with the record separator as line separator and gzip around
+each file, so a lost executor leaves no half-written archive; they are read by Content-Length, so
+payloads that hold record separators are kept whole.
 
 Edge cases: a null html is an empty payload; equal payloads below ``least_revisit`` bytes are
 all responses; rows that repeat a payload's smallest page id are all responses, other repeats
@@ -16,13 +16,14 @@ are percent-escaped in headers; an empty table gives no records; further columns
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import scratch_dir, sized_partitions
+from lumenlake.llm.common import scratch_dir, written
 
 CRLF = "\r\n"
 RECORD = (
@@ -35,7 +36,7 @@ RECORD = (
 class WarcParams:
     least_revisit: int = 100
     date: str = "2024-01-01T00:00:00Z"
-    archive_bytes: int = 16 << 20  # payload of one archive file, about
+    archive_bytes: int = 16 << 20  # payload of one archive file, by the mean length of a payload
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams(
     """Write one record per row of ``pages`` (page_id, url, html) to archives below ``path``."""
     rows = with_digests(pages)
     headers = rows.select("page_id", "digest", "payload_bytes")
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
+    total, count = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
     # one decision per (page id, digest), so that repeated rows don't multiply in the join
     decided = resolve(headers.distinct(), params).select(
         F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to"
@@ -126,11 +127,13 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams(
         F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"),
         "page_id", "uri", "digest", "payload_bytes", "refers_to",
     )
-    archives = sized_partitions(total, params.archive_bytes)
+    # files are bounded by records of the mean length, so that no shuffle is needed to size them
+    per_file = max(1, params.archive_bytes * max(1, count) // max(1, total))
     (
         records.select(record_text(params).alias("value"))
-        .repartition(archives)
         .write.option("lineSep", CRLF + CRLF)
+        .option("compression", "gzip")
+        .option("maxRecordsPerFile", per_file)
         .text(path)
     )
 
@@ -171,7 +174,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for headers, block in parse_records(content.as_py()):
+                for headers, block in parse_records(gzip.decompress(content.as_py())):
                     response = headers["warc-type"] == "response"
                     _, _, payload = block.partition(b"\r\n\r\n")
                     rows.append((
@@ -197,7 +200,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved(records: DataFrame) -> DataFrame:
     """Records with revisits joined to their responses by record id; refers_to is the response's page id."""
-    slim = records.drop("payload")
+    slim = records.drop("payload")  # a column that may be gone already
     revisits = slim.where("record_type = 'revisit'")
     wanted = (
         slim.where("record_type = 'response' AND page_id IS NOT NULL")
@@ -228,4 +231,4 @@ def archive_round_trip(pages: DataFrame, params: WarcParams = WarcParams()) -> D
     spark = pages.sparkSession
     path = scratch_dir(spark, "warc")
     write_archives(pages, path, params)
-    return resolved(read_archives(spark, path))
+    return resolved(written(read_archives(spark, path).drop("payload"), "warc-records"))
