@@ -7,6 +7,12 @@ Inside a pair of tiles, sub-tiles sorted by the counts of the four 16-bit quarte
 skipped when those differ by more than the radius in sum: a bit that differs changes one
 quarter's count by one, so nothing within the radius is lost.
 
+`near_duplicates` links by the radius alone.  `similar_documents` takes pairs within a wide radius
+as candidates and links those whose shingle sets have a Jaccard similarity of at least
+``similarity``: candidates form clusters, and a cluster's sets are compared exactly, in pairs of
+blocks of bounded size, skipping pairs that are joined already.  No table of pairs is made, and
+no cluster is capped.
+
 Cost: tiles are compared in pairs, so work grows with the square of the number of distinct
 fingerprints, less what the counts exclude; the README has figures.
 
@@ -38,37 +44,49 @@ class SimHashParams:
     radius: int = 4
     seed: int = 42
     tile: int = 16_384
+    similarity: float = 0.8  # of `similar_documents`
+    wide_radius: int = 18  # of its candidates, on each of two fingerprints
+    block: int = 256  # shingle sets compared at once
 
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
-    """The majority bits of one text, as an unsigned 64-bit integer."""
+def shingle_hashes(text: bytes | None, shingle_words: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle of one text, repeats included."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
     words = (text or b"").lower().split()  # bytes.lower is A-Z only; bytes.split cuts at 20, 09-0D
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(joined, seed)
-    digest = xxhash.xxh64_intdigest
+        return np.array([digest(joined, seed)] if words else [], dtype=np.uint64)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(lengths) - 1
     starts = (ends - lengths + 1)[: len(words) - shingle_words + 1].tolist()
     stops = ends[shingle_words - 1 :].tolist()
-    total = len(starts)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as an unsigned 64-bit integer; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, total, 65_536):  # bounded memory for very long texts
-        part = np.fromiter(
-            (digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65_536], stops[at : at + 65_536])), dtype=np.uint64
-        )
-        lanes = part.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 65_536):  # bounded memory for very long texts
+        lanes = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
         for lane in range(8):
             counts[lane * 8 : lane * 8 + 8] += np.bincount(lanes[:, lane], minlength=256) @ BYTE_BITS
-    bits = counts * 2 > total
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
+    return majority(shingle_hashes(text, shingle_words, seed))
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a second fingerprint."""
+    x = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def fingerprints(docs: DataFrame, params: SimHashParams) -> DataFrame:
@@ -92,19 +110,24 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] >> np.array([48, 32, 16, 0], dtype=np.uint64) & np.uint64(0xFFFF)).astype(np.int16)
 
 
-def _sorted_tile(fp: np.ndarray, ids: np.ndarray):
+def _sorted_tile(fp: np.ndarray, ids: np.ndarray, second: np.ndarray | None = None, size: np.ndarray | None = None):
     q = _quarters(fp)
     order = np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))
     fp, ids, q = fp[order], ids[order], q[order]
+    second, size = (None if x is None else x[order] for x in (second, size))
     cuts = range(0, len(fp), SUB)
     low = np.array([q[i : i + SUB].min(axis=0) for i in cuts])
     high = np.array([q[i : i + SUB].max(axis=0) for i in cuts])
-    return fp, ids, low, high
+    return fp, ids, low, high, second, size
 
 
-def link_tiles(left, right, radius: int, forest: LocalForest) -> None:
-    """Join into ``forest`` all pairs of the two sorted tiles within the radius."""
-    (fa, ia, la, ha), (fb, ib, lb, hb) = left, right
+def link_tiles(left, right, radius: int, forest: LocalForest, similarity: float = 0.0) -> None:
+    """Join into ``forest`` all pairs of the two sorted tiles within the radius.
+
+    Tiles with second fingerprints and sizes link pairs that are within the radius by those too
+    and whose sizes allow the similarity.
+    """
+    (fa, ia, la, ha, sa, na), (fb, ib, lb, hb, sb, nb) = left, right
     same = left is right
     for i in range(len(la)):
         gap = np.maximum(0, np.maximum(la[i] - hb, lb - ha[i])).sum(axis=1)
@@ -114,11 +137,16 @@ def link_tiles(left, right, radius: int, forest: LocalForest) -> None:
         if not len(near):
             continue
         block = fa[i * SUB : (i + 1) * SUB]
-        for at in range(0, len(near), 32):
-            part = near[at : at + 32]
+        for at in range(0, len(near), 8):  # temporaries that fit a cache
+            part = near[at : at + 8]
             cols = np.concatenate([np.arange(j * SUB, min((j + 1) * SUB, len(fb))) for j in part])
             rows, hits = np.nonzero(np.bitwise_count(block[:, None] ^ fb[cols][None, :]) <= radius)
-            a, b = ia[i * SUB + rows], ib[cols[hits]]
+            rows, hits = i * SUB + rows, cols[hits]
+            if sa is not None and len(rows):
+                x, y = na[rows], nb[hits]
+                fit = (np.bitwise_count(sa[rows] ^ sb[hits]) <= radius) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
+                rows, hits = rows[fit], hits[fit]
+            a, b = ia[rows], ib[hits]
             keep = a != b
             a, b = a[keep], b[keep]
             if len(a):  # only pairs that earlier unions have not made redundant reach the forest
@@ -130,15 +158,20 @@ def link_tiles(left, right, radius: int, forest: LocalForest) -> None:
                     forest.union(x, y)
 
 
-def tile_links(prints: DataFrame, params: SimHashParams) -> DataFrame:
+def tile_links(prints: DataFrame, params: SimHashParams, wide: bool = False) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (fp, id): a forest per pair of tiles.
 
+    ``wide``: the rows also have a second fingerprint and a size (second, size), and links are the
+    candidates of `similar_documents`.
+
     A tile is (population count, part): the 65 counts are gathered on the driver to decide how
     many parts each needs, so that a part holds about ``tile`` fingerprints whatever the
     distribution.  Each fingerprint is sent to the pairs its tile takes part in.
     """
     spark = prints.sparkSession
-    radius, size = params.radius, params.tile
+    radius, size = params.wide_radius if wide else params.radius, params.tile
+    more = ["second", "size"] if wide else []
+    similarity = params.similarity
     sized = prints.withColumn("pop", F.bit_count("fp"))
     counts = {r["pop"]: r["n"] for r in sized.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     parts = {p: max(1, -(-n // size)) for p, n in counts.items()}
@@ -156,7 +189,7 @@ def tile_links(prints: DataFrame, params: SimHashParams) -> DataFrame:
         .withColumn("tile", F.col("base") + F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence("first", "last")))
         .select(
-            F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "id"
+            F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "id", *more
         )
     )
     n_pairs = sum(last[p] - first[p] + 1 for p, _ in tiles) // 2 + 1
@@ -172,18 +205,17 @@ def tile_links(prints: DataFrame, params: SimHashParams) -> DataFrame:
             if held["key"] is None:
                 return
             i, j = held["key"]
-            tile, fp, ids = (np.concatenate([r[k] for r in held["rows"]]) for k in range(3))
-            fp = fp.view(np.uint64)
-            sides = [_sorted_tile(fp[tile == t], ids[tile == t]) for t in ((i,) if i == j else (i, j)) if (tile == t).any()]
+            tile, fp, ids, *extra = (np.concatenate([r[k] for r in held["rows"]]) for k in range(3 + len(more)))
+            fp, extra = fp.view(np.uint64), [x.view(np.uint64) if k == 0 else x for k, x in enumerate(extra)]
+            here = [tile == t for t in ((i,) if i == j else (i, j))]
+            sides = [_sorted_tile(fp[m], ids[m], *(x[m] for x in extra)) for m in here if m.any()]
             forest = LocalForest()
-            if i == j:
-                link_tiles(sides[0], sides[0], radius, forest)
-            elif len(sides) == 2:
-                link_tiles(sides[0], sides[1], radius, forest)
+            if i == j or len(sides) == 2:
+                link_tiles(sides[0], sides[-1], radius, forest, similarity)
             out.extend(forest.edges())
 
         for batch in batches:
-            i, j, tile, fp, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "tile", "fp", "id"))
+            i, j, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "tile", "fp", "id", *more))
             if not len(i):
                 continue
             cuts = np.nonzero((np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
@@ -192,7 +224,7 @@ def tile_links(prints: DataFrame, params: SimHashParams) -> DataFrame:
                 if key != held["key"]:
                     close()
                     held["key"], held["rows"] = key, []
-                held["rows"].append((tile[a:b].copy(), fp[a:b].copy(), ids[a:b].copy()))
+                held["rows"].append([c[a:b].copy() for c in columns])
         close()
         a, b = (np.array([e[k] for e in out], dtype=np.int64) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -218,6 +250,108 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, params: SimHashParams, with_sets: bool) -> DataFrame:
+    """Per row: set id (a hash of the distinct shingles), two fingerprints and the set's size, or the set."""
+    rows = docs.select("doc_id", "text")
+    words, seed = params.shingle_words, params.seed
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for t in batch.column("text").cast(pa.large_binary()):
+                hashes = shingle_hashes(t.as_py(), words, seed)
+                distinct = np.unique(hashes)
+                out[0].append(xxhash.xxh64_intdigest(distinct.tobytes(), seed))
+                out[1].append(majority(hashes))
+                out[2].append(0 if with_sets else majority(remixed(hashes)))
+                out[3].append(len(distinct))
+                out[4].append(distinct.tobytes() if with_sets else None)
+            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in out[:4]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *signed, pa.array(out[4], pa.binary())], ["doc_id", "id", "fp", "second", "size", "shingles"]
+            )
+
+    kind = dict(rows.dtypes)["doc_id"]
+    found = rows.mapInArrow(run, f"doc_id {kind}, id long, fp long, second long, size long, shingles binary")
+    return found.select("id", "fp", "shingles") if with_sets else found.drop("shingles")
+
+
+def verified_links(members: DataFrame, params: SimHashParams) -> DataFrame:
+    """Links (a, b) of cluster members (cluster, blocks, id, fp, shingles) with the similarity: a forest per pair of blocks."""
+    placed = (
+        members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "fp", "shingles")
+    )
+    dealt = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
+    radius, similarity = params.wide_radius, params.similarity
+
+    def compare(rows: list[tuple], forest: LocalForest) -> None:
+        fp = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
+        size = np.array([len(r[3]) // 8 for r in rows])
+        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & (
+            np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
+        )
+        for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1)))):
+            if forest.find(rows[x][1]) != forest.find(rows[y][1]):
+                p, q = (np.frombuffer(rows[k][3], dtype=np.uint64) for k in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                if common >= similarity * (len(p) + len(q) - common):
+                    forest.union(rows[x][1], rows[y][1])
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, rows, forest, out = None, [], LocalForest(), []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "id", "fp", "shingles")]
+            for cluster, i, j, *row in zip(*columns):
+                if (cluster, i, j) != key:
+                    compare(rows, forest) if rows else None
+                    if key is not None and cluster != key[0]:
+                        out += forest.edges()
+                        forest = LocalForest()
+                    key, rows = (cluster, i, j), []
+                rows.append(row)
+        if rows:
+            compare(rows, forest)
+        out += forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
+    """(doc_id, id, component_id) per row: classes of documents linked by shingle similarity.
+
+    Equal shingle sets are one node.  Only the texts of clustered nodes are read a second time.
+    """
+    prints = written(shingle_sets(docs, params, with_sets=False), "shingles")
+    distinct = written(
+        prints.groupBy("id").agg(
+            F.min("doc_id").cast("long").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "second", "size")]
+        ),
+        "shingles",
+    )
+    clusters = components(tile_links(distinct.select("fp", "id", "second", "size"), params, wide=True))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(params.block)).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks")
+    placed = written(placed, "clusters")
+    wanted = distinct.join(placed, "id", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    texts = docs.select("doc_id", "text")
+    again = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    sets = shingle_sets(again, params, with_sets=True).dropDuplicates(["id"])
+    linked = components(verified_links(sets.join(placed, "id"), params))
+    classes = distinct.join(linked, distinct["id"] == linked["node"], "left").select(
+        "id", F.coalesce("component", "id").alias("cls"), "first_id"
+    )
+    named = classes.groupBy("cls").agg(F.min("first_id").alias("component_id"))
+    return prints.join(classes.join(named, "cls").select("id", "component_id"), "id").select("doc_id", "id", "component_id")
+
+
 def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -227,7 +361,7 @@ def drop_near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(
 
     Rows without an id stay only if their whole class has none (they can't be told apart).
     """
-    found = near_duplicates(docs, params)
+    found = written(similar_documents(docs, params), "kept")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     columns = docs.columns
     named = docs.join(kept, "doc_id", "left_semi").select(columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenlake.llm import langid, mixing, queries, toxicity
-from tests.llm.test_small_operators import brute_components, brute_hits, brute_print, brute_shard, edf
+from tests.llm.test_small_operators import brute_components, brute_hits, brute_shard, brute_similar, edf
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,9 +40,7 @@ def test_toxic_stage(spark, docs):
 
 def test_near_duplicate_stage(spark, docs):
     rows = [r for r in docs.collect()]
-    prints = {i: brute_print(r.text, 5) for i, r in enumerate(rows)}
-    links = [(i, j) for i in prints for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    low = brute_components(prints, links)
+    low = brute_components(range(len(rows)), brute_similar([r.text for r in rows]))
     first = defaultdict(lambda: None)
     for i, c in low.items():
         if rows[i].doc_id is not None:
