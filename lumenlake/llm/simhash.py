@@ -365,6 +365,22 @@ def drop_near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams(
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     columns = docs.columns
     named = docs.join(kept, "doc_id", "left_semi").select(columns)
-    unnamed = found.where("doc_id IS NULL AND component_id IS NULL").select(F.lit(True).alias("_any")).limit(1)
-    first = named.dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL").join(F.broadcast(unnamed), F.lit(True), "left_semi").select(columns))
+    nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("id").alias("_set_id")).distinct()
+    unnamed = with_set_id(docs.where("doc_id IS NULL"), params).join(nameless, "_set_id", "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(unnamed.select(columns))
+
+
+def with_set_id(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """``docs`` with the hash of each row's distinct shingles as ``_set_id``."""
+    words, seed = params.shingle_words, params.seed
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            ids = [xxhash.xxh64_intdigest(np.unique(shingle_hashes(t.as_py(), words, seed)).tobytes(), seed) for t in texts]
+            yield batch.append_column("_set_id", pa.array(np.array(ids, dtype=np.uint64).view(np.int64)))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set_id", T.LongType())]))

@@ -356,6 +356,8 @@ def test_tiles_lose_no_link_and_skip_by_counts():
 def test_simhash_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c", "en", "s", 1), (None, "a b c", "en", "s", 1), (4, "d e f g", "en", "s", 1), (None, "d e f g", "en", "s", 1)], DOCS)
     assert sorted(map(str, (x.component_id for x in simhash.near_duplicates(docs).collect()))) == ["4", "4", "None", "None"]
+    both = simhash.drop_near_duplicates(docs.withColumn("fp", F.lit(1)))
+    assert both.columns == [*docs.columns, "fp"] and sorted((str(x.doc_id), x.text) for x in both.collect()) == [("4", "d e f g"), ("None", "a b c"), ("None", "a b c")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
