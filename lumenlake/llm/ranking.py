@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import sized_partitions
 
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 5_000
 
 
 def hash_order(key: Column) -> Column:
