@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import ascii_lower
 
-SALT_ROWS = 20_000
+SALT_ROWS = 5_000
 LABEL_END = "\u0001"
 PATH_START = "\u0002"
 
@@ -105,6 +105,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     swept = (
         opens.unionByName(closes)
         .unionByName(urls)
+        .repartition("suffix", "salt")  # else the windows would take over the joins' partitions by suffix alone
         .withColumn("height", F.sum("step").over(sweep))
         .withColumn("top", F.last("opened", ignorenulls=True).over(slot))
         .where("kind = 1 AND height > 0")
