@@ -7,14 +7,17 @@ Inside a pair of tiles, sub-tiles sorted by the counts of the four 16-bit quarte
 skipped when those differ by more than the radius in sum: a bit that differs changes one
 quarter's count by one, so nothing within the radius is lost.
 
-`near_duplicates` links by the radius alone.  `similar_documents` takes pairs within a wide radius
-as candidates and links those whose shingle sets have a Jaccard similarity of at least
-``similarity``: candidates form clusters, and a cluster's sets are compared exactly, in pairs of
-blocks of bounded size, skipping pairs that are joined already.  No table of pairs is made, and
-no cluster is capped.
-
-Cost: tiles are compared in pairs, so work grows with the square of the number of distinct
-fingerprints, less what the counts exclude; the README has figures.
+`near_duplicates` links by the radius alone.  `similar_documents` links texts whose sets of distinct
+shingles have a Jaccard similarity of at least ``similarity``.  Sets of n shingles, put in one order
+for all, that reach it share a shingle among their first n - ceil(similarity n) + 1: this prefix is
+posted, and sets that meet are candidates if their two fingerprints, taken over the distinct
+shingles, differ in no more bits than `sketch_radius`.  Shingles that are common in a sample come
+last in the order, which shortens the lists and changes no result.  Candidates form clusters, and a
+cluster's sets are compared exactly, in pairs of blocks of bounded size, skipping pairs that are
+joined already.  No table of pairs is made, and no list or cluster is capped.
+
+Cost: tiles are compared in pairs, so the work of `near_duplicates` grows with the square of the
+number of distinct fingerprints, less what the counts exclude; the README has figures.
 
 Edge cases: a null or empty text, or one without words, has fingerprint 0 and links like any
 other; a text of fewer words than a shingle is one shingle; rows with equal ids share their
@@ -25,6 +28,7 @@ further columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +49,11 @@ class SimHashParams:
     seed: int = 42
     tile: int = 16_384
     similarity: float = 0.8  # of `similar_documents`
-    wide_radius: int = 18  # of its candidates, on each of two fingerprints
+    sketch_miss: float = 1e-6  # chance at most that a pair at the similarity is no candidate
     block: int = 256  # shingle sets compared at once
+    posting_block: int = 4_096  # sets of one list compared at once
+    sampled: int = 16  # common shingles are counted in one of so many texts
+    common: int = 65_536  # so many of them come last in the order
 
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -110,24 +117,19 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] >> np.array([48, 32, 16, 0], dtype=np.uint64) & np.uint64(0xFFFF)).astype(np.int16)
 
 
-def _sorted_tile(fp: np.ndarray, ids: np.ndarray, second: np.ndarray | None = None, size: np.ndarray | None = None):
+def _sorted_tile(fp: np.ndarray, ids: np.ndarray):
     q = _quarters(fp)
     order = np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))
     fp, ids, q = fp[order], ids[order], q[order]
-    second, size = (None if x is None else x[order] for x in (second, size))
     cuts = range(0, len(fp), SUB)
     low = np.array([q[i : i + SUB].min(axis=0) for i in cuts])
     high = np.array([q[i : i + SUB].max(axis=0) for i in cuts])
-    return fp, ids, low, high, second, size
-
+    return fp, ids, low, high
 
-def link_tiles(left, right, radius: int, forest: LocalForest, similarity: float = 0.0) -> None:
-    """Join into ``forest`` all pairs of the two sorted tiles within the radius.
 
-    Tiles with second fingerprints and sizes link pairs that are within the radius by those too
-    and whose sizes allow the similarity.
-    """
-    (fa, ia, la, ha, sa, na), (fb, ib, lb, hb, sb, nb) = left, right
+def link_tiles(left, right, radius: int, forest: LocalForest) -> None:
+    """Join into ``forest`` all pairs of the two sorted tiles within the radius."""
+    (fa, ia, la, ha), (fb, ib, lb, hb) = left, right
     same = left is right
     for i in range(len(la)):
         gap = np.maximum(0, np.maximum(la[i] - hb, lb - ha[i])).sum(axis=1)
@@ -141,12 +143,7 @@ def link_tiles(left, right, radius: int, forest: LocalForest, similarity: float
             part = near[at : at + 8]
             cols = np.concatenate([np.arange(j * SUB, min((j + 1) * SUB, len(fb))) for j in part])
             rows, hits = np.nonzero(np.bitwise_count(block[:, None] ^ fb[cols][None, :]) <= radius)
-            rows, hits = i * SUB + rows, cols[hits]
-            if sa is not None and len(rows):
-                x, y = na[rows], nb[hits]
-                fit = (np.bitwise_count(sa[rows] ^ sb[hits]) <= radius) & (np.minimum(x, y) >= similarity * np.maximum(x, y))
-                rows, hits = rows[fit], hits[fit]
-            a, b = ia[rows], ib[hits]
+            a, b = ia[i * SUB + rows], ib[cols[hits]]
             keep = a != b
             a, b = a[keep], b[keep]
             if len(a):  # only pairs that earlier unions have not made redundant reach the forest
@@ -158,20 +155,15 @@ def link_tiles(left, right, radius: int, forest: LocalForest, similarity: float
                     forest.union(x, y)
 
 
-def tile_links(prints: DataFrame, params: SimHashParams, wide: bool = False) -> DataFrame:
+def tile_links(prints: DataFrame, params: SimHashParams) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (fp, id): a forest per pair of tiles.
 
-    ``wide``: the rows also have a second fingerprint and a size (second, size), and links are the
-    candidates of `similar_documents`.
-
     A tile is (population count, part): the 65 counts are gathered on the driver to decide how
     many parts each needs, so that a part holds about ``tile`` fingerprints whatever the
     distribution.  Each fingerprint is sent to the pairs its tile takes part in.
     """
     spark = prints.sparkSession
-    radius, size = params.wide_radius if wide else params.radius, params.tile
-    more = ["second", "size"] if wide else []
-    similarity = params.similarity
+    radius, size = params.radius, params.tile
     sized = prints.withColumn("pop", F.bit_count("fp"))
     counts = {r["pop"]: r["n"] for r in sized.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     parts = {p: max(1, -(-n // size)) for p, n in counts.items()}
@@ -189,7 +181,7 @@ def tile_links(prints: DataFrame, params: SimHashParams, wide: bool = False) ->
         .withColumn("tile", F.col("base") + F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence("first", "last")))
         .select(
-            F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "id", *more
+            F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp", "id"
         )
     )
     n_pairs = sum(last[p] - first[p] + 1 for p, _ in tiles) // 2 + 1
@@ -205,17 +197,17 @@ def tile_links(prints: DataFrame, params: SimHashParams, wide: bool = False) ->
             if held["key"] is None:
                 return
             i, j = held["key"]
-            tile, fp, ids, *extra = (np.concatenate([r[k] for r in held["rows"]]) for k in range(3 + len(more)))
-            fp, extra = fp.view(np.uint64), [x.view(np.uint64) if k == 0 else x for k, x in enumerate(extra)]
+            tile, fp, ids = (np.concatenate([r[k] for r in held["rows"]]) for k in range(3))
+            fp = fp.view(np.uint64)
             here = [tile == t for t in ((i,) if i == j else (i, j))]
-            sides = [_sorted_tile(fp[m], ids[m], *(x[m] for x in extra)) for m in here if m.any()]
+            sides = [_sorted_tile(fp[m], ids[m]) for m in here if m.any()]
             forest = LocalForest()
             if i == j or len(sides) == 2:
-                link_tiles(sides[0], sides[-1], radius, forest, similarity)
+                link_tiles(sides[0], sides[-1], radius, forest)
             out.extend(forest.edges())
 
         for batch in batches:
-            i, j, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "tile", "fp", "id", *more))
+            i, j, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "tile", "fp", "id"))
             if not len(i):
                 continue
             cuts = np.nonzero((np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
@@ -250,54 +242,186 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, params: SimHashParams, with_sets: bool) -> DataFrame:
-    """Per row: set id (a hash of the distinct shingles), two fingerprints and the set's size, or the set."""
+def bit_difference(common: int, a: int, b: int) -> float:
+    """The chance that a fingerprint's bit differs between sets with so many common and own shingles."""
+    def above(own: int) -> np.ndarray:  # by the common shingles that have the bit: chance of a majority
+        odds = np.array([math.comb(own, k) for k in range(own + 1)]) / 2.0**own
+        return np.array([odds[[2 * (c + k) > common + own for k in range(own + 1)]].sum() for c in range(common + 1)])
+
+    x, y = above(a), above(b)
+    odds = np.array([math.comb(common, c) / 2.0**common for c in range(common + 1)])
+    return float((odds * (x * (1 - y) + y * (1 - x))).sum())
+
+
+def sketch_radius(similarity: float, miss: float) -> int:
+    """The bits of two fingerprints, 128, in which a pair at the similarity differs at most but for the chance ``miss``.
+
+    A bit differs most often in small sets, which are tried one by one; large ones follow the
+    angle between their vectors, which is widest when neither set holds the other.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    for common in range(1, 41):
+        own = int(common / similarity - common + 1e-9)
+        p = max([p, *(bit_difference(common, a, own - a) for a in range(own // 2 + 1))])
+    tail, radius = 1.0, -1
+    while tail > miss and radius < 128:
+        radius += 1
+        tail -= math.comb(128, radius) * p**radius * (1 - p) ** (128 - radius)
+    return radius
+
+
+def with_shingles(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """(doc_id, id, shingles) per row: set id (a hash of the distinct shingles) and the set, as bytes."""
+
+    def columns(hashes, distinct):
+        return [distinct.tobytes()]
+
+    return _by_text(docs, params, columns, "shingles binary")
+
+
+def common_shingles(docs: DataFrame, params: SimHashParams) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, sorted, and their counts: bounded by ``common``."""
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(params.sampled)) == 0)
+    each = _by_text(sample, params, lambda hashes, distinct: [distinct.view(np.int64)], "shingles array<long>")
+    counts = each.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    top = counts.where("n > 3").orderBy(F.desc("n"), "shingle").limit(params.common).collect()
+    found = np.array([(r.shingle, r.n) for r in top], dtype=np.int64).reshape(-1, 2)
+    hashes = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found[order, 1]
+
+
+def prefix(distinct: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a sorted set of which any set with the similarity has one in its own prefix."""
+    hashes, counts = common
+    if len(hashes) and len(distinct):
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        distinct = distinct[np.lexsort((distinct, np.where(hashes[at] == distinct, counts[at], 0)))]
+    return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
+
+
+def shingle_sets(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """(doc_id, id, fp, second, size, prefix) per row: set id, two fingerprints of the set, its size and prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, params))
+    similarity = params.similarity
+
+    def columns(hashes, distinct):
+        prints = np.array([majority(distinct), majority(remixed(distinct))], dtype=np.uint64).view(np.int64)
+        return [*prints.tolist(), len(distinct), prefix(distinct, shared.value, similarity).view(np.int64)]
+
+    return _by_text(docs, params, columns, "fp long, second long, size long, prefix array<long>")
+
+
+def _by_text(docs: DataFrame, params: SimHashParams, columns, schema: str) -> DataFrame:
+    """(doc_id, id) and what ``columns`` makes of a text's shingle hashes and the sorted distinct ones, per row."""
     rows = docs.select("doc_id", "text")
     words, seed = params.shingle_words, params.seed
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, id long, {schema}"
+    kinds = {"long": "int64", "binary": "binary", "array<long>": "list"}
+    names, types = zip(*(c.strip().split(" ", 1) for c in schema.split(",")[-(schema.count(",")) :]))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for t in batch.column("text").cast(pa.large_binary()):
                 hashes = shingle_hashes(t.as_py(), words, seed)
                 distinct = np.unique(hashes)
-                out[0].append(xxhash.xxh64_intdigest(distinct.tobytes(), seed))
-                out[1].append(majority(hashes))
-                out[2].append(0 if with_sets else majority(remixed(hashes)))
-                out[3].append(len(distinct))
-                out[4].append(distinct.tobytes() if with_sets else None)
-            signed = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in out[:4]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *signed, pa.array(out[4], pa.binary())], ["doc_id", "id", "fp", "second", "size", "shingles"]
-            )
+                name = np.array([xxhash.xxh64_intdigest(distinct.tobytes(), seed)], dtype=np.uint64).view(np.int64)[0]
+                for column, value in zip(out, [int(name), *columns(hashes, distinct)]):
+                    column.append(value)
+            arrow = [pa.array(c, pa.list_(pa.int64()) if k == "array<long>" else getattr(pa, kinds[k])()) for c, k in zip(out, types)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrow], ["doc_id", *names])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    found = rows.mapInArrow(run, f"doc_id {kind}, id long, fp long, second long, size long, shingles binary")
-    return found.select("id", "fp", "shingles") if with_sets else found.drop("shingles")
+    return rows.mapInArrow(run, schema)
+
+
+def prefix_links(sets: DataFrame, params: SimHashParams) -> DataFrame:
+    """Candidate links (a, b) of distinct sets (id, fp, second, size, prefix): a forest per task."""
+    postings = sets.select("id", "fp", "second", "size", F.explode("prefix").alias("shingle"))
+    sizes = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    placed = (
+        postings.join(sizes, "shingle")
+        .withColumn("blocks", F.ceil(F.col("n") / F.lit(params.posting_block)))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "fp", "second", "size")
+    )
+    dealt = placed.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    radius, similarity = sketch_radius(params.similarity, params.sketch_miss), params.similarity
+
+    def run(batches):
+        import pyarrow as pa
+
+        forest, held = LocalForest(), None
+
+        def link(columns, starts, stops):
+            ids, fp, second, size = columns
+            fp, second = fp.view(np.uint64), second.view(np.uint64)
+
+            def near(x, y):
+                return candidates(fp[x], second[x], size[x], fp[y], second[y], size[y], radius, similarity)
+
+            two = starts[stops - starts == 2]
+            for x in two[near(two, two + 1)].tolist():
+                forest.union(int(ids[x]), int(ids[x + 1]))
+            more = stops - starts > 2
+            for start, stop in zip(starts[more].tolist(), stops[more].tolist()):
+                rest = np.arange(start, stop)
+                while len(rest) > 1:  # what a set reaches leaves the rest, so that a list of near copies is soon done
+                    reached, rest = [rest[0]], rest[1:]
+                    while reached and len(rest):
+                        x = reached.pop()
+                        hit = near(x, rest)
+                        if hit.any():
+                            for y in rest[hit].tolist():
+                                forest.union(int(ids[x]), int(ids[y]))
+                            reached += rest[hit].tolist()
+                            rest = rest[~hit]
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "i", "j", "id", "fp", "second", "size")]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            cuts = np.nonzero(np.any([np.diff(c) != 0 for c in columns[:3]], axis=0))[0] + 1
+            if len(cuts):
+                link(columns[3:], np.r_[0, cuts[:-1]], cuts)
+            held = [c[cuts[-1] if len(cuts) else 0 :].copy() for c in columns]
+        if held is not None:
+            link(held[3:], np.array([0]), np.array([len(held[0])]))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges()], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def candidates(fp, second, size, fp2, second2, size2, radius: int, similarity: float) -> np.ndarray:
+    """Whether two fingerprints and the sizes allow the similarity."""
+    bits = np.bitwise_count(fp ^ fp2) + np.bitwise_count(second ^ second2)
+    return (bits <= radius) & (np.minimum(size, size2) >= similarity * np.maximum(size, size2) - 1e-9)
 
 
 def verified_links(members: DataFrame, params: SimHashParams) -> DataFrame:
-    """Links (a, b) of cluster members (cluster, blocks, id, fp, shingles) with the similarity: a forest per pair of blocks."""
+    """Links (a, b) of cluster members (cluster, blocks, id, fp, second, shingles) with the similarity: a forest per pair of blocks."""
     placed = (
         members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "fp", "shingles")
+        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "fp", "second", "shingles")
     )
     dealt = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block")
-    radius, similarity = params.wide_radius, params.similarity
+    radius, similarity = sketch_radius(params.similarity, params.sketch_miss), params.similarity
 
     def compare(rows: list[tuple], forest: LocalForest) -> None:
-        fp = np.array([r[2] for r in rows], dtype=np.int64).view(np.uint64)
-        size = np.array([len(r[3]) // 8 for r in rows])
-        near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius) & (
-            np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
-        )
+        fp, second = (np.array([r[k] for r in rows], dtype=np.int64).view(np.uint64) for k in (2, 3))
+        size = np.array([len(r[4]) // 8 for r in rows])
+        one, other = ((x[:, None] for x in (fp, second, size)), (x[None, :] for x in (fp, second, size)))
+        near = candidates(*one, *other, radius, similarity)
         for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1)))):
             if forest.find(rows[x][1]) != forest.find(rows[y][1]):
-                p, q = (np.frombuffer(rows[k][3], dtype=np.uint64) for k in (x, y))
+                p, q = (np.frombuffer(rows[k][4], dtype=np.uint64) for k in (x, y))
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 if common >= similarity * (len(p) + len(q) - common):
                     forest.union(rows[x][1], rows[y][1])
@@ -307,7 +431,7 @@ def verified_links(members: DataFrame, params: SimHashParams) -> DataFrame:
 
         key, rows, forest, out = None, [], LocalForest(), []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "id", "fp", "shingles")]
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "id", "fp", "second", "shingles")]
             for cluster, i, j, *row in zip(*columns):
                 if (cluster, i, j) != key:
                     compare(rows, forest) if rows else None
@@ -329,21 +453,21 @@ def similar_documents(docs: DataFrame, params: SimHashParams = SimHashParams())
 
     Equal shingle sets are one node.  Only the texts of clustered nodes are read a second time.
     """
-    prints = written(shingle_sets(docs, params, with_sets=False), "shingles")
+    prints = written(shingle_sets(docs, params), "shingles")
     distinct = written(
         prints.groupBy("id").agg(
-            F.min("doc_id").cast("long").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "second", "size")]
+            F.min("doc_id").cast("long").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "second", "size", "prefix")]
         ),
         "shingles",
     )
-    clusters = components(tile_links(distinct.select("fp", "id", "second", "size"), params, wide=True))
+    clusters = components(prefix_links(distinct, params))
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(params.block)).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks")
-    placed = written(placed, "clusters")
-    wanted = distinct.join(placed, "id", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    placed = written(placed.join(distinct.select("id", "first_id", "fp", "second"), "id"), "clusters")
+    wanted = placed.select(F.col("first_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     texts = docs.select("doc_id", "text")
     again = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
-    sets = shingle_sets(again, params, with_sets=True).dropDuplicates(["id"])
+    sets = with_shingles(again, params).drop("doc_id").dropDuplicates(["id"])
     linked = components(verified_links(sets.join(placed, "id"), params))
     classes = distinct.join(linked, distinct["id"] == linked["node"], "left").select(
         "id", F.coalesce("component", "id").alias("cls"), "first_id"

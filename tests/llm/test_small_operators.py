@@ -341,6 +341,45 @@ def test_similar_documents_against_brute_force(spark, block):
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(low.values()))
 
 
+@pytest.mark.parametrize("posting_block", [4, 4_096])
+def test_similar_documents_with_repeated_lines_and_short_texts(spark, posting_block):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for times in (10, 20, 50):
+        for _ in range(4):
+            body, line = [[word() for _ in range(n)] for n in (400, 15)]
+            texts += [" ".join(body + line), " ".join(body + line * times)]
+    for n in (*range(5, 17), 24, 44):  # a word less or more: short sets on both sides of 0.8
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts += [" ".join(base), " ".join([*base, word()]), " ".join([word(), *base[1:]])]
+    common = [word() for _ in range(30)]  # a passage in many texts, also counted as common in the sample
+    texts += [" ".join([*common, *(word() for _ in range(r.randint(1, 60)))]) for _ in range(120)]
+    docs = docs_of(spark, texts)
+    params = simhash.SimHashParams(posting_block=posting_block, sampled=2)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(docs, params).collect()}
+    assert got == brute_components(range(len(texts)), brute_similar(texts))
+
+
+def test_prefixes_and_radius_keep_every_pair_at_the_similarity():
+    r = np.random.default_rng(3)
+    radius, missed = simhash.sketch_radius(0.8, 1e-6), 0
+    assert radius < 64
+    for size in (*range(4, 40), 100, 401):
+        for _ in range(20):
+            most = int(size / 0.8 - size + 1e-9)
+            own = int(r.integers(0, most + 1))
+            x = r.integers(0, 2**63, size + most, dtype=np.uint64)
+            a, b = np.unique(x[: size + own]), np.unique(np.r_[x[:size], x[size + own :]])
+            hashes = np.unique(r.choice(x, 3))
+            for common in ((np.array([], dtype=np.uint64), np.array([])), (hashes, np.arange(5, 5 + len(hashes)))):
+                assert len(np.intersect1d(simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)))
+            prints = [(simhash.majority(s), simhash.majority(simhash.remixed(s))) for s in (a, b)]
+            missed += sum((p ^ q).bit_count() for p, q in zip(*prints)) > radius
+    assert missed == 0
+
+
 def test_tiles_lose_no_link_and_skip_by_counts():
     r = np.random.default_rng(5)
     fp = r.integers(0, 2**63, 3000, dtype=np.uint64)
