@@ -449,7 +449,12 @@ def verified_links(members: DataFrame, params: SimHashParams) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """(doc_id, id, component_id) per row: classes of documents linked by shingle similarity.
+    """(doc_id, id, component_id) per row: classes of documents linked by shingle similarity."""
+    return classified(docs, params).drop("cls")
+
+
+def classified(docs: DataFrame, params: SimHashParams) -> DataFrame:
+    """(doc_id, id, cls, component_id) per row; cls tells apart classes whose smallest ids are equal.
 
     Equal shingle sets are one node.  Only the texts of clustered nodes are read a second time.
     """
@@ -473,7 +478,7 @@ def similar_documents(docs: DataFrame, params: SimHashParams = SimHashParams())
         "id", F.coalesce("component", "id").alias("cls"), "first_id"
     )
     named = classes.groupBy("cls").agg(F.min("first_id").alias("component_id"))
-    return prints.join(classes.join(named, "cls").select("id", "component_id"), "id").select("doc_id", "id", "component_id")
+    return prints.join(classes.join(named, "cls"), "id").select("doc_id", "id", "cls", "component_id")
 
 
 def hex_of(fp) -> F.Column:
@@ -483,15 +488,22 @@ def hex_of(fp) -> F.Column:
 def drop_near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """One document of each class stays, that with the smallest id; of its repeated rows, one.
 
+    Rows that share an id but not a shingle set are documents of their own, of one class or several.
     Rows without an id stay only if their whole class has none (they can't be told apart).
     """
-    found = written(similar_documents(docs, params), "kept")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = written(classified(docs, params), "kept")
     columns = docs.columns
-    named = docs.join(kept, "doc_id", "left_semi").select(columns)
+    named = found.where("doc_id IS NOT NULL")
+    first = named.groupBy("cls").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.doc_id", F.col("first.id").alias("_set_id"))
+    sets = named.groupBy("doc_id").agg((F.min("id") == F.max("id")).alias("one")).join(first, "doc_id")
+    # only ids with several sets need their texts' sets to tell their rows apart
+    single = docs.join(sets.where("one").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    several = written(sets.where("NOT one").select("doc_id", "_set_id"), "kept")
+    shared = with_set_id(docs.join(several.select("doc_id"), "doc_id", "left_semi").select(columns), params)
+    shared = shared.join(several, ["doc_id", "_set_id"], "left_semi").dropDuplicates(["doc_id", "_set_id"])
     nameless = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("id").alias("_set_id")).distinct()
     unnamed = with_set_id(docs.where("doc_id IS NULL"), params).join(nameless, "_set_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed.select(columns))
+    return single.select(columns).unionByName(shared.select(columns)).unionByName(unnamed.select(columns))
 
 
 def with_set_id(docs: DataFrame, params: SimHashParams) -> DataFrame:

@@ -362,6 +362,17 @@ def test_similar_documents_with_repeated_lines_and_short_texts(spark, posting_bl
     assert got == brute_components(range(len(texts)), brute_similar(texts))
 
 
+def test_one_id_with_several_texts_keeps_each_class(spark):
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [(5, a), (5, b), (5, b), (3, c), (5, c + " more"), (8, d), (8, d + " more"), (9, e), (9, e + " more"), (9, c), (9, a + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = simhash.drop_near_duplicates(docs)
+    got = [(x.doc_id, x.text.removesuffix(" more")) for x in kept.collect()]
+    assert kept.columns == docs.columns and sorted(got) == sorted([(5, a), (5, b), (3, c), (8, d), (9, e)])
+
+
 def test_prefixes_and_radius_keep_every_pair_at_the_similarity():
     r = np.random.default_rng(3)
     radius, missed = simhash.sketch_radius(0.8, 1e-6), 0
