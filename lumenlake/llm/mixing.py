@@ -15,14 +15,16 @@ and the mix is on target throughout; the last period is cut where the longest so
 
 Edge cases: a null source is a source of its own; a source without a weight in the given table
 is left out; null ids sort as the empty string; null texts count as rows; repeated rows are rows;
-an empty table gives an empty mix; a source's share is at least 1/N; further columns of the
+an empty table gives an empty mix; a source's share is at least 1/N, and what small sources so
+get beyond their weight is taken from all larger ones in proportion; N is ``period``, or twice the
+number of sources if that is more; further columns of the
 documents ride along in `mixed_documents` (columns of the same name as an added one are replaced
 in the schedule only).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ class MixParams:
     period: int = 500
     temperature: float = 0.7  # without given weights: share of rows to this power
     stop: str = "all_exhausted"
-    max_sources: int = 250
+    max_sources: int = 2_000
 
 
 def source_counts(docs: DataFrame) -> DataFrame:
@@ -45,30 +47,36 @@ def source_counts(docs: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame, weights: DataFrame | None, params: MixParams) -> DataFrame:
-    """(source, n, blocks): each source's blocks in a period, by largest remainders; sum = period."""
+    """(source, n, blocks): each source's blocks in a period, at least one; sum = period.
+
+    Sources due less than a block get one.  The others share what is left by largest remainders:
+    they are the longest run of sources by falling weight whose last still is due a block then.
+    """
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(params.temperature)))
     else:
         given = weights.select(F.col("source").cast("string").alias("_s"), F.col("weight").cast("double").alias("w"))
         weighed = counts.join(given, counts["source"].eqNullSafe(given["_s"])).drop("_s").where("w > 0")
     every = Window.partitionBy()  # one row per source, max_sources at most
-    exact = weighed.withColumn("exact", F.col("w") / F.sum("w").over(every) * F.lit(params.period)).withColumn(
-        "floor", F.greatest(F.lit(1), F.floor("exact").cast("int"))
-    )
+    falling = Window.orderBy(F.col("w").desc(), F.col("source").asc_nulls_first())
+    so_far = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spare = F.lit(params.period) - F.count("*").over(every)
+    ranked = weighed.withColumns({"spare": spare, "m": F.row_number().over(falling), "upto": F.sum("w").over(so_far)})
+    # the factor lets rounding in the sum not cost a source its part; a part short of one block by it is one block
+    large = ranked.withColumn("large", F.col("w") * (F.col("spare") + F.col("m")) * F.lit(1 + 1e-12) >= F.col("upto"))
+    exact = large.withColumns({
+        "quota": F.col("spare") + F.sum(F.col("large").cast("int")).over(every),
+        "total": F.sum(F.when(F.col("large"), F.col("w"))).over(every),
+    }).withColumn("exact", F.when(F.col("large"), F.col("w") / F.col("total") * F.col("quota")))
+    floors = exact.withColumn("floor", F.when(F.col("large"), F.greatest(F.lit(1), F.floor("exact").cast("int"))).otherwise(1))
     left = F.lit(params.period) - F.sum("floor").over(every)
-    rank = F.row_number().over(Window.orderBy((F.col("exact") - F.floor("exact")).desc(), F.col("source").asc_nulls_first()))
-    by_size = F.row_number().over(Window.orderBy(F.col("floor").desc(), F.col("source").asc_nulls_first()))
-    topped = exact.withColumn("left", left).withColumn("rank", rank).withColumn("by_size", by_size)
-    # what is left over goes to the largest remainders; what small sources took too much, to the largest
-    return topped.select(
-        "source",
-        "n",
-        (
-            F.col("floor")
-            + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)
-            + F.when((F.col("left") < 0) & (F.col("by_size") == 1), F.col("left")).otherwise(0)
-        ).cast("int").alias("blocks"),
-    )
+    rank = F.row_number().over(Window.orderBy((F.col("exact") - F.col("floor")).desc_nulls_last(), F.col("source").asc_nulls_first()))
+    topped = floors.withColumn("left", left).withColumn("rank", rank)
+    blocks = (F.col("floor") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("int")
+    checked = topped.withColumn("blocks", blocks).withColumn("sum", F.sum("blocks").over(every))
+    wrong = F.raise_error(F.lit(f"the sources don't fit a period of {params.period} slots")).cast("int")
+    sound = (F.col("blocks") >= 1) & (F.col("sum") == params.period)
+    return checked.select("source", "n", F.when(sound, F.col("blocks")).otherwise(wrong).alias("blocks"))
 
 
 def pattern(shares_: DataFrame, params: MixParams) -> DataFrame:
@@ -120,8 +128,10 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, params: MixParam
     if params.stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError("stop is first_exhausted or all_exhausted")
     counts = source_counts(docs)
-    if counts.limit(params.max_sources + 1).count() > params.max_sources:
+    sources = counts.limit(params.max_sources + 1).count()
+    if sources > params.max_sources:
         raise ValueError(f"more than {params.max_sources} sources: group them first")
+    params = replace(params, period=max(params.period, 2 * sources))
     plan = written(pattern(shares(counts, weights, params), params), "mix")  # period rows
     B, N = params.block_rows, params.period
     # the slot in which a source's last whole or partial block falls, were it to run alone

@@ -276,6 +276,24 @@ def test_mix_edges(spark):
         mixing.schedule(docs, params=mixing.MixParams(max_sources=2))
 
 
+@pytest.mark.parametrize("small, large, rows, period", [(60, 30, 300, 100), (30, 30, 300, 100), (270, 4, 900, 50)])
+def test_mix_of_many_small_sources_loses_no_document(spark, small, large, rows, period):
+    sizes = {**{f"s{i}": 1 for i in range(small)}, **{f"l{i}": rows + i for i in range(large)}}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in enumerate(names)], DOCS)
+    params = mixing.MixParams(block_rows=2, period=period)
+    got = mixing.schedule(docs, params=params).select("doc_id", "slot", "source").collect()
+    assert {r.doc_id for r in got} == set(range(len(names)))
+    whole = max(period, 2 * (small + large))
+    slots = {r.slot: r.source for r in got}
+    blocks = Counter(slots[t] for t in range(whole))
+    assert sorted(slots) == list(range(max(slots) + 1)) and len(blocks) == small + large
+    weight = {s: n**params.temperature for s, n in sizes.items() if s[0] == "l"}
+    for s in sizes:
+        due = 1 if s[0] == "s" else (whole - small) * weight[s] / sum(weight.values())
+        assert blocks[s] >= 1 and abs(blocks[s] - due) < 1
+
+
 # ---------------------------------------------------------------- SimHash
 
 
