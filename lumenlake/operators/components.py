@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.plans.scratch import materialised as written
+from lumenlake.plans.scratch import discard, materialised_at
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     to the smallest neighbour, so the number of links never grows, and the rounds grow with
     the logarithm of the longest chain.  A hub's minimum is found by partial aggregation and
     its rows are joined, which adaptive execution can split.  Each round is written to the
-    shared checkpoint folder.  Null ends and self-links are ignored; no links give no rows.
+    shared checkpoint folder and the round before it removed, so one table stays.  Null ends and self-links are ignored; no links give no rows.
     """
     kind = dict(links.dtypes)["a"]
     edges = (
@@ -23,7 +23,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    edges = written(edges, "links")
+    edges, path = materialised_at(edges, "links")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -40,12 +40,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        nxt = written(small, "links")
+        nxt, next_path = materialised_at(small, "links")
+        discard(links.sparkSession, path)
         # stars only: no node is both an upper and a lower end, and every upper end has one link
         stars = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(
             nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi"
         ).isEmpty()
-        edges = nxt
+        edges, path = nxt, next_path
         if stars:
             break
     else:
