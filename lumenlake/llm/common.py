@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import posixpath
-import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.plans.scratch import materialised as written
+from lumenlake.plans.scratch import scratch_dir
+
+__all__ = ["ascii_lower", "digest_of", "joined_hot", "scratch_dir", "sized_partitions", "table", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -23,48 +25,25 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's shared checkpoint folder.
+def joined_hot(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", most: int = 1_000) -> DataFrame:
+    """``rows`` joined to ``lookup`` (one row per key), where a key may hold a large part of the rows.
 
-    ``spark.checkpoint.dir`` is the folder that driver and executors share.  Where the
-    session names none (tests on one machine) the warehouse folder stands in for it.
+    Keys with more than 1/``most`` of the rows number fewer than ``most``: their lookup rows are
+    broadcast and their rows stay where they are.  The other keys are joined by a shuffle.  The rows
+    are read several times, so they should be a table or cheap to make.  Null keys match nothing.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or posixpath.join(
-        spark.conf.get("spark.sql.warehouse.dir"), "_scratch"
-    )
-    return posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.
-
-    Unlike a cached or locally checkpointed frame the result outlives any executor.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    total = rows.count()
+    heavy = rows.groupBy(*on).agg(F.count("*").alias("_rows")).where((F.col("_rows") * most > total) & (F.col("_rows") > most))
+    heavy = F.broadcast(written(heavy.select(*on), "hot"))  # fewer than ``most`` keys
+    hot = F.broadcast(lookup.join(heavy, on, "left_semi"))
+    few = rows.join(heavy, on, "left_anti").join(lookup, on, how)
+    return few.unionByName(rows.join(heavy, on, "left_semi").join(hot, on, how))
 
 
 def sized_partitions(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))
 
 
-def arrow_strings(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets, bytes and validity of an Arrow string array, without a copy per value."""
-    import pyarrow as pa
-
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    validity, offsets, data = column.buffers()
-    n = len(column)
-    offs = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return offs, raw, np.asarray(column.is_valid().to_numpy(zero_copy_only=False)) if n else np.zeros(0, bool)
-
-
 def digest_of(*parts: bytes) -> str:
     h = hashlib.sha256()
     for p in parts:
