@@ -1,49 +1,62 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are drawn from a bounded sample and kept well apart.  A vector is
-described by the order of its nearest pivots.  The inverted lists hold, for each pair of
-pivots, the vectors that have both among their nearest: vectors that meet in a list share at
-least two pivots.  A list is compared in blocks of bounded size, cosines are verified in double
-precision, and a pair is counted only in the list of its two smallest shared pivots, so that no
-pair of lists counts it twice and no table of pairs is made.
+described by its permutation: the pivots in the order of their nearness, of which the first
+``prefix`` are kept.  The inverted lists hold, for each pivot, the vectors that have it among their
+first few pivots; two vectors that meet in a list are candidates if they share at least ``shared``
+pivots of their prefixes, and candidates are verified by their cosine in double precision.  A pair
+is counted in the list of the smallest pivot in which it meets, so that no pair of lists counts it
+twice, and no table of pairs is made.
 
-Equal vectors are one vector with a weight.  Lists of any size are compared whole: a long list
-is dealt to pairs of blocks.  The pivots' number follows the square root of the number of
-vectors, which keeps lists short, up to ``max_pivots``.
+Vectors travel once, as the bytes they were stored in, to the lists they belong to.  Lists of any
+size are compared whole: a long list is dealt to pairs of blocks.  The number of pivots P follows
+the square root of the number of vectors up to ``max_pivots``; a vector is in log2(P) / 2 lists (3
+at least), since with more pivots two near vectors agree less often on any one of them.
+
+Equal vectors are one vector with a weight.  Vectors of unequal lengths never meet.  The most
+common lengths (``widths`` at most) have pivots; each other length is a single list.
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component link with
-nothing and are their own component; vectors of unequal lengths don't link; copies link with each
-other; rows that repeat an id are counted as rows; a null id takes part as a link but has no
-component of its own (null if it is not joined to an id); an empty table gives an empty result;
-further columns are not read.
+nothing and are their own component; components of any finite size are compared (vectors are scaled
+by their largest component first); copies and ties at the threshold link with each other; rows that
+repeat an id are counted as rows; a null id takes part as a link but has no component of its own
+(null if it is not joined to an id); an empty table gives an empty result; further columns are not
+read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import written
+from lumenlake.llm.common import joined_hot, written
 from lumenlake.llm.graph import LocalForest, components
 
 
 @dataclass(frozen=True)
 class PivotParams:
     threshold: float = 0.9
-    nearest: int = 6
     min_pivots: int = 64
     max_pivots: int = 2_048
-    sample: int = 8_192  # vectors from which pivots are taken
+    prefix: int = 16  # pivots of a permutation that are kept
+    shared: int = 4  # pivots that two prefixes have in common at least
+    sample: int = 8_192  # vectors of a length from which pivots are taken
+    widths: int = 8  # lengths that have pivots of their own
     apart: float = 0.6  # no two pivots are as similar as this
-    block: int = 1_024
+    least_block: int = 1_024
+    block_bytes: int = 8 << 20  # vectors of a block at most
     seed: int = 7
 
 
-def unit_rows(flat: np.ndarray, width: int) -> np.ndarray:
-    x = flat.reshape(-1, width).astype(np.float64)
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by the largest component first, so that squares neither over- nor underflow."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -64,64 +77,135 @@ def choose_pivots(sample: np.ndarray, count: int, params: PivotParams) -> np.nda
     return kept
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): usable vectors as array<double>, negative zero as zero."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    some = F.exists(v, lambda x: x != 0)
-    usable = F.coalesce(finite & some, F.lit(False))
-    return vectors.select("vec_id", "embedding").where(usable).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")
-    )
+def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The numbers of the nearest pivots of each unit row, nearest first; ties by number."""
+    sim = x @ pivots.T
+    m = min(prefix, len(pivots))
+    near = np.sort(np.argpartition(-sim, m - 1, axis=1)[:, :m], axis=1)
+    order = np.argsort(-np.take_along_axis(sim, near, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(near, order, axis=1).astype(np.int16)
+
+
+def posted_lists(pivots: int) -> int:
+    """In how many lists a vector is, of so many pivots."""
+    return min(pivots, max(3, math.ceil(math.log2(pivots) / 2))) if pivots > 1 else 1
+
+
+def keyed_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, key, v) per row: the vector's bytes as stored (negative zero as zero) and their digest; null if unusable."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>" if single else "array<double>"))
+    kind = np.float32 if single else np.float64
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("embedding")
+            offsets = np.asarray(lists.offsets)
+            x = lists.values.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # null components become nan
+            wrong, some = (np.concatenate([[0], np.cumsum(t)]) for t in (~np.isfinite(x), x != 0))
+            first, last = offsets[:-1], offsets[1:]
+            good = np.asarray(lists.is_valid()) & (wrong[last] == wrong[first]) & (some[last] > some[first])
+            v = [x[a:b].tobytes() if ok else None for a, b, ok in zip(first.tolist(), last.tolist(), good.tolist())]
+            key = [None if b is None else hashlib.blake2b(b, digest_size=16).digest() for b in v]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(key, pa.binary()), pa.array(v, pa.binary())], ["vec_id", "key", "v"])
+
+    return rows.mapInArrow(run, "vec_id long, key binary, v binary")
+
+
+class PivotIndex:
+    """Pivots by vector length, and what is needed to describe and post vectors.  Bounded by the parameters."""
+
+    def __init__(self, distinct: DataFrame, count: int, single: bool, params: PivotParams):
+        self.kind, self.params = np.dtype(np.float32 if single else np.float64), params
+        size = F.octet_length("v")
+        common = distinct.groupBy(size.alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").limit(params.widths).collect()
+        self.pivots: dict[int, np.ndarray] = {}
+        for r in common:
+            sample = distinct.where(size == r.bytes).orderBy("key").limit(params.sample).select("v").collect()  # bounded by params.sample
+            rows = unit_rows(np.stack([np.frombuffer(x.v, dtype=self.kind) for x in sample]))
+            wanted = 1 << max(0, math.ceil(math.log2(max(1.0, math.sqrt(r.n) / 4))))
+            self.pivots[r.bytes] = choose_pivots(rows, min(max(wanted, params.min_pivots), params.max_pivots), params)
 
+    def described(self, v: list[bytes]):
+        """(rows, lists, permutations) for each length among the vectors; a list's number holds length and pivot."""
+        sizes = np.array([len(b) for b in v])
+        for size in np.unique(sizes).tolist():
+            at = np.nonzero(sizes == size)[0]
+            pivots = self.pivots.get(size)
+            if pivots is None:
+                near = np.zeros((len(at), 1), dtype=np.int16)
+            else:
+                near = permutations(unit_rows(np.stack([np.frombuffer(v[i], dtype=self.kind) for i in at])), pivots, self.params.prefix)
+            k = posted_lists(1 if pivots is None else len(pivots))
+            yield at, size * 65_536 + near[:, :k].astype(np.int64), near
 
-def pair_links(distinct: DataFrame, width: int, count: int, params: PivotParams) -> DataFrame:
-    """Per distinct vector (id, weight, v) and list block: rows (a, b, n).
+    def block_rows(self, size: int, count: int) -> int:
+        """Vectors of a block: more in larger tables, so that lists are in few blocks, but bounded in bytes."""
+        p = self.params
+        return max(min(max(p.least_block, count // 64), p.block_bytes // size), min(64, p.least_block))
+
+
+def pair_links(distinct: DataFrame, count: int, single: bool, params: PivotParams) -> DataFrame:
+    """Per distinct vector (id, weight, key, v) and pair of blocks of a list: rows (a, b, n).
 
     b is null and n a number of linked rows to add to a; or b is set and (a, b) is a link of
     the block's spanning forest.
     """
-    usable = distinct.where(F.size("v") == width)
-    sample = usable.orderBy(F.xxhash64("v")).limit(params.sample).select("v").collect()  # bounded by params.sample
-    wanted = int(2 ** np.ceil(np.log2(max(2.0, np.sqrt(count)))))
-    pivots = choose_pivots(
-        unit_rows(np.array([r.v for r in sample]), width), min(max(wanted, params.min_pivots), params.max_pivots), params
-    )
-    shared = distinct.sparkSession.sparkContext.broadcast(pivots)  # max_pivots x width doubles at most
-    k, block = params.nearest, params.block
-    first, second = np.triu_indices(k, 1)
+    spark = distinct.sparkSession
+    index = PivotIndex(distinct, count, single, params)
+    shared_index = spark.sparkContext.broadcast(index)  # widths x max_pivots vectors at most
 
-    def post(batches):
+    def lists_of(batches):
         import pyarrow as pa
 
-        p = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            near = np.argpartition(-(unit_rows(flat, width) @ p.T), k, axis=1)[:, :k]
-            near.sort(axis=1)
-            lists = near[:, first].astype(np.int64) * len(p) + near[:, second]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("weight"), batch.column("v"),
-                 pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(lists.tolist(), pa.list_(pa.int64()))],
-                ["id", "weight", "v", "near", "lists"],
-            )
-
-    posted = written(
-        usable.mapInArrow(post, "id long, weight long, v array<double>, near array<int>, lists array<long>"), "pivots"
-    )
-    postings = posted.withColumn("list", F.explode("lists")).drop("lists")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = (
-        postings.join(sizes.where("n > 1"), "list")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "near", "v")
-    )
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(first) // 100_000))
-    dealt = placed.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "block")
-    threshold, n_pivots = params.threshold, len(pivots)
+            for _, lists, _ in shared_index.value.described(batch.column("v").to_pylist()):
+                values, n = np.unique(lists, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["list", "n"])
+
+    sizes = distinct.select("v").mapInArrow(lists_of, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    # only lists of several blocks: fewer than vectors x lists / block, and than widths x max_pivots but for rare lengths
+    long_lists = {r["list"]: r.n for r in sizes.where(F.col("n") > params.least_block).collect()}
+    blocks = {x: -(-n // index.block_rows(x // 65_536, count)) for x, n in long_lists.items()}
+    shared_blocks = spark.sparkContext.broadcast({x: b for x, b in blocks.items() if b > 1})
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                ids = np.asarray(batch.column("id"))
+                for at, lists, near in shared_index.value.described(batch.column("v").to_pylist()):
+                    row = np.repeat(at, lists.shape[1])
+                    the_list = lists.ravel()
+                    parts = np.array([shared_blocks.value.get(x, 1) for x in the_list.tolist()], dtype=np.int64)
+                    mixed = ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    block = ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+                    each = np.repeat(np.arange(len(row)), parts)
+                    other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    prefixes = pa.array([x.tobytes() for x in near], pa.binary())
+                    place = np.empty(len(batch), dtype=np.int64)
+                    place[at] = np.arange(len(at))
+                    for a in range(0, len(each), 4_096):
+                        e, o = each[a : a + 4_096], other[a : a + 4_096]
+                        r = pa.array(row[e])
+                        columns = {
+                            "list": pa.array(the_list[e]), "i": pa.array(np.minimum(block[e], o).astype(np.int32)),
+                            "j": pa.array(np.maximum(block[e], o).astype(np.int32)), "block": pa.array(block[e].astype(np.int32)),
+                            "id": batch.column("id").take(r), "weight": batch.column("weight").take(r),
+                            "near": prefixes.take(pa.array(place[row[e]])), "v": batch.column("v").take(r),
+                        }
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    dealt = distinct.select("id", "weight", "v").mapInArrow(deal, "list long, i int, j int, block int, id long, weight long, near binary, v binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 6 // 100_000))
+    dealt = dealt.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "block")
+
+    kind, posted = index.kind, {size: posted_lists(len(p)) for size, p in index.pivots.items()}
 
     def compare(batches):
         import pyarrow as pa
@@ -129,110 +213,127 @@ def pair_links(distinct: DataFrame, width: int, count: int, params: PivotParams)
         links: dict[int, int] = {}
         forest = LocalForest()
 
-        def close(key, rows):
-            the_list, i, j = key
-            blk, ids, weight, near, v = (np.concatenate([r[x] for r in rows]) for x in range(5))
-            if len(ids) < 2:
-                return
-            x = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-            pa_, pb_ = divmod(the_list, n_pivots)
-            sides = [np.nonzero(blk == i)[0], np.nonzero(blk == j)[0]]
-            if not (len(sides[0]) and len(sides[1])):
-                return
-            cos = x[sides[0]] @ x[sides[1]].T
-            a, b = np.nonzero(cos >= threshold)
-            a, b = sides[0][a], sides[1][b]
-            keep = a < b if i == j else a != b
-            a, b = a[keep], b[keep]
-            if not len(a):
-                return
-            # the two smallest shared pivots must be this list's, else the pair belongs to another list
-            hit = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            own = np.where(hit, near[a], n_pivots)
-            own.sort(axis=1)
-            mine = (own[:, 0] == pa_) & (own[:, 1] == pb_)
-            a, b = a[mine], b[mine]
-            for at, other in ((a, b), (b, a)):
-                total = np.bincount(at, weights=weight[other], minlength=len(ids)).astype(np.int64)
-                for r in np.nonzero(total)[0].tolist():
-                    links[int(ids[r])] = links.get(int(ids[r]), 0) + int(total[r])
-            roots = {r: forest.find(int(ids[r])) for r in np.unique(np.concatenate([a, b])).tolist()}
-            pairs = {(roots[p], roots[q]) for p, q in zip(a.tolist(), b.tolist()) if roots[p] != roots[q]}
-            for p, q in pairs:
-                forest.union(p, q)
-
         def out():
             edges = forest.edges()
-            a = [*links, *(e[0] for e in edges)]
-            b = [*[None] * len(links), *(e[1] for e in edges)]
+            a, b = [*links, *(e[0] for e in edges)], [*[None] * len(links), *(e[1] for e in edges)]
             n = [*links.values(), *[0] * len(edges)]
             links.clear()
             forest.parent.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
 
-        key, rows = None, []
+        key, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "i", "j", "block", "id", "weight")]
-            near = batch.column("near").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            cuts = np.nonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0))[0] + 1
+            the_list, i, j = (np.asarray(batch.column(c)) for c in ("list", "i", "j"))
+            rest = [np.asarray(batch.column(c)) for c in ("block", "id", "weight")]
+            near, v = batch.column("near").to_pylist(), batch.column("v").to_pylist()
+            cuts = np.nonzero((np.diff(the_list) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                now = (int(cols[0][s]), int(cols[1][s]), int(cols[2][s]))
+                now = (int(the_list[s]), int(i[s]), int(j[s]))
                 if now != key:
-                    if key is not None:
-                        close(key, rows)
-                    key, rows = now, []
-                rows.append((cols[3][s:e].copy(), cols[4][s:e].copy(), cols[5][s:e].copy(), near[s:e].copy(), v[s:e].copy()))
+                    if held:
+                        compare_blocks(key, held, kind, posted, params, links, forest)
+                    key, held = now, []
+                held.append((*(c[s:e].copy() for c in rest), near[s:e], v[s:e]))
             if len(links) + len(forest.parent) > 500_000:
                 yield out()
-        if key is not None:
-            close(key, rows)
+        if held:
+            compare_blocks(key, held, kind, posted, params, links, forest)
         yield out()
 
     return dealt.mapInArrow(compare, "a long, b long, n long")
 
 
+def bitmaps(codes: np.ndarray, keep: np.ndarray, words: int) -> np.ndarray:
+    """Sets of small numbers, one a row, as bits; ``keep`` says which entries count."""
+    out = np.zeros((len(codes), words), dtype=np.uint64)
+    row = np.arange(len(codes))
+    for c in range(codes.shape[1]):
+        bit = np.where(keep[:, c], np.uint64(1) << (codes[:, c] % 64).astype(np.uint64), np.uint64(0))
+        out[row, codes[:, c] // 64] |= bit
+    return out
+
+
+def compare_blocks(
+    key, held, kind, posted: dict[int, int], params: PivotParams, links: dict[int, int], forest: LocalForest, sub: int = 1_024
+) -> None:
+    """Link the vectors of a pair of blocks: candidates by shared pivots, then cosines; sub-blocks bound the memory."""
+    the_list, i, j = key
+    block, ids, weight = (np.concatenate([h[c] for h in held]) for c in range(3))
+    near = np.stack([np.frombuffer(b, dtype=np.int16) for h in held for b in h[3]])
+    v = np.stack([np.frombuffer(b, dtype=kind) for h in held for b in h[4]])
+    sides = [np.nonzero(block == i)[0], np.nonzero(block == j)[0]]
+    if len(ids) < 2 or not (len(sides[0]) and len(sides[1])):
+        return
+    pivot, k = the_list % 65_536, posted.get(the_list // 65_536, 1)
+    names, codes = np.unique(near, return_inverse=True)
+    codes, words = codes.reshape(near.shape), -(-len(names) // 64)
+    every = bitmaps(codes, np.ones(near.shape, dtype=bool), words)
+    before = bitmaps(codes, (np.arange(near.shape[1])[None, :] < k) & (near < pivot), words)  # lists in which a pair has met already
+    needed = min(params.shared, near.shape[1])
+    found = np.zeros(len(ids), dtype=np.int64)
+    for a0 in range(0, len(sides[0]), sub):
+        a = sides[0][a0 : a0 + sub]
+        x = unit_rows(v[a])
+        for b0 in range(a0 if i == j else 0, len(sides[1]), sub):
+            b = sides[1][b0 : b0 + sub]
+            common = np.zeros((len(a), len(b)), dtype=np.uint8)
+            met = np.zeros((len(a), len(b)), dtype=bool)
+            for w in range(words):
+                common += np.bitwise_count(every[a, w][:, None] & every[b, w][None, :])
+                met |= (before[a, w][:, None] & before[b, w][None, :]) != 0
+            wanted = (common >= needed) & ~met
+            if i == j and a0 == b0:
+                wanted = np.triu(wanted, 1)
+            if not wanted.any():
+                continue
+            close = wanted & (x @ unit_rows(v[b]).T >= params.threshold)
+            rows, columns = np.nonzero(close)
+            if not len(rows):
+                continue
+            found[a] += (close @ weight[b].astype(np.float64)).astype(np.int64)
+            found[b] += (weight[a].astype(np.float64) @ close).astype(np.int64)
+            nodes = np.unique(np.concatenate([a[rows], b[columns]]))
+            root = np.zeros(len(ids), dtype=np.int64)
+            root[nodes] = [forest.find(int(n)) for n in ids[nodes]]
+            ra, rb = root[a[rows]], root[b[columns]]
+            pairs = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)], axis=1)[ra != rb], axis=0)
+            for p, q in pairs.tolist():
+                forest.union(p, q)
+    for r in np.nonzero(found)[0].tolist():
+        links[int(ids[r])] = links.get(int(ids[r]), 0) + int(found[r])
+
+
 def linked_vectors(vectors: DataFrame, params: PivotParams = PivotParams()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    valid = valid_vectors(vectors)
+    rows = keyed_vectors(vectors)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     # one row per distinct vector, numbered; writing them fixes the numbers
     distinct = written(
-        valid.groupBy("v")
-        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
+        rows.where("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("v").alias("v"))
         .withColumn("id", F.monotonically_increasing_id()),
         "vectors",
     )
-    widths = [(r["w"], r["n"]) for r in distinct.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()]
-    found = spark.createDataFrame([], "a long, b long, n long")
-    for width, n in widths:  # as many as there are vector lengths: one, in a sound table
-        if n > 1:
-            found = found.unionByName(pair_links(distinct.select("id", "weight", "v"), width, n, params))
-    found = written(found, "links")
+    found = written(pair_links(distinct, distinct.count(), single, params), "links")
     others = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     member = components(found.where("b IS NOT NULL").select("a", "b"))
+    slim = distinct.drop("v")
     classes = (
-        distinct.join(others, "id", "left")
-        .join(member, distinct["id"] == member["node"], "left")
+        slim.join(others, "id", "left")
+        .join(member, slim["id"] == member["node"], "left")
         .select(
-            "v",
+            "key",
             "first_id",
             (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
             F.coalesce("component", "id").alias("cls"),
         )
     )
     named = classes.groupBy("cls").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(named, "cls").select("v", "n_links", "component_id")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return _attached(rows, valid, classes)
-
-
-def _attached(rows: DataFrame, valid: DataFrame, classes: DataFrame) -> DataFrame:
-    joined = valid.join(classes, "v").select("vec_id", "n_links", "component_id")
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    classes = classes.join(named, "cls").select("key", "n_links", "component_id")
+    keyed = written(rows.select("vec_id", "key"), "keys")
+    joined = joined_hot(keyed.where("key IS NOT NULL"), classes, ["key"], "inner").select("vec_id", "n_links", "component_id")
+    alone = keyed.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
