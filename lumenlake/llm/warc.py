@@ -1,17 +1,21 @@
 """WARC archives with revisit records.
 
-Headers alone (id, digest, length) are shuffled by payload digest to find each payload's
+Headers alone (id, digest, length, url) are shuffled by payload digest to find each payload's
 first page; the decision is joined to the pages once, responses carry the payload and
 revisits only refer to it, and every record gets fresh headers.  Archives are written by
 Spark's own committed text writer, with the record separator as line separator and gzip around
-each file, so a lost executor leaves no half-written archive; they are read by Content-Length, so
-payloads that hold record separators are kept whole.
+each file (not around each record, which that writer can't do), so a lost executor leaves no
+half-written archive.  Records are written by classes of payload size, each with so many records a
+file that no archive holds more than ``archive_bytes`` of payloads, a single larger one aside.  They
+are read as a stream, record by record, by Content-Length, so payloads that hold record separators
+are kept whole.
 
 Edge cases: a null html is an empty payload; equal payloads below ``least_revisit`` bytes are
 all responses; rows that repeat a payload's smallest page id are all responses, other repeats
 are revisits; rows with a null id are archived without an id header and come back with a null
 id, and a payload known only from such rows is always a response; control characters in urls
-are percent-escaped in headers; an empty table gives no records; further columns are not read.
+are percent-escaped in headers; payloads and urls of any length that fits a Spark string are whole; an
+empty table gives no records; further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +40,9 @@ RECORD = (
 @dataclass(frozen=True)
 class WarcParams:
     least_revisit: int = 100
-    date: str = "2024-01-01T00:00:00Z"
-    archive_bytes: int = 16 << 20  # payload of one archive file, by the mean length of a payload
+    date: str | None = None  # of the records; by default that of the writing
+    archive_bytes: int = 64 << 20  # payloads of one archive file
+    class_factor: int = 16  # size classes: up to so many times the mean payload, that times as much again, ...
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
@@ -51,19 +57,19 @@ def with_digests(pages: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame, params: WarcParams) -> DataFrame:
-    """Headers with refers_to: the smallest page id of the payload, where the row revisits it."""
-    able = headers.where(F.col("payload_bytes") >= params.least_revisit)
+    """Headers with refers_to and refers_to_uri: the payload's smallest page id and its url, where the row revisits it."""
+    able = headers.where((F.col("payload_bytes") >= params.least_revisit))
     first = (
         able.groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where((F.col("n") > 1) & F.col("first_id").isNotNull())
-        .select("digest", "first_id")
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))).alias("first"), F.count("*").alias("n"))
+        .where((F.col("n") > 1) & F.col("first").isNotNull())
+        .select("digest", "first")
     )
     joined = headers.join(first, "digest", "left")
-    return joined.withColumn(
-        "refers_to",
-        F.when(~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= params.least_revisit), F.col("first_id")),
-    ).drop("first_id")
+    revisits = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("payload_bytes") >= params.least_revisit)
+    return joined.withColumns({
+        "refers_to": F.when(revisits, F.col("first.page_id")), "refers_to_uri": F.when(revisits, F.col("first.uri")),
+    }).drop("first")
 
 
 def _record_id(page_id: Column) -> Column:
@@ -80,7 +86,7 @@ def _header_safe(url: Column) -> Column:
     return clean
 
 
-def record_text(params: WarcParams) -> Column:
+def record_text(date: str) -> Column:
     """One WARC record, without the separator after it."""
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
@@ -94,7 +100,7 @@ def record_text(params: WarcParams) -> Column:
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(params.date)),
+        line("WARC-Date", F.lit(date)),
         F.when(F.col("uri") != "", line("WARC-Target-URI", F.col("uri"))).otherwise(F.lit("")),
         F.coalesce(line("X-Page-ID", F.col("page_id").cast("string")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
@@ -103,6 +109,8 @@ def record_text(params: WarcParams) -> Column:
             F.concat(
                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                 line("WARC-Refers-To", _record_id(F.col("refers_to"))),
+                F.when(F.col("refers_to_uri") != "", line("WARC-Refers-To-Target-URI", F.col("refers_to_uri"))).otherwise(F.lit("")),
+                line("WARC-Refers-To-Date", F.lit(date)),
             ),
         ).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -114,48 +122,48 @@ def record_text(params: WarcParams) -> Column:
 
 def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to archives below ``path``."""
-    rows = with_digests(pages)
-    headers = rows.select("page_id", "digest", "payload_bytes")
-    total, count = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    rows = with_digests(pages).withColumn("uri", _header_safe(F.col("url"))).drop("url")
+    headers = rows.select("page_id", "digest", "payload_bytes", "uri")
+    total, count, largest = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("payload_bytes"), F.lit(0))).first()
     # one decision per (page id, digest), so that repeated rows don't multiply in the join
-    decided = resolve(headers.distinct(), params).select(
-        F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to"
-    ).where("refers_to IS NOT NULL")
-    joined = rows.join(decided, rows["page_id"].eqNullSafe(decided["_id"]) & (rows["digest"] == decided["_digest"]), "left")
-    sized = joined.withColumn("uri", _header_safe(F.col("url")))
-    records = sized.select(
-        F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"),
-        "page_id", "uri", "digest", "payload_bytes", "refers_to",
-    )
-    # files are bounded by records of the mean length, so that no shuffle is needed to size them
-    per_file = max(1, params.archive_bytes * max(1, count) // max(1, total))
-    (
-        records.select(record_text(params).alias("value"))
-        .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file)
-        .text(path)
-    )
+    decided = resolve(headers, params).where("refers_to IS NOT NULL").groupBy(
+        F.col("page_id").alias("_id"), F.col("digest").alias("_digest")
+    ).agg(F.min("refers_to").alias("refers_to"), F.min("refers_to_uri").alias("refers_to_uri"))
+    date = params.date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    low, high = -1, max(1, -(-total // max(1, count))) * params.class_factor
+    while low < largest or low < 0:  # a handful of classes: each is ``class_factor`` times the one before
+        these = rows.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+        same = these["page_id"].eqNullSafe(decided["_id"]) & (these["digest"] == decided["_digest"])
+        records = these.join(decided, same, "left").select(
+            F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"),
+            "page_id", "uri", "digest", "payload_bytes", "refers_to", "refers_to_uri",
+        )
+        (
+            records.select(record_text(date).alias("value"))
+            .write.option("lineSep", CRLF + CRLF)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", max(1, params.archive_bytes // high))
+            .text(f"{path}/upto-{high}")
+        )
+        low, high = high, high * params.class_factor
 
 
-def parse_records(data: bytes):
-    """(headers, block) of each record of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+def parse_records(archive):
+    """(headers, block) of each record of an open archive, by Content-Length; one record is held at a time."""
+    while line := archive.readline():
+        if line == b"\r\n":
             continue
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:40]!r}")
         headers = {}
-        for line in lines[1:]:
+        while (line := archive.readline()) not in (b"\r\n", b""):
             name, _, value = line.partition(b":")
             headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
+        length = int(headers["content-length"])
+        block = archive.read(length)
+        if len(block) < length:
+            raise ValueError("an archive ends within a record")
+        yield headers, block
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -174,7 +182,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for headers, block in parse_records(gzip.decompress(content.as_py())):
+                for headers, block in parse_records(gzip.open(pa.BufferReader(content.as_buffer()))):
                     response = headers["warc-type"] == "response"
                     _, _, payload = block.partition(b"\r\n\r\n")
                     rows.append((
