@@ -47,8 +47,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
-    return urlrules.judge(table(spark, sf_dir, "pages"), rules)
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, URL_RULES))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,31 +3,39 @@
 A rule (host, path) fits its host and all subdomains where the url's path starts with the
 rule's.  A url is keyed once for each of its host's suffixes: reversed host labels, a
 separator, the path.  A rule's key is then a plain prefix of the keys that it fits, that is,
-an interval [key, key + FF) of byte strings.  Openings, closings and urls are sorted by key;
+an interval [key, key + FF) of byte strings.  (A rule fits subdomains too, and those lie between its
+host and its path in any order of whole keys, so the host's part is met by the suffixes and the
+intervals nest by path.)  Openings, closings and urls are sorted by key;
 the running sum of +1 and -1 is the height of the stack of open rules, and the last rule that
 opened at the present height is the stack's top, the longest rule open for that key.  Of a
 url's suffixes the longest rule wins.
 
+Separators that occur in a host are escaped, so that no host can pass for another.
+
 The sweep runs per suffix that has rules.  A suffix with many urls is cut into salts, with the
 suffix's rules repeated in each, so that no host, however common, is one task's work.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path and no rule; a rule
 with a null host or path, or an unknown verdict, is ignored; of equal rules with differing
 verdicts block wins; of fitting rules of equal length that with the longer host wins; repeated
-urls are judged once and joined back; an empty table gives an empty result; further columns are
+urls are judged once and joined back, very common ones without a shuffle; urls of any length are
+processed whole; an empty table gives an empty result; further columns are
 not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import ascii_lower
+from lumenlake.llm.common import ascii_lower, joined_hot
 
 SALT_ROWS = 5_000
 LABEL_END = "\u0001"
 PATH_START = "\u0002"
+ESCAPE = "\u0003"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -38,9 +46,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(raw_host), path
 
 
+def _labels(host: Column) -> Column:
+    """A host's labels, last first, without a bare separator in any."""
+    for code, mark in ((ESCAPE, "c"), (LABEL_END, "a"), (PATH_START, "b")):
+        host = F.replace(host, F.lit(code), F.lit(ESCAPE + mark))
+    return F.reverse(F.split(host, "\\."))
+
+
 def _suffix_keys(host: Column) -> Column:
     """The reversed-label key of each suffix of a host, shortest first."""
-    labels = F.reverse(F.split(host, "\\."))
+    labels = _labels(host)
     return F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda n: F.concat(F.array_join(F.slice(labels, 1, n), LABEL_END), F.lit(LABEL_END)),
@@ -48,7 +63,13 @@ def _suffix_keys(host: Column) -> Column:
 
 
 def _host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), LABEL_END), F.lit(LABEL_END))
+    return F.concat(F.array_join(_labels(host), LABEL_END), F.lit(LABEL_END))
+
+
+def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """A table of rules (host, path, verdict) made of literals."""
+    rows = [F.struct(*(F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), rule))) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def prepared_rules(rules: DataFrame) -> DataFrame:
@@ -112,6 +133,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     )
     best = swept.groupBy("host", "path").agg(F.max("top").alias("best"))
     found = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    return rows.join(found, ["host", "path"], "left").select(
+    return joined_hot(rows, found, ["host", "path"]).select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
