@@ -2,8 +2,8 @@
 
 The windows of all benchmark items are hashed into a sorted set; each document's token
 windows are rolled over it, and every hash hit is verified against the window's words, so
-that a collision never counts.  Beyond ``max_windows`` windows the set is dealt in blocks
-of that size, one pass each, and the blocks' hits are united per document.
+that a collision never counts.  Beyond ``max_windows`` windows, or ``max_bytes`` of their texts,
+the set is dealt in blocks, one pass each, and the blocks' hits are united per document.
 
 Words are runs of digits, letters and bytes from 80 on, after lower-casing A-Z.  An item of
 fewer words than a window, but not none, is one window of its own length.
@@ -19,13 +19,12 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import digest_of
+from lumenlake.llm.common import written
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[np.r_[48:58, 65:91, 97:123, 128:256]] = True
@@ -39,7 +38,8 @@ SLICE = 1 << 18  # bytes hashed at once
 @dataclass(frozen=True)
 class DecontamParams:
     window_words: int = 10
-    max_windows: int = 2_000_000  # of one broadcast block
+    max_windows: int = 2_000_000  # of one broadcast block: about 60 MB in a worker
+    max_bytes: int = 64 << 20  # of the items' texts in a block
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -94,144 +94,142 @@ def roll(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Windows by length: sorted hashes, and for each hash the windows' words with their items."""
+    """The windows of a block of items: sorted hashes, and where each window lies in the items' texts.
 
-    def __init__(self, windows: dict[bytes, set]):
-        by_length: dict[int, dict[int, list[tuple[bytes, tuple]]]] = defaultdict(lambda: defaultdict(list))
-        for text, items in windows.items():
-            _, _, h = words_in(np.frombuffer(text, dtype=np.uint8))
-            by_length[len(h)][int(roll(h, len(h))[0])].append((text, tuple(items)))
-        self.by_length = {n: (np.array(sorted(d), dtype=np.uint64), dict(d)) for n, d in by_length.items()}
-        self.key = digest_of(*sorted(windows))
+    Items are held once as bytes, words parted by a space; a window is a hash, two offsets and its
+    item's number in arrays, so a block takes about 30 bytes a window beside the texts.
+    """
+
+    def __init__(self, pieces: list[tuple[object, list[bytes]]], window_words: int):
+        self.items = [None if item is None else str(item) for item, _ in pieces]
+        self.text = b" ".join(b" ".join(words) for _, words in pieces)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        at = 0
+        for number, (_, words) in enumerate(pieces):
+            raw = np.frombuffer(self.text, dtype=np.uint8)[at : at + sum(map(len, words)) + len(words) - 1]
+            starts, ends, hashes = words_in(raw)
+            n = min(window_words, len(words))
+            count = len(words) - n + 1
+            found[n].append((roll(hashes, n), at + starts[:count], at + ends[n - 1 :], np.full(count, number)))
+            at += len(raw) + 1
+        for n, parts in found.items():
+            hashes, first, last, owner = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            order = np.lexsort((owner, hashes))
+            self.by_length[n] = (hashes[order], first[order], last[order], owner[order].astype(np.int32))
 
     def scan(self, raw: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, set]:
         """Word count, word starts and ends, mask of hit words, and items with windows that occur."""
         starts, ends, hashes = words_in(raw)
         hit = np.zeros(len(starts) + 1, dtype=np.int64)
         items: set = set()
-        for n, (known, texts) in self.by_length.items():
+        seen: dict[bytes, bool] = {}
+        for n, (known, first, last, owner) in self.by_length.items():
             rolled = roll(hashes, n)
             if not len(rolled):
                 continue
-            at = np.searchsorted(known, rolled)
-            at[at == len(known)] = 0
-            for i in np.nonzero(known[at] == rolled)[0].tolist():
+            low = np.searchsorted(known, rolled)
+            low[low == len(known)] = 0
+            for i in np.nonzero(known[low] == rolled)[0].tolist():
                 words = b" ".join(raw[starts[k] : ends[k]].tobytes().lower() for k in range(i, i + n))
-                for text, owners in texts[int(rolled[i])]:
-                    if text == words:
-                        hit[i] += 1
-                        hit[i + n] -= 1
-                        items.update(owners)
+                if words not in seen:  # of equal hashes those of equal words
+                    high = int(np.searchsorted(known, rolled[i], side="right"))
+                    same = [k for k in range(int(low[i]), high) if self.text[first[k] : last[k]] == words]
+                    seen[words] = bool(same)
+                    items.update(x for x in (self.items[owner[k]] for k in same) if x is not None)
+                if seen[words]:
+                    hit[i] += 1
+                    hit[i + n] -= 1
         return len(starts), starts, ends, np.cumsum(hit)[:-1] > 0, items
 
 
-def item_windows(item_id, text: str | None, n: int) -> list[bytes]:
+def item_words(text: str | None) -> list[bytes]:
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     starts, ends, _ = words_in(raw)
-    words = [raw[a:b].tobytes().lower() for a, b in zip(starts, ends)]
-    if not words:
-        return []
-    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    return [raw[a:b].tobytes().lower() for a, b in zip(starts, ends)]
 
 
 def window_blocks(benchmark: DataFrame, params: DecontamParams):
-    """Blocks of at most about ``max_windows`` windows, read item by item."""
-    windows: dict[bytes, set] = defaultdict(set)
+    """Blocks of at most ``max_windows`` windows and about ``max_bytes`` of text, read item by item.
+
+    An item of more windows is cut into pieces that overlap by a window less a word.
+    """
+    n, most = params.window_words, params.max_windows
+    pieces, windows, size = [], 0, 0
     for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        for w in item_windows(row.item_id, row.text, params.window_words):
-            windows[w].update([] if row.item_id is None else [str(row.item_id)])
-        if len(windows) >= params.max_windows:
-            yield dict(windows)
-            windows.clear()
-    if windows:
-        yield dict(windows)
+        words = item_words(row.text)
+        for start in range(0, max(1, len(words) - n + 1), most):
+            piece = words[start : start + most + n - 1]
+            count, length = max(1, len(piece) - n + 1), sum(map(len, piece)) + len(piece)
+            if pieces and (windows + count > most or size + length > params.max_bytes):
+                yield WindowSet(pieces, n)
+                pieces, windows, size = [], 0, 0
+            if piece:
+                pieces.append((row.item_id, piece))
+                windows, size = windows + count, size + length
+    if pieces:
+        yield WindowSet(pieces, n)
+
+
+def _runs_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
 
 
-def _scanned(docs: DataFrame, windows: dict[bytes, set]) -> DataFrame:
-    """(doc_id, row, n_words, n_hit, first and end word of each hit run, items) per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(windows))  # at most max_windows windows
-    rows = docs.select("doc_id", "text")
-    kind = dict(rows.dtypes)["doc_id"]
+FOUND = "struct<n_words:bigint,hit_from:array<bigint>,hit_to:array<bigint>,items:array<string>>"
+
+
+def _scanned(rows: DataFrame, windows: WindowSet | None) -> DataFrame:
+    """``rows`` (row, text, found) with a block's hits united with those found before; one pass, no shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)  # bounded by max_windows and max_bytes
 
     def run(batches):
         import pyarrow as pa
 
-        known = shared.value
+        known = shared.value or WindowSet([], 1)
+        longs = pa.list_(pa.int64())
+        kinds = {"n_words": pa.int64(), "hit_from": longs, "hit_to": longs, "items": pa.list_(pa.string())}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_words", "from", "to", "items")}
-            for t in batch.column("text").cast(pa.large_binary()):
+            out: dict[str, list] = {k: [] for k in kinds}
+            before = batch.column("found").to_pylist()
+            for t, old in zip(batch.column("text").cast(pa.large_binary()), before):
                 n, _, _, hit, items = known.scan(np.frombuffer(t.as_py() or b"", dtype=np.uint8))
-                edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-                out["n_words"].append(n)
-                out["from"].append(np.nonzero(edge == 1)[0])
-                out["to"].append(np.nonzero(edge == -1)[0])
-                out["items"].append(sorted(items))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["from"], longs),
-                    pa.array(out["to"], longs),
-                    pa.array(out["items"], pa.list_(pa.string())),
-                ],
-                ["doc_id", "n_words", "hit_from", "hit_to", "items"],
-            )
-
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
-    )
+                if old is not None:
+                    for a, b in zip(old["hit_from"], old["hit_to"]):
+                        hit[a:b] = True
+                    items |= set(old["items"])
+                first, last = _runs_of(hit)
+                for name, value in zip(kinds, (n, first, last, sorted(items))):
+                    out[name].append(value)
+            found = pa.StructArray.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], list(kinds))
+            yield batch.set_column(batch.schema.get_field_index("found"), "found", found)
 
+    return rows.mapInArrow(run, rows.schema)
 
-def report(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) per row of ``docs``; items are the sorted ids, as strings.
 
-    With one block (the usual case) this is one pass without a shuffle.  With more, the
-    passes' hits are united by row: rows with equal ids and equal texts have equal hits.
+def with_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams) -> DataFrame:
+    """(row, text, found) per row of ``docs``: its other columns as a struct, its text, and the hits of all blocks.
+
+    One block (the usual case) is one pass.  With more, each pass is written before the next, so
+    that one block's set is held at a time.
     """
-    blocks = window_blocks(benchmark, params)
-    first, second = next(blocks, {}), next(blocks, None)
-    if second is None:
-        n_hit = F.aggregate(
-            F.zip_with("hit_to", "hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x
-        )
-        return _scanned(docs, first).select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
-    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("_sha"))
-    one = keyed.groupBy("doc_id", "_sha").agg(F.first("text").alias("text"))
-    one = one.select(F.struct("doc_id", "_sha").alias("doc_id"), "text")
-    parts = [_scanned(one, block) for block in chain([first, second], blocks)]
-    united = parts[0]
-    for p in parts[1:]:
-        united = united.unionByName(p)
-    runs = F.arrays_zip("hit_from", "hit_to")
-    merged = (
-        united.groupBy("doc_id")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list(runs))).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .withColumn("n_hit", _covered("runs"))
-        .select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id._sha").alias("_sha"), "n_words", "n_hit", "items")
-    )
-    left = keyed.select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_s"))
-    return left.join(
-        merged, left["_id"].eqNullSafe(merged["doc_id"]) & left["_s"].eqNullSafe(merged["_sha"])
-    ).select("doc_id", "n_words", "n_hit", "items")
-
-
-def _covered(runs: str):
-    """Words covered by sorted, perhaps overlapping runs."""
-    zero = F.lit(0).cast("long")
-    return F.aggregate(
-        runs,
-        F.struct(zero.alias("n"), zero.alias("end")),
-        lambda acc, r: F.struct(
-            (acc["n"] + F.greatest(zero, r["hit_to"] - F.greatest(r["hit_from"], acc["end"]))).alias("n"),
-            F.greatest(acc["end"], r["hit_to"]).alias("end"),
-        ),
-        lambda acc: acc["n"],
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text", F.lit(None).cast(FOUND).alias("found"))
+    waiting = None
+    for block in window_blocks(benchmark, params):
+        if waiting is not None:
+            rows = written(_scanned(rows, waiting), "windows")
+        waiting = block
+    return _scanned(rows, waiting)
+
+
+def report(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
+    """(doc_id, n_words, n_hit, items) per row of ``docs``; items are the sorted ids, as strings."""
+    found = with_hits(docs.select("doc_id", "text"), benchmark, params)
+    n_hit = F.aggregate(
+        F.zip_with("found.hit_to", "found.hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
+    return found.select("row.doc_id", "found.n_words", n_hit.alias("n_hit"), "found.items")
 
 
 def decontaminate(
@@ -239,41 +237,52 @@ def decontaminate(
 ) -> DataFrame:
     """``document``: rows without any hit stay.  ``span``: hit words are cut out of the texts.
 
-    Both keep all columns; the rows are copied in the pass that scans them (one pass per block).
+    Both keep all columns.  Hits of all blocks are united before anything is cut, so the result
+    doesn't depend on the size of a block.
     """
     if mode not in ("document", "span"):
         raise ValueError("mode is document or span")
-    for block in window_blocks(benchmark, params):
-        docs = _removed(docs, block, mode)
-    return docs
+    if mode == "document":
+        waiting = None
+        for block in window_blocks(benchmark, params):  # one pass over the rows for each, without a shuffle
+            if waiting is not None:
+                docs = written(_clean(docs, waiting), "clean")
+            waiting = block
+        return docs if waiting is None else _clean(docs, waiting)
+    found = with_hits(docs, benchmark, params)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def cut(raw: bytes | None, runs) -> bytes | None:
+            if not runs["hit_from"]:
+                return raw
+            starts, ends, _ = words_in(np.frombuffer(raw, dtype=np.uint8))
+            kept, at = [], 0
+            for a, b in zip(runs["hit_from"], runs["hit_to"]):
+                kept.append(raw[at : starts[a]])
+                at = int(ends[b - 1])
+            return b"".join([*kept, raw[at:]])
+
+        for batch in batches:
+            texts = batch.column("text")
+            new = [cut(t.as_py(), runs) for t, runs in zip(texts.cast(pa.large_binary()), batch.column("found").to_pylist())]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.large_binary()).cast(pa.large_string()).cast(texts.type))
 
+    done = found.mapInArrow(run, found.schema)
+    return done.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
-def _removed(docs: DataFrame, windows: dict[bytes, set], mode: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(windows))
 
-    def cut(raw: bytes | None) -> bytes | None:
-        data = np.frombuffer(raw or b"", dtype=np.uint8)
-        _, starts, ends, hit, _ = shared.value.scan(data)
-        if not hit.any():
-            return raw
-        edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-        kept, at = [], 0
-        for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]):
-            kept.append(raw[at : starts[a]])
-            at = int(ends[b - 1])
-        return b"".join([*kept, raw[at:]])
+def _clean(docs: DataFrame, windows: WindowSet) -> DataFrame:
+    """The rows without a hit of the block's windows."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            column = batch.schema.get_field_index("text")
-            texts = batch.column(column).cast(pa.large_binary())
-            if mode == "document":
-                clean = [not shared.value.scan(np.frombuffer(t.as_py() or b"", dtype=np.uint8))[3].any() for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-            else:
-                new = pa.array([cut(t.as_py()) for t in texts], pa.large_binary()).cast(pa.large_string())
-                yield batch.set_column(column, batch.schema.field(column), new.cast(batch.schema.field(column).type))
+            texts = batch.column("text").cast(pa.large_binary())
+            clean = [not shared.value.scan(np.frombuffer(t.as_py() or b"", dtype=np.uint8))[3].any() for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
