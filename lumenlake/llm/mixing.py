@@ -16,14 +16,17 @@ and the mix is on target throughout; the last period is cut where the longest so
 Edge cases: a null source is a source of its own; a source without a weight in the given table
 is left out; null ids sort as the empty string; null texts count as rows; repeated rows are rows;
 an empty table gives an empty mix; a source's share is at least 1/N, and what small sources so
-get beyond their weight is taken from all larger ones in proportion; N is ``period``, or twice the
-number of sources if that is more; further columns of the
-documents ride along in `mixed_documents` (columns of the same name as an added one are replaced
-in the schedule only).
+get beyond their weight is taken from all larger ones in proportion; N is ``period``, or more where
+the smallest share asks for it: one over it, ``max_period`` at most, and twice the number of sources
+in any case (so a source with less than 1/``max_period`` of the weight is in the mix more often than
+its weight says); texts are carried, not read, so any length will do; equal ids are ordered in no
+stated way; all further columns of the documents, whatever their names, ride along with their values
+in `mixed_documents` (in the schedule, columns of the same name as an added one are replaced).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +40,8 @@ from lumenlake.llm.ranking import numbered
 class MixParams:
     block_rows: int = 16
     period: int = 500
+    max_period: int = 20_000
+    lot: int = 10_000  # copies of a row that one task makes
     temperature: float = 0.7  # without given weights: share of rows to this power
     stop: str = "all_exhausted"
     max_sources: int = 2_000
@@ -46,17 +51,21 @@ def source_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
 
 
+def weighed_sources(counts: DataFrame, weights: DataFrame | None, params: MixParams) -> DataFrame:
+    """(source, n, w): the sources in the mix with their weights."""
+    if weights is None:
+        return counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(params.temperature)))
+    given = weights.select(F.col("source").cast("string").alias("_s"), F.col("weight").cast("double").alias("w"))
+    return counts.join(given, counts["source"].eqNullSafe(given["_s"])).drop("_s").where("w > 0")
+
+
 def shares(counts: DataFrame, weights: DataFrame | None, params: MixParams) -> DataFrame:
     """(source, n, blocks): each source's blocks in a period, at least one; sum = period.
 
     Sources due less than a block get one.  The others share what is left by largest remainders:
     they are the longest run of sources by falling weight whose last still is due a block then.
     """
-    if weights is None:
-        weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(params.temperature)))
-    else:
-        given = weights.select(F.col("source").cast("string").alias("_s"), F.col("weight").cast("double").alias("w"))
-        weighed = counts.join(given, counts["source"].eqNullSafe(given["_s"])).drop("_s").where("w > 0")
+    weighed = weighed_sources(counts, weights, params)
     every = Window.partitionBy()  # one row per source, max_sources at most
     falling = Window.orderBy(F.col("w").desc(), F.col("source").asc_nulls_first())
     so_far = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,18 +129,28 @@ def pattern(shares_: DataFrame, params: MixParams) -> DataFrame:
     )
 
 
+ADDED = ("epoch", "block", "release", "deadline", "slot", "place")
+
+
 def schedule(docs: DataFrame, weights: DataFrame | None = None, params: MixParams = MixParams()) -> DataFrame:
     """``docs`` in the mix: columns epoch, block, release, deadline, slot and place in the block.
 
     Block numbers count through the epochs of a source; slot orders the mix, place orders a slot.
     """
+    kept = [F.col(f"doc.`{c}`") for c in docs.columns if c not in ADDED]
+    return _scheduled(docs, weights, params).select(*kept, *ADDED)
+
+
+def _scheduled(docs: DataFrame, weights: DataFrame | None, params: MixParams) -> DataFrame:
+    """(doc, epoch, block, release, deadline, slot, place): the columns of ``docs`` are kept apart in a struct."""
     if params.stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError("stop is first_exhausted or all_exhausted")
-    counts = source_counts(docs)
-    sources = counts.limit(params.max_sources + 1).count()
-    if sources > params.max_sources:
+    counts = written(source_counts(docs), "mix")  # a row per source
+    known = weighed_sources(counts, weights, params).agg(F.count("*").alias("n"), (F.min("w") / F.sum("w")).alias("least")).first()
+    if known.n > params.max_sources:
         raise ValueError(f"more than {params.max_sources} sources: group them first")
-    params = replace(params, period=max(params.period, 2 * sources))
+    finest = min(params.max_period, math.ceil(1 / known.least)) if known.n else 0
+    params = replace(params, period=max(params.period, finest, 2 * known.n))
     plan = written(pattern(shares(counts, weights, params), params), "mix")  # period rows
     B, N = params.block_rows, params.period
     # the slot in which a source's last whole or partial block falls, were it to run alone
@@ -150,19 +169,27 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, params: MixParam
     final = ends.agg(pick.alias("final")).first()["final"]
     if final is None:
         final = -1
-    named = docs.drop("epoch", "block", "release", "deadline", "slot", "place", "_src", "_rank").withColumn(
-        "_src", F.col("source").cast("string")
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        F.col("source").cast("string").alias("_src"), F.col("doc_id").alias("_id"),
     )
-    ranked = numbered(named, "_src", F.col("doc_id"), [], "_rank")
+    ranked = numbered(packed, "_src", F.col("_id"), [], "_rank")
     sized = per_source.select(
         F.col("source").alias("_s"), F.col("blocks").alias("_blocks"), F.col("n").alias("_n"),
         # epochs that may begin before the mix ends
         F.floor(((final // N + 1) * F.col("blocks").cast("long") * B - 1) / F.col("n") + 1).cast("long").alias("_epochs"),
     )
+    whole = ranked.join(F.broadcast(sized), ranked["_src"].eqNullSafe(sized["_s"]))
+    zero, lot = F.lit(0).cast("long"), F.lit(params.lot).cast("long")
+    epochs = F.explode(F.sequence(zero, F.col("_epochs") - 1))
+    copies = whole.where(F.col("_epochs") <= lot).withColumn("epoch", epochs)
+    if not sized.where(F.col("_epochs") > lot).isEmpty():  # a row of a tiny source, over and over: the copies are dealt in lots
+        lots = whole.where(F.col("_epochs") > lot).withColumn("_lot", F.explode(F.sequence(zero, F.floor((F.col("_epochs") - 1) / lot))))
+        lots = lots.repartition("_src", "_rank", "_lot")
+        upto = F.least(F.col("_epochs"), (F.col("_lot") + 1) * lot) - 1
+        copies = copies.unionByName(lots.withColumn("epoch", F.explode(F.sequence(F.col("_lot") * lot, upto))).drop("_lot"))
     copies = (
-        ranked.join(F.broadcast(sized), ranked["_src"].eqNullSafe(sized["_s"]))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)))
-        .withColumn("_at", F.col("epoch") * F.col("_n") + F.col("_rank"))
+        copies.withColumn("_at", F.col("epoch") * F.col("_n") + F.col("_rank"))
         .withColumn("block", F.floor(F.col("_at") / B).cast("long"))
         .withColumn("place", F.pmod("_at", F.lit(B)).cast("int"))
         .withColumn("_period", F.floor(F.col("block") / F.col("_blocks")).cast("long"))
@@ -177,10 +204,10 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, params: MixParam
     return (
         placed.withColumns({"slot": base + F.col("_slot"), "release": base + F.col("_release"), "deadline": base + F.col("_deadline")})
         .where(F.col("slot") <= final)
-        .drop("_src", "_rank", "_s", "_blocks", "_n", "_epochs", "_at", "_period", "_k", "_ps", "_pk", "_slot", "_release", "_deadline")
+        .select("doc", *ADDED)
     )
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, params: MixParams = MixParams()) -> DataFrame:
     """The rows of the mix with the columns of ``docs``; a row appears once per epoch it is in."""
-    return schedule(docs, weights, params).select(docs.columns)
+    return _scheduled(docs, weights, params).select("doc.*")
