@@ -21,7 +21,7 @@ number of distinct fingerprints, less what the counts exclude; the README has fi
 
 Edge cases: a null or empty text, or one without words, has fingerprint 0 and links like any
 other; a text of fewer words than a shingle is one shingle; rows with equal ids share their
-component per fingerprint; rows with a null id take part, but the component is the smallest
+component per fingerprint; texts of any length are hashed whole, in bounded pieces; rows with a null id take part, but the component is the smallest
 id that is not null (null if the class has none); an empty table gives an empty result;
 further columns of the input are not read.
 """
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import written
+from lumenlake.llm.common import joined_hot, written
 from lumenlake.llm.graph import LocalForest, components
 
 SUB = 256  # fingerprints per sub-tile
@@ -238,8 +238,7 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     )
     named = classes.groupBy("cls").agg(F.min("first_id").alias("component_id"))
     by_print = classes.join(named, "cls").select("fp", "component_id")
-    # only fingerprints that name another component than their row are looked up by many rows
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return joined_hot(prints, by_print, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
 def bit_difference(common: int, a: int, b: int) -> float:
@@ -478,7 +477,8 @@ def classified(docs: DataFrame, params: SimHashParams) -> DataFrame:
         "id", F.coalesce("component", "id").alias("cls"), "first_id"
     )
     named = classes.groupBy("cls").agg(F.min("first_id").alias("component_id"))
-    return prints.join(classes.join(named, "cls"), "id").select("doc_id", "id", "cls", "component_id")
+    slim = prints.select("doc_id", "id")
+    return joined_hot(slim, classes.join(named, "cls"), ["id"], "inner").select("doc_id", "id", "cls", "component_id")
 
 
 def hex_of(fp) -> F.Column:
