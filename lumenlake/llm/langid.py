@@ -11,7 +11,8 @@ pages; a page's own count is taken out of the ones that it meets again.
 
 Edge cases: null and empty html have an even text likelihood, so that declared language and host
 decide; null urls and urls without ``://`` belong to one empty host; a missing declaration is a
-declaration of its own; repeated rows are rows; an empty table gives an empty result; further
+declaration of its own; pages of any length are read whole; of languages with equal posteriors the
+first by name wins; repeated rows are rows; an empty table gives an empty result; further
 columns are not read.  Without any training row every language but those given is unknown and
 the result has a null lang.
 """
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import ascii_lower, written
+from lumenlake.llm.common import ascii_lower, joined_hot, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>")
@@ -81,9 +82,21 @@ def train(docs: DataFrame, params: LanguageParams) -> tuple[list[str], np.ndarra
     if not ids:
         return langs, counts
     chosen = F.broadcast(reduce(DataFrame.unionByName, ids).distinct())  # at most languages x sample_per_language
-    rows = labelled.select("doc_id", "lang", "text").join(chosen, "doc_id").select("_class", "text")
-    for row in rows.toLocalIterator():
-        counts[row["_class"]] += np.bincount(trigram_cells(row.text, log2), minlength=1 << log2)
+    rows = labelled.select("doc_id", "text").join(chosen, "doc_id").select("_class", "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seen = np.zeros((len(langs), 1 << log2), dtype=np.int64)
+            for which, text in zip(batch.column("_class").to_pylist(), batch.column("text").to_pylist()):
+                seen[which] += np.bincount(trigram_cells(text, log2), minlength=1 << log2)
+            which, cell = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(cell), pa.array(seen[which, cell])], ["_class", "cell", "n"])
+
+    sums = rows.mapInArrow(run, "_class long, cell long, n long").groupBy("_class", "cell").agg(F.sum("n").alias("n"))
+    for r in sums.toLocalIterator():  # at most languages x cells rows
+        counts[r["_class"], r["cell"]] = r["n"]
     smoothed = counts + 0.1
     return langs, np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
 
@@ -157,10 +170,11 @@ def identify(pages: DataFrame, docs: DataFrame, params: LanguageParams = Languag
     whole = sum(total) + k
     overall = F.array(*[F.lit((c + 1.0) / whole) for c in total])
     confusion = soft_counts(scored, ["declared"], langs, "declared")  # codes of two or three letters
-    levels = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").select(
-        "host", "host_c", "domain_c", "suffix_c"
-    )
-    joined = scored.join(levels, "host").join(confusion, "declared")
+    # a suffix may hold a third of all hosts and a host a third of all pages: such keys aren't shuffled
+    hosts = written(hosts, "hosts")
+    named = joined_hot(joined_hot(hosts, domains, ["suffix", "domain"], "inner"), suffixes, ["suffix"], "inner")
+    levels = named.select("host", "host_c", "domain_c", "suffix_c")
+    joined = joined_hot(scored, levels, ["host"], "inner").join(F.broadcast(confusion), "declared")  # 26^2 + 26^3 + 1 codes at most
 
     def smoothed(counts: str, parent):
         """Own counts without this page's, pulled towards the level above."""
