@@ -11,7 +11,8 @@ region with one rack, so rows move only into the new shard.
 The law is ``key``: the key and the tree decide, whatever other rows there are.
 
 Edge cases: a null key is drawn like the empty string; repeated rows share a shard and get
-slots of their own; null texts have size 1; an empty table gives an empty result; further
+slots of their own; null texts have size 1 and texts of any length are measured whole; of equal draws
+the first child by name wins; an empty table gives an empty result; further
 columns are kept by `assign` (``shard`` is replaced) and not read by `placed`.
 """
 
