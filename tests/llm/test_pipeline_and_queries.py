@@ -106,6 +106,19 @@ def test_query_matches_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
 
 
+def test_nested_url_rules_match_sql(spark):
+    from lumenlake.llm import urlrules
+
+    rules = [("com", "/", "allow"), ("com", "/en", "block"), ("com", "/en/", "allow"), ("example.com", "/en/", "block"), ("example.com", "/e", "allow"), ("net", "/", "block"), ("net", "/fr/", "allow"), ("org", "", "block"), ("org", "/en/", "allow")]
+    values = queries.OP4_SQL.index("VALUES"), queries.OP4_SQL.index(")),\nu AS") + 1
+    sql = queries.OP4_SQL[: values[0]] + "VALUES " + ", ".join(map(str, rules)) + queries.OP4_SQL[values[1] :]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA.replace('0.001', '0.01')}/pages.parquet'")
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet")
+    got = urlrules.judge(pages, urlrules.rule_table(spark, rules)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(sql).fetchall(), key=str) and len({r.rule for r in got}) > 4
+
+
 def test_every_operator_has_a_query(spark):
     names = queries.queries()
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
@@ -114,18 +127,73 @@ def test_every_operator_has_a_query(spark):
         assert len(docs) == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
-def brute_identify(pages, docs, langs, table, p):
+def plain_model(docs, p):
+    """Trigram counts of the training rows and a scorer, with strings and dictionaries."""
+    import math
+
+    def cells(text):
+        out, folded = [], " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        for x, y, z in zip(folded, folded[1:], folded[2:]):
+            h = (ord(x) << 42 & 2**64 - 1 ^ ord(y) << 21 ^ ord(z)) * 0x9E3779B97F4A7C15 % 2**64
+            out.append(h >> 64 - p.buckets_log2)
+        return out if len(folded) >= 3 and folded.strip() else []
+
+    langs = sorted({r.lang for r in docs if r.lang is not None and r.text is not None})
+    counts = {x: Counter(c for r in docs if r.lang == x and r.text for c in cells(r.text)) for x in langs}
+    size = 1 << p.buckets_log2
+    whole = {x: sum(counts[x].values()) + 0.1 * size for x in langs}
+
+    def likelihood(text):
+        seen = cells(text)
+        ll = [p.temper * sum(math.log((counts[x][c] + 0.1) / whole[x]) for c in seen) for x in langs]
+        return np.array([max(v - max(ll), -p.most_evidence) for v in ll])
+
+    return langs, likelihood
+
+
+def parsed(page):
+    """Visible text and declared language by Python's own parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        out, lang, dropped = None, "", None
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append(" ")
+            if tag == "html" and not self.lang:
+                self.lang = (dict(attrs).get("lang") or "").lower()[:3]
+            if tag in ("script", "style", "nav") and self.dropped is None:
+                self.dropped = tag
+
+        def handle_endtag(self, tag):
+            self.out.append(" ")
+            if tag == self.dropped:
+                self.dropped = None
+
+        def handle_data(self, data):
+            if self.dropped is None:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.out = []
+    reader.feed(page)
+    reader.close()
+    return "".join(reader.out), "".join(c for c in reader.lang if "a" <= c <= "z")
+
+
+def brute_identify(pages, docs, p):
     import re
 
+    langs, likelihood = plain_model(docs.collect(), p)
     rows = []
     for r in pages:
-        html = r.html or ""
+        text, said_lang = parsed(r.html or "")
         at = (r.url or "").find("://")
         host = re.match(r"[^/?#:]*", r.url[at + 3 :])[0].lower() if at >= 0 else ""
-        ll = langid.text_evidence(langid.visible_text(html), table, p)
+        ll = likelihood(text)
         soft = np.exp(ll) / np.exp(ll).sum()
         labels = host.split(".")
-        rows.append((r.page_id, host, ".".join(labels[-2:]), labels[-1], langid.declared_language(html), ll, soft))
+        rows.append((r.page_id, host, ".".join(labels[-2:]), labels[-1], said_lang, ll, soft))
     sums = lambda key: {k: sum(x[6] for x in rows if key(x) == k) for k in {key(x) for x in rows}}
     hosts, domains, suffixes, said = (sums(lambda x, i=i: x[i]) for i in (1, 2, 3, 4))
     total = sum(x[6] for x in rows)
@@ -145,13 +213,12 @@ def brute_identify(pages, docs, langs, table, p):
 
 def test_language_id_against_a_plain_loop(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").unionByName(
-        spark.createDataFrame([(900, None, None), (901, "no scheme", ""), (902, "http://Q.de/", "<html lang='xx'>" + "der und " * 9), (None, "http://q.de:80/x", "<p>")], "page_id long, url string, html string")
+        spark.createDataFrame([(900, None, None), (901, "no scheme", ""), (902, "http://Q.de/", "<html lang='xx'>" + "der und " * 9), (None, "http://q.de:80/x", "<p>"), (903, "http://q.de/long", "<html lang=de>" + "<b>das lange</b> " * 20_000)], "page_id long, url string, html string")
     ).withColumns({"host": F.lit(1), "ll": F.lit(2), "soft": F.lit(3)})
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     p = langid.LanguageParams()
-    langs, table = langid.train(docs, p)
     got = {r.page_id: r for r in langid.identify(pages, docs, p).collect()}
-    want = brute_identify(pages.collect(), docs, langs, table, p)
+    want = brute_identify(pages.collect(), docs, p)
     assert set(got) == set(want)
     for k, (lang, probability) in want.items():
         assert got[k].lang == lang and abs(got[k].probability - probability) < 1e-9

@@ -75,6 +75,56 @@ def test_toxicity_edges(spark):
     assert s.score(None) == s.score(b"") == s.score(b" . ") and s.score(b"disgusting pathetic worthless") > s.score(b"the on there")
 
 
+def test_toxicity_against_a_plain_recomputation():
+    import math
+
+    import zstandard as zs
+
+    rows = [(t, y) for _, t, y in toxic_corpus(200)] + [("worthless idiotic pathetic " * 30_000, 1), (None, 0), ("", 1), toxic_corpus(200)[0][1:]]
+    model = toxicity.fit(rows)
+    plain = [zs.ZstdCompressor(level=19, dict_data=zs.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.ordinary, model.toxic)]
+
+    def windows(text):
+        return {w for w in "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (text or "").lower()).split()}
+
+    def cell(word):  # a frame's magic number has four bytes
+        return tuple(min(len(c.compress(b" " * 24 + word.encode() + b" ")) - 4, 23) for c in plain)
+
+    # of rows with equal words and label one counts; each third row of a class calibrates
+    first = {}
+    for t, y in rows:
+        if windows(t):
+            first.setdefault((" ".join(t.lower().split()), y), (t, y))
+    held = {y: [t for t, label in first.values() if label == y][::3] for y in (0, 1)}
+    n = {y: Counter(cell(w) for t in held[y] for w in windows(t)) for y in (0, 1)}
+    whole = {y: sum(n[y].values()) for y in (0, 1)}
+    table = {}
+    for c in {*n[0], *n[1]}:
+        raw = math.log((n[1][c] + 0.5) / (whole[1] + 1)) - math.log((n[0][c] + 0.5) / (whole[0] + 1))
+        sure = abs(raw) - math.sqrt(1 / (n[1][c] + 0.5) + 1 / (n[0][c] + 0.5))
+        table[c] = math.copysign(max(sure, 0), raw) if max(sure, 0) >= 0.5 else 0.0
+    for c, value in table.items():
+        assert abs(model.log_ratio[c[0] * toxicity.CELLS + c[1]] - value) < 1e-9
+    evidence = lambda t: sum(table.get(cell(w), 0.0) for w in windows(t))
+    a, b = model.weights
+    x, y = (np.array(v) for v in zip(*[(evidence(t), k) for k in (0, 1) for t in held[k]]))
+    p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+    scale = np.abs(x).max()  # at the curve's best fit the gradient is the small pull on the slope
+    assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * x / scale).sum() - 1e-3 * b * scale) < 1e-6
+    s = toxicity.scorer(model)
+    for t, _ in rows:
+        want = 1 / (1 + math.exp(-min(max(a + b * sum(model.log_ratio[c[0] * toxicity.CELLS + c[1]] for c in map(cell, windows(t))), -500), 500)))
+        assert abs(s.score((t or "").encode()) - want) < 1e-9
+
+
+def test_toxicity_reads_labelled_rows_whole():
+    same = "the same forty words begin all of these texts " * 8
+    rows = [(same + f"worthless idiotic {i}", 1) for i in range(40)] + [(same + f"plain end {i}", 0) for i in range(40)]
+    model = toxicity.fit(rows)
+    s = toxicity.scorer(model)
+    assert s.score((same + "worthless idiotic 99").encode()) > s.score((same + "plain end 99").encode())
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -102,7 +152,7 @@ def test_vectors_against_brute_force(spark, block):
     crowd = base[5] + 0.05 * r.standard_normal((60, 32))
     v = np.concatenate([base, near, crowd, base[:5], 3 * base[5:8]]).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist(), 0, "clash") for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int, component string")
-    got = {r.vec_id: r for r in pivots.linked_vectors(df, pivots.PivotParams(block=block)).collect()}
+    got = {r.vec_id: r for r in pivots.linked_vectors(df, pivots.PivotParams(least_block=block)).collect()}
     links = brute_links(v, None, 0.9)
     n = Counter(a for a, _ in links)
     found = sum(got[i].n_links for i in range(len(v)))
@@ -123,6 +173,28 @@ def test_vector_edges(spark):
     assert pivots.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size_and_many_lengths(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e200, 2e200]), (2, [1e-170, 1e-170]), (3, [1.0, 0.2]), (4, [5e-324, 0.0]), (5, [1e308, 0.0]), (6, [-1e308, 0.0])]
+    rows += [(10 + n, [1.0] * n) for n in range(3, 20)] + [(40 + n, [2.0] * n) for n in range(3, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in pivots.linked_vectors(df).collect()}
+    assert [got[i].n_links for i in range(7)] == [2, 2, 2, 2, 2, 2, 0]
+    assert [got[i].component_id for i in range(7)] == [0, 0, 0, 3, 3, 3, 6]
+    assert all((got[10 + n].n_links, got[40 + n].component_id) == (1, 10 + n) for n in range(3, 20))
+
+
+@pytest.mark.parametrize("count", [64, 512, 2_048])
+def test_recall_of_unclustered_pairs_at_the_threshold(spark, count):
+    r = np.random.default_rng(count)
+    n, unit = 1_500, lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u, w, cos = unit(r.standard_normal((n, 64))), r.standard_normal((n, 64)), r.uniform(0.9001, 0.92, (n, 1))
+    v = np.concatenate([u, cos * u + np.sqrt(1 - cos**2) * unit(w - (w * u).sum(axis=1, keepdims=True) * u)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in pivots.linked_vectors(df, pivots.PivotParams(min_pivots=count, least_block=256)).collect()}
+    links = Counter(a for a, _ in brute_links(v, None, 0.9))
+    assert sum(got.values()) >= 0.95 * sum(links.values()) and all(got[i] <= links[i] for i in got)
+
+
 def test_components_on_random_graphs(spark):
     r = random.Random(1)
     for n, m in ((30, 20), (200, 150), (50, 49)):
@@ -152,6 +224,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_are_bounded_and_revisits_name_their_response(spark, tmp_path):
+    import gzip
+
+    texts = ["ab" * 200] * 4 + [f"{i} " * 150 for i in range(60)] + ["long " * 300_000, "longer " * 300_000, "long " * 300_000]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "w"), warc.WarcParams(archive_bytes=4_000, class_factor=2))
+    archives = [gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "w").rglob("*.gz")]
+    assert all(a.count("WARC-Record-ID") == 1 or len(a) < 4_000 + 700 * a.count("WARC-Record-ID") for a in archives)
+    records = [x for a in archives if a for x in a.split("\r\n\r\nWARC/1.1\r\n")]
+    assert len(records) == len(texts) and sum("WARC-Type: revisit" in x for x in records) == 4
+    assert all(("WARC-Refers-To-Target-URI: http://h/0\r\n" in x or "Target-URI: http://h/64\r\n" in x) and "WARC-Refers-To-Date: " in x for x in records if "revisit" in x)
+    back = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert all(bytes(back[i].payload).decode() == t for i, t in enumerate(texts) if back[i].payload is not None) and len(back) == len(texts)
+
+
 # ---------------------------------------------------------------- url rules
 
 
@@ -186,6 +273,15 @@ def test_url_rules_against_brute_force(spark, monkeypatch, salt_rows):
     assert urlrules.judge(pages, frame.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(urls)
 
 
+def test_url_rules_with_separators_in_hosts_and_long_urls(spark):
+    rules = [("www.example.com", "/en/", "block"), ("com", "/" + "a" * 50_000, "block")]
+    marks = "\u0001\u0002\u0003"
+    urls = [f"http://example{a}{b}www.com/en/x" for a in marks for b in ["", *marks]] + ["http://q.com/" + "a" * 60_000, "http://" + "b" * 60_000 + ".com/", "http://com\u0001example\u0001www/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: tuple(x)[1:] for x in urlrules.judge(pages, urlrules.rule_table(spark, rules)).collect()}
+    assert got == {i: brute_judge(u, rules) for i, u in enumerate(urls)}
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -226,6 +322,20 @@ def test_decontamination_against_brute_force(spark, max_windows):
     assert decontam.report(docs.limit(0), bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_spans_do_not_depend_on_the_size_of_a_block(spark):
+    abc = [chr(97 + i) for i in range(26)]
+    items = [(1, " ".join(abc[:12])), (2, " ".join(abc[7:20])), (3, " ".join(abc[5:17]))]
+    docs = spark.createDataFrame([(1, " ".join(abc), "keep", 5), (2, None, "x", 6), (3, "A-b " + "c " * 9, None, 7)], "doc_id long, text string, row string, found int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    runs = []
+    for params in (decontam.DecontamParams(max_windows=1), decontam.DecontamParams(max_bytes=30), decontam.DecontamParams()):
+        cut = decontam.decontaminate(docs, bench, params, "span")
+        assert cut.columns == docs.columns
+        runs.append(sorted(map(tuple, cut.collect())))
+        assert {r.doc_id for r in decontam.decontaminate(docs, bench, params).collect()} == {2, 3}
+    assert runs[0] == runs[1] == runs[2] and runs[0][0] == (1, " u v w x y z", "keep", 5)
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -281,7 +391,7 @@ def test_mix_of_many_small_sources_loses_no_document(spark, small, large, rows,
     sizes = {**{f"s{i}": 1 for i in range(small)}, **{f"l{i}": rows + i for i in range(large)}}
     names = [s for s, n in sizes.items() for _ in range(n)]
     docs = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in enumerate(names)], DOCS)
-    params = mixing.MixParams(block_rows=2, period=period)
+    params = mixing.MixParams(block_rows=2, period=period, max_period=0)  # no longer period for the small ones
     got = mixing.schedule(docs, params=params).select("doc_id", "slot", "source").collect()
     assert {r.doc_id for r in got} == set(range(len(names)))
     whole = max(period, 2 * (small + large))
@@ -294,6 +404,38 @@ def test_mix_of_many_small_sources_loses_no_document(spark, small, large, rows,
         assert blocks[s] >= 1 and abs(blocks[s] - due) < 1
 
 
+def test_mix_keeps_the_values_of_clashing_columns(spark):
+    names = [*mixing.ADDED, "_n", "_hash", "_src", "_rank", "doc", "a.b"]
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), *[(F.col("id") * 10 + k).alias(n) for k, n in enumerate(names)])
+    params = mixing.MixParams(block_rows=2, period=10)
+    mixed = mixing.mixed_documents(docs, params=params)
+    assert mixed.columns == docs.columns and set(mixed.collect()) == set(docs.collect())
+    assert mixing.schedule(docs, params=params).columns == ["doc_id", "source", *names[6:], *mixing.ADDED]
+
+
+@pytest.mark.parametrize("lot", [3, 10_000])
+def test_mix_follows_small_weights_and_deals_copies_in_lots(spark, lot):
+    docs = spark.range(2_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "tiny").otherwise("big").alias("source"))
+    weights = spark.createDataFrame([("big", 999.0), ("tiny", 1.0)], "source string, weight double")
+    few = mixing.MixParams(block_rows=1, period=50, lot=lot)
+    got = Counter(r.source for r in mixing.schedule(docs, weights, few).collect())
+    assert got["big"] == 2_000 and got["tiny"] in (2, 3)  # a period of 1,000 slots
+    equal = spark.createDataFrame([("big", 1.0), ("tiny", 1.0)], "source string, weight double")
+    rows = mixing.schedule(docs, equal, few).collect()
+    assert Counter(r.source for r in rows)["big"] == 2_000 and len({(r.slot, r.place) for r in rows}) == len(rows)
+    assert sorted(r.epoch for r in rows if r.source == "tiny") == list(range(sum(r.source == "tiny" for r in rows)))
+
+
+def test_mix_of_many_skewed_sources(spark):
+    sizes = [2] * 200 + [190 + i for i in range(50)]
+    names = [f"s{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    weights = spark.createDataFrame([(f"s{k}", 0.1 if k < 200 else 9.6) for k in range(250)], "source string, weight double")
+    plan = mixing.shares(mixing.source_counts(docs), weights, mixing.MixParams()).collect()
+    assert len(plan) == 250 and min(r.blocks for r in plan) >= 1 and sum(r.blocks for r in plan) == 500
+    assert {r.doc_id for r in mixing.schedule(docs, weights, mixing.MixParams(block_rows=4)).select("doc_id").collect()} == set(range(len(names)))
+
+
 # ---------------------------------------------------------------- SimHash
 
 
@@ -476,7 +618,7 @@ def brute_shard(key, tree):
 
 
 def test_sharding_against_brute_force(spark):
-    texts = [None, "", *["é" * (i % 9) for i in range(3000)]]
+    texts = [None, "", "long " * 200_000, *["é" * (i % 9) for i in range(3000)]]
     docs = docs_of(spark, texts).unionByName(docs_of(spark, ["r"] * 3))
     rows = sharding.placed(docs).collect()
     assert len(rows) == len(texts) + 3
