@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 #: Extensions by kind; an earlier kind takes precedence.
 EXTENSIONS = {
-    "video": (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v"),
-    "audio": (".mp3", ".wav", ".flac", ".ogg", ".m4a", ".aac"),
+    "video": (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm"),
+    "audio": (".aac", ".aif", ".aiff", ".flac", ".m4a", ".mp3", ".ogg", ".opus", ".wav", ".wma"),
     "pdf": (".pdf",),
-    "image": (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tif", ".tiff"),
+    "image": (".bmp", ".gif", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"),
 }
 
 
@@ -60,7 +60,7 @@ def kind_of(extension: Column) -> Column:
 
 
 def scan(spark: SparkSession, spec: str, extensions: frozenset[str] | None = None) -> DataFrame:
-    """Media files below a source; contents are not read.  Hidden path components are left out."""
+    """Media files below a source; contents are not read.  Files below hidden folders of the source are left out."""
     wanted = extensions or frozenset(e for es in EXTENSIONS.values() for e in es)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(spark_path(spec))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -71,7 +71,30 @@ def scan(spark: SparkSession, spec: str, extensions: frozenset[str] | None = Non
         (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified_at"),
         ext.alias("extension"),
     )
-    return rows.where(F.col("extension").isin(*wanted) & ~F.col("item_uri").rlike(r"/\.[^/]")).withColumn("media_kind", kind_of(F.col("extension")))
+    # the source's own path may have hidden parts: what counts lies below it
+    bare = F.regexp_replace("item_uri", "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    root = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", spark_path(spec)).rstrip("/") + "/"
+    below = F.when(F.startswith(bare, F.lit(root)), F.substr(bare, F.lit(len(root)))).otherwise(bare)
+    return rows.where(F.col("extension").isin(*wanted) & ~below.rlike(r"/\.[^/]")).withColumn("media_kind", kind_of(F.col("extension")))
+
+
+def images(spark: SparkSession, spec: str) -> DataFrame:
+    """(item_uri, data, width, height) of the pictures below a source that Spark's reader decodes, as RGB bytes; others are left out."""
+    read = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(spark_path(spec))
+    rows = read.select("image.*").where("nChannels IN (1, 3, 4)")
+
+    def rgb(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for data, width, height, channels in zip(*(batch.column(c).to_pylist() for c in ("data", "width", "height", "nChannels"))):
+                pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+                out.append((np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]).tobytes())  # stored as BGR or BGRA
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), pa.array(out, pa.binary()), batch.column("width"), batch.column("height")], ["item_uri", "data", "width", "height"])
+
+    return rows.select("origin", "data", "width", "height", "nChannels").mapInArrow(rgb, "item_uri string, data binary, width int, height int")
 
 
 def scan_all(spark: SparkSession, specs: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
