@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,17 +32,18 @@ def any_contains(items: Column, needle: str) -> Column:
 def match_score(query: str, text: Column) -> Column:
     """1 if the text holds the query, or all its distinct terms, as substrings; else null.
 
-    A blank query scores 0.  There is no partial credit.
+    A blank query scores 0.  There is no partial credit.  A text that holds the whole query holds all
+    its terms, and a term has no white space, so the terms in the text as it is decide.
     """
-    q = " ".join(query.lower().split())
-    if not q:
+    if not query.split():
         return F.lit(0.0)
-    clean = F.lower(collapse_whitespace(text))
-    terms = list(dict.fromkeys(q.split(" ")))
-    every = F.lit(True)
-    for t in terms:
-        every = every & F.contains(clean, F.lit(t))
-    return F.when((clean != "") & (F.contains(clean, F.lit(q)) | every), F.lit(1.0))
+    return F.when(holds_terms(query, text), F.lit(1.0))
+
+
+def holds_terms(query: str, text: Column) -> Column:
+    """Whether all terms of a query are substrings of the text, whatever their case; null for a null text."""
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(t)) for t in dict.fromkeys(query.lower().split())])
 
 
 def keep_first(items: Column, key: Callable[[Column], Column] = F.lower) -> Column:
@@ -109,3 +111,38 @@ def compact_list(items: Column, shown: int = 4) -> Column:
 
 def plain_key(s: Column) -> Column:
     return F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", ""))
+
+
+def json_field(json: Column, path: str, kind: str) -> Column:
+    """A field of a JSON text by its path; null if it is missing or of another type."""
+    return F.get_json_object(json, path).try_cast(kind)
+
+
+def unescape_xml(s: Column) -> Column:
+    """The five named entities of XML as characters; the ampersand last, so that nothing is unescaped twice."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
+    return s
+
+
+def duration_text(milliseconds: Column) -> Column:
+    """Seconds with one decimal below a minute, else minutes and seconds."""
+    seconds = milliseconds / F.lit(1000.0)
+    whole = F.round(seconds).cast("long")
+    long = F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)
+    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(long)
+
+
+def percent_text(ratio: Column) -> Column:
+    return F.format_string("%d%%", F.round(ratio * 100).cast("long"))
+
+
+def gps_text(latitude: Column, longitude: Column) -> Column:
+    return F.when(latitude.isNotNull() & longitude.isNotNull(), F.format_string("%.5f, %.5f", latitude, longitude))
+
+
+def camera_label(make: Column, model: Column) -> Column:
+    """Make and model, the make only once if the model begins with it; null if both are blank."""
+    a, b = F.coalesce(F.trim(make), F.lit("")), F.coalesce(F.trim(model), F.lit(""))
+    named = F.when(F.startswith(F.lower(b), F.lower(a)), b).otherwise(F.trim(F.concat(a, F.lit(" "), b)))
+    return F.nullif(named, F.lit(""))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, fields
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,11 +79,18 @@ def bounds(column: Column, low, high) -> list[Column]:
     return [*([column >= low] if low is not None else []), *([column <= high] if high is not None else [])]
 
 
+def whole_bounds(name: str, low, high) -> list[Column]:
+    """Bounds of an integer field as integers, so that no cast of the field keeps them from the scan."""
+    whole = lambda x, up: x if x is None else math.ceil(x) if up else math.floor(x)
+    return bounds(F.col(name), whole(low, True), whole(high, False))
+
+
 def conjunction(parts: list[Column]) -> Column:
-    out = F.lit(True)
-    for p in parts:
-        out = out & F.coalesce(p, F.lit(False))
-    return out
+    """All of the predicates, for ``where``: a null predicate drops the row there, as false does.
+
+    The predicates stay bare, so that those on stored fields reach the Parquet scan.
+    """
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
 def orientation(width: Column, height: Column) -> Column:
@@ -97,9 +106,9 @@ def pushed(f: SearchFilters) -> list[Column]:
         out.append(F.col("media_kind") == f.media_kind)
     if f.has_gps is not None:
         out.append(F.col("photo_has_gps") == f.has_gps)
-    out += bounds(F.col("width"), f.width_min, f.width_max)
-    out += bounds(F.col("height"), f.height_min, f.height_max)
-    out += bounds(F.col("size_bytes"), f.size_min, f.size_max)
+    out += whole_bounds("width", f.width_min, f.width_max)
+    out += whole_bounds("height", f.height_min, f.height_max)
+    out += whole_bounds("size_bytes", f.size_min, f.size_max)
     out += bounds(F.col("modified_at"), f.modified_from, f.modified_to)
     return out + bounds(F.col("photo_capture_time_epoch"), f.captured_from, f.captured_to)
 
@@ -166,13 +175,60 @@ def same_size_time_profile(size: Column, size2: Column, mtime: Column, mtime2: C
     return F.coalesce((size == size2) & (F.abs(mtime - mtime2) <= 0.001) & (profile == profile2), F.lit(False))
 
 
-def analysis_complete(kind: Column, scene_start: Column, scene_end: Column, audio: Column, transcription: bool) -> Column:
-    """Scenes need bounds; with transcription on, speech needs a transcript; audio needs an analysis."""
+def analysis_complete(
+    kind: Column, scene_index: Column, scene_start: Column, scene_end: Column, audio: Column, transcription: bool
+) -> Column:
+    """Whether nothing is left to analyse: a scene has its number and bounds, and with transcription on
+    audio has an analysis, and detected speech in audio and scenes a transcript."""
+    placed = (kind != "video_scene") | (scene_index.isNotNull() & scene_start.isNotNull() & scene_end.isNotNull())
+    if not transcription:
+        return F.coalesce(placed, F.lit(True))
     blank = F.coalesce(F.trim(audio["transcript_text"]), F.lit("")) == ""
-    spoken = F.coalesce(audio["speech_detected"], F.lit(False))
-    told = ~(spoken & blank) if transcription else F.lit(True)
-    return (
-        F.when(kind == "video_scene", scene_start.isNotNull() & scene_end.isNotNull() & told)
-        .when(kind == "audio", audio.isNotNull() & told)
-        .otherwise(F.lit(True))
-    )
+    silent = F.when(audio.isNull(), kind == "video_scene").otherwise(~(F.coalesce(audio["speech_detected"], F.lit(False)) & blank))
+    return F.coalesce(placed & (~kind.isin("audio", "video_scene") | silent), F.lit(True))
+
+
+def client_bounds(day_from: str | None, day_to: str | None, time: Column) -> list[Column]:
+    """Bounds of a time in seconds by days of the session's zone: from midnight to the last millisecond; a bad day bounds nothing."""
+
+    def midnight(day: str | None) -> date | None:
+        try:
+            return date.fromisoformat((day or "").strip())
+        except ValueError:
+            return None
+
+    first, last = midnight(day_from), midnight(day_to)
+    start = lambda d: F.unix_micros(F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp")) / F.lit(1e6)
+    return [
+        *([time >= start(first)] if first else []),
+        *([time <= start(last + timedelta(days=1)) - F.lit(0.001)] if last else []),
+    ]
+
+
+def positive(text: str | None) -> float | None:
+    """The number that a field holds if it is above zero, else no bound."""
+    try:
+        value = float((text or "").strip())
+    except ValueError:
+        return None
+    return value if math.isfinite(value) and value > 0 else None
+
+
+def client_filters(fields_: dict[str, str]) -> list[Column]:
+    """A result list's own filters, from text fields: sizes in MB, days of the session's zone, positive numbers only.
+
+    Keys are those of a result page: min_width, max_width, min_height, max_height, min_size_mb, max_size_mb,
+    capture_from, capture_to, date_from, date_to, and has_gps, which is yes, no or all.
+    """
+    get = fields_.get
+    megabytes = lambda name: None if (mb := positive(get(name))) is None else mb * 1024 * 1024
+    out = [
+        *whole_bounds("width", positive(get("min_width")), positive(get("max_width"))),
+        *whole_bounds("height", positive(get("min_height")), positive(get("max_height"))),
+        *whole_bounds("size_bytes", megabytes("min_size_mb"), megabytes("max_size_mb")),
+        *client_bounds(get("capture_from"), get("capture_to"), F.col("photo_capture_time_epoch")),
+        *client_bounds(get("date_from"), get("date_to"), F.col("modified_at")),
+    ]
+    if get("has_gps") in ("yes", "no"):
+        out.append(F.col("photo_has_gps") == (get("has_gps") == "yes"))
+    return out
