@@ -43,8 +43,7 @@ def motion_vector(frames: list[np.ndarray], delays: list[int], size: int, weight
         for a, b, d in zip(frames, frames[1:], delays[1:])
     ]
     motion = unit(sum(color_vector(m, size) * d for m, d in moves))
-    w = min(max(weight, 0.0), 1.0)
-    return unit((1 - w) * content + w * motion)
+    return unit((1 - min(max(weight, 0.0), 1.0)) * content + weight * motion)  # a weight over 1 counts as it is
 
 
 def dct_hash(gray: np.ndarray, side: int = 32, kept: int = 8) -> str:

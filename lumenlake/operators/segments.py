@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.functions.temporal import overlap_seconds, overlaps
+from lumenlake.functions.temporal import overlap_seconds, overlaps, thinned
 
 
 def slice_segments(segments: Column, start: Column, end: Column) -> Column:
@@ -26,15 +28,19 @@ def join_overlapping(segments: DataFrame, windows: DataFrame, key: str, bucket:
 
     The key makes an equi-join.  Where one key has very many of both, ``bucket`` cuts time into
     pieces: both sides meet per piece, and a pair counts in the piece in which its overlap begins.
+    Segments with an open start or end have no last piece and take the plain join.
     """
     test = overlaps(F.col("start"), F.col("end"), F.col("window_start"), F.col("window_end"))
+    plain = segments.join(windows, key).where(test)
     if bucket is None:
-        return segments.join(windows, key).where(test)
+        return plain
     pieces = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket)))
-    left = segments.withColumn("_piece", pieces(F.col("start"), F.col("end")))
-    right = windows.withColumn("_piece", pieces(F.col("window_start"), F.col("window_end")))
+    closed = F.col("start").isNotNull() & F.col("end").isNotNull()
+    left = segments.where(closed & (F.col("start") <= F.col("end"))).withColumn("_piece", pieces(F.col("start"), F.col("end")))
+    right = windows.where("window_start <= window_end").withColumn("_piece", pieces(F.col("window_start"), F.col("window_end")))
     first = F.floor(F.greatest("start", "window_start") / bucket)
-    return left.join(right, [key, "_piece"]).where(test & (F.col("_piece") == first)).drop("_piece")
+    met = left.join(right, [key, "_piece"]).where(test & (F.col("_piece") == first)).drop("_piece")
+    return met.unionByName(segments.where(~closed).join(windows, key).where(test))
 
 
 def scene_frames(frames: DataFrame, scenes: DataFrame, stride: int, most: int) -> DataFrame:
@@ -51,24 +57,61 @@ def adjacent_pairs(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn(f"next_{order}", after).where(F.col(f"next_{order}").isNotNull())
 
 
-def audio_bits(boundaries: Column, speech: Column, onsets: Column, most: float = 30.0, least: float = 0.75) -> Column:
-    """Segments between cut points: none over ``most`` or under ``least`` seconds, each with its kind.
+def audio_bits(
+    duration: Column, boundaries: Column, speech: Column, onsets: Column, most: float = 30.0, least: float = 0.75
+) -> Column:
+    """Segments between cut points, in pieces of ``most`` seconds; none under ``least`` seconds.
 
     Over 0.35 of speech make a segment speech, onsets without it music_or_sound; the rest is audio.
+    Where there is any speech, segments with neither are left out.  Without a segment the whole is one.
     """
-    pairs = F.zip_with(F.slice(boundaries, 1, F.greatest(F.size(boundaries) - 1, F.lit(0))), F.slice(boundaries, 2, F.greatest(F.size(boundaries) - 1, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def pieces(cuts):  # the starts of the pieces between a cut point and the next, and the last point
+        def starts(a, i):
+            b = F.get(cuts, i + 1)
+            n = F.greatest(F.lit(1), F.ceil((b - a) / most).cast("int"))
+            return F.when(b.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), lambda k: a + k * F.lit(most))).otherwise(F.array(a))
+
+        return F.flatten(F.transform(cuts, starts))
 
-    def cut(p):
-        n = F.greatest(F.lit(1), F.ceil((p["b"] - p["a"]) / most).cast("int"))
-        step = (p["b"] - p["a"]) / n
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((p["a"] + i * step).alias("start_seconds"), (p["a"] + (i + 1) * step).alias("end_seconds")))
+    def between(points):
+        def classed(a, i):
+            b = F.least(F.get(points, i + 1), duration)
+            return let(overlap_seconds(speech, a, b), lambda heard: let(
+                F.size(F.filter(onsets, lambda o: (o >= a) & (o < b))), lambda hits: one(a, b, heard, hits)))
 
-    long_enough = F.filter(F.flatten(F.transform(pairs, cut)), lambda s: s["end_seconds"] - s["start_seconds"] >= least)
+        return F.filter(F.transform(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), classed), lambda s: s["kept"])
 
-    def classed(s):
-        share = overlap_seconds(speech, s["start_seconds"], s["end_seconds"]) / (s["end_seconds"] - s["start_seconds"])
-        hits = F.size(F.filter(onsets, lambda o: (o >= s["start_seconds"]) & (o < s["end_seconds"])))
+    def one(a, b, heard, hits):
+        share = heard / (b - a)
         kind = F.when(share >= 0.35, "speech").when(hits > 0, "music_or_sound").otherwise("audio")
-        return F.struct(s["start_seconds"].alias("start_seconds"), s["end_seconds"].alias("end_seconds"), kind.alias("kind"), F.round(share, 6).alias("speech"))
+        sure = F.when(share >= 0.35, F.least(F.lit(1.0), share)).when(hits > 0, F.greatest(F.lit(0.25), F.least(F.lit(0.85), hits / 6.0))).otherwise(0.25)
+        kept = (b - a >= least) & ~((heard <= 0) & (hits == 0) & (F.size(speech) > 0))
+        return F.struct(F.round(a, 3).alias("start_seconds"), F.round(b, 3).alias("end_seconds"), kind.alias("kind"), sure.alias("confidence"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+    def or_whole(bits):
+        plain = F.transform(bits, lambda s: F.struct(*(s[k].alias(k) for k in ("start_seconds", "end_seconds", "kind", "confidence"))))
+        whole = F.struct(F.lit(0.0).alias("start_seconds"), F.round(duration, 3).alias("end_seconds"), F.lit("audio").alias("kind"), F.lit(0.25).cast("double").alias("confidence"))
+        return F.when(duration > 0, F.when(F.size(bits) > 0, plain).otherwise(F.array(whole))).otherwise(F.slice(plain, 1, 0))
+
+    points = let(boundaries, lambda cuts: thinned(pieces(cuts), 0.25))
+    return let(let(points, between), or_whole)
+
 
-    return F.transform(long_enough, classed)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def transcript(spoken: Column) -> Column:
+    """A transcript of (text, language, segments of index, start, end, text, confidence) as it is stored.
+
+    Without a text the segments' texts are joined; blank segments go; an empty transcript is null.
+    """
+    parts = F.filter(
+        F.transform(spoken["segments"], lambda s: F.struct(
+            s["index"].cast("long").alias("segment_index"), s["start_seconds"].alias("start_seconds"), s["end_seconds"].alias("end_seconds"),
+            F.trim(s["text"]).alias("text"), s["confidence"].alias("confidence"))),
+        lambda s: F.coalesce(s["text"] != "", F.lit(False)),
+    )
+    text = F.trim(F.coalesce(spoken["text"], F.array_join(F.transform(parts, lambda s: s["text"]), " ")))
+    return F.when(text != "", F.struct(text.alias("text"), spoken["language"].alias("language"), parts.alias("segments")))
