@@ -69,10 +69,17 @@ def rolled_up(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(bad, "not_ready").otherwise("ready").alias("status"), F.count_if(F.col("status") == "ok").alias("ok"), F.count("*").alias("checks"))
 
 
-def response_parts(results: DataFrame) -> DataFrame:
-    """Per query part: its hash, the number of results and the results, best first."""
+def newest(rows: DataFrame, time: str, id_column: str, count: int = 8) -> DataFrame:
+    """The last few rows, the newest first; ties by the higher id."""
+    return rows.orderBy(F.desc(time), F.desc(id_column)).limit(count)
+
+
+def response_parts(results: DataFrame, limit: int = 50) -> DataFrame:
+    """Per query part: its hash, the number of results and the results, best first, ``limit`` at most."""
     row = F.struct((-F.col("score")).alias("order"), "id", "score")
-    return results.groupBy("part").agg(
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "id"))
+    best = results.withColumn("_n", rank).where(F.col("_n") <= limit)  # each task passes on no more than ``limit`` a part
+    return best.groupBy("part").agg(
         F.min("phash").alias("phash"), F.count("*").alias("count"), F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("results")
     )
 

@@ -7,12 +7,16 @@ best rows only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlake.functions.similarity import as_doubles, cosine_to, hamming_hex, relevance
-from lumenlake.functions.text import match_score
+from lumenlake.functions.text import holds_terms, match_score
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
+from lumenlake.plans.scratch import materialised
 
 CANDIDATES = 500
 
@@ -57,24 +61,38 @@ def search_media(
     )
 
 
-def text_score(media: DataFrame, query: str):
-    """The best score over recognised text, frames, transcript and its segments."""
+def text_matches(media: DataFrame, query: str):
+    """Whether one of the texts of a medium (recognised text, frames, transcript, its segments) holds the query."""
     audio = F.col("audio_analysis")
-    one = lambda c: match_score(query, c)
-    return F.greatest(
-        one(F.col("ocr_text")),
-        F.array_max(F.transform("ocr_frames", lambda f: one(f["text"]))),
-        one(audio["transcript_text"]),
-        F.array_max(F.transform(audio["transcript_segments"], lambda s: one(s["text"]))),
-    )
+    one = lambda c: F.coalesce(holds_terms(query, c), F.lit(False))
+    several = lambda items: F.coalesce(F.exists(items, lambda x: one(x["text"])), F.lit(False))
+    return one(F.col("ocr_text")) | several(F.col("ocr_frames")) | one(audio["transcript_text"]) | several(audio["transcript_segments"])
 
 
 def search_text(media: DataFrame, query: str, filters: SearchFilters, limit: int) -> DataFrame:
+    """The rows with a text that holds the query, by file name; score is 1, as there is no partial credit."""
     if not query.strip():
         raise ValueError("a text query is required")
-    rows = media.where(conjunction([*pushed(filters), *residual(filters)]))
-    found = rows.withColumn("score", text_score(media, query)).where(F.col("score").isNotNull())
-    return found.orderBy(F.desc("score"), "filename", "id").limit(limit)
+    found = media.where(conjunction([*pushed(filters), *residual(filters), text_matches(media, query)]))
+    return found.withColumn("score", F.lit(1.0)).orderBy("filename", "id").limit(limit)
+
+
+def response(results: DataFrame, text: bool = False) -> DataFrame:
+    """Results as they are answered: the row with vector score, relevance, distance, text score and near_duplicate.
+
+    A text search has no vector: its score stands for vector score, relevance and text score alike.
+    """
+    if not text:
+        return results
+    score = F.col("score")
+    none = F.lit(None).cast("int")
+    return results.withColumns({"vector_score": score, "relevance_score": score, "phash_distance": none, "text_score": score, "near_duplicate": F.lit(False)}).drop("score")
+
+
+def merged_parts(parts: list[DataFrame], id_column: str, score: str) -> DataFrame:
+    """The results of all parts of a query, numbered in ``part``, as one list: each id once, by its best part."""
+    numbered = [p.withColumn("part", F.lit(n)) for n, p in enumerate(parts)]
+    return best_per_id(reduce(DataFrame.unionByName, numbered), id_column, score, "part")
 
 
 def best_per_id(results: DataFrame, id_column: str, score: str, part: str) -> DataFrame:
@@ -84,41 +102,67 @@ def best_per_id(results: DataFrame, id_column: str, score: str, part: str) -> Da
     return best.orderBy(F.desc(score), id_column)
 
 
-def batch_top_vectors(
-    vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int, id_column: str, vector: str
-) -> DataFrame:
-    """(query_id, id, score): the best ``limit`` rows of each of a bounded list of queries.
+QUERY_BLOCK = 1_024
 
-    Each partition keeps its best per query, so what is shuffled is partitions x queries x limit.
+
+def batch_top_vectors(vectors: DataFrame, queries: DataFrame, limit: int, id_column: str, vector: str) -> DataFrame:
+    """(query_id, id, score, rank): the best ``limit`` rows of each query, for any number of queries.
+
+    ``queries`` is (query_id, a vector column named like that of ``vectors``).  They are taken in blocks
+    of about QUERY_BLOCK, one pass over the vectors each; a partition keeps its best per query, so what
+    is shuffled is partitions x queries x limit.  Ids keep their types; ties go by id.  Vectors that are
+    null, of another length or with null components are left out; a zero vector's score is 0.
     """
-    import numpy as np
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for n in range(blocks):
+        part = _block_top(vectors, numbered.where(F.col("_block") == n), limit, id_column, vector)
+        part = part if blocks == 1 else materialised(part, "knn")
+        out = part if out is None else out.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
-    ids = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], dtype=np.float64).reshape(len(ids), -1)
+
+def _block_top(vectors: DataFrame, queries: DataFrame, limit: int, id_column: str, vector: str) -> DataFrame:
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = queries.select("query_id", as_doubles(F.col(vector)).alias("v")).where("v IS NOT NULL").orderBy("query_id").collect()  # a block
+    names = [r.query_id for r in rows]
+    width = max((len(r.v) for r in rows), default=0)
+    kinds = (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_column])
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], schema)
+    matrix = np.array([[x or 0.0 for x in r.v] + [0.0] * (width - len(r.v)) for r in rows], dtype=np.float64)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)]
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[int, list[tuple[float, int]]] = {q: [] for q in ids}
+        asked, units = shared.value
+        held: list[list[tuple]] = [[] for _ in asked]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.asarray(batch.column(0).to_pylist())
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            ids = batch.column(0).to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))  # ties go by id: rows in that order
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
             size = np.linalg.norm(x, axis=1)
-            scores = np.where(size[:, None] > 0, x @ shared.value.T / np.maximum(size, 1e-300)[:, None], 0.0)
-            for k, q in enumerate(ids):
-                order = np.lexsort((keys, -scores[:, k]))[:limit]
-                held[q] = sorted([*held[q], *zip((-scores[order, k]).tolist(), keys[order].tolist())])[:limit]
-        rows = [(q, i, -s) for q, best in held.items() for s, i in best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())],
-            ["query_id", "id", "score"],
-        )
-
-    usable = vectors.select(F.col(id_column).cast("long"), as_doubles(F.col(vector)).alias("v")).where("v IS NOT NULL")
-    local = usable.mapInArrow(run, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= limit)
+            scores = np.where(size[:, None] > 0, x @ units.T / np.maximum(size, 1e-300)[:, None], 0.0)
+            cut = -np.partition(-scores, min(limit, len(x)) - 1, axis=0)[min(limit, len(x)) - 1]
+            for k, best in enumerate(held):
+                if len(best) == limit and cut[k] < best[-1][0] and scores[:, k].max() < best[-1][0]:
+                    continue
+                rows_ = np.nonzero(scores[:, k] >= cut[k])[0]
+                new = [(float(scores[r, k]), ids[order[r]]) for r in rows_.tolist()]
+                held[k] = sorted([*best, *new], key=lambda t: (-t[0], t[1] is not None, t[1]))[:limit]
+        flat = [(q, i, s) for q, best in zip(asked, held) for s, i in best]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], types[c]) for c in range(3)], ["query_id", "id", "score"])
+
+    usable = vectors.select(F.col(id_column).alias("id"), as_doubles(F.col(vector)).alias("v"))
+    usable = usable.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
+    return usable.mapInArrow(run, schema)
