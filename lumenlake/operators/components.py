@@ -43,9 +43,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         nxt, next_path = materialised_at(small, "links")
         discard(links.sparkSession, path)
         # stars only: no node is both an upper and a lower end, and every upper end has one link
-        stars = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(
-            nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi"
-        ).isEmpty()
+        several = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        both_ends = nxt.select("u").join(nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        stars = several.unionByName(both_ends).isEmpty()
         edges, path = nxt, next_path
         if stars:
             break
@@ -54,3 +54,28 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return out.unionByName(roots).select(F.col("node").cast(kind), F.col("component").cast(kind))
+
+
+class LocalForest:
+    """Union-find over the few rows of one task; the smaller id becomes the root."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x] = root
+            x = up
+        return root
+
+    def union(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(x, self.find(x)) for x in self.parent if self.find(x) != x]

@@ -1,7 +1,11 @@
 """Near-duplicate grouping by perceptual hash.
 
 Equal hashes are one hash.  Two hashes within t bits agree in at least r of t + r bands, so hashes
-meet under keys of r bands and are verified; the exact pairs feed connected components.
+meet under keys of r bands and are verified.  More bands a key (r) make more keys with fewer hashes
+each: r follows the number of hashes and changes no result.  For classes the hashes of a key are
+compared in pairs of blocks of bounded size, and each task sends on a spanning forest of its links,
+so neither a hot key (blank pictures) nor a large class makes a table of pairs.  `hash_pairs` is the
+search for the pairs themselves.
 """
 
 from __future__ import annotations
@@ -12,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.ids import group_id
-from lumenlake.functions.similarity import hamming, phash_halves, valid_phash
-from lumenlake.operators.components import components
+from lumenlake.functions.similarity import phash_halves, valid_phash
+from lumenlake.operators.components import LocalForest, components
+from lumenlake.plans.scratch import materialised
+
+BLOCK = 2_048  # hashes of a key that are compared with each other at once
 
 
 def distinct_hashes(media: DataFrame) -> DataFrame:
@@ -28,33 +35,103 @@ def distinct_hashes(media: DataFrame) -> DataFrame:
     )
 
 
-def band_keys(threshold: int, agreeing: int = 2):
-    """Keys of which hashes within ``threshold`` bits share one: bit masks over both halves."""
-    bands = min(64, threshold + agreeing)
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(bands), min(agreeing, bands))):
-        mask = sum(1 << bit for b in chosen for bit in range(edges[b], edges[b + 1]))
-        hi, lo = mask >> 32, mask & 0xFFFFFFFF
-        keys.append(F.struct(F.lit(number).alias("n"), F.col("hi").bitwiseAND(F.lit(hi)).alias("h"), F.col("lo").bitwiseAND(F.lit(lo)).alias("l")))
-    return F.array(*keys)
+def _bands(threshold: int, agreeing: int) -> list[int]:
+    """Masks of the bands that 64 bits are cut into."""
+    n = min(64, threshold + agreeing)
+    edges = [round(i * 64 / n) for i in range(n + 1)]
+    return [sum(1 << bit for bit in range(a, b)) for a, b in zip(edges, edges[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def agreeing_bands(hashes: int) -> int:
+    """How many bands a key has, so that few hashes share a key by chance: 13, 17 or 21 bits of a key at 8 bits."""
+    return 2 if hashes < 1_000_000 else 3 if hashes < 100_000_000 else 4
+
+
+def _keyed(hashes: DataFrame, threshold: int, agreeing: int) -> DataFrame:
+    """(phash, whole, n, key): each hash, as 64 bits, under its keys; n numbers the choice of bands."""
+    whole = F.shiftleft(F.col("hi"), 32).bitwiseOR(F.col("lo"))
+    bands = _bands(threshold, agreeing)
+    masks = [sum(chosen) for chosen in combinations(bands, min(agreeing, len(bands)))]
+    key = F.posexplode(F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: m.bitwiseAND(F.col("whole"))))
+    return hashes.select("phash", whole.alias("whole")).select("phash", "whole", key.alias("n", "key"))
 
 
 def hash_pairs(hashes: DataFrame, threshold: int, agreeing: int = 2) -> DataFrame:
-    """(a, b, distance) of distinct hashes within the threshold, a before b."""
-    keyed = hashes.select("phash", "hi", "lo", F.explode(band_keys(threshold, agreeing)).alias("key"))
-    left = keyed.select("key", F.col("phash").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
-    right = keyed.select("key", F.col("phash").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
-    distance = hamming(F.col("ah"), F.col("al"), F.col("bh"), F.col("bl"))
-    return left.join(right, "key").where("a < b").withColumn("distance", distance).where(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
+    """(a, b, distance) of distinct hashes within the threshold, a before b, each pair once.
+
+    A pair counts under the first bands in which it agrees, so that pairs need not be made distinct.
+    """
+    bands = _bands(threshold, agreeing)
+    chosen = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(len(bands)), min(agreeing, len(bands)))])
+    keyed = _keyed(hashes, threshold, agreeing)
+    left = keyed.select("n", "key", F.col("phash").alias("a"), F.col("whole").alias("x"))
+    right = keyed.select("n", "key", F.col("phash").alias("b"), F.col("whole").alias("y"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    same = [F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(bands)]
+    first = F.slice(F.filter(F.array(*same), lambda i: i.isNotNull()), 1, min(agreeing, len(bands)))
+    met = left.join(right, ["n", "key"]).where("a < b").withColumn("distance", F.bit_count(differ))
+    return met.where((F.col("distance") <= threshold) & (first == F.get(chosen, F.col("n")))).select("a", "b", "distance")
+
+
+def hash_links(hashes: DataFrame, threshold: int, agreeing: int) -> DataFrame:
+    """(a, b): links that join all hashes within the threshold, as signed 64 bits; a forest per task."""
+    keyed = _keyed(hashes, threshold, agreeing).drop("phash")
+    sizes = keyed.groupBy("n", "key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("c"))
+    met = keyed.join(sizes.where("c > 1").drop("c"), ["n", "key"])
+    block = F.pmod(F.xxhash64("whole"), F.col("blocks").cast("long")).cast("int")
+    placed = (
+        met.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("n", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "whole")
+    )
+    dealt = placed.repartition("n", "key", "i", "j").sortWithinPartitions("n", "key", "i", "j")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        forest, held = LocalForest(), None
+
+        def link(whole):
+            bits = whole.view(np.uint64)
+            for at in range(0, len(whole), 256):
+                near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, at:]) <= threshold
+                for x, y in zip(*(c.tolist() for c in np.nonzero(np.triu(near, 1)))):
+                    forest.union(int(whole[at + x]), int(whole[at + y]))
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("n", "key", "i", "j", "whole")]
+            if not len(columns[0]):
+                continue
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            cuts = np.nonzero(np.any([np.diff(c) != 0 for c in columns[:4]], axis=0))[0] + 1
+            for a, b in zip([0, *cuts.tolist()], cuts.tolist()):
+                if b - a > 1:
+                    link(columns[4][a:b])
+            held = [c[cuts[-1] if len(cuts) else 0 :].copy() for c in columns]
+        if held is not None:
+            link(held[4])
+        edges = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
-    """(id, root): each media row with a valid hash and the smallest id of its class."""
-    hashes = distinct_hashes(media)
-    linked = components(hash_pairs(hashes, threshold).select("a", "b"))
-    classes = hashes.join(linked, hashes["phash"] == linked["node"], "left").select(
-        "phash", "first_id", F.coalesce("component", "phash").alias("cls")
+    """(id, root): each media row with a valid hash and the smallest id of its class.
+
+    The classes of all media take a few shuffles: write the result and keep it until media change.
+    """
+    hashes = materialised(distinct_hashes(media), "hashes")
+    linked = components(hash_links(hashes, threshold, agreeing_bands(hashes.count())))
+    whole = F.shiftleft(F.col("hi"), 32).bitwiseOR(F.col("lo"))
+    classes = hashes.withColumn("whole", whole).join(linked, F.col("whole") == linked["node"], "left").select(
+        "phash", "first_id", F.coalesce("component", "whole").alias("cls")
     )
     roots = classes.groupBy("cls").agg(F.min("first_id").alias("root"))
     by_hash = classes.join(roots, "cls").select("phash", "root")
@@ -63,7 +140,11 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
 
 
 def groups(members: DataFrame) -> DataFrame:
-    """(representative, size, group_id, ids) of classes of two or more, largest first."""
+    """(representative, size, group_id, ids) of classes of two or more, largest first.
+
+    A group's id is a digest of all its ids in order, so a row holds its class: for classes that are
+    too large for a row use `group_sizes`, whose rows are the members.
+    """
     return (
         members.groupBy(F.col("root").alias("representative"))
         .agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("ids"))
