@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def uuid5(name: Column) -> Column:
-    """The version-5 UUID of a name in the URL namespace."""
-    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+#: Fixed value: the namespace of new people's ids.
+PERSON_NAMESPACE = "2f26cf002f654df18a469b0d5fc7e4d3"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version-5 UUID of a name in a namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws(
         "-",

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions.ids import PERSON_NAMESPACE, uuid5
 from lumenlake.functions.similarity import as_doubles, cosine_to
+from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
+from lumenlake.plans.scratch import materialised
 
 
 def face_candidates(limit: int) -> int:
@@ -56,12 +59,48 @@ def query_face(faces: DataFrame) -> DataFrame:
     return faces.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def face_search(
+    faces: DataFrame, media: DataFrame, query: list[float], filters: SearchFilters, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """People and media of the faces that match, of media that pass the filters; both best first, ``limit`` at most.
+
+    Media carry all their columns.  There is no hash to compare, so near-duplicate filters pass none or all.
+    """
+    matches = match_faces(faces, query, limit)
+    named = F.broadcast(matches.select(F.col("media_id").alias("id")).distinct())  # 500 at most
+    kept = media.where(conjunction([*pushed(filters), *residual(filters)])).join(named, "id", "left_semi")
+    seen = materialised(kept, "matched")  # 500 rows at most
+    inside = matches.join(F.broadcast(seen.select(F.col("id").alias("media_id"))), "media_id", "left_semi")
+    people = people_of_matches(inside).limit(limit)
+    found = media_of_matches(inside).drop("best_person_id").withColumnRenamed("media_id", "id")
+    results = seen.join(F.broadcast(found), "id").withColumns({
+        "vector_score": F.col("face_score"), "relevance_score": F.col("face_score"), "near_duplicate": F.lit(False),
+    })
+    return people, results.orderBy(F.desc("face_score"), "filename", "id").limit(limit)
+
+
+def assign_people(unknown: DataFrame, matches: DataFrame, threshold: float) -> DataFrame:
+    """(face_id, person_id, label, confidence) of each unknown face (face_id): its vote, or a new person named after the face."""
+    winners = vote(matches, "face_id", threshold).drop("votes")
+    new = F.concat(F.lit("person-"), uuid5(F.col("face_id").cast("string"), PERSON_NAMESPACE))
+    return unknown.select("face_id").join(winners, "face_id", "left").select(
+        "face_id", F.coalesce("person_id", new).alias("person_id"), "label", F.coalesce("confidence", F.lit(1.0)).alias("confidence")
+    )
+
+
 def vote(matches: DataFrame, key: str, threshold: float) -> DataFrame:
-    """The person of each unknown face: most matches within the distance, then the best score, then the last id."""
+    """The person of each unknown face: most matches within the distance, then the best score, then the last id.
+
+    ``matches`` has the order of its matches in ``ord``; a person's label is the first that there is.
+    """
     counted = (
         matches.where((1 - F.col("score") <= threshold) & F.col("person_id").isNotNull())
         .groupBy(key, "person_id")
-        .agg(F.count("*").alias("votes"), F.max("score").alias("best"), F.min("person_label").alias("label"))
+        .agg(
+            F.count("*").alias("votes"),
+            F.max("score").alias("best"),
+            F.min_by("person_label", F.when(F.col("person_label").isNotNull(), F.col("ord"))).alias("label"),
+        )
     )
     rank = F.struct("votes", "best", "person_id")
     return counted.groupBy(key).agg(F.max_by(F.struct("person_id", "label", "votes", "best"), rank).alias("w")).select(
@@ -102,8 +141,8 @@ def first_apart(faces: Column, threshold: float) -> Column:
 def cluster_in_order(faces: DataFrame, threshold: float) -> DataFrame:
     """(face_id, person) by arrival: a face joins the person whose first face is most similar, or founds one.
 
-    Each decision depends on all before it, so one medium's faces are one serial fold; media are
-    independent of each other.
+    Each decision depends on all before it, so one medium's faces are one serial fold, in one task; media
+    are independent of each other.  To give people across media use `assign_people` on a batch.
     """
     import numpy as np
     import pandas as pd
@@ -126,4 +165,6 @@ def cluster_in_order(faces: DataFrame, threshold: float) -> DataFrame:
                 out.append(face_id)
         return pd.DataFrame({"media_id": pdf["media_id"], "face_id": pdf["face_id"], "person": out})
 
-    return faces.select("media_id", "face_id", "vector").groupBy("media_id").applyInPandas(fold, "media_id long, face_id long, person long")
+    kinds = dict(faces.dtypes)
+    schema = f"media_id {kinds['media_id']}, face_id {kinds['face_id']}, person {kinds['face_id']}"
+    return faces.select("media_id", "face_id", "vector").groupBy("media_id").applyInPandas(fold, schema)

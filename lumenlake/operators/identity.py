@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators.faces import summarise_people
+from lumenlake.operators.filters import has_speaker
 
 
 def check_label(label: str) -> str:
@@ -56,7 +57,22 @@ def missing_sources(faces: DataFrame, sources: list[str]) -> DataFrame:
     return asked.join(faces.select("person_id").distinct(), "person_id", "left_anti")
 
 
+def rename_faces(faces: DataFrame, person_id: str, label: str) -> DataFrame:
+    """Face rows with the person's label; ``changed`` tells rows that differ."""
+    mine = F.col("person_id").eqNullSafe(F.lit(person_id))
+    label = F.lit(check_label(label))
+    return faces.withColumns({"changed": mine & ~F.col("person_label").eqNullSafe(label), "person_label": F.when(mine, label).otherwise(F.col("person_label"))})
+
+
+def require_person(media: DataFrame, faces: DataFrame, person_id: str) -> None:
+    """An error if neither a medium nor a face knows the person."""
+    known = F.exists("faces", lambda f: f["person_id"] == person_id) | F.exists("people", lambda p: p["person_id"] == person_id)
+    if media.where(known).isEmpty() and faces.where(F.col("person_id") == person_id).isEmpty():
+        raise LookupError(f"person {person_id} was not found")
+
+
 def rename_speaker(media: DataFrame, speaker_id: str, label: str) -> DataFrame:
+    """Media with the speaker's label in recognised voices and segments; ``changed`` tells rows that differ."""
     label = check_label(label)
     audio = F.col("audio_analysis")
     voices = _relabel(audio["recognized_voices"], "id", "label", speaker_id, label)
@@ -65,6 +81,63 @@ def rename_speaker(media: DataFrame, speaker_id: str, label: str) -> DataFrame:
     return media.withColumns({"changed": ~new.eqNullSafe(audio), "audio_analysis": new})
 
 
+def first_label(media: DataFrame, speaker_id: str) -> str | None:
+    """A speaker's first label that isn't blank by media id: of the recognised voices, or else of the segments."""
+    audio, blank = F.col("audio_analysis"), F.lit("")
+
+    def labels(items: Column, key: str, name: str) -> Column:
+        mine = F.filter(items, lambda x: (x[key] == speaker_id) & (F.coalesce(F.trim(x[name]), blank) != ""))
+        return F.try_element_at(F.transform(mine, lambda x: F.trim(x[name])), F.lit(1))
+
+    found = media.select(
+        "id", labels(audio["recognized_voices"], "id", "label").alias("voice"), labels(audio["audio_segments"], "speaker_id", "speaker_label").alias("segment")
+    )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id")))
+    row = found.agg(first("voice").alias("voice"), first("segment").alias("segment")).first()
+    return row.voice or row.segment
+
+
+def has_speaker_anywhere(media: DataFrame, speaker_id: str, registry: DataFrame | None = None) -> bool:
+    if registry is not None and not registry.where(F.col("id") == speaker_id).isEmpty():
+        return True
+    return not media.where(has_speaker(speaker_id)).isEmpty()
+
+
+def merge_speakers(media: DataFrame, sources: list[str], target: str, label: str | None = None) -> DataFrame:
+    """Media with the source speakers remapped to the target; ``changed`` tells rows that differ.
+
+    The voices of one medium that become the same are one: counts and seconds summed, confidence weighted
+    by the counts (1 for none), in the place of the first.  The label is the target's first one, or its id.
+    """
+    wanted = list(dict.fromkeys(s.strip() for s in sources if s.strip() and s.strip() != target))
+    if not wanted:
+        raise ValueError("there is no source to merge")
+    name = F.lit(label or first_label(media, target) or target)
+    audio = F.col("audio_analysis")
+    segments = F.transform(audio["audio_segments"], lambda s: F.when(
+        s["speaker_id"].isin(*wanted), s.withField("speaker_id", F.lit(target)).withField("speaker_label", name)).otherwise(s))
+    voices = audio["recognized_voices"]
+    hit = lambda v: v["id"].isin(*wanted, target)
+    mine = F.filter(voices, hit)
+    weight = lambda v: F.greatest(v["segment_count"], F.lit(1))
+    total = lambda f: F.aggregate(mine, F.lit(0.0), lambda acc, v: acc + f(v))
+    kind = media.schema["audio_analysis"].dataType["recognized_voices"].dataType
+    one = F.struct(
+        F.lit(target).alias("id"), name.alias("label"), total(lambda v: v["segment_count"]).cast("int").alias("segment_count"),
+        F.round(total(lambda v: v["total_seconds"]), 3).alias("total_seconds"),
+        (total(lambda v: v["confidence"].cast("double") * weight(v)) / total(weight)).alias("confidence"),
+    ).cast(kind.elementType)
+    place = F.array_position(F.transform(voices, hit), F.lit(True))
+    rest = F.filter(F.transform(voices, lambda v, i: F.when(i + 1 == place, one).when(~hit(v), v)), lambda v: v.isNotNull())
+    touched = F.coalesce(F.exists(voices, lambda v: v["id"].isin(*wanted)), F.lit(False))
+    new = audio.withField("audio_segments", segments).withField("recognized_voices", F.when(touched, rest).otherwise(voices))
+    return media.withColumns({"changed": audio.isNotNull() & ~new.eqNullSafe(audio), "audio_analysis": new})
+
+
+def rename_registry(voices: DataFrame, speaker_id: str, label: str) -> DataFrame:
+    return voices.withColumn("label", F.when(F.col("id") == speaker_id, F.lit(check_label(label))).otherwise(F.col("label")))
+
+
 def merge_registry(voices: DataFrame, sources: list[str], target: str) -> DataFrame:
     """The voice registry with the sources' embeddings moved to the target and the sources gone."""
     name = F.when(F.col("id").isin(*sources), F.lit(target)).otherwise(F.col("id"))

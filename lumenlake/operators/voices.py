@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def recognised(segments: DataFrame) -> DataFrame:
-    """Per medium and voice over (media_id, voice_id, label, start, end, score): counts, seconds and mean score."""
+    """Per medium and voice over (media_id, voice_id, label, start, end, score): the first label, counts, seconds and mean score."""
     seconds = F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
     return (
         segments.where("voice_id IS NOT NULL")
         .groupBy("media_id", "voice_id")
         .agg(
-            F.min("label").alias("label"),
+            F.min_by("label", F.when(F.col("label").isNotNull(), F.col("start"))).alias("label"),
             F.count("*").alias("segment_count"),
             F.round(F.sum(seconds), 3).alias("total_seconds"),
             F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("score"))).alias("confidence"),
@@ -28,7 +28,7 @@ def usable_segments(segments: DataFrame, least: float = 0.25, most: float = 30.0
 def enrol(segments: DataFrame, group: str, min_score: float = 0.86) -> DataFrame:
     """(group, segment_id, voice): recognise or enrol in the order of segment_id.
 
-    Whether a segment founds a voice depends on all before it, so one registry is one serial fold;
+    Segments with a start and an end take part only if their length is usable.  Whether a segment founds a voice depends on all before it, so one registry is one serial fold;
     registries (``group``) are independent.  Voices are numbered from 1.
     """
     import numpy as np
@@ -51,5 +51,7 @@ def enrol(segments: DataFrame, group: str, min_score: float = 0.86) -> DataFrame
             voices.append(f"voice-{best + 1:04d}")
         return pd.DataFrame({group: pdf[group], "segment_id": pdf["segment_id"], "voice": voices})
 
+    if {"start", "end"} <= set(segments.columns):
+        segments = usable_segments(segments)
     kinds = dict(segments.dtypes)
     return segments.select(group, "segment_id", "embedding").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, segment_id {kinds['segment_id']}, voice string")
