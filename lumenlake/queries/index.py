@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators import deletion
+from lumenlake.operators import deletion, payload, search
 from lumenlake.plans import planning
+from lumenlake.plans.ledger import IndexLedger
+from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
+from lumenlake.sources.tables import VersionedTable
 from lumenlake.streaming import watch
 
 SIDES_SQL = """
@@ -89,14 +92,18 @@ def upsert_rewrite(t) -> DataFrame:
     new = old.where("p_partkey % 10 = 0").withColumn("p_name", F.lit("new")).unionByName(
         old.where("p_partkey % 50 = 0").withColumns({"p_partkey": F.col("p_partkey") + 100000000, "p_name": F.lit("added")})
     )
-    return old.join(new.select("p_partkey"), "p_partkey", "left_anti").unionByName(new)
+    table = VersionedTable(old.sparkSession, scratch_dir(old.sparkSession, "parts"), "p_partkey", old.schema)
+    table.upsert(old)
+    table.upsert(new)
+    return table.read()
 
 
 @query("SELECT doc_id AS id, 'best' AS part FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'rest' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
 def union_all_dedup(t) -> DataFrame:
     d = t("documents")
-    both = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("best").alias("part")).unionByName(d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("rest").alias("part")))
-    return both.groupBy("id").agg(F.min("part").alias("part"))
+    part = lambda k: d.where(F.col("doc_id") % k == 0).select(F.col("doc_id").alias("id"), F.lit(1.0).alias("score"))
+    found = search.merged_parts([part(2), part(3)], "id", "score")
+    return found.select("id", F.get(F.array(F.lit("best"), F.lit("rest")), F.col("part")).alias("part"))
 
 
 @query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -148,17 +155,40 @@ def snapshot_diff(t) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
 def history_newest(t) -> DataFrame:
-    return t("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(8).select("event_id", "user_id")
+    return payload.newest(t("events"), "ts", "event_id").select("event_id", "user_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN TRUE WHEN doc_id % 4 = 1 THEN doc_id % 3 <> 0 WHEN doc_id % 4 = 2 THEN doc_id % 2 <> 0 OR n_chars > 500 ELSE doc_id % 5 <> 0 END AS complete FROM documents")
+@query("""
+WITH d AS (SELECT doc_id AS i, n_chars, (['static_image', 'video_scene', 'audio', 'pdf_page'])[doc_id % 4 + 1] AS kind FROM documents),
+x AS (SELECT *, CASE WHEN i % 3 <> 0 THEN 1 END AS scene, CASE WHEN i % 7 <> 0 THEN 1 END AS bound, i % 5 <> 0 AS present, i % 11 <> 0 AS speech, n_chars > 500 AS told FROM d)
+SELECT i AS doc_id, NOT (kind = 'video_scene' AND (scene IS NULL OR bound IS NULL))
+  AND CASE WHEN kind = 'audio' AND NOT present THEN FALSE WHEN kind IN ('audio', 'video_scene') AND present AND speech AND NOT told THEN FALSE ELSE TRUE END AS complete,
+  NOT (kind = 'video_scene' AND (scene IS NULL OR bound IS NULL)) AS without_transcription FROM x""")
 def analysis_complete(t) -> DataFrame:
     from lumenlake.operators.filters import analysis_complete as complete
 
     i = F.col("doc_id")
-    kind = F.when(i % 4 == 0, "static_image").when(i % 4 == 1, "video_scene").when(i % 4 == 2, "audio").otherwise("audio")
-    bound = F.when(i % 3 != 0, 1.0)
-    audio = F.struct((i % 4 == 2).alias("speech_detected"), F.when(F.col("n_chars") > 500, "said").otherwise(" ").alias("transcript_text"))
-    present = F.when((i % 4 == 2) | ((i % 4 == 3) & (i % 5 != 0)), audio)
-    # ids of the third kind are even: their speech needs a transcript
-    return t("documents").select("doc_id", complete(kind, bound, bound, present, True).alias("complete"))
+    kind = F.get(F.array(*map(F.lit, ("static_image", "video_scene", "audio", "pdf_page"))), (i % 4).cast("int"))
+    scene, bound = F.when(i % 3 != 0, 1), F.when(i % 7 != 0, 1.0)
+    audio = F.when(i % 5 != 0, F.struct((i % 11 != 0).alias("speech_detected"), F.when(F.col("n_chars") > 500, "said").otherwise(" ").alias("transcript_text")))
+    return t("documents").select("doc_id", *(complete(kind, scene, bound, F.lit(2.0), audio, on).alias(n) for on, n in ((True, "complete"), (False, "without_transcription"))))
+
+
+@query("""
+SELECT 'u' || o_orderkey AS uri, CASE WHEN o_orderkey % 4 = 0 THEN 'completed' WHEN o_orderkey % 4 = 1 THEN 'failed' WHEN o_orderkey % 8 = 2 THEN 'cancelled' ELSE 'running' END AS status,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'a,b,c' WHEN o_orderkey % 3 = 0 THEN 'a,b' ELSE '' END AS points FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 4 = 1""")
+def ledger_of_a_run(t) -> DataFrame:
+    """A run that registers items, commits points in two batches, and completes, fails or cancels some."""
+    orders = t("orders")
+    spark, k = orders.sparkSession, F.col("o_orderkey")
+    uri = F.concat(F.lit("u"), k.cast("string")).alias("uri")
+    items = orders.where((k % 2 == 0) | (k % 4 == 1)).select(k, uri, F.lit("s").alias("source"), F.col("o_custkey").alias("size_bytes"), F.col("o_totalprice").alias("modified_at"), F.lit("v6").alias("profile"))
+    ledger = IndexLedger(spark, scratch_dir(spark, "ledger"))
+    ledger.register(items)
+    for points in (("a",), ("b", "a")):
+        ledger.commit(items.where(k % 3 == 0).select("uri", F.explode(F.array(*map(F.lit, points))).alias("point_id")))
+    ledger.complete(items.where(k % 4 == 0).select("uri", F.array(*map(F.lit, "abc")).alias("point_ids")))
+    ledger.fail(items.where(k % 4 == 1).select("uri", F.lit("broken").alias("error")))
+    ledger.cancel(items.where((k % 8 == 2) | (k % 4 == 0)))
+    ledger.register(items)  # a second registration changes no entry
+    return ledger.load()[0].select("uri", "status", F.array_join("point_ids", ",").alias("points"))

@@ -32,20 +32,27 @@ def knn_topk(t) -> DataFrame:
     return top.select(rank.alias("rank"), "vec_id", rounded(F.col("score")).alias("score"))
 
 
-@query(f"WITH {SCORED}, w AS (SELECT * FROM scored WHERE label = 1 ORDER BY s DESC, vec_id LIMIT 96) SELECT vec_id, round(s, 6) AS score FROM w WHERE vec_id % 3 = 0 ORDER BY s DESC, vec_id LIMIT 12")
+@query(f"""WITH {SCORED}, w AS (SELECT * FROM scored WHERE label = 1 ORDER BY s DESC, vec_id LIMIT 96),
+d AS (SELECT *, CAST(bit_count(vec_id % 4096) AS INT) AS distance FROM w WHERE vec_id % 3 = 0)
+SELECT vec_id, round(s, 6) AS score, distance, distance <= 2 AS near_duplicate, round(CASE WHEN distance > 2 THEN s ELSE 2 + (2 - distance + 1) / 3.0::DOUBLE + least(1, greatest(0, s)) * 0.01::DOUBLE END, 6) AS relevance FROM d ORDER BY s DESC, vec_id LIMIT 12""")
 def knn_filtered_candidate_window(t) -> DataFrame:
-    rows = t("embeddings").where("label = 1")
-    window = search.top_vectors(rows, _query_vector(t), search.candidate_window(12, True), "vec_id", "embedding")
-    return window.where("vec_id % 3 = 0").orderBy(F.desc("score"), "vec_id").limit(12).select("vec_id", rounded(F.col("score")).alias("score"))
+    i = F.col("vec_id")
+    none = F.lit(None).cast("string")
+    rows = t("embeddings").select(
+        i.alias("id"), F.col("embedding").alias("visual"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("source_type"), F.lpad(F.lower(F.hex(i % 4096)), 16, "0").alias("phash"),
+        F.concat(F.lit("kind"), (i % 3).cast("string")).alias("filename"), none.alias("relative_path"), none.alias("path"), none.alias("source_uri"),
+    )
+    found = search.search_media(rows, _query_vector(t), "0" * 16, SearchFilters(source_type="l1", name="KIND0"), 12, threshold=2)
+    return found.select(F.col("id").alias("vec_id"), rounded(F.col("vector_score")).alias("score"), F.col("phash_distance").cast("int").alias("distance"), "near_duplicate", rounded(F.col("relevance_score")).alias("relevance"))
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 8),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS s FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
 SELECT query_id, id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM r WHERE rank <= 10""")
 def knn_batch_topk(t) -> DataFrame:
-    queries = [(r.vec_id, r.embedding) for r in t("embeddings").where("vec_id < 8").orderBy("vec_id").collect()]
+    queries = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = search.batch_top_vectors(t("embeddings"), queries, 10, "vec_id", "embedding")
     return found.select("query_id", "id", "rank", rounded(F.col("score")).alias("score"))
 
@@ -158,8 +165,8 @@ def _album(sort: str, order: str, dup: bool = False):
 
     def run(t) -> DataFrame:
         m = media(t)
-        rows = albums.matching(m, SearchFilters(width_min=672), duplicates.membership(m, 8))
-        return albums.page(rows, sort, 20, 60).select("id", "filename")
+        members = duplicates.membership(m, 8) if sort == "duplicate_group_size" else None
+        return albums.album_results(m, SearchFilters(width_min=672), members, sort, 20, 60)[0].select("id", "filename")
 
     return run, sql
 
@@ -178,9 +185,15 @@ for _sort, _order in {
 
 @query(f"WITH {MEDIA_SQL} SELECT count(*) AS total FROM media WHERE media_kind = 'static_image' AND contains(lower(ocr_text), 'the')")
 def album_page_total(t) -> DataFrame:
-    criteria = SearchFilters(media_kind="static_image")
-    rows = media(t).where(conjunction(pushed(criteria)) & F.contains(F.lower("ocr_text"), F.lit("the")))
-    return rows.agg(F.count("*").alias("total"))
+    return albums.album_results(media(t), SearchFilters(media_kind="static_image", text="THE"))[1]
+
+
+@query(f"""WITH RECURSIVE {MEMBERS_SQL} SELECT m.id, root AS duplicate_root, size AS duplicate_group_size FROM media m JOIN members USING (id)
+WHERE size > 1 AND width <= 736 ORDER BY modified_at DESC, filename, m.id LIMIT 30 OFFSET 5""")
+def album_of_duplicates(t) -> DataFrame:
+    m = media(t)
+    album = albums.SmartAlbum("twice", SearchFilters(near_duplicates="only", width_max=736.5), sort="modified_newest", limit=30)
+    return album.results(m, duplicates.membership(m, 8), 5)[0].select("id", "duplicate_root", "duplicate_group_size")
 
 
 @query("""

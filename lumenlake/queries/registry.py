@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.schema import MEDIA_FIELDS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,6 +56,8 @@ def media(t) -> DataFrame:
             F.array(F.concat(F.lit("key"), (i % 5).cast("string"))).alias("keywords"),
         ).alias("photo_metadata"),
         F.col("text").alias("ocr_text"),
+        F.array().cast(MEDIA_FIELDS["ocr_frames"]).alias("ocr_frames"),
+        F.lit(None).cast(MEDIA_FIELDS["audio_analysis"]).alias("audio_analysis"),
         F.col("lang"),
     )
 

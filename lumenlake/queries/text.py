@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import temporal
 from lumenlake.functions import text as tx
-from lumenlake.operators import deletion, enrichment, segments
+from lumenlake.operators import deletion, enrichment, search, segments
+from lumenlake.operators.filters import SearchFilters
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
 
 @query(f"WITH {MEDIA_SQL} SELECT id, filename, 1.0::DOUBLE AS score FROM media WHERE contains(lower(trim(regexp_replace(ocr_text, '\\s+', ' ', 'g'))), 'of the') OR (contains(lower(ocr_text), 'of') AND contains(lower(ocr_text), 'the')) ORDER BY filename, id LIMIT 30")
 def text_search_topk(t) -> DataFrame:
-    found = media(t).withColumn("score", tx.match_score("of the", F.col("ocr_text"))).where("score IS NOT NULL")
-    return found.orderBy(F.desc("score"), "filename", "id").limit(30).select("id", "filename", "score")
+    return search.search_text(media(t), "of the", SearchFilters(), 30).select("id", "filename", "score")
 
 
 @query(f"WITH {MEDIA_SQL} SELECT id FROM media WHERE contains(lower(ocr_text), 'tion') AND contains(lower(ocr_text), 'able') AND contains(lower(ocr_text), 'ing')")
@@ -58,7 +58,7 @@ def artifact_manifest(t) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_get(t) -> DataFrame:
-    return t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return t("events").select("event_id", tx.json_field(F.col("props"), "$.k", "bigint").alias("k"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(epoch(o_orderdate) AS DOUBLE) + CASE WHEN o_orderkey % 4 = 1 THEN 0 WHEN o_orderkey % 4 = 2 THEN -7200 ELSE 0.25 END END AS epoch FROM orders")
@@ -68,7 +68,7 @@ def rfc3339_epoch_of_orders(t) -> DataFrame:
     return t("orders").select("o_orderkey", temporal.rfc3339_epoch(s).alias("epoch"))
 
 
-SEGMENTS_SQL = "seg AS (SELECT conv_id, turn, role, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 1 + (length(text) % 40) / 10.0::DOUBLE AS b FROM conversations), win AS (SELECT DISTINCT conv_id, w, w * 3.0::DOUBLE AS wa, w * 3.0::DOUBLE + 3 AS wb FROM conversations, (SELECT unnest(range(0, 4)) AS w))"
+SEGMENTS_SQL = "seg AS (SELECT conv_id, turn, role, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 1 + (length(text) % 40) / 10.0::DOUBLE AS b FROM conversations), win AS (SELECT conv_id, w, w * 3.0::DOUBLE AS wa, w * 3.0::DOUBLE + 3 AS wb FROM (SELECT conv_id, unnest(range(0, CAST(floor(max(b) / 3) AS BIGINT) + 1)) AS w FROM seg GROUP BY conv_id))"
 
 
 def _segments(t) -> DataFrame:
@@ -76,8 +76,10 @@ def _segments(t) -> DataFrame:
 
 
 def _windows(t) -> DataFrame:
+    """Windows of three seconds over each conversation's whole length."""
     w = F.col("w")
-    return t("conversations").select("conv_id").distinct().withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).select("conv_id", "w", (w * 3.0).alias("window_start"), (w * 3.0 + 3).alias("window_end"))
+    last = _segments(t).groupBy("conv_id").agg(F.floor(F.max("end") / 3).alias("last"))
+    return last.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("conv_id", "w", (w * 3.0).alias("window_start"), (w * 3.0 + 3).alias("window_end"))
 
 
 OVERLAP_SQL = f"WITH {SEGMENTS_SQL} SELECT s.conv_id, w, turn, round(least(b, wb) - greatest(a, wa), 6) AS seconds FROM seg s JOIN win USING (conv_id) WHERE least(b, wb) - greatest(a, wa) > 0"
@@ -121,14 +123,40 @@ def onset_point_in_segment(t) -> DataFrame:
     return _spans(t).select("conv_id", temporal.points_inside(onsets, F.lit(1.0), F.lit(5.0)).alias("inside"))
 
 
-@query()
+THIN_SQL = "list_reduce(list_transform(list_sort({0}), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= {1} THEN acc || x ELSE acc END)"
+
+
+@query(f"""
+WITH {SEGMENTS_SQL}, c AS (SELECT conv_id, max(b) * 9 AS d, list({{'a': a * 9, 'b': b * 9}} ORDER BY a) FILTER (role = 'user') AS sp, list(a * 9 ORDER BY a) AS ons FROM seg GROUP BY conv_id),
+k AS (SELECT conv_id, d, coalesce(sp, []) AS sp, ons, list_reduce(list_prepend([0.0::DOUBLE], list_transform(list_filter(ons, lambda o: o > 0 AND o < d), lambda o: [o])), lambda acc, o: CASE WHEN o[1] - acc[-1] >= 8 THEN acc || o ELSE acc END) AS kept FROM c),
+cuts AS (SELECT *, {THIN_SQL.format("list_concat(list_concat([0.0::DOUBLE, d], kept), list_concat(list_transform(sp, lambda s: s.a), list_transform(sp, lambda s: s.b)))", 0.25)} AS cut FROM k),
+pieces AS (SELECT *, {THIN_SQL.format("list_concat([cut[-1]], flatten(list_transform(range(1, len(cut)), lambda i: list_transform(range(0, greatest(1, CAST(ceil((cut[i + 1] - cut[i]) / 30) AS BIGINT))), lambda j: cut[i] + 30 * j))))", 0.25)} AS p FROM cuts),
+e AS (SELECT conv_id, sp, ons, p[i] AS a, p[i + 1] AS b, i FROM (SELECT *, unnest(range(1, len(p))) AS i FROM pieces)),
+h AS (SELECT *, coalesce(list_sum(list_transform(sp, lambda s: greatest(0, least(s.b, b) - greatest(s.a, a)))), 0) AS heard, len(list_filter(ons, lambda o: o >= a AND o < b)) AS hits FROM e),
+kept AS (SELECT * FROM h WHERE b - a >= 0.75 AND NOT (heard <= 0 AND hits = 0 AND len(sp) > 0))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INT) AS segment_index, round(a, 3) AS start_seconds, round(b, 3) AS end_seconds,
+  CASE WHEN heard / (b - a) >= 0.35 THEN 'speech' WHEN hits > 0 THEN 'music_or_sound' ELSE 'audio' END AS kind,
+  round(CASE WHEN heard / (b - a) >= 0.35 THEN least(1.0, heard / (b - a)) WHEN hits > 0 THEN greatest(0.25, least(0.85, hits / 6.0)) ELSE 0.25 END, 6) AS confidence FROM kept""")
 def segment_boundaries(t) -> DataFrame:
-    spans = F.col("spans")
-    ends = F.transform(spans, lambda s: s["end_seconds"])
-    onsets = F.transform(spans, lambda s: s["start_seconds"])
-    cuts = temporal.speech_boundaries(F.col("duration"), ends, onsets)
-    speech = F.filter(spans, lambda s: s["text"] == "user")
-    return _spans(t).select("conv_id", F.posexplode(segments.audio_bits(cuts, speech, onsets)).alias("segment_index", "s")).select("conv_id", "segment_index", "s.*")
+    span = F.struct((F.col("start") * 9).alias("start_seconds"), (F.col("end") * 9).alias("end_seconds"))
+    rows = _segments(t).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("role") == "user", span))).alias("speech"), F.sort_array(F.collect_list(F.col("start") * 9)).alias("onsets"), F.max(F.col("end") * 9).alias("duration")
+    )
+    duration, speech, onsets = F.col("duration"), F.col("speech"), F.col("onsets")
+    bits = segments.audio_bits(duration, temporal.speech_boundaries(duration, speech, onsets), speech, onsets)
+    cut = rows.select("conv_id", F.posexplode(bits).alias("segment_index", "s")).select("conv_id", "segment_index", "s.*")
+    return cut.withColumn("confidence", rounded(F.col("confidence")))
+
+
+@query("""
+WITH c AS (SELECT conv_id, list({'t': trim(text), 'turn': turn} ORDER BY turn) FILTER (trim(text) <> '') AS s FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5(array_to_string(list_transform(s, lambda x: x.t), ' ')) AS text, CAST(len(s) AS INT) AS parts FROM c WHERE len(s) > 0""")
+def transcript_mapping(t) -> DataFrame:
+    part = F.struct(F.col("turn").alias("index"), F.col("turn").cast("double").alias("start_seconds"), (F.col("turn") + 1).cast("double").alias("end_seconds"), F.concat(F.lit(" "), "text").alias("text"), F.lit(0.5).alias("confidence"))
+    rows = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("segments"))
+    spoken = F.struct(F.lit(None).cast("string").alias("text"), F.lit("en").alias("language"), "segments")
+    mapped = rows.select("conv_id", segments.transcript(spoken).alias("m")).where("m IS NOT NULL")
+    return mapped.select("conv_id", F.md5("m.text").alias("text"), F.size("m.segments").alias("parts"))
 
 
 @query("""
@@ -196,13 +224,45 @@ def gif_duration(t) -> DataFrame:
     return delays.select("user_id", temporal.total_delay_ms(F.col("d")).alias("duration_ms"))
 
 
-@query()
+COLOR_SQL = """
+b AS (SELECT page_id, hex(encode(coalesce(url, ''))) AS h, strlen(coalesce(url, '')) AS n FROM pages),
+p AS (SELECT page_id, h, n, unnest(range(0, greatest(1, (n + 2) // 3))) AS px FROM b),
+v AS (SELECT page_id, px, c, CASE WHEN px * 3 + c < n THEN CAST('0x' || substr(h, 2 * (px * 3 + c) + 1, 2) AS BIGINT) ELSE 32 END / 255.0::DOUBLE AS x FROM p, (SELECT unnest([0, 1, 2]) AS c)),
+s AS (SELECT page_id, CASE c WHEN 0 THEN px % 6 WHEN 1 THEN 6 + px % 5 ELSE 11 + px % 5 END AS spot, sum(x) AS x FROM v GROUP BY 1, 2),
+u AS (SELECT page_id, spot, x / sqrt(sum(x * x) OVER (PARTITION BY page_id)) AS x FROM s)"""
+
+
+@query(f"WITH {COLOR_SQL} SELECT page_id, round(max(x) FILTER (spot = 0), 5) AS first, round(coalesce(max(x) FILTER (spot = 15), 0), 5) AS last, round(sum(x), 4) AS total FROM u GROUP BY page_id")
 def color_vector_udf(t) -> DataFrame:
-    images = t("pages").select("page_id", F.encode(F.rpad(F.substring("url", 1, 48), 48, " "), "UTF-8").alias("data")).where(F.octet_length("data") == 48)
-    return enrichment.with_color_vectors(images, 16).select("page_id", "visual")
+    """The bytes of a whole url as pixels, the last one filled with blanks; a null url is one blank pixel."""
+    url = F.coalesce("url", F.lit(""))
+    size = F.octet_length(url)
+    missing = F.when(size == 0, 3).otherwise(F.pmod(-size, F.lit(3)))
+    images = t("pages").select("page_id", F.encode(F.concat(url, F.repeat(F.lit(" "), missing)), "UTF-8").alias("data"))
+    found = enrichment.with_color_vectors(images, 16).select("page_id", F.transform("visual", lambda x: x.cast("double")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return found.select("page_id", rounded(F.get("v", F.lit(0)), 5).alias("first"), rounded(F.get("v", F.lit(15)), 5).alias("last"), rounded(total, 4).alias("total"))
 
 
 @query()
 def perceptual_hash_udf(t) -> DataFrame:
     images = t("pages").select("page_id", F.unhex(F.rpad(F.sha2("html", 256), 384, "0")).alias("data"), F.lit(8).alias("width"), F.lit(8).alias("height"))
     return enrichment.with_hashes(images).select("page_id", "phash")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END * round(s_suppkey % 90 + 24.5 / 60 + 36 / 3600.0, 6) AS degrees, CASE WHEN s_suppkey % 7 > 0 THEN round((s_suppkey % 50) / (s_suppkey % 7), 6) END AS quotient, CASE WHEN s_suppkey % 5 > 0 THEN greatest(1, CAST(round(1000.0 / (s_suppkey % 5)) AS INT)) ELSE 100 END AS delay FROM supplier")
+def rational_texts(t) -> DataFrame:
+    k = F.col("s_suppkey")
+    degrees = F.concat((k % 90).cast("string"), F.lit(" 49/2 36"))
+    return t("supplier").select(
+        "s_suppkey", rounded(temporal.dms_text_to_decimal(degrees, F.when(k % 2 == 0, "w").otherwise("E"))).alias("degrees"),
+        rounded(temporal.rational(F.concat((k % 50).cast("string"), F.lit("/"), (k % 7).cast("string")))).alias("quotient"), temporal.frame_delay_ms((k % 5).cast("double")).alias("delay"),
+    )
+
+
+@query(f"WITH {MEDIA_SQL} SELECT id FROM media WHERE width >= 672 AND size_bytes <= 0.003 * 1024 * 1024 AND photo_has_gps AND photo_capture_time_epoch >= 1600473600 AND photo_capture_time_epoch < 1609459200 - 0.001")
+def client_filters(t) -> DataFrame:
+    from lumenlake.operators.filters import client_filters, conjunction
+
+    asked = {"min_width": " 672 ", "max_width": "-5", "max_size_mb": "0.003", "min_height": "tall", "has_gps": "yes", "capture_from": "2020-09-19", "capture_to": "2020-12-31", "date_to": "never"}
+    return media(t).where(conjunction(client_filters(asked))).select("id")

@@ -56,7 +56,7 @@ def readiness_rollup(t) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT event_type AS part, event_id AS id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events)
+WITH r AS (SELECT event_type AS part, event_id AS id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events QUALIFY n <= 50)
 SELECT part, count(*) AS count, arg_min(id, n) AS first, arg_max(id, n) AS last FROM r GROUP BY part""")
 def response_by_part(t) -> DataFrame:
     rows = t("events").select(F.col("event_type").alias("part"), F.col("event_id").alias("id"), F.col("value").alias("score"), F.lit("0" * 16).alias("phash"))
@@ -107,10 +107,10 @@ def seed_distinct_content(t) -> DataFrame:
     return payload.first_by_content(files, 120).select("file_id")
 
 
-@query("SELECT conv_id AS media_id, role AS voice_id, min(role) AS label, count(*) AS segment_count, round(sum((length(text) % 40) / 8.0::DOUBLE), 3) AS total_seconds, round(least(1.0, greatest(0.0, avg((turn % 5) / 3.0::DOUBLE))), 6) AS confidence FROM conversations GROUP BY 1, 2")
+@query("SELECT conv_id AS media_id, role AS voice_id, arg_min('L' || (turn * 7 % 5), turn) FILTER (turn % 3 > 0) AS label, count(*) AS segment_count, round(sum((length(text) % 40) / 8.0::DOUBLE), 3) AS total_seconds, round(least(1.0, greatest(0.0, avg((turn % 5) / 3.0::DOUBLE))), 6) AS confidence FROM conversations GROUP BY 1, 2")
 def recognised_voices(t) -> DataFrame:
     seg = t("conversations").select(
-        F.col("conv_id").alias("media_id"), F.col("role").alias("voice_id"), F.col("role").alias("label"), (F.col("turn") * 1.0).alias("start"),
+        F.col("conv_id").alias("media_id"), F.col("role").alias("voice_id"), F.when(F.col("turn") % 3 > 0, F.concat(F.lit("L"), (F.col("turn") * 7 % 5).cast("string"))).alias("label"), (F.col("turn") * 1.0).alias("start"),
         (F.col("turn") + (F.length("text") % 40) / 8.0).alias("end"), ((F.col("turn") % 5) / F.lit(3.0)).alias("score"),
     )
     return voices.recognised(seg).withColumn("confidence", rounded(F.col("confidence")))
@@ -118,8 +118,9 @@ def recognised_voices(t) -> DataFrame:
 
 @query()
 def voice_enrolment(t) -> DataFrame:
-    seg = t("embeddings").select((F.col("vec_id") % 12).alias("registry"), F.col("vec_id").alias("segment_id"), "embedding")
-    return voices.enrol(seg, "registry", 0.3)
+    i = F.col("vec_id")
+    seg = t("embeddings").select(F.floor(i / 40).alias("registry"), i.alias("segment_id"), "embedding", F.lit(0.0).alias("start"), ((i % 7) / 10.0).alias("end"))
+    return voices.enrol(seg, "registry", 0.1)
 
 
 @query("SELECT conv_id AS id FROM conversations WHERE role = 'system' GROUP BY conv_id UNION SELECT conv_id FROM conversations WHERE role = 'user' AND turn = 4")
