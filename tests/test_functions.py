@@ -120,7 +120,7 @@ def test_voice_merge(spark):
 
 
 def test_vote_ties_go_to_the_last_person(spark):
-    m = spark.createDataFrame([("f", "a", "A", 0.9), ("f", "b", None, 0.9), ("f", "c", None, 0.1)], "face string, person_id string, person_label string, score double")
+    m = spark.createDataFrame([("f", "a", "A", 0.9, 0), ("f", "b", None, 0.9, 1), ("f", "c", None, 0.1, 2)], "face string, person_id string, person_label string, score double, ord int")
     r = faces.vote(m, "face", 0.38).first()
     assert (r.person_id, r.votes, r.confidence) == ("b", 1, 0.9)
 
@@ -131,6 +131,15 @@ def test_color_vector_is_unit_and_by_channel():
     assert enrichment.channel_ranges(10) == [(0, 4), (4, 3), (7, 3)]
 
 
+def test_motion_keeps_its_weight_above_one():
+    r = np.random.default_rng(0)
+    frames = [r.integers(0, 256, (4, 4, 3)).astype(np.uint8) for _ in range(2)]
+    move = enrichment.color_vector(np.abs(frames[1].astype(int) - frames[0].astype(int)).astype(np.uint8), 12)
+    assert np.allclose(enrichment.motion_vector(frames, [10, 10], 12, 3.0), move)
+    content = enrichment.unit(sum(enrichment.color_vector(f, 12) / 2 for f in frames))
+    assert np.allclose(enrichment.motion_vector(frames, [10, 10], 12, 0.2), enrichment.unit(0.8 * content + 0.2 * move))
+
+
 def test_motion_vector_without_motion_is_content():
     f = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
     assert np.allclose(enrichment.motion_vector([f], [70], 12, 0.2), enrichment.color_vector(f, 12))
