@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators.faces import summarise_people
@@ -134,6 +134,12 @@ def merge_speakers(media: DataFrame, sources: list[str], target: str, label: str
     return media.withColumns({"changed": audio.isNotNull() & ~new.eqNullSafe(audio), "audio_analysis": new})
 
 
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """(id, label, embeddings) of a registry of voices saved as JSON rows; rows that aren't JSON or lack an id are left out."""
+    rows = spark.read.schema("id string, label string, embeddings array<array<double>>").json(path)
+    return rows.where("id IS NOT NULL")
+
+
 def rename_registry(voices: DataFrame, speaker_id: str, label: str) -> DataFrame:
     return voices.withColumn("label", F.when(F.col("id") == speaker_id, F.lit(check_label(label))).otherwise(F.col("label")))
 

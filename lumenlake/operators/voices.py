@@ -25,33 +25,40 @@ def usable_segments(segments: DataFrame, least: float = 0.25, most: float = 30.0
     return segments.where((F.col("end") - F.col("start")).between(least, most))
 
 
-def enrol(segments: DataFrame, group: str, min_score: float = 0.86) -> DataFrame:
-    """(group, segment_id, voice): recognise or enrol in the order of segment_id.
+def enrol(segments: DataFrame, group: str, min_score: float = 0.86, first_number: int = 1) -> DataFrame:
+    """(group, segment_id, voice, label, score): recognise or enrol in the order of segment_id.
 
-    Segments with a start and an end take part only if their length is usable.  Whether a segment founds a voice depends on all before it, so one registry is one serial fold;
-    registries (``group``) are independent.  Voices are numbered from 1.
+    A segment is the voice whose founder it is most similar to, by ``min_score`` at least (the first of
+    equals), or founds one with a score of 1; what is recognised changes no voice.  Segments with a start
+    and an end take part only if their length is usable.  Whether a segment founds a voice depends on all
+    founders before it, so one registry is one serial fold; registries (``group``) are independent, and a
+    task holds a registry's founders.  Voices are numbered from ``first_number``, the highest in use plus one.
     """
     import numpy as np
     import pandas as pd
 
+    if {"start", "end"} <= set(segments.columns):
+        segments = usable_segments(segments)
+    kinds = dict(segments.dtypes)
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("segment_id")
-        profiles: list[list[np.ndarray]] = []
-        voices = []
+        founders: list[np.ndarray] = []
+        numbers, scores = [], []
         for v in pdf["embedding"]:
             x = np.asarray(v, dtype=np.float64)
             x = x / (np.linalg.norm(x) or 1.0)
-            scores = [max(float(x @ p) for p in own) for own in profiles]
-            best = int(np.argmax(scores)) if scores else -1
-            if best >= 0 and scores[best] >= min_score:
-                profiles[best].append(x)
+            near = np.array([x @ f for f in founders])
+            best = int(near.argmax()) if len(near) else -1
+            if best < 0 or near[best] < min_score:
+                founders.append(x)
+                best, score = len(founders) - 1, 1.0
             else:
-                profiles.append([x])
-                best = len(profiles) - 1
-            voices.append(f"voice-{best + 1:04d}")
-        return pd.DataFrame({group: pdf[group], "segment_id": pdf["segment_id"], "voice": voices})
+                score = float(near[best])
+            numbers.append(first_number + best)
+            scores.append(score)
+        voices, labels = ([pattern % n for n in numbers] for pattern in ("voice-%04d", "Voice %d"))
+        return pd.DataFrame({group: pdf[group], "segment_id": pdf["segment_id"], "voice": voices, "label": labels, "score": scores})
 
-    if {"start", "end"} <= set(segments.columns):
-        segments = usable_segments(segments)
-    kinds = dict(segments.dtypes)
-    return segments.select(group, "segment_id", "embedding").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, segment_id {kinds['segment_id']}, voice string")
+    schema = f"{group} {kinds[group]}, segment_id {kinds['segment_id']}, voice string, label string, score double"
+    return segments.select(group, "segment_id", "embedding").groupBy(group).applyInPandas(fold, schema)

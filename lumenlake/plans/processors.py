@@ -5,8 +5,9 @@ Spark plans the work; what is checked here is only that a configuration can be a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,13 @@ class Workflow:
     edges: tuple[tuple[str, str], ...]
 
 
+def load_workflow(text: str) -> Workflow:
+    """A workflow from JSON: ``{"nodes": [{"id", "processor", "enabled", "config"}], "edges": [["from", "to"]]}``; unknown fields are ignored."""
+    raw, known = json.loads(text), {f.name for f in fields(Node)}
+    nodes = tuple(Node(**{k: v for k, v in n.items() if k in known}) for n in raw.get("nodes", []))
+    return Workflow(nodes, tuple((a, b) for a, b in raw.get("edges", [])))
+
+
 def problems(workflow: Workflow, known: Iterable[str], required: Iterable[str], sink: str) -> list[str]:
     """Codes of what is wrong with a workflow; none if it can be applied."""
     out, ids = [], [n.id for n in workflow.nodes]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.sources.scan import EXTENSIONS
+
 
 def debounced(events: DataFrame, by: list[str], ts: str, path: str, quiet: str, late: str | None = None) -> DataFrame:
     """Bursts of events that end after a quiet time: first and last time, events, distinct paths.
@@ -41,6 +43,22 @@ def root_changes(wanted: DataFrame, watched: DataFrame) -> DataFrame:
     return add.unionByName(watched.select("root").subtract(wanted.select("root")).withColumn("action", F.lit("unwatch")))
 
 
+#: Kinds of file events after which an index may be out of date, and those of them that folders have too.
+CHANGES = ("any", "create", "create_file", "create_folder", "remove", "remove_file", "remove_folder", "modify", "modify_data", "rename", "metadata", "write_time", "close_write")
+FOLDER_CHANGES = ("create", "create_folder", "remove", "remove_folder", "rename")
+
+
+def relevant(events: DataFrame, extensions: Iterable[str] | None = None) -> DataFrame:
+    """Events (kind, path) that may change the index: of indexed files, or of names without an extension that may be folders.
+
+    An event without a path counts by its kind alone.
+    """
+    wanted = list(extensions or (e for es in EXTENSIONS.values() for e in es))
+    extension = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
+    folder = F.col("kind").isin(*FOLDER_CHANGES) & (extension == "")
+    return events.where(F.col("kind").isin(*CHANGES) & (F.col("path").isNull() | extension.isin(*wanted) | folder))
+
+
 def watch_new_files(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None]):
     """Run ``handle`` on each batch of files that arrived below a path; the checkpoint resumes it."""
     schema = "path string, modificationTime timestamp, length long, content binary"

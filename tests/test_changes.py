@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import temporal, text
 from lumenlake.operators import albums, enrichment, faces, filters, identity, inverse, search, segments, voices
-from lumenlake.plans import ledger, planning, profile
+from lumenlake.plans import ledger, planning, processors, profile
 from lumenlake.sources import scan, tables
+from lumenlake.streaming import watch
 
 MEDIA = "id string, source_type string, media_kind string, width int, height int, size_bytes bigint, modified_at double, photo_has_gps boolean, photo_capture_time_epoch double, filename string"
 
@@ -173,12 +174,11 @@ def test_voices_are_enrolled_as_by_a_plain_loop(spark):
         known = []
         for _, i, v, _, end in (x for x in rows if x[0] == registry and x[4] > 0.25):
             unit = np.array(v) / np.linalg.norm(v)
-            best = max(((max(unit @ p for p in own), -k) for k, own in enumerate(known)), default=(-1, 0))
+            best = max(((unit @ p, -k) for k, p in enumerate(known)), default=(-1, 0))
             if best[0] >= 0.8:
-                known[-best[1]].append(unit)
                 assert got[i] == f"voice-{1 - best[1]:04d}"
             else:
-                known.append([unit])
+                known.append(unit)
                 assert got[i] == f"voice-{len(known):04d}"
     assert voices.usable_segments(df, 0.1, 0.5).count() == 12
 
@@ -192,6 +192,29 @@ def test_loud_runs_become_speech(spark):
     assert r.media_id == 1 and abs(r.start_seconds - 0.5) < 0.04 and abs(r.end_seconds - 1.5) < 0.04
 
 
+def test_clicks_have_a_tempo(spark):
+    rate, wave = 1_000, np.zeros(10_000)
+    for k in range(20):
+        wave[200 + 500 * k : 260 + 500 * k] = 0.8
+    df = spark.createDataFrame([(1, wave.tolist()), (2, []), (3, None)], "media_id int, samples array<double>")
+    got = {r.media_id: r for r in enrichment.with_tempo(df, rate).collect()}
+    assert (got[1].tempo_bpm, got[1].tempo_onset_count) == (120.0, 20) and got[1].tempo_confidence == 1.0
+    assert np.allclose(np.diff(got[1].onsets), 0.5) and (got[2].tempo_bpm, got[2].onsets, got[3].tempo_onset_count) == (None, [], 0)
+
+
+def test_events_that_may_change_the_index(spark):
+    rows = [("modify_data", "/images/cat.JPG"), ("modify_data", "/images/readme.txt"), ("rename", "/images/album"), ("modify_data", "/images/album"), ("access", "/images/cat.jpg"), ("remove_folder", "/images/.cache"), ("any", None)]
+    e = spark.createDataFrame(rows, "kind string, path string")
+    assert {tuple(r) for r in watch.relevant(e).collect()} == {rows[0], rows[2], rows[5], rows[6]}
+
+
+def test_files_of_workflows_and_voices(spark, tmp_path):
+    flow = processors.load_workflow('{"nodes": [{"id": "a", "processor": "load", "x": 1}, {"id": "b", "processor": "index", "config": {"n": 2}}], "edges": [["a", "b"]]}')
+    assert flow.nodes[1].config == {"n": 2} and processors.problems(flow, {"load", "index"}, ["load"], "index") == []
+    (tmp_path / "v.json").write_text('{"id": "voice-0001", "label": "Ann", "embeddings": [[1, 2]]}\nnot json\n{"label": "nobody"}\n')
+    assert [(r.id, r.label, r.embeddings) for r in identity.load_registry(spark, str(tmp_path / "v.json")).collect()] == [("voice-0001", "Ann", [[1.0, 2.0]])]
+
+
 def test_faces_of_a_medium_apart_and_keywords_in_order(spark):
     f = spark.createDataFrame([([(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [0.0, 1.0])],)], "faces array<struct<face_id:int,vector:array<double>>>")
     assert [x.face_id for x in f.select(faces.first_apart(F.col("faces"), 0.1).alias("f")).first().f] == [1, 3]
