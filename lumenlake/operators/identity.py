@@ -81,6 +81,19 @@ def rename_speaker(media: DataFrame, speaker_id: str, label: str) -> DataFrame:
     return media.withColumns({"changed": ~new.eqNullSafe(audio), "audio_analysis": new})
 
 
+def first_person_label(media: DataFrame, faces: DataFrame, person_id: str) -> str | None:
+    """A person's first label that isn't blank: of the media's people by media id, or of their faces, or of face rows."""
+    def labels(items: Column, name: str) -> Column:
+        mine = F.filter(items, lambda x: (x["person_id"] == person_id) & (F.coalesce(F.trim(x[name]), F.lit("")) != ""))
+        return F.try_element_at(F.transform(mine, lambda x: F.trim(x[name])), F.lit(1))
+
+    first = lambda c, order: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    found = media.select("id", labels(F.col("people"), "label").alias("person"), labels(F.col("faces"), "person_label").alias("face"))
+    row = found.agg(first("person", "id").alias("person"), first("face", "id").alias("face")).first()
+    own = faces.where(F.col("person_id") == person_id).select("face_id", F.nullif(F.trim("person_label"), F.lit("")).alias("label"))
+    return row.person or row.face or own.agg(first("label", "face_id").alias("label")).first().label
+
+
 def first_label(media: DataFrame, speaker_id: str) -> str | None:
     """A speaker's first label that isn't blank by media id: of the recognised voices, or else of the segments."""
     audio, blank = F.col("audio_analysis"), F.lit("")

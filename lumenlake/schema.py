@@ -69,6 +69,13 @@ def read_payloads(rows: DataFrame, column: str = "payload", corrupt: str = "skip
     return with_defaults(parsed)
 
 
+def complete(media: DataFrame) -> DataFrame:
+    """Rows with all fields of the payload, in their order and types: missing ones are null or their defaults."""
+    have = {c.lower() for c in media.columns}
+    columns = [(F.col(f"`{n}`") if n.lower() in have else F.lit(None)).cast(kind).alias(n) for n, kind in MEDIA_FIELDS.items()]
+    return with_defaults(media.select(*columns))
+
+
 def with_defaults(media: DataFrame) -> DataFrame:
     filled = {c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items()}
     filled |= {c: F.coalesce(c, F.array().cast(MEDIA_FIELDS[c])) for c in EMPTY_ARRAYS}

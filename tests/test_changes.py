@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlake import schema
 from lumenlake.functions import temporal, text
 from lumenlake.operators import albums, enrichment, faces, filters, identity, inverse, search, segments, voices
 from lumenlake.plans import ledger, planning, processors, profile
@@ -306,6 +307,24 @@ def test_numbers_dates_and_displays(spark):
     assert [r.id for r in f.where(filters.conjunction(filters.client_filters({"min_width": "60", "date_to": "1970-01-01", "max_width": "0"}))).collect()] == [1]
 
 
+def test_payloads_have_all_fields(spark):
+    m = spark.createDataFrame([("a", 5, "x")], "id string, width bigint, other string")
+    full = schema.complete(m)
+    r = full.first()
+    assert full.columns == list(schema.MEDIA_FIELDS) and dict(full.dtypes)["width"] == "int" and (r.id, r.width, r.media_kind, r.tags, r.phash) == ("a", 5, "static_image", [], None)
+    assert tables.check_schema(full, schema.media_schema()) == []
+
+
+def test_labels_of_people(spark):
+    face = "array<struct<person_id:string,person_label:string>>"
+    m = spark.createDataFrame([("a", [("p", " ")], [("p", None), ("q", "Quin")]), ("b", [("q", None)], [("p", "Pat")])], f"id string, people array<struct<person_id:string,label:string>>, faces {face}")
+    f = spark.createDataFrame([("f1", "r", ""), ("f2", "r", "Rae")], "face_id string, person_id string, person_label string")
+    assert [identity.first_person_label(m, f, p) for p in "pqrx"] == ["Pat", "Quin", "Rae", None]
+    with pytest.raises(LookupError):
+        identity.require_person(m, f, "x")
+    identity.require_person(m, f, "r")
+
+
 def test_responses(spark):
     m = spark.createDataFrame([("a", "f", 1.0)], "id string, filename string, score double")
     r = search.response(m, text=True).first()
