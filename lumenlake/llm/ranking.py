@@ -23,6 +23,7 @@ def numbered(
     A group is cut into chunks by leading bits of the hash, so that a group of any size is
     spread over many tasks; chunk counts are summed up to offsets and rows are numbered
     within chunks.  Chunks follow the hash order, so their number doesn't show in the result.
+    A group's chunk counts, rows / CHUNK_ROWS of them at most, are summed up in one task.
     Rows equal in key and ``ties`` are numbered in no stated order.
     """
     rows = df.count() if row_count is None else row_count
