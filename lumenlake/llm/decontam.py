@@ -179,8 +179,9 @@ def _runs_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "struct<n_words:bigint,hit_from:array<bigint>,hit_to:array<bigint>,items:array<string>>"
 
 
-def _scanned(rows: DataFrame, windows: WindowSet | None) -> DataFrame:
+def _scanned(rows: DataFrame, windows: WindowSet | None, texts_too: bool = True) -> DataFrame:
     """``rows`` (row, text, found) with a block's hits united with those found before; one pass, no shuffle."""
+    schema = rows.schema if texts_too else rows.select("row", "found").schema
     shared = rows.sparkSession.sparkContext.broadcast(windows)  # bounded by max_windows and max_bytes
 
     def run(batches):
@@ -202,13 +203,14 @@ def _scanned(rows: DataFrame, windows: WindowSet | None) -> DataFrame:
                 for name, value in zip(kinds, (n, first, last, sorted(items))):
                     out[name].append(value)
             found = pa.StructArray.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], list(kinds))
-            yield batch.set_column(batch.schema.get_field_index("found"), "found", found)
+            out_columns = [found if c == "found" else batch.column(c) for c in schema.names]
+            yield pa.RecordBatch.from_arrays(out_columns, schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, schema)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams) -> DataFrame:
-    """(row, text, found) per row of ``docs``: its other columns as a struct, its text, and the hits of all blocks.
+def with_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams, texts_too: bool = True) -> DataFrame:
+    """(row, text, found) per row of ``docs``: its other columns as a struct, its text if wanted, and the hits of all blocks.
 
     One block (the usual case) is one pass.  With more, each pass is written before the next, so
     that one block's set is held at a time.
@@ -220,12 +222,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams) ->
         if waiting is not None:
             rows = written(_scanned(rows, waiting), "windows")
         waiting = block
-    return _scanned(rows, waiting)
+    return _scanned(rows, waiting, texts_too)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
     """(doc_id, n_words, n_hit, items) per row of ``docs``; items are the sorted ids, as strings."""
-    found = with_hits(docs.select("doc_id", "text"), benchmark, params)
+    found = with_hits(docs.select("doc_id", "text"), benchmark, params, texts_too=False)
     n_hit = F.aggregate(
         F.zip_with("found.hit_to", "found.hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
