@@ -150,6 +150,24 @@ def test_hash_is_stable_under_brightness():
     assert enrichment.dct_hash(g) == enrichment.dct_hash(g + 20) and len(enrichment.dct_hash(g)) == 16
 
 
+def test_hash_is_that_of_a_transform_by_its_definition(spark):
+    import math
+
+    r = np.random.default_rng(3)
+    for w, h in ((8, 8), (32, 32), (50, 41)):
+        rgb = r.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        gray = rgb @ np.array([0.299, 0.587, 0.114])
+        small = [[gray[y * h // 32][x * w // 32] for x in range(32)] for y in range(32)]
+        low = [
+            sum(small[y][x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+            for u in range(8) for v in range(8)
+        ]
+        middle = sorted(low[1:])[31]
+        want = f"{int(''.join('1' if c > middle else '0' for c in low), 2):016x}"
+        df = spark.createDataFrame([(bytearray(rgb.tobytes()), w, h), (None, 1, 1)], "data binary, width int, height int")
+        assert [x.phash for x in enrichment.with_hashes(df).collect()] == [want, None]
+
+
 def test_filters_validate():
     with pytest.raises(ValueError):
         filters.SearchFilters(media_kind="film")
