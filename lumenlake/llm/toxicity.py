@@ -1,28 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text whole, one on those words of toxic text
-that set it off: words, or words with heads, that are ``contrast`` times as frequent in toxic rows
-(whole toxic text gives a dictionary that is mostly ordinary prose, and half the recall: the README
-has figures).  Every word of a text is a window, and so is the head of every longer word, which words
-of one stem share; a constant frame makes short windows compressible.  A window's code lengths under
-the two dictionaries give its cell in a table of calibrated log ratios; a text's evidence is the sum
-over its distinct windows, and a logistic curve turns evidence into a score.  Table and curve are
-fitted on every labelled row under dictionaries that were trained without it, in ``folds`` turns.
+Two zstandard dictionaries are trained: one on ordinary text whole, one on those parts of toxic text
+that set it off (words that are ``contrast`` times as frequent in toxic rows; whole toxic text gives
+a dictionary that is mostly ordinary prose, and half the recall: the README has figures).  Every
+word of a text is a window (framed by a constant run, so that short words still form a
+compressible block).  A window's code lengths under the two dictionaries give its cell
+in a table of calibrated log ratios; a text's evidence is the sum over its distinct
+windows, and a logistic curve fitted on labelled rows outside the dictionaries' sample
+turns evidence into a score.
 
 Results in the edge cases: a null or empty text, or one without words, has no windows and
 gets the score of zero evidence; very long texts are read whole; repeated rows and ties are scored
-alike; of labelled rows with equal words and labels one is used, and of an id's repeated labels the
-highest; an empty table gives an
+alike; of labelled rows with one label whose texts share half of a sketch of their shingles the first
+is used, and of an id's repeated labels the highest; an empty table gives an
 empty result; other columns of the input are not read.  If the labelled rows lack one of
 the classes there is no model and every score is 0.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,8 +47,6 @@ class ToxicityParams:
     toxic_dictionary: int = 4_096
     contrast: float = 50.0  # a toxic training window is this many times as frequent in toxic rows
     least_share: float = 0.01  # and occurs in this share of them
-    head_bytes: int = 7
-    folds: int = 3
     least_evidence: float = 0.5  # log ratios below this are noise
     level: int = 19
     threshold: float = 0.7
@@ -61,7 +59,6 @@ class ToxicityModel:
     log_ratio: np.ndarray
     weights: tuple[float, float]
     level: int
-    head_bytes: int
     key: str = field(default="")
 
 
@@ -85,31 +82,25 @@ class _Scorer:
         self.model = model
         self.ordinary = _compressor(model.ordinary, model.level)
         self.toxic = _compressor(model.toxic, model.level)
-        self.known: dict[bytes, int] = {}
+        self.cells: dict[bytes, int] = {}
 
-    def cell(self, window: bytes) -> int:
-        """The cell of a window, which is a word and a blank, or a head."""
-        known = self.known.get(window)
+    def cell(self, word: bytes) -> int:
+        known = self.cells.get(word)
         if known is None:
-            framed = FRAME + window
-            known = min(len(self.ordinary(framed)), CELLS - 1) * CELLS + min(len(self.toxic(framed)), CELLS - 1)
-            if not window.endswith(b" "):
-                known += CELLS * CELLS  # heads have a table of their own
-            if len(self.known) >= CACHE_WINDOWS:
-                self.known.clear()
-            if len(window) <= 64:
-                self.known[window] = known
+            window = FRAME + word + b" "
+            known = min(len(self.ordinary(window)), CELLS - 1) * CELLS + min(len(self.toxic(window)), CELLS - 1)
+            if len(self.cells) >= CACHE_WINDOWS:
+                self.cells.clear()
+            if len(word) <= 64:
+                self.cells[word] = known
         return known
 
-    def cells(self, words: Iterable[bytes]) -> list[int]:
-        """The cells of a text's distinct windows."""
-        size, cell = self.model.head_bytes, self.cell
-        distinct = set(words)
-        return [*[cell(w + b" ") for w in distinct], *[cell(h) for h in {w[:size] for w in distinct if len(w) > size}]]
-
     def evidence(self, text: bytes | None) -> float:
+        distinct = set(words_of(text or b""))
+        if not distinct:
+            return 0.0
         table = self.model.log_ratio
-        return math.fsum([table[c] for c in self.cells(words_of(text or b""))])
+        return math.fsum(table[self.cell(w)] for w in distinct)
 
     def score(self, text: bytes | None) -> float:
         a, b = self.model.weights
@@ -157,58 +148,52 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[tuple[str, int]], params: ToxicityParams = ToxicityParams()) -> ToxicityModel | None:
-    """Fit on (text, label) rows; of rows with equal words and label one counts."""
-    seen: dict[tuple[bytes, int], tuple[list[bytes], int]] = {}
+    """Fit on (text, label) rows; of copies and near copies with one label the first counts."""
+    docs: list[tuple[list[bytes], int]] = []
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
     for text, label in rows:
         words = words_of((text or "").encode("utf-8", "replace"))
-        if words:
-            whole = hashlib.sha256(b" ".join(words)).digest()
-            seen.setdefault((whole, label), (words, label))  # copies would count as independent evidence
-    docs = list(seen.values())
-    ordinary, toxic = by_class = [[w for w, y in docs if y == c] for c in (0, 1)]
+        marks = sketch(words)
+        if words and 2 * len(marks & seen[label]) < len(marks):  # copies would count as independent evidence
+            docs.append((words, label))
+        seen[label] |= marks
+    by_class = [[w for w, y in docs if y == c] for c in (0, 1)]
     if min(map(len, by_class)) < 2:
         return None
-    size, k = 2 * CELLS * CELLS, params.folds
-    counts: list[list[np.ndarray]] = [[], []]
-    for fold in range(k):  # each row meets dictionaries of the other folds
-        others = [[w for i, w in enumerate(d) if i % k != fold] for d in by_class]
-        s = _Scorer(ToxicityModel(*dictionaries(*others, params), np.zeros(size), (0.0, 1.0), params.level, params.head_bytes))
-        for c, part in zip(counts, by_class):
-            c += [np.bincount(s.cells(d), minlength=size) for d in part[fold::k]]
-    c_ord, c_tox = (np.array(c, dtype=float) for c in counts)
-    log_ratio = np.concatenate([log_ratios(c_tox[:, half], c_ord[:, half], params) for half in np.split(np.arange(size), 2)])
-    x = np.concatenate([c_tox @ log_ratio, c_ord @ log_ratio])
-    y = np.concatenate([np.ones(len(c_tox)), np.zeros(len(c_ord))])
-    trained = dictionaries(ordinary, toxic, params)
-    key = digest_of(*trained, log_ratio.tobytes())
-    return ToxicityModel(*trained, log_ratio, _logistic(x, y), params.level, params.head_bytes, key)
-
-
-def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]], params: ToxicityParams) -> tuple[bytes, bytes]:
-    """The dictionary of ordinary texts, and that of what sets toxic texts off, both given as words."""
-    size = params.head_bytes
-    parts = lambda d: set(d) | {w[:size] for w in d if len(w) > size}
-    df_tox, df_ord = (Counter(w for d in part for w in parts(d)) for part in (toxic, ordinary))
-    least = max(2 if len(toxic) < 100 else 3, params.least_share * len(toxic))
-    rate = lambda w: (df_tox[w] / len(toxic)) / ((df_ord[w] + 0.5) / len(ordinary))
+    # two thirds train the dictionaries, one third calibrates
+    (ord_a, ord_b), (tox_a, tox_b) = (([w for i, w in enumerate(d) if i % 3], d[0::3]) for d in by_class)
+    df_tox, df_ord = (Counter(w for d in part for w in set(d)) for part in (tox_a, ord_a))
+    least = max(2 if len(tox_a) < 100 else 3, params.least_share * len(tox_a))
+    rate = lambda w: (df_tox[w] / len(tox_a)) / ((df_ord[w] + 0.5) / len(ord_a))
     telling = {w for w, n in df_tox.items() if n >= least and rate(w) >= params.contrast}
     if not telling:
         telling = {w for w in df_tox if rate(w) > 1} or set(df_tox)
-    return (
-        _train_dictionary([w for d in ordinary for w in d], params.ordinary_dictionary, 64),
-        _train_dictionary([w for d in toxic for w in d if w in telling or w[:size] in telling], params.toxic_dictionary, 24),
-    )
+    ordinary = _train_dictionary([w for d in ord_a for w in d], params.ordinary_dictionary, 64)
+    toxic = _train_dictionary([w for d in tox_a for w in d if w in telling], params.toxic_dictionary, 24)
+    draft = ToxicityModel(ordinary, toxic, np.zeros(CELLS * CELLS), (0.0, 1.0), params.level)
+    s = _Scorer(draft)
 
+    def cells(part: list[list[bytes]]) -> np.ndarray:
+        return np.array([np.bincount([s.cell(w) for w in set(d)], minlength=CELLS * CELLS) for d in part], dtype=float)
 
-def log_ratios(c_tox: np.ndarray, c_ord: np.ndarray, params: ToxicityParams) -> np.ndarray:
-    """Per cell the log ratio of its rates in toxic and ordinary rows, less the ratio's own standard error; 0 if little is left."""
+    c_tox, c_ord = cells(tox_b), cells(ord_b)
     n_tox, n_ord = c_tox.sum(axis=0), c_ord.sum(axis=0)
+    # a cell is evidence by as much as its log ratio of rates exceeds the ratio's own standard error
     rate_tox, rate_ord = (n_tox + 0.5) / (n_tox.sum() + 1.0), (n_ord + 0.5) / (n_ord.sum() + 1.0)
     error = np.sqrt(1.0 / (n_tox + 0.5) + 1.0 / (n_ord + 0.5))
     raw = np.log(rate_tox / rate_ord)
-    out = np.where(n_tox + n_ord > 0, np.sign(raw) * np.maximum(np.abs(raw) - error, 0.0), 0.0)
-    out[np.abs(out) < params.least_evidence] = 0.0
-    return out
+    log_ratio = np.where(n_tox + n_ord > 0, np.sign(raw) * np.maximum(np.abs(raw) - error, 0.0), 0.0)
+    log_ratio[np.abs(log_ratio) < params.least_evidence] = 0.0
+    x = np.concatenate([c_tox @ log_ratio, c_ord @ log_ratio])
+    y = np.concatenate([np.ones(len(c_tox)), np.zeros(len(c_ord))])
+    key = digest_of(ordinary, toxic, log_ratio.tobytes())
+    return ToxicityModel(ordinary, toxic, log_ratio, _logistic(x, y), params.level, key)
+
+
+def sketch(words: list[bytes], size: int = 8) -> set[int]:
+    """The smallest checksums of a whole text's five-word shingles: near copies share most of them."""
+    shingles = {zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+    return set(heapq.nsmallest(size, shingles)) if words else set()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> list[tuple[str, int]]:

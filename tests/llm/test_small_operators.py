@@ -81,62 +81,50 @@ def test_toxicity_against_a_plain_recomputation():
     import zstandard as zs
 
     rows = [(t, y) for _, t, y in toxic_corpus(200)] + [("worthless idiotic pathetic " * 30_000, 1), (None, 0), ("", 1), toxic_corpus(200)[0][1:]]
-    params = toxicity.ToxicityParams()
-    model = toxicity.fit(rows, params)
-
-    def words(text):
-        return "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (text or "").lower()).split()
-
-    def windows(text):  # words, each with the blank after it, and the heads of longer words
-        return {(0, w + " ") for w in words(text)} | {(1, w[:7]) for w in words(text) if len(w) > 7}
-
-    class Plain:
-        def __init__(self, dictionaries):
-            self.of = [zs.ZstdCompressor(level=19, dict_data=zs.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in dictionaries]
-
-        def cell(self, window):  # a frame's magic number has four bytes
-            return (window[0], *(min(len(c.compress(b" " * 24 + window[1].encode())) - 4, 23) for c in self.of))
-
-    # of rows with equal words and label one counts; a row meets the dictionaries of the other two thirds of its class
-    first = {}
-    for t, y in rows:
-        if words(t):
-            first.setdefault((tuple(words(t)), y), t)
-    texts = {y: [t for (_, label), t in first.items() if label == y] for y in (0, 1)}
-    cells = {0: [], 1: []}
-    for fold in range(3):
-        others = [[[w.encode() for w in words(t)] for i, t in enumerate(texts[y]) if i % 3 != fold] for y in (0, 1)]
-        plain = Plain(toxicity.dictionaries(*others, params))
-        for y in (0, 1):
-            cells[y] += [[plain.cell(w) for w in windows(t)] for t in texts[y][fold::3]]
+    model = toxicity.fit(rows)
+    plain = [zs.ZstdCompressor(level=19, dict_data=zs.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.ordinary, model.toxic)]
+
+    def windows(text):
+        return {w for w in "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (text or "").lower()).split()}
+
+    def cell(word):  # a frame's magic number has four bytes
+        return tuple(min(len(c.compress(b" " * 24 + word.encode() + b" ")) - 4, 23) for c in plain)
+
+    # of copies with one label the first counts; each third row of a class calibrates
+    first = list(dict.fromkeys((t, y) for t, y in rows if windows(t)))
+    held = {y: [t for t, label in first if label == y][::3] for y in (0, 1)}
+    n = {y: Counter(cell(w) for t in held[y] for w in windows(t)) for y in (0, 1)}
+    whole = {y: sum(n[y].values()) for y in (0, 1)}
     table = {}
-    for kind in (0, 1):
-        n = {y: Counter(c for d in cells[y] for c in d if c[0] == kind) for y in (0, 1)}
-        whole = {y: sum(n[y].values()) for y in (0, 1)}
-        for c in {*n[0], *n[1]}:
-            raw = math.log((n[1][c] + 0.5) / (whole[1] + 1)) - math.log((n[0][c] + 0.5) / (whole[0] + 1))
-            sure = max(abs(raw) - math.sqrt(1 / (n[1][c] + 0.5) + 1 / (n[0][c] + 0.5)), 0)
-            table[c] = math.copysign(sure, raw) if sure >= 0.5 else 0.0
-            assert abs(model.log_ratio[(kind * toxicity.CELLS + c[1]) * toxicity.CELLS + c[2]] - table[c]) < 1e-9
-    assert sum(map(bool, table.values())) == np.count_nonzero(model.log_ratio) > 3
+    for c in {*n[0], *n[1]}:
+        raw = math.log((n[1][c] + 0.5) / (whole[1] + 1)) - math.log((n[0][c] + 0.5) / (whole[0] + 1))
+        sure = abs(raw) - math.sqrt(1 / (n[1][c] + 0.5) + 1 / (n[0][c] + 0.5))
+        table[c] = math.copysign(max(sure, 0), raw) if max(sure, 0) >= 0.5 else 0.0
+    for c, value in table.items():
+        assert abs(model.log_ratio[c[0] * toxicity.CELLS + c[1]] - value) < 1e-9
+    evidence = lambda t: sum(table.get(cell(w), 0.0) for w in windows(t))
     a, b = model.weights
-    x, y = (np.array(v) for v in zip(*[(sum(table[c] for c in d), k) for k in (0, 1) for d in cells[k]]))
+    x, y = (np.array(v) for v in zip(*[(evidence(t), k) for k in (0, 1) for t in held[k]]))
     p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
     scale = np.abs(x).max()  # at the curve's best fit the gradient is the small pull on the slope
     assert abs((y - p).sum()) < 1e-6 and abs(((y - p) * x / scale).sum() - 1e-3 * b * scale) < 1e-6
-    plain = Plain((model.ordinary, model.toxic))
     s = toxicity.scorer(model)
     for t, _ in rows:
-        want = 1 / (1 + math.exp(-min(max(a + b * sum(table.get(plain.cell(w), 0.0) for w in windows(t)), -500), 500)))
+        want = 1 / (1 + math.exp(-min(max(a + b * sum(model.log_ratio[c[0] * toxicity.CELLS + c[1]] for c in map(cell, windows(t))), -500), 500)))
         assert abs(s.score((t or "").encode()) - want) < 1e-9
 
 
 def test_toxicity_reads_labelled_rows_whole():
-    same = "the same forty words begin all of these texts " * 8
-    rows = [(same + f"worthless idiotic {i}", 1) for i in range(40)] + [(same + f"plain end {i}", 0) for i in range(40)]
+    r = random.Random(4)
+    same = " ".join(f"w{i}" for i in range(40)) + " "
+    rest = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    rows = [(f"{same}{rest()} worthless idiotic", 1) for _ in range(40)] + [(f"{same}{rest()} plain end", 0) for _ in range(40)]
     model = toxicity.fit(rows)
     s = toxicity.scorer(model)
-    assert s.score((same + "worthless idiotic 99").encode()) > s.score((same + "plain end 99").encode())
+    assert s.score(f"{same}{rest()} worthless idiotic".encode()) > s.score(f"{same}{rest()} plain end".encode())
+    # near copies count once: many of one text don't change the model of the others
+    copies = [(rows[0][0].replace("w3 ", f"x{i} "), 1) for i in range(30)]
+    assert toxicity.fit(rows + copies).key == model.key
 
 
 # ---------------------------------------------------------------- vectors
