@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from lumenlake.llm.common import joined_hot, written
 from lumenlake.llm.graph import LocalForest, components
+from lumenlake.plans.scratch import discard, materialised_at
 
 SUB = 256  # fingerprints per sub-tile
 
@@ -50,7 +51,8 @@ class SimHashParams:
     tile: int = 16_384
     similarity: float = 0.8  # of `similar_documents`
     sketch_miss: float = 1e-6  # chance at most that a pair at the similarity is no candidate
-    block: int = 256  # shingle sets compared at once
+    block: int = 1_024  # shingle sets of a block of a cluster
+    block_bytes: int = 16 << 20  # and their shingles
     posting_block: int = 4_096  # sets of one list compared at once
     sampled: int = 16  # common shingles are counted in one of so many texts
     common: int = 65_536  # so many of them come last in the order
@@ -299,9 +301,9 @@ def prefix(distinct: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
 
-def shingle_sets(docs: DataFrame, params: SimHashParams) -> DataFrame:
+def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params: SimHashParams) -> DataFrame:
     """(doc_id, id, fp, second, size, prefix) per row: set id, two fingerprints of the set, its size and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, params))
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # params.common shingles at most
     similarity = params.similarity
 
     def columns(hashes, distinct):
@@ -337,18 +339,28 @@ def _by_text(docs: DataFrame, params: SimHashParams, columns, schema: str) -> Da
     return rows.mapInArrow(run, schema)
 
 
-def prefix_links(sets: DataFrame, params: SimHashParams) -> DataFrame:
-    """Candidate links (a, b) of distinct sets (id, fp, second, size, prefix): a forest per task."""
-    postings = sets.select("id", "fp", "second", "size", F.explode("prefix").alias("shingle"))
-    sizes = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+def prefix_links(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], params: SimHashParams) -> DataFrame:
+    """Candidate links (a, b) of distinct sets (id, fp, second, size, prefix): a forest per task.
+
+    Postings are shuffled once, by shingle.  Only shingles that are common in the sample can have very
+    long lists; those are counted, and a long one is dealt to pairs of blocks under keys of their own
+    (a chance clash of keys makes two lists one, which adds comparisons and changes no link).
+    """
+    spark = sets.sparkSession
+    postings = sets.select("id", "fp", "second", F.col("size").cast("int").alias("size"), F.explode("prefix").alias("shingle"))
+    known = F.broadcast(spark.createDataFrame([(h,) for h in common[0].view(np.int64).tolist()], "shingle long"))  # params.common at most
+    counts = postings.select("shingle").join(known, "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
+    long_lists = counts.select("shingle", F.ceil(F.col("n") / F.lit(params.posting_block)).alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     placed = (
-        postings.join(sizes, "shingle")
-        .withColumn("blocks", F.ceil(F.col("n") / F.lit(params.posting_block)))
+        postings.join(F.broadcast(written(long_lists, "lists")), "shingle", "left")
+        .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "fp", "second", "size")
     )
-    dealt = placed.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    own_key = F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = placed.select(F.when(F.col("blocks") == 1, F.col("shingle")).otherwise(own_key).alias("key"), "id", "fp", "second", "size")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
     radius, similarity = sketch_radius(params.similarity, params.sketch_miss), params.similarity
 
     def run(batches):
@@ -381,17 +393,17 @@ def prefix_links(sets: DataFrame, params: SimHashParams) -> DataFrame:
                             rest = rest[~hit]
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "i", "j", "id", "fp", "second", "size")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp", "second", "size")]
             if not len(columns[0]):
                 continue
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns)]
-            cuts = np.nonzero(np.any([np.diff(c) != 0 for c in columns[:3]], axis=0))[0] + 1
+            cuts = np.nonzero(np.diff(columns[0]) != 0)[0] + 1
             if len(cuts):
-                link(columns[3:], np.r_[0, cuts[:-1]], cuts)
+                link(columns[1:], np.r_[0, cuts[:-1]], cuts)
             held = [c[cuts[-1] if len(cuts) else 0 :].copy() for c in columns]
         if held is not None:
-            link(held[3:], np.array([0]), np.array([len(held[0])]))
+            link(held[1:], np.array([0]), np.array([len(held[0])]))
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges()], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -416,9 +428,15 @@ def verified_links(members: DataFrame, params: SimHashParams) -> DataFrame:
     def compare(rows: list[tuple], forest: LocalForest) -> None:
         fp, second = (np.array([r[k] for r in rows], dtype=np.int64).view(np.uint64) for k in (2, 3))
         size = np.array([len(r[4]) // 8 for r in rows])
-        one, other = ((x[:, None] for x in (fp, second, size)), (x[None, :] for x in (fp, second, size)))
-        near = candidates(*one, *other, radius, similarity)
-        for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1)))):
+
+        def close_pairs():
+            for at in range(0, len(rows), 256):  # bounded memory
+                part = slice(at, at + 256)
+                near = candidates(fp[part, None], second[part, None], size[part, None], fp[None, at:], second[None, at:], size[None, at:], radius, similarity)
+                for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(near, 1)))):
+                    yield at + x, at + y
+
+        for x, y in close_pairs():
             if forest.find(rows[x][1]) != forest.find(rows[y][1]):
                 p, q = (np.frombuffer(rows[k][4], dtype=np.uint64) for k in (x, y))
                 common = len(np.intersect1d(p, q, assume_unique=True))
@@ -457,17 +475,22 @@ def classified(docs: DataFrame, params: SimHashParams) -> DataFrame:
 
     Equal shingle sets are one node.  Only the texts of clustered nodes are read a second time.
     """
-    prints = written(shingle_sets(docs, params), "shingles")
-    distinct = written(
-        prints.groupBy("id").agg(
-            F.min("doc_id").cast("long").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "second", "size", "prefix")]
-        ),
-        "shingles",
+    spark, common = docs.sparkSession, common_shingles(docs, params)
+    full, full_path = materialised_at(shingle_sets(docs, common, params), "shingles")
+    one = full.groupBy("id").agg(
+        F.min("doc_id").cast("long").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "second", "size", "prefix")]
     )
-    clusters = components(prefix_links(distinct, params))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(params.block)).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks")
-    placed = written(placed.join(distinct.select("id", "first_id", "fp", "second"), "id"), "clusters")
+    sets, sets_path = materialised_at(one, "sets")
+    prints = written(full.select("doc_id", "id"), "prints")
+    discard(spark, full_path)  # prefixes are as long as the texts: they go as soon as they have been used
+    links = written(prefix_links(sets, common, params), "links")
+    distinct = written(sets.select("id", "first_id", "fp", "second", "size"), "distinct")
+    discard(spark, sets_path)
+    clusters = components(links)
+    members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(distinct, "id")
+    of_count, of_bytes = F.count("*") / F.lit(params.block), F.sum(F.col("size") * 8) / F.lit(params.block_bytes)
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(of_count, of_bytes)).cast("int").alias("blocks"))
+    placed = written(members.drop("size").join(sizes, "cluster"), "clusters")
     wanted = placed.select(F.col("first_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     texts = docs.select("doc_id", "text")
     again = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
