@@ -11,12 +11,15 @@ from lumenlake.llm import (
     decontam,
     langid,
     mixing,
+    packing,
     pivots,
+    repair,
     sharding,
     simhash,
     tokencount,
     toxicity,
     urlrules,
+    vafile,
     warc,
 )
 from lumenlake.llm.common import table
@@ -24,6 +27,9 @@ from lumenlake.llm.common import table
 #: Of the public tokenizer whose pieces op9 counts; the environment's folder of vocabulary files.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Of the public tokenizer by which op11 counts and cuts; looked up by name, as its folder may differ between machines.
+BYTE_BPE = "byte_bpe_50k.json"
+
 #: (host, path, verdict)
 URL_RULES = (
     ("com", "/", "allow"),
@@ -88,10 +94,26 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"))
 
 
+def op11_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op12_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vafile.compressed(table(spark, sf_dir, "embeddings"))
+    return vafile.with_label_errors(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summaries(repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_pivot_vectors, op3_warc_revisits, op4_url_rules, op5_decontamination,
         op6_pfair_mix, op7_simhash, op8_language_id, op9_token_counts, op10_hash_tree_shards,
+        op11_bound_packing, op12_va_codes, op13_turn_repair,
     )
     return {f.__name__: f for f in every}
 
@@ -234,6 +256,95 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 """
 
 
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after another; a codebook is a list of entries by part."""
+    apart = "list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - b[e][i]) * (p[i] - b[e][i])))"
+
+    def assigned(n: int) -> str:
+        near = f"list_transform(range(1, len(b) + 1), lambda e: {{'d': {apart}, 'e': e}})"
+        return f"a{n} AS MATERIALIZED (SELECT vec_id, part, p, list_min({near}) AS m FROM parts JOIN b{n} USING (part))"
+
+    def improved(n: int) -> str:
+        mean = "list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i)"
+        return f"""
+u{n} AS (SELECT part, e, {mean} AS c FROM (
+  SELECT part, m.e AS e, i, sum(p[i]) AS s, count(*) AS n FROM a{n - 1}, (SELECT unnest(range(1, 1000)) AS i) WHERE i <= len(p) GROUP BY ALL) GROUP BY part, e),
+b{n} AS MATERIALIZED (
+  SELECT part, list(coalesce(c, b[e]) ORDER BY e) AS b FROM (SELECT part, b, unnest(range(1, len(b) + 1)) AS e FROM b{n - 1}) LEFT JOIN u{n} USING (part, e) GROUP BY part)"""
+
+    steps = ", ".join(f"{improved(n)}, {assigned(n)}" for n in range(1, rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 4096) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, q[part * len(q) // {parts} + 1:(part + 1) * len(q) // {parts}] AS p FROM kept, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, list(p ORDER BY vec_id) AS b FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}) GROUP BY part),
+{assigned(0)}, {steps},
+codes AS (SELECT vec_id, string_agg(printf('%02x', m.e - 1), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(flatten(b), ','), ',' ORDER BY part)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), digest
+"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(
+    regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM conversations),
+harm AS (SELECT conv_id, turn, role, text,
+  xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c // 256, crc[(xor(c, x) % 256) + 1])), 4294967295) % 20 AS k FROM h, t),
+rows_ AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM harm, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) WHERE k <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+f AS MATERIALIZED (
+  SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- per conversation and row: the cheapest edits so far that end in each grammar state (0 nothing, 1 after s, 2 after u, 3 after a)
+step AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': '', 't': ''} AS s0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s1,
+         {'c': 5, 'a': 'I', 't': E'user:'} AS s2, {'c': 10, 'a': 'II', 't': E'user:
+assistant:'} AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, s0, s1, s2, list_min(list_filter([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': s2.t || E'
+assistant:'}], lambda x: x IS NOT NULL AND x.c IS NOT NULL)) FROM (
+    SELECT conv_id, i, s0, s1, s3, list_min(list_filter([s2, {'c': s0.c + 5, 'a': s0.a || 'I', 't': 'user:'}, {'c': s1.c + 5, 'a': s1.a || 'I', 't': s1.t || E'
+user:'},
+      {'c': s3.c + 5, 'a': s3.a || 'I', 't': s3.t || E'
+user:'}], lambda x: x IS NOT NULL AND x.c IS NOT NULL)) AS s2 FROM (
+      SELECT step.conv_id, f.i, {'c': s0.c + 2, 'a': s0.a || 'D', 't': ''} AS s0,
+        list_min(list_filter([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, CASE WHEN ok AND r = 's' THEN {'c': s0.c + cut, 'a': s0.a || 'K', 't': line} END], lambda x: x IS NOT NULL AND x.c IS NOT NULL)) AS s1,
+        list_min(list_filter([{'c': s2.c + 2, 'a': s2.a || 'D', 't': s2.t},
+          CASE WHEN ok AND r = 'u' THEN {'c': s0.c + cut, 'a': s0.a || 'K', 't': line} END, CASE WHEN ok AND r = 'u' THEN {'c': s1.c + cut, 'a': s1.a || 'K', 't': s1.t || E'
+' || line} END,
+          CASE WHEN ok AND r = 'u' THEN {'c': s3.c + cut, 'a': s3.a || 'K', 't': s3.t || E'
+' || line} END, CASE WHEN ok THEN {'c': s0.c + cut + 1, 'a': s0.a || 'R', 't': 'user:' || text} END,
+          CASE WHEN ok THEN {'c': s1.c + cut + 1, 'a': s1.a || 'R', 't': s1.t || E'
+user:' || text} END, CASE WHEN ok THEN {'c': s3.c + cut + 1, 'a': s3.a || 'R', 't': s3.t || E'
+user:' || text} END],
+          lambda x: x IS NOT NULL AND x.c IS NOT NULL)) AS s2,
+        list_min(list_filter([{'c': s3.c + 2, 'a': s3.a || 'D', 't': s3.t}, CASE WHEN ok AND r = 'a' THEN {'c': s2.c + cut, 'a': s2.a || 'K', 't': s2.t || E'
+' || line} END,
+          CASE WHEN ok THEN {'c': s2.c + cut + 1, 'a': s2.a || 'R', 't': s2.t || E'
+assistant:' || text} END], lambda x: x IS NOT NULL AND x.c IS NOT NULL)) AS s3
+      FROM step JOIN (SELECT *, fault NOT IN ('b', 'd') AS ok, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS cut, role || ':' || text AS line FROM f) f
+        ON f.conv_id IS NOT DISTINCT FROM step.conv_id AND f.i = step.i + 1))),
+last AS (SELECT conv_id, list_min(list_filter([s0, s3], lambda x: x.c IS NOT NULL)) AS s FROM step QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT last.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(s.c AS BIGINT) AS cost, s.a AS audit, sha256(s.t) AS repaired_sha256
+FROM last LEFT JOIN figures ON last.conv_id IS NOT DISTINCT FROM figures.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
     return {
@@ -243,4 +354,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": OP5_SQL,
         "op6_pfair_mix": OP6_SQL,
         "op10_hash_tree_shards": OP10_SQL,
+        "op12_va_codes": _op12_sql(),
+        "op13_turn_repair": OP13_SQL,
     }
