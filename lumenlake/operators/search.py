@@ -110,16 +110,20 @@ def batch_top_vectors(vectors: DataFrame, queries: DataFrame, limit: int, id_col
 
     ``queries`` is (query_id, a vector column named like that of ``vectors``).  They are taken in blocks
     of about QUERY_BLOCK, one pass over the vectors each; a partition keeps its best per query, so what
-    is shuffled is partitions x queries x limit.  Ids keep their types; ties go by id.  Vectors that are
-    null, of another length or with null components are left out; a zero vector's score is 0.
+    is shuffled is partitions x queries x limit.  Ids keep their types; ties go by id.  A query is compared
+    with the vectors of its own length only.  Vectors that are null or hold a null, of queries too, are left
+    out; a zero vector's score is 0.  Equal queries are one; of several vectors of a query id each row's best
+    score counts.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    asked = queries.select("query_id", as_doubles(F.col(vector)).alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)))
     out = None
     for n in range(blocks):
         part = _block_top(vectors, numbered.where(F.col("_block") == n), limit, id_column, vector)
         part = part if blocks == 1 else materialised(part, "knn")
         out = part if out is None else out.unionByName(part)
+    out = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -128,41 +132,55 @@ def _block_top(vectors: DataFrame, queries: DataFrame, limit: int, id_column: st
     import numpy as np
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = queries.select("query_id", as_doubles(F.col(vector)).alias("v")).where("v IS NOT NULL").orderBy("query_id").collect()  # a block
-    names = [r.query_id for r in rows]
-    width = max((len(r.v) for r in rows), default=0)
+    rows = queries.orderBy("query_id", "v").collect()  # a block: distinct queries dealt by a hash of id and vector
     kinds = (dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_column])
     schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
     if not rows:
         return vectors.sparkSession.createDataFrame([], schema)
-    matrix = np.array([[x or 0.0 for x in r.v] + [0.0] * (width - len(r.v)) for r in rows], dtype=np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    by_length = {}
+    for width in sorted({len(r.v) for r in rows}):
+        own = [r for r in rows if len(r.v) == width]
+        matrix = np.array([r.v for r in own], dtype=np.float64).reshape(len(own), width)
+        by_length[width] = ([r.query_id for r in own], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_length)
     types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)]
 
     def run(batches):
         import pyarrow as pa
 
-        asked, units = shared.value
-        held: list[list[tuple]] = [[] for _ in asked]
+        held = {width: [[] for _ in asked] for width, (asked, _) in shared.value.items()}
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_pylist()
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))  # ties go by id: rows in that order
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
-            size = np.linalg.norm(x, axis=1)
-            scores = np.where(size[:, None] > 0, x @ units.T / np.maximum(size, 1e-300)[:, None], 0.0)
-            cut = -np.partition(-scores, min(limit, len(x)) - 1, axis=0)[min(limit, len(x)) - 1]
-            for k, best in enumerate(held):
-                if len(best) == limit and cut[k] < best[-1][0] and scores[:, k].max() < best[-1][0]:
-                    continue
-                rows_ = np.nonzero(scores[:, k] >= cut[k])[0]
-                new = [(float(scores[r, k]), ids[order[r]]) for r in rows_.tolist()]
-                held[k] = sorted([*best, *new], key=lambda t: (-t[0], t[1] is not None, t[1]))[:limit]
-        flat = [(q, i, s) for q, best in zip(asked, held) for s, i in best]
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i])))  # ties go by id: rows in that order
+            offsets = np.asarray(batch.column(1).offsets)
+            sizes = np.diff(offsets)[order]
+            values = batch.column(1).values.to_numpy(zero_copy_only=False)
+            for width, (_, units) in shared.value.items():
+                own = order[sizes == width]
+                if len(own):
+                    x = values[offsets[own][:, None] + np.arange(width)[None, :]].reshape(len(own), width)
+                    _keep_best(held[width], x, [ids[i] for i in own.tolist()], units, limit)
+        flat = [(q, i, s) for width, (asked, _) in shared.value.items() for q, best in zip(asked, held[width]) for s, i in best]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], types[c]) for c in range(3)], ["query_id", "id", "score"])
 
     usable = vectors.select(F.col(id_column).alias("id"), as_doubles(F.col(vector)).alias("v"))
-    usable = usable.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull()))
+    usable = usable.where(F.size("v").isin(sorted(by_length)) & ~F.exists("v", lambda x: x.isNull()))
     return usable.mapInArrow(run, schema)
+
+
+def _keep_best(held: list[list[tuple]], x, ids: list, units, limit: int) -> None:
+    """Merge the scores of rows (in the order of their ids) into the best of each query."""
+    import numpy as np
+
+    size = np.linalg.norm(x, axis=1)
+    scores = np.where(size[:, None] > 0, x @ units.T / np.maximum(size, 1e-300)[:, None], 0.0)
+    last = min(limit, len(x)) - 1
+    cut = -np.partition(-scores, last, axis=0)[last]
+    top = scores.max(axis=0)
+    for k, best in enumerate(held):
+        if len(best) == limit and top[k] < best[-1][0]:
+            continue
+        new = [(float(scores[r, k]), ids[r]) for r in np.nonzero(scores[:, k] >= cut[k])[0].tolist()]
+        held[k] = sorted([*best, *new], key=lambda t: (-t[0], t[1] is not None, t[1]))[:limit]

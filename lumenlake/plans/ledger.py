@@ -1,8 +1,8 @@
 """The ledger of an indexing run: what is pending, which points are committed, what to resume.
 
-The ledger is a versioned table with a row per item, changed by whole tables: a run registers all
+The ledger is a merge-on-read table with a row per item, changed by tables of items: a run registers all
 its pending items at once, commits the points of a batch of parts at once, and closes items at
-once.  A run that dies leaves items ``running`` with the points that were committed; `planned` then
+once.  Each change writes the rows that it changes; what has grown is compacted when a run registers.  A run that dies leaves items ``running`` with the points that were committed; `planned` then
 has those items pending again, and their committed points name what need not be computed twice.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.sources.tables import VersionedTable
+from lumenlake.sources.merge import MergeTable
 
 SCHEMA = (
     "uri string, source string, size_bytes bigint, modified_at double, profile string, status string, "
@@ -22,7 +22,7 @@ STATUSES = ("running", "completed", "failed", "cancelled")
 
 class IndexLedger:
     def __init__(self, spark: SparkSession, path: str):
-        self.table = VersionedTable(spark, path, "uri", SCHEMA)
+        self.table = MergeTable(spark, path, "uri", SCHEMA)
 
     def load(self) -> tuple[DataFrame, str | None]:
         """The entries, and why there are none if the ledger can't be read: it is empty then until the next write."""
@@ -35,6 +35,7 @@ class IndexLedger:
 
     def register(self, pending: DataFrame) -> None:
         """Pending items (uri, source, size_bytes, modified_at, profile) that have no entry get one, running."""
+        self.table.compact()
         self.table.insert_missing(_fresh(pending))
 
     def start(self, items: DataFrame) -> None:
@@ -44,10 +45,12 @@ class IndexLedger:
     def commit(self, points: DataFrame) -> None:
         """Points (uri, point_id) of finished parts are added to their items, each once."""
         new = points.groupBy("uri").agg(F.sort_array(F.collect_set("point_id")).alias("_points"))  # an item has few points
-        old = self.table.read().select("uri", F.col("point_ids").alias("_old"))
+        version = self.table.version()
+        old = self.table.read_version(version).select("uri", F.col("point_ids").alias("_old"))
         known = F.coalesce("_old", F.array().cast("array<string>"))
         ids = F.concat(known, F.array_except("_points", known))
-        self.table.set_fields(old.join(new, "uri").select("uri", ids.alias("point_ids"), F.current_timestamp().alias("updated_at")))
+        grown = old.join(new, "uri").select("uri", ids.alias("point_ids"), F.current_timestamp().alias("updated_at"))
+        self.table.set_fields(grown, expect=version)
 
     def complete(self, produced: DataFrame) -> None:
         """Items (uri, point_ids) are done: exactly these points are theirs."""
@@ -59,12 +62,13 @@ class IndexLedger:
 
     def cancel(self, items: DataFrame) -> None:
         """Items (uri) that are running are cancelled."""
-        running = self.table.read().where("status = 'running'").select("uri")
-        self._close(items.select("uri").join(running, "uri", "left_semi"), "cancelled", F.lit("cancelled"))
+        version = self.table.version()
+        running = self.table.read_version(version).where("status = 'running'").select("uri")
+        self._close(items.select("uri").join(running, "uri", "left_semi"), "cancelled", F.lit("cancelled"), version)
 
-    def _close(self, rows: DataFrame, status: str, error: Column) -> None:
+    def _close(self, rows: DataFrame, status: str, error: Column, expect: int | None = None) -> None:
         changed = rows.withColumns({"status": F.lit(status), "error": error, "updated_at": F.current_timestamp()})
-        self.table.set_fields(changed.drop("_error"))
+        self.table.set_fields(changed.drop("_error"), expect=expect)
 
     def unfinished(self) -> DataFrame:
         """Entries that a resumed run takes up again, with the points that are committed."""

@@ -10,6 +10,7 @@ from lumenlake.plans import planning
 from lumenlake.plans.ledger import IndexLedger
 from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
+from lumenlake.sources.merge import MergeTable
 from lumenlake.sources.tables import VersionedTable
 from lumenlake.streaming import watch
 
@@ -98,6 +99,48 @@ def upsert_rewrite(t) -> DataFrame:
     return table.read()
 
 
+CHANGED_SQL = """
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'named' WHEN doc_id % 10 = 0 THEN 'new' ELSE lang END AS lang,
+  CASE WHEN doc_id % 9 = 0 AND doc_id % 6 = 0 THEN NULL ELSE n_chars END AS n_chars, doc_id % 9 = 0 AS tagged, length(text) AS kept FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 70 = 0
+UNION ALL SELECT doc_id + 100000000, 'added', n_chars, FALSE, length(text) FROM documents WHERE doc_id % 50 = 0"""
+
+
+def _changed_documents(t) -> MergeTable:
+    """Documents that are put in, replaced and added, deleted, put in again, and set in some fields, in changes of their own."""
+    k = F.col("doc_id")
+    old = t("documents").select("doc_id", "lang", "n_chars", "text", F.array().cast("array<string>").alias("tags"))
+    table = MergeTable(old.sparkSession, scratch_dir(old.sparkSession, "merge"), "doc_id", old.schema)
+    table.upsert(old.withColumn("lang", F.when(k % 10 == 0, "old").otherwise(F.col("lang"))))
+    table.compact(0)
+    table.set_fields(old.where(k % 9 == 1).select("doc_id", F.lit(None).cast("string").alias("lang")))
+    fresh = old.withColumn("lang", F.lit("new"))
+    table.upsert(fresh.where(k % 10 == 0).unionByName(old.where(k % 50 == 0).withColumns({"doc_id": k + 100000000, "lang": F.lit("added")})))
+    table.delete(old.where(k % 7 == 0))
+    table.insert_missing(fresh.where(k % 70 == 0))
+    table.insert_missing(fresh.where((k % 10 == 0) & (k % 7 != 0)).withColumn("lang", F.lit("too late")))
+    table.set_fields(old.where(k % 9 == 1).select("doc_id", F.when(k % 10 == 0, "new").otherwise(F.col("lang")).alias("lang")))
+    size = F.when(k % 6 != 0, F.col("n_chars")).alias("n_chars")
+    table.set_fields(old.where(k % 9 == 0).select("doc_id", F.lit("named").alias("lang"), size, F.array(F.lit("t")).alias("tags")))
+    return table
+
+
+def _changed_rows(table: MergeTable) -> DataFrame:
+    return table.read().select("doc_id", "lang", "n_chars", (F.size("tags") > 0).alias("tagged"), F.length("text").cast("long").alias("kept"))
+
+
+@query(CHANGED_SQL)
+def merge_table_changes(t) -> DataFrame:
+    return _changed_rows(_changed_documents(t))
+
+
+@query(CHANGED_SQL)
+def merge_table_compacted(t) -> DataFrame:
+    table = _changed_documents(t)
+    table.compact(0)
+    table.forget_before(table.version())
+    return _changed_rows(table)
+
+
 @query("SELECT doc_id AS id, 'best' AS part FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'rest' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
 def union_all_dedup(t) -> DataFrame:
     d = t("documents")

@@ -137,6 +137,9 @@ class MergeTable:
         return rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def _one_each(self, rows: DataFrame, latest_by: str | None) -> DataFrame:
+        """A row for each key; where no key repeats, which a count of keys tells, whole rows aren't shuffled for it."""
+        if rows.groupBy(F.col(f"`{self.key}`")).count().where("count > 1").isEmpty():
+            return rows.drop(latest_by) if latest_by and latest_by not in self.schema.names else rows
         columns = [F.col(f"`{c}`") for c in rows.columns if c != latest_by or c in self.schema.names]
         row = F.struct(*columns)
         order = F.struct(*([F.col(f"`{latest_by}`")] if latest_by else []), F.to_json(row, {"ignoreNullFields": "false"}))
@@ -154,9 +157,9 @@ class MergeTable:
 
         return self._commit(change, base)
 
-    def upsert(self, rows: DataFrame, latest_by: str | None = None) -> int:
-        """Rows replace those of equal key."""
-        return self._delta(self._whole(self._one_each(rows, latest_by)), "u", [])
+    def upsert(self, rows: DataFrame, latest_by: str | None = None, expect: int | None = None) -> int:
+        """Rows replace those of equal key.  With ``expect`` only if that is the present version, as in the others."""
+        return self._delta(self._whole(self._one_each(rows, latest_by)), "u", [], expect)
 
     def insert_missing(self, rows: DataFrame, latest_by: str | None = None) -> int:
         """Rows whose key is not there yet are added; an error if the table changes meanwhile."""
@@ -165,18 +168,18 @@ class MergeTable:
         new = self._whole(self._one_each(rows, latest_by))
         return self._delta(new.join(there, F.col(f"`{self.key}`").eqNullSafe(F.col("_there")), "left_anti"), "u", [], base)
 
-    def delete(self, ids: DataFrame) -> int:
+    def delete(self, ids: DataFrame, expect: int | None = None) -> int:
         """Rows of these keys go; keys that aren't there do nothing."""
-        return self._delta(ids.select(F.col(f"`{self.key}`").cast(self.schema[self.key].dataType)).distinct(), "d", [])
+        return self._delta(ids.select(F.col(f"`{self.key}`").cast(self.schema[self.key].dataType)).distinct(), "d", [], expect)
 
-    def set_fields(self, changes: DataFrame, latest_by: str | None = None) -> int:
+    def set_fields(self, changes: DataFrame, latest_by: str | None = None, expect: int | None = None) -> int:
         """Named columns of ``changes`` (key and others) replace the stored ones; keys that aren't there do nothing."""
         columns = [c for c in changes.columns if c != self.key and c in self.schema.names]
         unknown = set(changes.columns) - {self.key, latest_by, *columns}
         if unknown:
             raise ValueError(f"no such columns: {sorted(unknown)}")
         one = self._one_each(changes, latest_by)
-        return self._delta(one.select(*[F.col(f"`{c}`").cast(self.schema[c].dataType).alias(c) for c in (self.key, *columns)]), "s", columns)
+        return self._delta(one.select(*[F.col(f"`{c}`").cast(self.schema[c].dataType).alias(c) for c in (self.key, *columns)]), "s", columns, expect)
 
     def set_tags(self, key, tags: list[str]) -> int:
         """A row's tags: trimmed, without blanks and case-insensitive repeats.  Writes one file of one row."""

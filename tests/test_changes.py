@@ -331,3 +331,13 @@ def test_responses(spark):
     assert (r.vector_score, r.relevance_score, r.text_score, r.phash_distance, r.near_duplicate) == (1.0, 1.0, 1.0, None, False)
     parts = [spark.createDataFrame(rows, "id string, score double") for rows in ([("a", 0.5), ("b", 0.2)], [("a", 0.5), ("b", 0.9)])]
     assert [(x.id, x.part, x.score) for x in search.merged_parts(parts, "id", "score").collect()] == [("b", 1, 0.9), ("a", 0, 0.5)]
+
+
+def test_queries_of_unequal_length_do_not_change_each_other(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, []), (5, None), (6, [1.0, None])], "id long, v array<double>")
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0, 1.0]), (12, None), (13, [None, 1.0]), (14, []), (10, [1.0, 0.0])], "query_id long, v array<double>")
+    found = search.batch_top_vectors(vectors, asked, 5, "id", "v")
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in found.collect()) == [(10, 1, 1, 1.0), (10, 2, 2, 0.0), (11, 1, 3, 0.0), (14, 1, 4, 0.0)]
+    for q in (10, 11, 14):
+        alone = search.batch_top_vectors(vectors, asked.where(f"query_id = {q}"), 5, "id", "v")
+        assert {(r.id, r.score) for r in alone.collect()} == {(r.id, r.score) for r in found.collect() if r.query_id == q}
