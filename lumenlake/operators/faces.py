@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.ids import PERSON_NAMESPACE, uuid5
 from lumenlake.functions.similarity import as_doubles, cosine_to
+from lumenlake.operators.founding import founded
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
 from lumenlake.plans.scratch import materialised
 
@@ -138,33 +139,10 @@ def first_apart(faces: Column, threshold: float) -> Column:
     )
 
 
-def cluster_in_order(faces: DataFrame, threshold: float) -> DataFrame:
-    """(face_id, person) by arrival: a face joins the person whose first face is most similar, or founds one.
+def cluster_in_order(faces: DataFrame, threshold: float, group: str = "media_id") -> DataFrame:
+    """(group, face_id, person) by arrival: a face joins the person whose first face is most similar, or founds one.
 
-    Each decision depends on all before it, so one medium's faces are one serial fold, in one task; media
-    are independent of each other.  To give people across media use `assign_people` on a batch.
+    Groups of any size: see `founding.founded`, also for null and unequal vectors (a null person).
     """
-    import numpy as np
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("face_id")
-        founders: list[np.ndarray] = []
-        owners: list[int] = []
-        out = []
-        for face_id, v in zip(pdf["face_id"], pdf["vector"]):
-            x = np.asarray(v, dtype=np.float64)
-            size = np.linalg.norm(x)
-            x = x / size if size else x
-            scores = np.array([x @ f for f in founders])
-            if len(scores) and 1 - scores.max() <= threshold:
-                out.append(owners[int(scores.argmax())])
-            else:
-                founders.append(x)
-                owners.append(face_id)
-                out.append(face_id)
-        return pd.DataFrame({"media_id": pdf["media_id"], "face_id": pdf["face_id"], "person": out})
-
-    kinds = dict(faces.dtypes)
-    schema = f"media_id {kinds['media_id']}, face_id {kinds['face_id']}, person {kinds['face_id']}"
-    return faces.select("media_id", "face_id", "vector").groupBy("media_id").applyInPandas(fold, schema)
+    found = founded(faces, group, "face_id", "vector", 1 - threshold)
+    return found.select(group, "face_id", F.col("founder").alias("person"))

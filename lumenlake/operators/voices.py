@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.operators.founding import FoundingParams, founded
+from lumenlake.operators.order import numbered
+from lumenlake.plans.scratch import materialised
+
 
 def recognised(segments: DataFrame) -> DataFrame:
     """Per medium and voice over (media_id, voice_id, label, start, end, score): the first label, counts, seconds and mean score."""
@@ -25,40 +29,24 @@ def usable_segments(segments: DataFrame, least: float = 0.25, most: float = 30.0
     return segments.where((F.col("end") - F.col("start")).between(least, most))
 
 
-def enrol(segments: DataFrame, group: str, min_score: float = 0.86, first_number: int = 1) -> DataFrame:
+def enrol(
+    segments: DataFrame, group: str, min_score: float = 0.86, first_number: int = 1, params: FoundingParams = FoundingParams()
+) -> DataFrame:
     """(group, segment_id, voice, label, score): recognise or enrol in the order of segment_id.
 
     A segment is the voice whose founder it is most similar to, by ``min_score`` at least (the first of
     equals), or founds one with a score of 1; what is recognised changes no voice.  Segments with a start
-    and an end take part only if their length is usable.  Whether a segment founds a voice depends on all
-    founders before it, so one registry is one serial fold; registries (``group``) are independent, and a
-    task holds a registry's founders.  Voices are numbered from ``first_number``, the highest in use plus one.
+    and an end take part only if their length is usable.  Voices of a registry (``group``) are numbered from
+    ``first_number``, the highest in use plus one.  Registries of any size: see `founding.founded`; a segment
+    without a usable vector has no voice (nulls).
     """
-    import numpy as np
-    import pandas as pd
-
     if {"start", "end"} <= set(segments.columns):
         segments = usable_segments(segments)
-    kinds = dict(segments.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment_id")
-        founders: list[np.ndarray] = []
-        numbers, scores = [], []
-        for v in pdf["embedding"]:
-            x = np.asarray(v, dtype=np.float64)
-            x = x / (np.linalg.norm(x) or 1.0)
-            near = np.array([x @ f for f in founders])
-            best = int(near.argmax()) if len(near) else -1
-            if best < 0 or near[best] < min_score:
-                founders.append(x)
-                best, score = len(founders) - 1, 1.0
-            else:
-                score = float(near[best])
-            numbers.append(first_number + best)
-            scores.append(score)
-        voices, labels = ([pattern % n for n in numbers] for pattern in ("voice-%04d", "Voice %d"))
-        return pd.DataFrame({group: pdf[group], "segment_id": pdf["segment_id"], "voice": voices, "label": labels, "score": scores})
-
-    schema = f"{group} {kinds[group]}, segment_id {kinds['segment_id']}, voice string, label string, score double"
-    return segments.select(group, "segment_id", "embedding").groupBy(group).applyInPandas(fold, schema)
+    found = materialised(founded(segments, group, "segment_id", "embedding", min_score, params), "voices")
+    founders = found.where("founds").select(F.col(group).alias("_g"), F.col("width").alias("_w"), F.col("at").alias("_at"), F.col("segment_id").alias("_s"))
+    names = numbered(founders, ["_g"], [F.col("_s"), F.col("_w"), F.col("_at")], "_n")
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("width") == F.col("_w")) & (F.col("founder_at") == F.col("_at"))
+    number = F.col("_n") + first_number
+    return found.join(names, same, "left").select(
+        group, "segment_id", F.format_string("voice-%04d", number).alias("voice"), F.format_string("Voice %d", number).alias("label"), "score"
+    ).withColumns({c: F.when(F.col("score").isNotNull(), F.col(c)) for c in ("voice", "label")})
