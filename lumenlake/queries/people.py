@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from lumenlake.operators import faces, identity, inverse
 from lumenlake.operators.filters import SearchFilters
+from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 from lumenlake.schema import MEDIA_FIELDS
+from lumenlake.streaming.registries import FounderRegistry
 
 
 def face_rows(t) -> DataFrame:
@@ -133,11 +135,43 @@ def query_face_argmax(t) -> DataFrame:
     return faces.query_face(face_rows(t).select("media_id", "face_id", "confidence", box)).select("media_id", "face_id")
 
 
-@query()
+def founding_sql(rows: str, least: float) -> str:
+    """The fold as recursion: ``rows`` has g, id and v; the result g, id, the founder's id and number, and the score."""
+    best = "list_max(list_transform(founders, lambda f, k: {'s': list_cosine_similarity(f.v, r.v), 'k': -k}))"
+    return f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS i FROM ({rows})),
+st AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, v DOUBLE[])[]) AS founders, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS founder, CAST(0 AS BIGINT) AS number, CAST(NULL AS DOUBLE) AS score FROM r
+  UNION ALL
+  SELECT g, i, CASE WHEN b.s >= {least} THEN founders ELSE list_append(founders, {{'id': id, 'v': v}}) END, id, CASE WHEN b.s >= {least} THEN founders[-b.k].id ELSE id END,
+         CASE WHEN b.s >= {least} THEN -b.k ELSE len(founders) + 1 END, CASE WHEN b.s >= {least} THEN b.s ELSE 1 END
+  FROM (SELECT r.*, founders, {best} AS b FROM st JOIN r ON r.g = st.g AND r.i = st.i + 1)),
+found AS (SELECT g, id, founder, number, score FROM st WHERE i > 0)"""
+
+
+@query(founding_sql("SELECT vec_id // 4 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 0.05) + " SELECT g AS media_id, id AS face_id, founder AS person FROM found")
 def online_cluster(t) -> DataFrame:
     return faces.cluster_in_order(face_rows(t), 0.95)
 
 
+@query(founding_sql("SELECT 0 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 0.25) + " SELECT id AS face_id, founder AS person FROM found")
+def people_founded(t) -> DataFrame:
+    """People across all media by arrival: one group of all faces."""
+    return faces.cluster_in_order(face_rows(t).withColumn("all", F.lit(0)), 0.75, "all").select("face_id", "person")
+
+
+@query(founding_sql("SELECT vec_id % 3 AS g, (vec_id % 2) * 10000000 + 10000000 + vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 0.25) + """
+SELECT CAST(g AS VARCHAR) AS registry, CAST(id AS VARCHAR) AS item, number - 1 AS number, round(score, 6) AS score FROM found""")
+def registry_over_batches(t) -> DataFrame:
+    """People of three registries in two batches, the second of which is run twice: as one fold of both."""
+    i = F.col("vec_id")
+    rows = t("embeddings").select((i % 3).alias("group"), ((i % 2) * 10_000_000 + 10_000_000 + i).cast("string").alias("item"), F.col("embedding").alias("vector"), (i % 2).alias("batch"))
+    registry = FounderRegistry(rows.sparkSession, scratch_dir(rows.sparkSession, "registry"), 0.25)
+    for batch in (0, 1, 1):
+        registry.handle(rows.where(F.col("batch") == batch), batch)
+    return registry.assigned.read().select(F.col("grp").alias("registry"), "item", "number", rounded(F.col("score")).alias("score"))
+
+
 SEARCH_SQL = f"""{MATCHES_SQL}, {MEDIA_SQL.strip()},
 kept AS (SELECT * FROM media WHERE width >= 672 AND contains(lower(filename), 'img-000')),
 inside AS (SELECT m.* FROM m WHERE media_id IN (SELECT id FROM kept))"""

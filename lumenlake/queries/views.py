@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators import filters, payload, voices
+from lumenlake.queries.people import founding_sql
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
 KINDS = ("static_image", "video_scene", "audio", "pdf_page")
@@ -116,11 +117,12 @@ def recognised_voices(t) -> DataFrame:
     return voices.recognised(seg).withColumn("confidence", rounded(F.col("confidence")))
 
 
-@query()
+@query(founding_sql("SELECT vec_id // 40 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 7 >= 3", 0.1) + """
+SELECT g AS registry, id AS segment_id, printf('voice-%04d', number) AS voice, 'Voice ' || number AS label, round(score, 6) AS score FROM found""")
 def voice_enrolment(t) -> DataFrame:
     i = F.col("vec_id")
     seg = t("embeddings").select(F.floor(i / 40).alias("registry"), i.alias("segment_id"), "embedding", F.lit(0.0).alias("start"), ((i % 7) / 10.0).alias("end"))
-    return voices.enrol(seg, "registry", 0.1)
+    return voices.enrol(seg, "registry", 0.1).withColumn("score", rounded(F.col("score")))
 
 
 @query("SELECT conv_id AS id FROM conversations WHERE role = 'system' GROUP BY conv_id UNION SELECT conv_id FROM conversations WHERE role = 'user' AND turn = 4")
