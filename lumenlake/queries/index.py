@@ -111,7 +111,6 @@ def _changed_documents(t) -> MergeTable:
     old = t("documents").select("doc_id", "lang", "n_chars", "text", F.array().cast("array<string>").alias("tags"))
     table = MergeTable(old.sparkSession, scratch_dir(old.sparkSession, "merge"), "doc_id", old.schema)
     table.upsert(old.withColumn("lang", F.when(k % 10 == 0, "old").otherwise(F.col("lang"))))
-    table.compact(0)
     table.set_fields(old.where(k % 9 == 1).select("doc_id", F.lit(None).cast("string").alias("lang")))
     fresh = old.withColumn("lang", F.lit("new"))
     table.upsert(fresh.where(k % 10 == 0).unionByName(old.where(k % 50 == 0).withColumns({"doc_id": k + 100000000, "lang": F.lit("added")})))

@@ -122,10 +122,14 @@ class MergeTable:
     def _bucket(self, count: int):
         return F.pmod(F.xxhash64(F.col(f"`{self.key}`")), F.lit(count)).cast("int")
 
-    def _written(self, rows: DataFrame, kind: str) -> tuple[str, dict[str, int]]:
-        """(folder, bytes by bucket) of rows, one folder a bucket; large buckets are several files."""
+    def _written(self, rows: DataFrame, kind: str, dealt: bool = True) -> tuple[str, dict[str, int]]:
+        """(folder, bytes by bucket) of rows, one folder a bucket; large buckets are several files.
+
+        ``dealt``: rows of a bucket are brought together first; not where they come from files by bucket.
+        """
         name = f"{kind}-{uuid.uuid4().hex}"
-        marked = rows.withColumn("_bucket", self._bucket(self.manifest()["buckets"])).hint("rebalance", "_bucket")
+        marked = rows.withColumn("_bucket", self._bucket(self.manifest()["buckets"]))
+        marked = marked.hint("rebalance", "_bucket") if dealt else marked
         marked.write.partitionBy("_bucket").parquet(posixpath.join(self.path, name))
         folder, fs = self.log._hadoop("..", name)
         found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and "=" in s.getPath().getName()]
@@ -148,9 +152,9 @@ class MergeTable:
 
     def _delta(self, rows: DataFrame, op: str, columns: list[str], base: int | None = None) -> int:
         name, sizes = self._written(rows, "delta")
-        if not sizes:
-            return self.version()
+        return self._delta_of(name, sizes, op, columns, base) if sizes else self.version()
 
+    def _delta_of(self, name: str, sizes: dict[str, int], op: str, columns: list[str], base: int | None = None) -> int:
         def change(manifest: dict, number: int) -> dict:
             delta = {"seq": number, "folder": name, "op": op, "columns": columns, "bytes": sizes}
             return {**manifest, "deltas": [*manifest["deltas"], delta]}
@@ -159,7 +163,18 @@ class MergeTable:
 
     def upsert(self, rows: DataFrame, latest_by: str | None = None, expect: int | None = None) -> int:
         """Rows replace those of equal key.  With ``expect`` only if that is the present version, as in the others."""
-        return self._delta(self._whole(self._one_each(rows, latest_by)), "u", [], expect)
+        whole = self._whole(self._one_each(rows, latest_by))
+        return self._delta(whole, "u", [], expect) if self.version() else self._first_rows(whole, expect)
+
+    def _first_rows(self, rows: DataFrame, expect: int | None) -> int:
+        """The rows of an empty table are its base at once, unless another change comes first."""
+        name, sizes = self._written(rows, "base")
+        base = {b: {"folder": name, "upto": 1, "bytes": n} for b, n in sizes.items()}
+        if not sizes or self.log.commit(1, json.dumps({**self._first, "base": base})):
+            return self.version()
+        if expect is not None:
+            raise ConcurrentChange(f"version 1 of {self.path} is there already")
+        return self._delta_of(name, sizes, "u", [])
 
     def insert_missing(self, rows: DataFrame, latest_by: str | None = None) -> int:
         """Rows whose key is not there yet are added; an error if the table changes meanwhile."""
@@ -231,7 +246,7 @@ class MergeTable:
         size = sum(d["bytes"][b] for b in dirty for d in pending[b])
         resolved, columns = self._resolved([(d, [b for b in dirty if d in pending[b]]) for d in used.values()])
         key = F.col(f"`{self.key}`")
-        small = F.broadcast if size <= BROADCAST_BYTES else lambda x: x
+        small = F.broadcast if size <= BROADCAST_BYTES else lambda x: x  # else rows are shuffled by key
         joined = base.join(small(resolved), key.eqNullSafe(F.col("_key")), "left").where("_full IS NULL")
         new = lambda c, old: F.when(F.col(f"_set.`{c}`.seq").isNotNull(), F.col(f"_set.`{c}`.value")).otherwise(old) if c in columns else old
         stays = joined.select(*[new(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in self.schema])
@@ -245,7 +260,7 @@ class MergeTable:
         """(key, the last full change, the last value of each column that was set) of deltas in given buckets, and those columns."""
         paths = [f"{d['folder']}/_bucket={b}" for d, buckets in deltas for b in buckets]
         by_folder = lambda what, kind: F.element_at(F.create_map(*[x for d, _ in deltas for x in (F.lit(d["folder"]), F.lit(d[what]).cast(kind))]), F.col("_folder"))
-        rows = self._scan(paths, self.schema).withColumn("_folder", F.regexp_extract("_metadata.file_path", "(delta-[0-9a-f]{32})", 1))
+        rows = self._scan(paths, self.schema).withColumn("_folder", F.regexp_extract("_metadata.file_path", "((?:delta|base)-[0-9a-f]{32})", 1))
         rows = rows.withColumns({"_seq": by_folder("seq", "long"), "_op": by_folder("op", "string")})
         columns = {c for d, _ in deltas for c in d["columns"]}
         full = F.when(F.col("_op").isin("u", "d"), F.col("_seq"))
@@ -272,7 +287,8 @@ class MergeTable:
         buckets = [str(b) for b in range(manifest["buckets"]) if grown(str(b))]
         if not buckets:
             return version
-        name, sizes = self._written(self._rows(manifest, buckets), "base")
+        changed = sum(d["bytes"][b] for b in buckets for d in self._pending(manifest, b))
+        name, sizes = self._written(self._rows(manifest, buckets), "base", dealt=changed > BROADCAST_BYTES)
 
         def change(now: dict, number: int) -> dict:
             fresh = {b: {"folder": name, "upto": version, "bytes": sizes.get(b, 0)} for b in buckets if now["base"].get(b, {}).get("upto", 0) < version}

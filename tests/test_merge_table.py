@@ -67,10 +67,11 @@ def test_a_change_of_one_row_writes_one_small_file(spark, tmp_path):
 
 def test_a_job_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     t = merge.MergeTable(spark, f"file://{tmp_path}/t", "id", "id long, n int")
-    t.upsert(spark.createDataFrame([(1, 1), (2, 2)], "id long, n int"))
+    t.upsert(spark.createDataFrame([(1, 1), (2, 0)], "id long, n int"))
+    t.set_fields(spark.createDataFrame([(2, 2)], "id long, n int"))
     change = spark.createDataFrame([(1, 9)], "id long, n int")
 
-    def dies(*_):
+    def dies(*_, **__):
         raise RuntimeError("lost")
 
     for step in ("_written", "_commit"):
@@ -79,9 +80,9 @@ def test_a_job_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
             for act in (lambda: t.upsert(change), lambda: t.set_fields(change), lambda: t.delete(change), lambda: t.compact(0)):
                 with pytest.raises(RuntimeError):
                     act()
-        assert {r.id: r.n for r in t.read().collect()} == {1: 1, 2: 2} and t.version() == 1
+        assert {r.id: r.n for r in t.read().collect()} == {1: 1, 2: 2} and t.version() == 2
     t.upsert(change)
-    assert {r.id: r.n for r in t.read_version(1).collect()} == {1: 1, 2: 2}
+    assert {r.id: r.n for r in t.read_version(2).collect()} == {1: 1, 2: 2}
     assert {r.id: r.n for r in t.read().collect()} == {1: 9, 2: 2}
 
 
@@ -92,10 +93,10 @@ def test_two_writers(spark, tmp_path):
     # a change that depends on what is there fails if that has changed meanwhile
     taken = one._written
 
-    def meanwhile(rows, kind):
+    def meanwhile(rows, kind, **how):
         one._written = taken
         two.upsert(spark.createDataFrame([(2, 2)], "id long, n int"))
-        return taken(rows, kind)
+        return taken(rows, kind, **how)
 
     one._written = meanwhile
     with pytest.raises(ConcurrentChange):
@@ -110,6 +111,21 @@ def test_two_writers(spark, tmp_path):
     assert {r.id: r.n for r in one.read().collect()} == {1: 1, 2: 6}
 
 
+def test_two_first_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    one, two = (merge.MergeTable(spark, path, "id", "id long, n int") for _ in range(2))
+    taken = one._written
+
+    def meanwhile(rows, kind, **how):
+        one._written = taken
+        two.upsert(spark.createDataFrame([(1, 1), (2, 2)], "id long, n int"))
+        return taken(rows, kind, **how)
+
+    one._written = meanwhile
+    one.upsert(spark.createDataFrame([(2, 7)], "id long, n int"))
+    assert {r.id: r.n for r in two.read().collect()} == {1: 1, 2: 7}
+
+
 def test_repeated_keys_and_unknown_columns(spark, tmp_path):
     t = merge.MergeTable(spark, f"file://{tmp_path}/t", "id", "id long, n int")
     t.upsert(spark.createDataFrame([(1, 5, 1), (1, 3, 9), (1, 4, 2)], "id long, n int, at int"), latest_by="at")
