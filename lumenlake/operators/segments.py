@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.temporal import overlap_seconds, overlaps, thinned
+from lumenlake.operators.sweep import covered, overlapping
 
 
 def slice_segments(segments: Column, start: Column, end: Column) -> Column:
@@ -23,31 +24,37 @@ def transcript_slice(segments: Column, speech: Column, start: Column, end: Colum
     return F.when((F.size(parts) > 0) | (F.size(spoken) > 0), F.struct(text.alias("text"), parts.alias("segments"), spoken.alias("speech"), ratio.alias("speech_ratio")))
 
 
-def join_overlapping(segments: DataFrame, windows: DataFrame, key: str, bucket: float | None = None) -> DataFrame:
+def join_overlapping(segments: DataFrame, windows: DataFrame, key: str, bucket: float | None = None, swept: bool = False) -> DataFrame:
     """Segments (key, start, end) joined to windows (key, window_start, window_end) that they overlap.
 
     The key makes an equi-join.  Where one key has very many of both, ``bucket`` cuts time into
-    pieces: both sides meet per piece, and a pair counts in the piece in which its overlap begins.
+    pieces: both sides meet per piece, and a pair counts in the piece in which its overlap begins;
+    ``swept`` sorts both sides instead (see `sweep.overlapping`), which needs no size of pieces.
     Segments with an open start or end have no last piece and take the plain join.
     """
     test = overlaps(F.col("start"), F.col("end"), F.col("window_start"), F.col("window_end"))
     plain = segments.join(windows, key).where(test)
-    if bucket is None:
+    if bucket is None and not swept:
         return plain
-    pieces = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket)))
     closed = F.col("start").isNotNull() & F.col("end").isNotNull()
+    open_ = segments.where(~closed).join(windows, key).where(test)
+    if swept:
+        return overlapping(segments.where(closed), windows, key).unionByName(open_)
+    pieces = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket)))
     left = segments.where(closed & (F.col("start") <= F.col("end"))).withColumn("_piece", pieces(F.col("start"), F.col("end")))
     right = windows.where("window_start <= window_end").withColumn("_piece", pieces(F.col("window_start"), F.col("window_end")))
     first = F.floor(F.greatest("start", "window_start") / bucket)
     met = left.join(right, [key, "_piece"]).where(test & (F.col("_piece") == first)).drop("_piece")
-    return met.unionByName(segments.where(~closed).join(windows, key).where(test))
+    return met.unionByName(open_)
 
 
 def scene_frames(frames: DataFrame, scenes: DataFrame, stride: int, most: int) -> DataFrame:
-    """Frames (video_id, frame) of each scene (video_id, scene, start, end): the first, every ``stride``-th, ``most`` at most."""
-    inside = frames.join(scenes, "video_id").where("frame >= start AND frame < end")
-    kept = inside.where((F.col("frame") - F.col("start")) % stride == 0)
-    n = F.row_number().over(Window.partitionBy("video_id", "scene").orderBy("frame"))
+    """Frames (video_id, frame) of each scene (video_id, scene, start, end): the first, every ``stride``-th, ``most`` at most.
+
+    By a sorted sweep (`sweep.covered`): frames don't meet the other scenes of their video, which may overlap.
+    """
+    kept = covered(frames, scenes, "video_id", "frame", "start", "end").where((F.col("frame") - F.col("start")) % stride == 0)
+    n = F.row_number().over(Window.partitionBy("video_id", "scene").orderBy("frame"))  # each task sends its first ones only
     return kept.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 

@@ -95,6 +95,11 @@ def interval_overlap_bucketed(t) -> DataFrame:
     return _overlap_seconds(segments.join_overlapping(_segments(t), _windows(t), "conv_id", bucket=2.0))
 
 
+@query(OVERLAP_SQL)
+def interval_overlap_swept(t) -> DataFrame:
+    return _overlap_seconds(segments.join_overlapping(_segments(t), _windows(t), "conv_id", swept=True))
+
+
 def _overlap_seconds(joined: DataFrame) -> DataFrame:
     return joined.select("conv_id", "w", "turn", rounded(F.least("end", "window_end") - F.greatest("start", "window_start")).alias("seconds"))
 
@@ -183,6 +188,18 @@ def scene_frame_stride(t) -> DataFrame:
     return segments.scene_frames(frames, scenes, 2, 1).select("video_id", "scene", "frame")
 
 
+@query("""
+WITH f AS (SELECT source AS video_id, doc_id AS frame FROM documents), s AS (SELECT source AS video_id, doc_id AS scene, doc_id AS a, doc_id + 4 + n_chars % 30 AS b FROM documents WHERE doc_id % 10 = 0),
+r AS (SELECT video_id, scene, frame, b - a AS length, row_number() OVER (PARTITION BY video_id, scene ORDER BY frame) AS n FROM f JOIN s USING (video_id) WHERE frame >= a AND frame < b AND (frame - a) % 3 = 0)
+SELECT video_id, scene, frame, length FROM r WHERE n <= 4""")
+def scene_frames_overlapping(t) -> DataFrame:
+    """Scenes that overlap, of few and very long videos."""
+    d, i = t("documents"), F.col("doc_id")
+    frames = d.select(F.col("source").alias("video_id"), i.alias("frame"))
+    scenes = d.where(i % 10 == 0).select(F.col("source").alias("video_id"), i.alias("scene"), i.alias("start"), (i + 4 + F.col("n_chars") % 30).alias("end"))
+    return segments.scene_frames(frames, scenes, 3, 4).select("video_id", "scene", "frame", (F.col("end") - F.col("start")).alias("length"))
+
+
 @query("""
 WITH raw AS (SELECT doc_id AS media_id, 'exif' AS ns, 'Make' AS k, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'E' || doc_id END AS v FROM documents
   UNION ALL SELECT doc_id, 'xmp', 'make', 'X' || doc_id FROM documents UNION ALL SELECT doc_id, 'iptc', 'Title', 'I' || doc_id FROM documents WHERE doc_id % 2 = 0
