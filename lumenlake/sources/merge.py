@@ -7,8 +7,8 @@ the last ``u`` or ``d`` counts, and each column takes the last ``s`` after it; a
 deltas alone finds them, so a key that changes very often is no group in memory.
 
 Reading: buckets without deltas are scanned as they are, with filters and column pruning; the others join
-their base to the resolved deltas, which are broadcast while the log says that they are small and shuffled
-beyond it.  `compact` rewrites the buckets whose deltas have grown and leaves the rest.
+their base to the deltas' keys and set columns, which are broadcast while the log says that they are small and
+shuffled beyond it; rows that were set whole come from the deltas.  `compact` rewrites the buckets whose deltas have grown and leaves the rest.
 
 The log is numbered manifests, of which the highest counts.  A manifest comes into being by a rename that
 fails if its number is taken.  A job that dies before leaves a folder that nothing names.  Changes that
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lumenlake.functions.text import normalise_tags
 from lumenlake.sources.tables import ConcurrentChange
 
-BROADCAST_BYTES = 8 << 20  # of deltas on disk
+BROADCAST_BYTES = 32 << 20  # of what a reader has to know of deltas, estimated
 RETRIES = 20
 
 
@@ -154,9 +154,19 @@ class MergeTable:
         name, sizes = self._written(rows, "delta")
         return self._delta_of(name, sizes, op, columns, base) if sizes else self.version()
 
+    def _weights(self, name: str, sizes: dict[str, int], columns: list[str]) -> dict[str, int]:
+        """Bytes by bucket that a reader has to hold of a delta: its keys and the columns that it sets."""
+        key = F.coalesce(F.octet_length(F.col(f"`{self.key}`").cast("string")), F.lit(0))
+        schema = T.StructType([self.schema[self.key], T.StructField("_bucket", T.IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(posixpath.join(self.path, name))
+        found = rows.groupBy("_bucket").agg(F.sum(key + 64).alias("n")).collect()  # a row a bucket
+        return {str(r["_bucket"]): int(r.n) + (4 * sizes[str(r["_bucket"])] if columns else 0) for r in found}
+
     def _delta_of(self, name: str, sizes: dict[str, int], op: str, columns: list[str], base: int | None = None) -> int:
+        weights = self._weights(name, sizes, columns)
+
         def change(manifest: dict, number: int) -> dict:
-            delta = {"seq": number, "folder": name, "op": op, "columns": columns, "bytes": sizes}
+            delta = {"seq": number, "folder": name, "op": op, "columns": columns, "bytes": sizes, "weight": weights}
             return {**manifest, "deltas": [*manifest["deltas"], delta]}
 
         return self._commit(change, base)
@@ -241,13 +251,18 @@ class MergeTable:
         rest = self._merged(self._scan(base(dirty), self.schema), pending, dirty)
         return clean.unionByName(rest)
 
+    @staticmethod
+    def _weight(pending: dict[str, list[dict]], buckets: list[str]) -> int:
+        return sum(d["weight"][b] for b in buckets for d in pending[b])
+
     def _merged(self, base: DataFrame, pending: dict[str, list[dict]], dirty: list[str]) -> DataFrame:
         used = {d["seq"]: d for b in dirty for d in pending[b]}
-        size = sum(d["bytes"][b] for b in dirty for d in pending[b])
+        size = self._weight(pending, dirty)
         resolved, columns = self._resolved([(d, [b for b in dirty if d in pending[b]]) for d in used.values()])
         key = F.col(f"`{self.key}`")
         small = F.broadcast if size <= BROADCAST_BYTES else lambda x: x  # else rows are shuffled by key
-        joined = base.join(small(resolved), key.eqNullSafe(F.col("_key")), "left").where("_full IS NULL")
+        slim = resolved.select("_key", F.col("_full").isNotNull().alias("_whole"), *(["_set"] if columns else []))
+        joined = base.join(small(slim), key.eqNullSafe(F.col("_key")), "left").where(~F.coalesce("_whole", F.lit(False)))
         new = lambda c, old: F.when(F.col(f"_set.`{c}`.seq").isNotNull(), F.col(f"_set.`{c}`.value")).otherwise(old) if c in columns else old
         stays = joined.select(*[new(f.name, F.col(f"`{f.name}`")).alias(f.name) for f in self.schema])
         later = lambda c, old: (
@@ -287,8 +302,8 @@ class MergeTable:
         buckets = [str(b) for b in range(manifest["buckets"]) if grown(str(b))]
         if not buckets:
             return version
-        changed = sum(d["bytes"][b] for b in buckets for d in self._pending(manifest, b))
-        name, sizes = self._written(self._rows(manifest, buckets), "base", dealt=changed > BROADCAST_BYTES)
+        weight = self._weight({b: self._pending(manifest, b) for b in buckets}, buckets)
+        name, sizes = self._written(self._rows(manifest, buckets), "base", dealt=weight > BROADCAST_BYTES)
 
         def change(now: dict, number: int) -> dict:
             fresh = {b: {"folder": name, "upto": version, "bytes": sizes.get(b, 0)} for b in buckets if now["base"].get(b, {}).get("upto", 0) < version}

@@ -15,7 +15,7 @@ def rows_of(table):
     return {r.id: (r.tags, r.n, r["a b"]) for r in table.read().collect()}
 
 
-@pytest.mark.parametrize("broadcast", [8 << 20, -1])
+@pytest.mark.parametrize("broadcast", [32 << 20, -1])
 def test_any_changes_match_a_dictionary(spark, tmp_path, monkeypatch, broadcast):
     monkeypatch.setattr(merge, "BROADCAST_BYTES", broadcast)
     t = merge.MergeTable(spark, f"file://{tmp_path}/t", "id", SCHEMA, buckets=4)
