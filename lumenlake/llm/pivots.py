@@ -3,15 +3,23 @@
 Reference points (pivots) are drawn from a bounded sample and kept well apart.  A vector is
 described by its permutation: the pivots in the order of their nearness, of which the first
 ``prefix`` are kept.  The inverted lists hold, for each pivot, the vectors that have it among their
-first few pivots; two vectors that meet in a list are candidates if they share at least ``shared``
+first few pivots; two vectors that meet in a list are candidates if they share at least so many
 pivots of their prefixes, and candidates are verified by their cosine in double precision.  A pair
 is counted in the list of the smallest pivot in which it meets, so that no pair of lists counts it
 twice, and no table of pairs is made.
 
-Vectors travel once, as the bytes they were stored in, to the lists they belong to.  Lists of any
-size are compared whole: a long list is dealt to pairs of blocks.  The number of pivots P follows
-the square root of the number of vectors up to ``max_pivots``; a vector is in log2(P) / 2 lists (3
-at least), since with more pivots two near vectors agree less often on any one of them.
+Vectors are described after the mean of the sample is taken from them, since vectors that share a
+direction have all the same nearest pivots otherwise; verification sees them as they are.  How many
+pivots there are, how far apart, in how many lists a vector is and how many pivots are asked for is fitted
+to the sample: mates of sample vectors are made at exactly the threshold, each on the way to another sample
+vector, so that they lie where the table's own pairs lie.  For 1, 16, 32 ... pivots the fewest lists and
+then the strictest count are taken at which ``recall`` of the mates are found, and of those the number of
+pivots with the least estimated cost for the table's size (comparisons fall with it, descriptions grow).  One
+pivot is one list, in which nothing is lost: small tables and tables that no pivots divide take it.
+
+A vector travels as the bytes it was stored in to each of its lists, and in a list that is longer than a block
+to each pair of blocks it is part of; blocks hold up to ``block_bytes``, so lists of any size are compared whole
+and none is capped, but beyond blocks x pivots vectors the copies grow with the table.
 
 Equal vectors are one vector with a weight.  Vectors of unequal lengths never meet.  The most
 common lengths (``widths`` at most) have pivots; each other length is a single list.
@@ -41,15 +49,15 @@ from lumenlake.llm.graph import LocalForest, components
 @dataclass(frozen=True)
 class PivotParams:
     threshold: float = 0.9
-    min_pivots: int = 64
+    min_pivots: int = 1
     max_pivots: int = 2_048
-    prefix: int = 16  # pivots of a permutation that are kept
-    shared: int = 4  # pivots that two prefixes have in common at least
+    prefix: int = 32  # pivots of a permutation that are kept
+    recall: float = 0.99  # of the sample's mates
     sample: int = 8_192  # vectors of a length from which pivots are taken
+    mates: int = 1_024  # of the sample, on which the index is fitted
     widths: int = 8  # lengths that have pivots of their own
-    apart: float = 0.6  # no two pivots are as similar as this
     least_block: int = 1_024
-    block_bytes: int = 8 << 20  # vectors of a block at most
+    block_bytes: int = 16 << 20  # vectors of a block at most
     seed: int = 7
 
 
@@ -60,23 +68,87 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(sample: np.ndarray, count: int, params: PivotParams) -> np.ndarray:
-    """Up to ``count`` sample vectors that are pairwise apart; random directions fill the rest."""
-    width = sample.shape[1]
-    kept = np.zeros((count, width))
-    n = 0
-    for v in sample:
-        if n == count:
+def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """``count`` sample vectors (or all, if fewer) of which the closest pair is as far apart as a few trials find."""
+    for apart in (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 2.0):
+        kept = np.zeros((min(count, len(sample)), sample.shape[1]))
+        n = 0
+        for v in sample:
+            if n == len(kept):
+                break
+            if n == 0 or apart > 1 or (kept[:n] @ v).max() < apart:
+                kept[n] = v
+                n += 1
+        if n == len(kept):
             break
-        if n == 0 or (kept[:n] @ v).max() < params.apart:
-            kept[n] = v
-            n += 1
-    if n < count:
-        extra = np.random.default_rng(params.seed).standard_normal((count - n, width))
-        kept[n:] = extra / np.linalg.norm(extra, axis=1, keepdims=True)
     return kept
 
 
+def mates_of(x: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit rows with cosine ``threshold`` to those of ``x``, on the way to other rows, or as near to it as these are."""
+    near, far = np.zeros((len(x), 1)), np.ones((len(x), 1))
+    for _ in range(40):
+        middle = (near + far) / 2
+        y = x + middle * (others - x)
+        apart = (x * y).sum(axis=1, keepdims=True) < threshold * np.sqrt((y * y).sum(axis=1, keepdims=True))
+        near, far = np.where(apart, near, middle), np.where(apart, middle, far)
+    y = x + near * (others - x)
+    return y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Unit rows as seen from the centre; a row in the centre is zero."""
+    y = x - centre
+    return y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-12)
+
+
+@dataclass
+class Described:
+    """How vectors of a length are described and posted."""
+
+    centre: np.ndarray
+    pivots: np.ndarray
+    lists: int  # in which a vector is
+    shared: int  # pivots that two prefixes have in common at least
+
+    def permutations(self, x: np.ndarray, prefix: int) -> np.ndarray:
+        return permutations(centred(x, self.centre), self.pivots, prefix)
+
+
+def fitted(sample: np.ndarray, count: int, params: PivotParams) -> Described:
+    """The description with the least estimated cost that finds ``recall`` of the sample's mates."""
+    centre = sample.mean(axis=0)
+    one = Described(centre, np.zeros((1, sample.shape[1])), 1, 1)  # one list of all
+    if len(sample) < 32:
+        return one
+    seen = centred(sample, centre)
+    order = np.random.default_rng(params.seed).permutation(len(sample))
+    held = min(params.mates, len(sample) // 2)
+    probe, seen = sample[order[:held]], seen[order[held:]]  # no probe is a pivot
+    mates = mates_of(probe, probe[np.roll(np.arange(len(probe)), 1)], params.threshold)
+    options = []
+    n = 1
+    most = max(1, len(seen) // 2)
+    while n <= min(params.max_pivots, most):
+        if n >= min(params.min_pivots, most):
+            known = Described(centre, choose_pivots(seen, n), 1, 1)
+            a, b = (known.permutations(x, params.prefix) for x in (probe, mates))
+            common = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+            for k in range(1, a.shape[1] + 1):
+                meet = (a[:, :k, None] == b[:, None, :k]).any(axis=(1, 2))
+                if meet.mean() >= params.recall:
+                    break
+            if meet.mean() >= params.recall:
+                found = [s for s in range(1, a.shape[1] + 1) if (meet & (common >= s)).mean() >= params.recall - 0.005]
+                posted = np.bincount(known.permutations(sample[order[: 4 * params.mates]], params.prefix)[:, :k].ravel(), minlength=n).astype(np.float64)
+                work = (posted**2).sum() / min(len(sample), 4 * params.mates) ** 2
+                # in units of a comparison: pairs that meet in lists, copies of a vector, descriptions
+                cost = count * work + 200.0 * k + 0.1 * n * sample.shape[1] * (n > 1)
+                options.append((cost, n, Described(centre, known.pivots, k, max(found))))
+        n = 16 if n == 1 else 2 * n
+    return min(options, key=lambda o: o[:2])[2] if options else one
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of the nearest pivots of each unit row, nearest first; ties by number."""
     sim = x @ pivots.T
@@ -86,11 +158,6 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(near, order, axis=1).astype(np.int16)
 
 
-def posted_lists(pivots: int) -> int:
-    """In how many lists a vector is, of so many pivots."""
-    return min(pivots, max(3, math.ceil(math.log2(pivots) / 2))) if pivots > 1 else 1
-
-
 def keyed_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, key, v) per row: the vector's bytes as stored (negative zero as zero) and their digest; null if unusable."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -122,24 +189,22 @@ class PivotIndex:
         self.kind, self.params = np.dtype(np.float32 if single else np.float64), params
         size = F.octet_length("v")
         common = distinct.groupBy(size.alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").limit(params.widths).collect()
-        self.pivots: dict[int, np.ndarray] = {}
+        self.known: dict[int, Described] = {}
         for r in common:
             sample = distinct.where(size == r.bytes).orderBy("key").limit(params.sample).select("v").collect()  # bounded by params.sample
             rows = unit_rows(np.stack([np.frombuffer(x.v, dtype=self.kind) for x in sample]))
-            wanted = 1 << max(0, math.ceil(math.log2(max(1.0, math.sqrt(r.n) / 4))))
-            self.pivots[r.bytes] = choose_pivots(rows, min(max(wanted, params.min_pivots), params.max_pivots), params)
+            self.known[r.bytes] = fitted(rows, r.n, params)
 
     def described(self, v: list[bytes]):
         """(rows, lists, permutations) for each length among the vectors; a list's number holds length and pivot."""
         sizes = np.array([len(b) for b in v])
         for size in np.unique(sizes).tolist():
             at = np.nonzero(sizes == size)[0]
-            pivots = self.pivots.get(size)
-            if pivots is None:
-                near = np.zeros((len(at), 1), dtype=np.int16)
+            known = self.known.get(size)
+            if known is None or len(known.pivots) == 1:
+                near, k = np.zeros((len(at), 1), dtype=np.int16), 1
             else:
-                near = permutations(unit_rows(np.stack([np.frombuffer(v[i], dtype=self.kind) for i in at])), pivots, self.params.prefix)
-            k = posted_lists(1 if pivots is None else len(pivots))
+                near, k = known.permutations(unit_rows(np.stack([np.frombuffer(v[i], dtype=self.kind) for i in at])), self.params.prefix), known.lists
             yield at, size * 65_536 + near[:, :k].astype(np.int64), near
 
     def block_rows(self, size: int, count: int) -> int:
@@ -205,7 +270,7 @@ def pair_links(distinct: DataFrame, count: int, single: bool, params: PivotParam
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 6 // 100_000))
     dealt = dealt.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "block")
 
-    kind, posted = index.kind, {size: posted_lists(len(p)) for size, p in index.pivots.items()}
+    kind, posted = index.kind, {size: (k.lists, k.shared) for size, k in index.known.items()}
 
     def compare(batches):
         import pyarrow as pa
@@ -256,7 +321,7 @@ def bitmaps(codes: np.ndarray, keep: np.ndarray, words: int) -> np.ndarray:
 
 
 def compare_blocks(
-    key, held, kind, posted: dict[int, int], params: PivotParams, links: dict[int, int], forest: LocalForest, sub: int = 1_024
+    key, held, kind, posted: dict[int, tuple[int, int]], params: PivotParams, links: dict[int, int], forest: LocalForest, sub: int = 1_024
 ) -> None:
     """Link the vectors of a pair of blocks: candidates by shared pivots, then cosines; sub-blocks bound the memory."""
     the_list, i, j = key
@@ -266,12 +331,12 @@ def compare_blocks(
     sides = [np.nonzero(block == i)[0], np.nonzero(block == j)[0]]
     if len(ids) < 2 or not (len(sides[0]) and len(sides[1])):
         return
-    pivot, k = the_list % 65_536, posted.get(the_list // 65_536, 1)
+    pivot, (k, shared) = the_list % 65_536, posted.get(the_list // 65_536, (1, 1))
     names, codes = np.unique(near, return_inverse=True)
     codes, words = codes.reshape(near.shape), -(-len(names) // 64)
     every = bitmaps(codes, np.ones(near.shape, dtype=bool), words)
     before = bitmaps(codes, (np.arange(near.shape[1])[None, :] < k) & (near < pivot), words)  # lists in which a pair has met already
-    needed = min(params.shared, near.shape[1])
+    needed = min(shared, near.shape[1])
     found = np.zeros(len(ids), dtype=np.int64)
     for a0 in range(0, len(sides[0]), sub):
         a = sides[0][a0 : a0 + sub]

@@ -185,12 +185,54 @@ def test_vectors_of_extreme_size_and_many_lengths(spark):
     assert all((got[10 + n].n_links, got[40 + n].component_id) == (1, 10 + n) for n in range(3, 20))
 
 
-@pytest.mark.parametrize("count", [64, 512, 2_048])
-def test_recall_of_unclustered_pairs_at_the_threshold(spark, count):
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def shaped(r, n, shape):
+    """Unit vectors: isotropic of a length, with a common direction, or near a plane of few dimensions (also with a common direction)."""
+    kind, width = shape.split("-")
+    width = int(width)
+    x = unit(r.standard_normal((n, width)))
+    if kind in ("low", "conelow"):
+        x = unit(r.standard_normal((n, 8)) @ r.standard_normal((8, width)) + 0.05 * r.standard_normal((n, width)))
+    if kind in ("cone", "conelow"):
+        x = unit(0.8 * np.eye(width)[0] + 0.6 * x)
+    return x
+
+
+def with_mates(r, x):
+    """The vectors and one more for each, at a cosine just above 0.9, on the way to another."""
+    y = pivots.mates_of(x, x[r.permutation(len(x))], 0.9)
+    t = r.uniform(0.9, 0.999, (len(x), 1))
+    return np.concatenate([x, unit(t * y + (1 - t) * x)])
+
+
+SHAPES = ["iso-4", "iso-8", "iso-64", "iso-384", "cone-64", "cone-384", "low-64", "conelow-64"]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_fitted_pivots_find_pairs_at_the_threshold_and_few_others(shape):
+    r = np.random.default_rng(3)
+    x = shaped(r, 12_000, shape)
+    sample, probe = x[:8_192], x[8_192:]
+    mates = pivots.mates_of(probe, probe[r.permutation(len(probe))], 0.9)
+    for count in (20_000, 2_000_000, 2_000_000_000):
+        known = pivots.fitted(sample, count, pivots.PivotParams())
+        a, b = (known.permutations(v, 32) for v in (probe, mates))
+        both = lambda p, q: (p[:, : known.lists, None] == q[:, None, : known.lists]).any((1, 2)) & ((p[:, :, None] == q[:, None, :]).any(2).sum(1) >= known.shared)  # noqa: E731,B023
+        assert both(a, b).mean() >= 0.965
+        chance = np.mean([both(a, np.roll(a, i, 0)).mean() for i in (1, 2, 3)])
+        linked = np.mean([((probe * np.roll(probe, i, 0)).sum(1) >= 0.9).mean() for i in (1, 2, 3)])
+        # true links are candidates; with a common direction and few dimensions chance pairs are hardly farther apart than links
+        most = 0.15 if shape.startswith("conelow") else 0.05
+        assert count < 1_000_000 or chance <= most + 5 * linked
+
+
+@pytest.mark.parametrize("shape,count", [("iso-64", 64), ("iso-64", 512), ("iso-64", 2_048), ("iso-4", 1), ("iso-8", 64), ("cone-64", 64), ("cone-384", 512), ("low-64", 256), ("conelow-64", 64)])
+def test_recall_at_the_threshold(spark, shape, count):
     r = np.random.default_rng(count)
-    n, unit = 1_500, lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    u, w, cos = unit(r.standard_normal((n, 64))), r.standard_normal((n, 64)), r.uniform(0.9001, 0.92, (n, 1))
-    v = np.concatenate([u, cos * u + np.sqrt(1 - cos**2) * unit(w - (w * u).sum(axis=1, keepdims=True) * u)])
+    v = with_mates(r, shaped(r, 1_500, shape))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {x.vec_id: x.n_links for x in pivots.linked_vectors(df, pivots.PivotParams(min_pivots=count, least_block=256)).collect()}
     links = Counter(a for a, _ in brute_links(v, None, 0.9))
