@@ -19,12 +19,15 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import written
+from lumenlake.plans.scratch import discard, materialised_at
 
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[np.r_[48:58, 65:91, 97:123, 128:256]] = True
@@ -212,17 +215,43 @@ def _scanned(rows: DataFrame, windows: WindowSet | None, texts_too: bool = True)
 def with_hits(docs: DataFrame, benchmark: DataFrame, params: DecontamParams, texts_too: bool = True) -> DataFrame:
     """(row, text, found) per row of ``docs``: its other columns as a struct, its text if wanted, and the hits of all blocks.
 
-    One block (the usual case) is one pass.  With more, each pass is written before the next, so
-    that one block's set is held at a time.
+    One block (the usual case) is one pass.  With more, rows are numbered and written once; a block's pass
+    writes the numbers and hits of the rows that it hits, and these are united once.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("row"), "text", F.lit(None).cast(FOUND).alias("found"))
-    waiting = None
-    for block in window_blocks(benchmark, params):
-        if waiting is not None:
-            rows = written(_scanned(rows, waiting), "windows")
-        waiting = block
-    return _scanned(rows, waiting, texts_too)
+    blocks = window_blocks(benchmark, params)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return _scanned(rows, first, texts_too)
+    numbered = written(rows.select(F.struct("row", F.monotonically_increasing_id().alias("n")).alias("row"), "text", "found"), "windows")
+    hits = []
+    for block in chain([first, second], blocks):
+        found = _scanned(numbered, block, texts_too=False)
+        hits.append(written(found.select("row.n", "found").where(F.size("found.hit_from") > 0) if hits else found.select("row.n", "found"), "hits"))
+    every = reduce(DataFrame.unionByName, hits).groupBy("n").agg(F.collect_list("found").alias("found"))  # a row per block at most
+    united = every.mapInArrow(_united, f"n bigint, found {FOUND}")
+    kept = numbered.select(F.col("row.n").alias("n"), "row.row", *(["text"] if texts_too else []))
+    return kept.join(united, "n").select("row", *(["text"] if texts_too else []), "found")
+
+
+def _united(batches):
+    """Hits of several blocks in one row as those of one."""
+    import pyarrow as pa
+
+    longs = pa.list_(pa.int64())
+    kind = pa.struct([("n_words", pa.int64()), ("hit_from", longs), ("hit_to", longs), ("items", pa.list_(pa.string()))])
+    for batch in batches:
+        out = []
+        for several in batch.column("found").to_pylist():
+            words = several[0]["n_words"]
+            hit = np.zeros(words + 1, dtype=np.int64)
+            for f in several:
+                np.add.at(hit, f["hit_from"], 1)
+                np.add.at(hit, f["hit_to"], -1)
+            first, last = _runs_of(np.cumsum(hit)[:-1] > 0)
+            out.append({"n_words": words, "hit_from": first.tolist(), "hit_to": last.tolist(), "items": sorted({i for f in several for i in f["items"]})})
+        yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(out, kind)], ["n", "found"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
@@ -245,10 +274,13 @@ def decontaminate(
     if mode not in ("document", "span"):
         raise ValueError("mode is document or span")
     if mode == "document":
-        waiting = None
+        waiting, path = None, None
         for block in window_blocks(benchmark, params):  # one pass over the rows for each, without a shuffle
             if waiting is not None:
-                docs = written(_clean(docs, waiting), "clean")
+                docs, done = materialised_at(_clean(docs, waiting), "clean")
+                if path is not None:
+                    discard(docs.sparkSession, path)
+                path = done
             waiting = block
         return docs if waiting is None else _clean(docs, waiting)
     found = with_hits(docs, benchmark, params)

@@ -13,8 +13,7 @@ Edge cases: null and empty html have an even text likelihood, so that declared l
 decide; null urls and urls without ``://`` belong to one empty host; a missing declaration is a
 declaration of its own; pages of any length are read whole; of languages with equal posteriors the
 first by name wins; repeated rows are rows; an empty table gives an empty result; further
-columns are not read.  Without any training row every language but those given is unknown and
-the result has a null lang.
+columns are not read.  Without any training row no language is known: lang, text_lang and probability are null.
 """
 
 from __future__ import annotations
@@ -29,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import ascii_lower, joined_hot, written
+from lumenlake.plans.scratch import discard, materialised_at
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>")
-DECLARED = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+HIDDEN = re.compile(r"(?i)<(?:(script)|(style)|(nav))\b")
+CLOSERS = tuple(re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav"))
+ROOT = re.compile(r"(?i)<html\b")
+DECLARED = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})")
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class LanguageParams:
     temper: float = 0.05  # weight of a trigram's log likelihood
     most_evidence: float = 12.0  # log likelihood range that text may contribute
     pull: float = 5.0  # pseudo pages by which a level is smoothed towards the one above
-    max_languages: int = 64
+    block_languages: int = 64  # whose table is held at a time
 
 
 def trigram_cells(text: str, log2: int) -> np.ndarray:
@@ -56,20 +58,55 @@ def trigram_cells(text: str, log2: int) -> np.ndarray:
 
 
 def visible_text(page: str) -> str:
-    return html_entities.unescape(DROPPED.sub(" ", page))
+    """The page without comments, scripts, styles, navigation and tags; what isn't closed is text.
+
+    One forward scan: a closing mark that isn't found once isn't looked for again, so a page of open marks
+    takes no longer than any other.
+    """
+    out, at = [], 0
+    gone = [False] * (len(CLOSERS) + 1)  # closing marks of hidden elements and of comments that aren't ahead any more
+    while (start := page.find("<", at)) >= 0:
+        end = -1
+        if not gone[-1] and page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            gone[-1], end = close < 0, close + 3 if close >= 0 else -1
+        elif opened := HIDDEN.match(page, start):
+            which = opened.lastindex - 1
+            if not gone[which]:
+                close = CLOSERS[which].search(page, opened.end())
+                gone[which], end = close is None, close.end() if close else -1
+        if end < 0:
+            end = page.find(">", start) + 1
+            if not end:
+                break  # no tag is closed from here on
+        out += [page[at:start], " "]
+        at = end
+    return html_entities.unescape("".join([*out, page[at:]]))
 
 
 def declared_language(page: str) -> str:
-    found = DECLARED.search(page)
-    return found[1].lower() if found else ""
-
-
-def train(docs: DataFrame, params: LanguageParams) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by trigram cell, from a bounded sample by hash of id."""
+    """The language of the first html tag that names one; each part of the page is looked at once."""
+    at = 0
+    while tag := ROOT.search(page, at):
+        end = page.find(">", tag.end())
+        found = DECLARED.search(page, tag.end(), end if end >= 0 else len(page))
+        if found:
+            return found[1].lower()
+        if end < 0:
+            break
+        at = end
+    return ""
+
+
+def languages(docs: DataFrame) -> list[str]:
+    """The languages of labelled documents, by name."""
+    return sorted(r.lang for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().collect())
+
+
+def train(docs: DataFrame, params: LanguageParams, langs: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all, or those given) and their log probabilities by trigram cell, from a bounded sample by hash of id."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r.lang for r in labelled.select("lang").distinct().limit(params.max_languages + 1).collect())
-    if len(langs) > params.max_languages:
-        raise ValueError(f"more than {params.max_languages} languages")
+    langs = languages(docs) if langs is None else langs
     log2 = params.buckets_log2
     counts = np.zeros((len(langs), 1 << log2))
     ids = [
@@ -101,16 +138,25 @@ def train(docs: DataFrame, params: LanguageParams) -> tuple[list[str], np.ndarra
     return langs, np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
 
 
+def likelihoods(text: str, table: np.ndarray, params: LanguageParams) -> np.ndarray:
+    """Tempered log likelihood of each language of a table."""
+    return table[:, trigram_cells(text, params.buckets_log2)].sum(axis=1) * params.temper
+
+
+def clipped(ll: np.ndarray, params: LanguageParams) -> np.ndarray:
+    """The best at 0 and none below -most_evidence."""
+    return np.maximum(ll - ll.max(), -params.most_evidence) if len(ll) else ll
+
+
 def text_evidence(text: str, table: np.ndarray, params: LanguageParams) -> np.ndarray:
-    """Tempered log likelihood of each language, the best at 0 and none below -most_evidence."""
-    cells = trigram_cells(text, params.buckets_log2)
-    ll = table[:, cells].sum(axis=1) * params.temper
-    return np.maximum(ll - ll.max(), -params.most_evidence)
+    return clipped(likelihoods(text, table, params), params)
+
 
+def evidence(pages: DataFrame, docs: DataFrame, langs: list[str], params: LanguageParams) -> DataFrame:
+    """(page_id, host, domain, suffix, declared, ll, soft) per page; ll and soft follow ``langs``.
 
-def evidence(pages: DataFrame, langs: list[str], table: np.ndarray, params: LanguageParams) -> DataFrame:
-    """(page_id, host, domain, suffix, declared, ll, soft) per page; ll and soft follow ``langs``."""
-    shared = pages.sparkSession.sparkContext.broadcast(table)  # languages x cells doubles
+    Languages are taken ``block_languages`` at a time: a pass over the pages for each block's table.
+    """
     at = F.coalesce(F.instr("url", "://"), F.lit(0))
     host = ascii_lower(
         F.regexp_extract(F.when(at > 0, F.substr(F.col("url"), at + 3)).otherwise(F.lit("")), "^[^/?#:]*", 0)
@@ -121,30 +167,56 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray, params: Lang
         F.substring_index(host, ".", -2).alias("domain"),
         F.substring_index(host, ".", -1).alias("suffix"),
         "html",
+        F.array().cast("array<double>").alias("ll"),
     )
     kind = dict(rows.dtypes)["page_id"]
+    head = f"page_id {kind}, host string, domain string, suffix string"
+    blocks = [langs[i : i + params.block_languages] for i in range(0, len(langs), params.block_languages)] or [[]]
+    spark, path = pages.sparkSession, None
+    for n, block in enumerate(blocks):
+        table = train(docs, params, block)[1]
+        shared = spark.sparkContext.broadcast(table)  # block_languages x cells doubles
+        if n < len(blocks) - 1:
+            done, next_path = materialised_at(rows.mapInArrow(_more_evidence(shared, params), f"{head}, html string, ll array<double>"), "evidence")
+            if path is not None:
+                discard(spark, path)
+            rows, path = done, next_path
+    return rows.mapInArrow(_all_evidence(shared, params), f"{head}, declared string, ll array<double>, soft array<double>")
+
+
+def _more_evidence(shared, params: LanguageParams):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = (visible_text(t.as_py() or "") for t in batch.column("html"))
+            lls = [[*old, *likelihoods(text, shared.value, params).tolist()] for old, text in zip(batch.column("ll").to_pylist(), texts)]
+            at = batch.schema.get_field_index("ll")
+            yield pa.RecordBatch.from_arrays([pa.array(lls, pa.list_(pa.float64())) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
+    return run
+
+
+def _all_evidence(shared, params: LanguageParams):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             declared, lls, softs = [], [], []
-            for t in batch.column("html"):
+            for t, old in zip(batch.column("html"), batch.column("ll").to_pylist()):
                 page = t.as_py() or ""
-                ll = text_evidence(visible_text(page), shared.value, params)
+                ll = clipped(np.array([*old, *likelihoods(visible_text(page), shared.value, params)]), params)
                 soft = np.exp(ll)
                 declared.append(declared_language(page))
                 lls.append(ll.tolist())
-                softs.append((soft / soft.sum()).tolist())
+                softs.append((soft / soft.sum()).tolist() if len(soft) else [])
             doubles = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "host", "domain", "suffix")), pa.array(declared, pa.string()), pa.array(lls, doubles), pa.array(softs, doubles)],
                 ["page_id", "host", "domain", "suffix", "declared", "ll", "soft"],
             )
 
-    return rows.mapInArrow(
-        run, f"page_id {kind}, host string, domain string, suffix string, declared string, ll array<double>, soft array<double>"
-    )
+    return run
 
 
 def soft_counts(scored: DataFrame, by: list[str], langs: list[str], prefix: str) -> DataFrame:
@@ -154,13 +226,14 @@ def soft_counts(scored: DataFrame, by: list[str], langs: list[str], prefix: str)
 
 def identify(pages: DataFrame, docs: DataFrame, params: LanguageParams = LanguageParams()) -> DataFrame:
     """(page_id, lang, probability, text_lang, declared, host) per row of ``pages``."""
-    langs, table = train(docs, params)
+    langs = languages(docs)
+    scored = evidence(pages, docs, langs, params)
     if not langs:
-        return pages.select(
+        return scored.select(
             "page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"),
-            F.lit(None).cast("string").alias("text_lang"), F.lit("").alias("declared"), F.lit("").alias("host"),
-        )
-    scored = written(evidence(pages, langs, table, params), "langid")
+            F.lit(None).cast("string").alias("text_lang"), "declared", "host",
+        )
+    scored = written(scored, "langid")
     k, pull = len(langs), params.pull
     hosts = soft_counts(scored, ["suffix", "domain", "host"], langs, "host")
     add = lambda col: F.array(*[F.sum(F.get(col, F.lit(i))) for i in range(k)])

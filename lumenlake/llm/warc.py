@@ -5,9 +5,9 @@ first page; the decision is joined to the pages once, responses carry the payloa
 revisits only refer to it, and every record gets fresh headers.  Archives are written by
 Spark's own committed text writer, with the record separator as line separator and gzip around
 each file (not around each record, which that writer can't do), so a lost executor leaves no
-half-written archive.  Records are written by classes of payload size, each with so many records a
-file that no archive holds more than ``archive_bytes`` of payloads, a single larger one aside.  They
-are read as a stream, record by record, by Content-Length, so payloads that hold record separators
+half-written archive.  Records are written by classes of payload size: a class has as many files as its
+bytes over ``archive_bytes``, and so many records a file as its mean payload allows, so that files are of
+about that size, a few times it at most, a single larger payload aside.  They are read as a stream, record by record, by Content-Length, so payloads that hold record separators
 are kept whole.
 
 Edge cases: a null html is an empty payload; equal payloads below ``least_revisit`` bytes are
@@ -25,7 +25,7 @@ import hashlib
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import scratch_dir, written
@@ -42,7 +42,7 @@ class WarcParams:
     least_revisit: int = 100
     date: str | None = None  # of the records; by default that of the writing
     archive_bytes: int = 64 << 20  # payloads of one archive file
-    class_factor: int = 16  # size classes: up to so many times the mean payload, that times as much again, ...
+    class_factor: int = 8  # size classes: up to so many times the mean payload, that times as much again, ...
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
@@ -124,28 +124,31 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = WarcParams(
     """Write one record per row of ``pages`` (page_id, url, html) to archives below ``path``."""
     rows = with_digests(pages).withColumn("uri", _header_safe(F.col("url"))).drop("url")
     headers = rows.select("page_id", "digest", "payload_bytes", "uri")
-    total, count, largest = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("payload_bytes"), F.lit(0))).first()
-    # one decision per (page id, digest), so that repeated rows don't multiply in the join
-    decided = resolve(headers, params).where("refers_to IS NOT NULL").groupBy(
+    total, count = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    # one decision per (page id, digest), so that repeated rows don't multiply in the join; written, as every class asks for it
+    decided = written(resolve(headers, params).where("refers_to IS NOT NULL").groupBy(
         F.col("page_id").alias("_id"), F.col("digest").alias("_digest")
-    ).agg(F.min("refers_to").alias("refers_to"), F.min("refers_to_uri").alias("refers_to_uri"))
+    ).agg(F.min("refers_to").alias("refers_to"), F.min("refers_to_uri").alias("refers_to_uri")), "revisits")
     date = params.date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    low, high = -1, max(1, -(-total // max(1, count))) * params.class_factor
-    while low < largest or low < 0:  # a handful of classes: each is ``class_factor`` times the one before
-        these = rows.where((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
+    mean, factor = max(1, -(-total // max(1, count))), params.class_factor
+    which = F.greatest(F.lit(0), F.ceil(F.log(float(factor), F.greatest(F.col("payload_bytes"), F.lit(1)) / F.lit(float(mean * factor))) - F.lit(1e-9)).cast("int"))
+    classes = headers.groupBy(which.alias("k")).agg(F.sum("payload_bytes").alias("bytes"), F.count("*").alias("n")).orderBy("k").collect()  # a handful
+    for c in classes or [Row(k=0, bytes=0, n=0)]:
+        these = rows.where(which == c.k)
         same = these["page_id"].eqNullSafe(decided["_id"]) & (these["digest"] == decided["_digest"])
         records = these.join(decided, same, "left").select(
             F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"),
             "page_id", "uri", "digest", "payload_bytes", "refers_to", "refers_to_uri",
         )
+        per_file = max(1, params.archive_bytes * c.n // max(1, c.bytes))
         (
             records.select(record_text(date).alias("value"))
+            .coalesce(max(1, -(-c.n // per_file)))
             .write.option("lineSep", CRLF + CRLF)
             .option("compression", "gzip")
-            .option("maxRecordsPerFile", max(1, params.archive_bytes // high))
-            .text(f"{path}/upto-{high}")
+            .option("maxRecordsPerFile", per_file + per_file // 4)
+            .text(f"{path}/class-{c.k}")
         )
-        low, high = high, high * params.class_factor
 
 
 def parse_records(archive):

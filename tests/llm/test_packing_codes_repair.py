@@ -6,32 +6,16 @@ import zlib
 from fractions import Fraction
 from itertools import pairwise
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from lumenlake.llm import packing, repair, vafile
-from lumenlake.llm.queries import oracle_sql, queries
 
-DATA = "/root/testdata/sf0.001"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("name", ["op12_va_codes", "op13_turn_repair"])
-def test_matches_sql(spark, name):
-    from tests.test_oracles import canonical
-
-    con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    df = queries()[name](spark, DATA)
-    result = con.execute(oracle_sql()[name])
-    columns = [d[0] for d in result.description]
-    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(result.fetchall(), columns)
-
-
 # ------------------------------------------------------------------ packing
 
 

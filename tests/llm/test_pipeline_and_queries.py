@@ -96,7 +96,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents embeddings pages benchmark labels".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     columns = sorted(df.columns)
