@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import unicodedata
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators.duplicates import only_duplicates, with_group, without_duplicates
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
+from lumenlake.operators.order import numbered
 
 SORTS = ("captured_newest", "duplicate_group_size", "filename", "modified_newest", "size_largest")
 
@@ -43,6 +45,37 @@ def page(rows: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*album_order(sort)).offset(max(0, offset)).limit(min(max(limit, 1), 500))
 
 
+class PageDirectory:
+    """An album in its order, in blocks of places: a page at any depth reads the block or two that it is in.
+
+    `build` sorts the album once (a range shuffle), numbers its rows and writes a folder for each ``block`` places;
+    it is to be built anew when the album changes.  `page` needs no sort and no count, however deep.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, block: int = 10_000):
+        self.spark, self.path, self.block = spark, path, block
+
+    def build(self, rows: DataFrame, sort: str) -> None:
+        """``rows`` are those of `matching`, with their groups' sizes for the sort by them."""
+        placed = numbered(rows, [], album_order(sort), "_place")
+        blocks = placed.withColumn("_block", F.floor(F.col("_place") / self.block))
+        blocks.hint("rebalance", "_block").write.partitionBy("_block").parquet(posixpath.join(self.path, "rows"))
+        self.rows().groupBy().agg(F.count("*").alias("total")).write.parquet(posixpath.join(self.path, "total"))
+
+    def rows(self) -> DataFrame:
+        """All rows with their places (_place)."""
+        return self.spark.read.parquet(posixpath.join(self.path, "rows")).drop("_block")
+
+    def total(self) -> DataFrame:
+        return self.spark.read.parquet(posixpath.join(self.path, "total"))
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        first, limit = max(0, offset), min(max(limit, 1), 500)
+        every = self.spark.read.parquet(posixpath.join(self.path, "rows"))
+        inside = every.where(F.col("_block").isin(list(range(first // self.block, (first + limit - 1) // self.block + 1))))
+        return inside.where((F.col("_place") >= first) & (F.col("_place") < first + limit)).orderBy("_place").drop("_block", "_place")
+
+
 def album_results(
     media: DataFrame, criteria: SearchFilters, members: DataFrame | None = None, sort: str = "captured_newest", offset: int = 0, limit: int = 60
 ) -> tuple[DataFrame, DataFrame]:

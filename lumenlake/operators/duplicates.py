@@ -10,15 +10,18 @@ search for the pairs themselves.
 
 from __future__ import annotations
 
+import posixpath
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.ids import group_id
 from lumenlake.functions.similarity import phash_halves, valid_phash
 from lumenlake.operators.components import LocalForest, components
+from lumenlake.operators.order import all_equal
 from lumenlake.plans.scratch import materialised
+from lumenlake.sources.merge import MergeTable
 
 BLOCK = 2_048  # hashes of a key that are compared with each other at once
 
@@ -172,3 +175,74 @@ def with_group(media: DataFrame, members: DataFrame) -> DataFrame:
     """Media rows with their class's root (null outside) and its size (1 outside)."""
     sized = group_sizes(members).withColumnsRenamed({"root": "duplicate_root", "size": "duplicate_group_size"})
     return media.join(sized, "id", "left").withColumn("duplicate_group_size", F.coalesce("duplicate_group_size", F.lit(1)).cast("long"))
+
+
+class DuplicateIndex:
+    """Classes of near duplicates that are kept up to date: a change compares only what it brings.
+
+    Two merge-on-read tables below a path: the hash of each medium, and the class of each hash (named by one of its
+    hashes).  `refresh` brings the second in line with the first, from whatever state it finds, so a job that died
+    between the two is finished by the next: hashes that are new are compared with the hashes that share a key of
+    theirs, and classes that they join are merged by a component search over class names; where the last medium
+    of a hash is gone, the other hashes of its class are taken as new.  Keys are made in the scan of
+    the hashes and filtered by those of the new ones, without a shuffle while these are broadcast.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, threshold: int = 8, agreeing: int = 2, id_type: str = "string", buckets: int = 16):
+        self.threshold, self.agreeing = threshold, agreeing
+        self.media = MergeTable(spark, posixpath.join(path, "media"), "id", f"id {id_type}, whole long", buckets)
+        self.hashes = MergeTable(spark, posixpath.join(path, "hashes"), "whole", "whole long, cls long", buckets)
+
+    def add(self, media: DataFrame) -> None:
+        """Media rows (id, phash) come in, or get other hashes; one without a valid hash is in no class."""
+        hi, lo = phash_halves(F.lower("phash"))
+        whole = F.when(valid_phash(F.col("phash")), F.shiftleft(hi, 32).bitwiseOR(lo))
+        self.media.upsert(media.select("id", whole.alias("whole")))
+        self.refresh()
+
+    def remove(self, ids: DataFrame) -> None:
+        self.media.delete(ids.select("id"))
+        self.refresh()
+
+    def refresh(self) -> None:
+        present = self.media.read().select("whole").where("whole IS NOT NULL").distinct()
+        known = materialised(self.hashes.read(), "known")
+        present = materialised(present, "present")
+        gone = materialised(known.join(present, "whole", "left_anti"), "gone")
+        broken = gone.select("cls").distinct()
+        loose = known.join(broken, "cls", "left_semi").join(gone, "whole", "left_anti").select("whole")
+        new = materialised(present.join(known, "whole", "left_anti").select("whole").union(loose), "new")
+        if not new.isEmpty():
+            settled = known.join(broken, "cls", "left_anti")
+            self.hashes.upsert(self._classes(settled, new))
+        if not gone.isEmpty():
+            self.hashes.delete(gone.select("whole"))
+        self.media.compact()
+        self.hashes.compact()
+
+    def _classes(self, settled: DataFrame, new: DataFrame) -> DataFrame:
+        """(whole, cls) of the new hashes and of settled ones whose class has another name now."""
+        keyed = lambda rows: _keyed(_halves(rows), self.threshold, self.agreeing)
+        wanted = keyed(new).select("n", "key").distinct()
+        every = keyed(settled)
+        near = every.join(wanted, ["n", "key"], "left_semi").select("whole").distinct()
+        links = materialised(hash_links(_halves(near.union(new)), self.threshold, self.agreeing), "links")
+        names = settled.select(F.col("whole").alias("hash"), "cls")
+        for end in ("a", "b"):
+            links = links.join(names, links[end] == names["hash"], "left").withColumn(end, F.coalesce("cls", end)).drop("hash", "cls")
+        merged = materialised(components(links), "merged")
+        fresh = new.join(merged, new["whole"] == merged["node"], "left").select("whole", F.coalesce("component", "whole").alias("cls"))
+        other = merged.where("node <> component")
+        renamed = settled.join(other, settled["cls"] == other["node"]).select("whole", F.col("component").alias("cls"))
+        return fresh.unionByName(renamed)
+
+    def membership(self) -> DataFrame:
+        """(id, root) as of `membership` over all media."""
+        named = self.media.read().where("whole IS NOT NULL").join(self.hashes.read(), "whole").select("id", "cls")
+        roots = named.groupBy("cls").agg(F.min("id").alias("root"))
+        return named.join(roots, all_equal(named, roots, ["cls"])).select("id", "root")
+
+
+def _halves(rows: DataFrame) -> DataFrame:
+    """Hashes of 64 bits as `hash_links` takes them."""
+    return rows.select(F.lit("").alias("phash"), F.shiftrightunsigned("whole", 32).alias("hi"), F.col("whole").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))

@@ -29,5 +29,5 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> Da
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
     placed = ranged.withColumn("_n", inside)
-    joined = placed.join(offsets, all_equal(placed, offsets, ["_part", *by]))
+    joined = placed.join(offsets, all_equal(placed, offsets, ["_part", *by]))  # small: a row per partition and key
     return joined.select(*[placed[f"`{c}`"] for c in df.columns], (F.col("_before") + F.col("_n") - 1).cast("long").alias(name))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.temporal import overlap_seconds, overlaps, thinned
-from lumenlake.operators.sweep import covered, overlapping
+from lumenlake.operators.sweep import carried_last, covered, overlapping
 
 
 def slice_segments(segments: Column, start: Column, end: Column) -> Column:
@@ -58,6 +59,40 @@ def scene_frames(frames: DataFrame, scenes: DataFrame, stride: int, most: int) -
     return kept.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
+def content_cuts(frames: DataFrame, threshold: float = 27.0, least: int = 15) -> DataFrame:
+    """(video_id, frame, score): frames at which a scene begins, from (video_id, frame, hue, saturation, value) rows.
+
+    A frame's score is the mean of the three channels' differences from the frame before it; it is a cut if that
+    reaches the threshold and the last cut (or the video's first frame) is ``least`` frames back or more.  Rows
+    are compared over the borders of partitions (`sweep.carried_last`).  A cut depends on cuts that are closer than
+    ``least`` only, so frames in runs of close candidates are decided together, one run in a row.  A frame
+    with a null channel is skipped, and null videos and frames.
+    """
+    channels = ("hue", "saturation", "value")
+    rows = frames.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("video_id", "frame", *channels)]))
+    seen = F.struct("frame", *channels)
+    # each frame twice: first it asks for what is before it, then it is what is before the next
+    ask = rows.select("video_id", "frame", F.lit(0).alias("turn"), seen.alias("own"), F.lit(None).alias("told"))
+    tell = rows.select("video_id", "frame", F.lit(1).alias("turn"), F.lit(None).alias("own"), seen.alias("told"))
+    met = carried_last(ask.unionByName(tell), ["video_id"], ["frame", "turn"], "told", "before").where("turn = 0")
+    score = sum(F.abs(F.col(f"own.{c}") - F.col(f"before.{c}")) for c in channels) / len(channels)
+    scored = met.select("video_id", "frame", "before", score.cast("double").alias("score"))
+    # the first frame counts as a cut for those after it
+    candidates = scored.where(F.col("before").isNull() | (F.col("score") >= threshold)).drop("before")
+    mark = candidates.select("video_id", "frame", "score", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("told"))
+    told = candidates.select("video_id", "frame", "score", F.lit(1).alias("turn"), F.col("frame").cast("long").alias("told"))
+    gaps = carried_last(mark.unionByName(told), ["video_id"], ["frame", "turn"], "told", "last").where("turn = 0")
+    starts = gaps.withColumn("start", F.when(F.col("last").isNull() | (F.col("frame") - F.col("last") >= least), F.col("frame")))
+    runs = carried_last(starts.select("video_id", "frame", "score", "start"), ["video_id"], ["frame"], "start", "run")
+    together = runs.groupBy("video_id", "run").agg(F.array_sort(F.collect_list(F.struct("frame", "score"))).alias("c"))
+    kept = F.aggregate(
+        "c", F.slice("c", 1, 0),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["frame"] - F.element_at(acc, -1)["frame"] >= least), F.array_append(acc, x)).otherwise(acc),
+    )
+    cuts = together.select("video_id", F.explode(kept).alias("c"))
+    return cuts.where("c.score IS NOT NULL").select("video_id", "c.frame", "c.score")
+
+
 def adjacent_pairs(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Each row with the one after it: columns ``order`` and next_``order``."""
     after = F.lead(order).over(Window.partitionBy(by).orderBy(order))

@@ -9,6 +9,7 @@ from lumenlake.functions.ids import uuid5
 from lumenlake.functions.similarity import as_doubles, hamming_hex, phash_halves, relevance, weighted_mean
 from lumenlake.operators import albums, duplicates, search
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
+from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
 
@@ -95,6 +96,21 @@ def duplicate_membership(t) -> DataFrame:
     return duplicates.membership(media(t), 8)
 
 
+KEPT_SQL = MEMBERS_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 11 <> 0)")
+
+
+@query(f"WITH RECURSIVE {KEPT_SQL} SELECT id, root FROM members")
+def duplicate_membership_updated(t) -> DataFrame:
+    """Classes after three batches, one of which changes hashes that another had wrong, and a removal."""
+    m = media(t).select("id", "phash")
+    index = duplicates.DuplicateIndex(m.sparkSession, scratch_dir(m.sparkSession, "duplicates"), 8, id_type="long")
+    wrong = F.when(F.col("id") % 7 == 0, F.lit("0" * 16)).otherwise(F.col("phash"))
+    index.add(m.where("id % 3 <> 1").withColumn("phash", wrong))
+    index.add(m.where("id % 3 = 1 OR id % 7 = 0"))
+    index.remove(m.where("id % 11 = 0"))
+    return index.membership()
+
+
 @query(f"""WITH RECURSIVE {MEMBERS_SQL},
 g AS (SELECT root AS representative, count(*) AS size, list_sort(list(id)) AS ids FROM members WHERE size > 1 GROUP BY root),
 u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(array_to_string(ids, chr(10)))) AS s FROM g)
@@ -188,6 +204,15 @@ def album_page_total(t) -> DataFrame:
     return albums.album_results(media(t), SearchFilters(media_kind="static_image", text="THE"))[1]
 
 
+@query(f"WITH {MEDIA_SQL} SELECT id, CAST((row_number() OVER (ORDER BY size_bytes DESC, filename, id) - 1) // 60 AS BIGINT) AS page FROM media WHERE width <= 736")
+def album_pages(t) -> DataFrame:
+    """Every row of an album with its page, from the directory of its places."""
+    m = media(t)
+    directory = albums.PageDirectory(m.sparkSession, scratch_dir(m.sparkSession, "album"))
+    directory.build(albums.matching(m, SearchFilters(width_max=736.0)).select("id", "filename", "size_bytes"), "size_largest")
+    return directory.rows().select("id", F.floor(F.col("_place") / 60).alias("page"))
+
+
 @query(f"""WITH RECURSIVE {MEMBERS_SQL} SELECT m.id, root AS duplicate_root, size AS duplicate_group_size FROM media m JOIN members USING (id)
 WHERE size > 1 AND width <= 736 ORDER BY modified_at DESC, filename, m.id LIMIT 30 OFFSET 5""")
 def album_of_duplicates(t) -> DataFrame:

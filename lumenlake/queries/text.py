@@ -9,6 +9,8 @@ from lumenlake.functions import temporal
 from lumenlake.functions import text as tx
 from lumenlake.operators import deletion, enrichment, search, segments
 from lumenlake.operators.filters import SearchFilters
+from lumenlake.operators.trigrams import TextIndex
+from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
 
@@ -17,6 +19,19 @@ def text_search_topk(t) -> DataFrame:
     return search.search_text(media(t), "of the", SearchFilters(), 30).select("id", "filename", "score")
 
 
+def _indexed_search(t, needle: str) -> DataFrame:
+    """The rows of a text search by trigram postings of the documents' files."""
+    docs = t("documents")
+    index = TextIndex(docs.sparkSession, scratch_dir(docs.sparkSession, "trigrams"))
+    index.build(docs, lambda: F.array("text"))
+    return index.search(docs, needle.lower().split(), tx.holds_terms(needle, F.col("text")))
+
+
+@query("SELECT doc_id, length(text) AS size FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'able') AND contains(lower(text), 'zu')")
+def trigram_search(t) -> DataFrame:
+    return _indexed_search(t, "TION able  zu").select("doc_id", F.length("text").cast("long").alias("size"))
+
+
 @query(f"WITH {MEDIA_SQL} SELECT id FROM media WHERE contains(lower(ocr_text), 'tion') AND contains(lower(ocr_text), 'able') AND contains(lower(ocr_text), 'ing')")
 def text_terms_all_match(t) -> DataFrame:
     return media(t).where(tx.match_score("TION able  ing", F.col("ocr_text")).isNotNull()).select("id")
@@ -188,6 +203,23 @@ def scene_frame_stride(t) -> DataFrame:
     return segments.scene_frames(frames, scenes, 2, 1).select("video_id", "scene", "frame")
 
 
+CUTS_SQL = """
+WITH RECURSIVE f AS (SELECT source AS video_id, doc_id AS frame, (doc_id // 8 * 37) % 180 AS h, (doc_id // 24 * 53) % 256 AS s, n_chars % 64 AS v FROM documents),
+d AS (SELECT *, (abs(h - lag(h) OVER w) + abs(s - lag(s) OVER w) + abs(v - lag(v) OVER w)) / 3.0::DOUBLE AS score FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+c AS (SELECT video_id, frame, score, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS i FROM d WHERE score IS NULL OR score >= 27),
+st AS (SELECT video_id, i, frame AS last, score, frame, true AS cut FROM c WHERE i = 1
+  UNION ALL SELECT c.video_id, c.i, CASE WHEN c.frame - last >= 15 THEN c.frame ELSE last END, c.score, c.frame, c.frame - last >= 15 FROM st JOIN c ON c.video_id = st.video_id AND c.i = st.i + 1)
+SELECT video_id, frame, round(score, 6) AS score FROM st WHERE cut AND score IS NOT NULL"""
+
+
+@query(CUTS_SQL)
+def scene_cuts(t) -> DataFrame:
+    """Cuts of few and long videos, whose frames' mean colours follow the documents."""
+    i = F.col("doc_id")
+    frames = t("documents").select(F.col("source").alias("video_id"), i.alias("frame"), (F.floor(i / 8) * 37 % 180).alias("hue"), (F.floor(i / 24) * 53 % 256).alias("saturation"), (F.col("n_chars") % 64).alias("value"))
+    return segments.content_cuts(frames).withColumn("score", rounded(F.col("score")))
+
+
 @query("""
 WITH f AS (SELECT source AS video_id, doc_id AS frame FROM documents), s AS (SELECT source AS video_id, doc_id AS scene, doc_id AS a, doc_id + 4 + n_chars % 30 AS b FROM documents WHERE doc_id % 10 = 0),
 r AS (SELECT video_id, scene, frame, b - a AS length, row_number() OVER (PARTITION BY video_id, scene ORDER BY frame) AS n FROM f JOIN s USING (video_id) WHERE frame >= a AND frame < b AND (frame - a) % 3 = 0)
