@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenlake.operators.filters import same_size_time_profile
@@ -67,3 +69,19 @@ def totals(outcomes: DataFrame) -> DataFrame:
     """One row of counts by status of (uri, status)."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
     return outcomes.agg(F.count("*").alias("total"), *map(of, ("indexed", "already_indexed", "skipped", "failed")))
+
+
+OUTCOMES = ("indexed", "already_indexed", "skipped", "failed")
+
+
+def with_totals(outcomes: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """One row of counts by status of (uri, status), as `totals`, taken while ``write`` writes the outcomes: no second pass.
+
+    ``write`` must read all rows once.  Spark counts a retried task's rows once.
+    """
+    seen = Observation("outcomes")
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    write(outcomes.observe(seen, F.count(F.lit(1)).alias("total"), *map(of, OUTCOMES)))
+    row = seen.get
+    names = ("total", *OUTCOMES)
+    return outcomes.sparkSession.createDataFrame([tuple(row[n] for n in names)], ", ".join(f"{n} long" for n in names))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import deletion, payload, search
 from lumenlake.plans import planning
 from lumenlake.plans.ledger import IndexLedger
-from lumenlake.plans.scratch import scratch_dir
+from lumenlake.plans.scratch import materialised, scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 from lumenlake.sources.merge import MergeTable
 from lumenlake.sources.tables import VersionedTable
@@ -175,6 +175,37 @@ def debounce_sessions(t) -> DataFrame:
     return found.select("user_id", "first_ts", "last_ts", "events", F.array_join("paths", ",").alias("paths"))
 
 
+@query("""
+WITH e AS (SELECT 'r' || doc_id // 7 AS root, 'p' || doc_id % 7 AS path, doc_id AS seen FROM documents), r AS (SELECT root, max(seen) AS since FROM e GROUP BY root),
+n AS (SELECT max(seen) + 10 AS now FROM e), given AS (SELECT e.* FROM e JOIN r USING (root), n WHERE now - since >= 40 AND root <> 'r1')
+SELECT root, path, CAST(seen + 1000 AS DOUBLE) AS seen FROM given WHERE path = 'p3' UNION ALL SELECT root, path, CAST(seen AS DOUBLE) FROM e WHERE root NOT IN (SELECT root FROM given)""")
+def pending_changes(t) -> DataFrame:
+    """Documents as events of roots: what waits after the quiet roots but a busy one were worked on, and some events came meanwhile."""
+    d, i = t("documents"), F.col("doc_id")
+    root, path = F.concat(F.lit("r"), F.floor(i / 7).cast("string")).alias("root"), F.concat(F.lit("p"), (i % 7).cast("string")).alias("path")
+    events = d.select(root, path, i.cast("double").alias("at"))
+    pending = watch.PendingChanges(d.sparkSession, scratch_dir(d.sparkSession, "pending"), 40.0)
+    now = float(events.agg(F.max("at").alias("m")).first().m) + 10
+    pending.add(events)
+    given = materialised(pending.due(now, d.sparkSession.createDataFrame([("r1",)], "root string")), "given")
+    pending.add(given.where("path = 'p3'").withColumn("at", F.col("at") + 1000))
+    pending.done(given)
+    return pending.paths.read().select("root", "path", F.col("at").alias("seen"))
+
+
+@query("""
+WITH o AS (SELECT CAST(doc_id AS VARCHAR) AS uri, (['indexed', 'already_indexed', 'skipped', 'skipped', 'failed'])[doc_id % 5 + 1] AS status FROM documents)
+SELECT uri, status, count(*) OVER () AS total, count(*) FILTER (status = 'indexed') OVER () AS indexed, count(*) FILTER (status = 'already_indexed') OVER () AS already_indexed,
+  count(*) FILTER (status = 'skipped') OVER () AS skipped, count(*) FILTER (status = 'failed') OVER () AS failed FROM o""")
+def run_totals_observed(t) -> DataFrame:
+    """A run's outcomes as they are written, beside its totals, which are taken by the way."""
+    d = t("documents")
+    status = F.get(F.array(*map(F.lit, ("indexed", "already_indexed", "skipped", "skipped", "failed"))), (F.col("doc_id") % 5).cast("int"))
+    path = scratch_dir(d.sparkSession, "outcomes")
+    totals = planning.with_totals(d.select(F.col("doc_id").cast("string").alias("uri"), status.alias("status")), lambda rows: rows.write.parquet(path))
+    return d.sparkSession.read.parquet(path).crossJoin(F.broadcast(totals))  # one row
+
+
 @query("SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, max(event_id) AS sequence FROM events GROUP BY user_id")
 def job_state_latest(t) -> DataFrame:
     e = t("events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("sequence"))

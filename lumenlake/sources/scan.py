@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Extensions by kind; an earlier kind takes precedence.
 EXTENSIONS = {
@@ -59,16 +60,83 @@ def kind_of(extension: Column) -> Column:
     return out
 
 
+class Folder(InputPartition):
+    """A folder with all below it, or only the files that are in it."""
+
+    def __init__(self, path: str, deep: bool):
+        super().__init__(path)
+        self.path, self.deep = path, deep
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self) -> list[Folder]:
+        """The driver lists the first two levels; what is below is listed by the tasks, a folder each."""
+        if os.path.isfile(self.root):
+            return [Folder(self.root, False)]
+        shallow, deep = [self.root], []
+        for first in sorted(e.path for e in os.scandir(self.root) if e.is_dir()):
+            shallow.append(first)
+            deep += sorted(e.path for e in os.scandir(first) if e.is_dir())
+        return [*(Folder(p, False) for p in shallow), *(Folder(p, True) for p in deep)]
+
+    def read(self, partition: Folder):
+        if os.path.isfile(partition.path):
+            yield self._row(partition.path)
+            return
+        for folder, inside, names in os.walk(partition.path, followlinks=True):
+            if not partition.deep:
+                inside.clear()
+            for name in sorted(names):
+                try:
+                    yield self._row(os.path.join(folder, name))
+                except FileNotFoundError:  # gone since it was listed, or a link to nothing
+                    continue
+
+    @staticmethod
+    def _row(path: str) -> tuple:
+        s = os.stat(path)
+        return (f"file:{path}", s.st_size, s.st_mtime_ns / 1e9)
+
+
+class FolderSource(DataSource):
+    """Files below a mounted folder, whatever their names (Spark's readers skip those that begin with an underscore)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lumenlake_folder"
+
+    def schema(self) -> str:
+        return "path string, length long, modified_at double"
+
+    def reader(self, schema) -> FolderReader:
+        return FolderReader(os.path.abspath(self.options["path"]))
+
+
+def listed(spark: SparkSession, spec: str) -> DataFrame:
+    """(path, length, modified_at) of all files below a source: tasks list a mounted folder, Spark's reader an object store."""
+    if source_kind(spec) == "local":
+        root = re.sub("^file:/*", "/", spark_path(spec))
+        if not os.path.exists(root):
+            raise FileNotFoundError(f"no such source: {root}")
+        spark.dataSource.register(FolderSource)
+        return spark.read.format("lumenlake_folder").option("path", root).load()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(spark_path(spec))
+    return files.select("path", "length", (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified_at"))
+
+
 def scan(spark: SparkSession, spec: str, extensions: frozenset[str] | None = None) -> DataFrame:
     """Media files below a source; contents are not read.  Files below hidden folders of the source are left out."""
     wanted = extensions or frozenset(e for es in EXTENSIONS.values() for e in es)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(spark_path(spec))
+    files = listed(spark, spec)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = files.select(
         F.col("path").alias("item_uri"),
         F.lit(spec).alias("source"),
         F.col("length").alias("size_bytes"),
-        (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified_at"),
+        "modified_at",
         ext.alias("extension"),
     )
     # the source's own path may have hidden parts: what counts lies below it
