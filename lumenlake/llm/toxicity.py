@@ -11,9 +11,9 @@ turns evidence into a score.
 
 Results in the edge cases: a null or empty text, or one without words, has no windows and
 gets the score of zero evidence; very long texts are read whole; repeated rows and ties are scored
-alike; of labelled rows with one label whose texts share half of a sketch of their shingles the first
-is used, and of an id's repeated labels the highest; an empty table gives an
-empty result; other columns of the input are not read.  If the labelled rows lack one of
+alike; a labelled row whose text shares half of a sketch of its shingles with one row of its label that is in
+use is not used for fitting; of an id's repeated labels the highest counts, and of its several texts the one
+that is first in order fits (all are scored); an empty table gives an empty result; other columns of the input are not read.  If the labelled rows lack one of
 the classes there is no model and every score is 0.
 """
 
@@ -150,13 +150,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(rows: list[tuple[str, int]], params: ToxicityParams = ToxicityParams()) -> ToxicityModel | None:
     """Fit on (text, label) rows; of copies and near copies with one label the first counts."""
     docs: list[tuple[list[bytes], int]] = []
-    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    with_mark: dict[tuple[int, int], list[int]] = {}  # rows in use, by label and mark
     for text, label in rows:
         words = words_of((text or "").encode("utf-8", "replace"))
         marks = sketch(words)
-        if words and 2 * len(marks & seen[label]) < len(marks):  # copies would count as independent evidence
+        shared = Counter(i for m in marks for i in with_mark.get((label, m), ()))
+        if words and 2 * max(shared.values(), default=0) < len(marks):  # copies would count as independent evidence
+            for m in marks:
+                with_mark.setdefault((label, m), []).append(len(docs))
             docs.append((words, label))
-        seen[label] |= marks
     by_class = [[w for w, y in docs if y == c] for c in (0, 1)]
     if min(map(len, by_class)) < 2:
         return None
