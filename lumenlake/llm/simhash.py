@@ -21,7 +21,7 @@ number of distinct fingerprints, less what the counts exclude; the README has fi
 
 Edge cases: a null or empty text, or one without words, has fingerprint 0 and links like any
 other; a text of fewer words than a shingle is one shingle; rows with equal ids share their
-component per fingerprint; texts of any length are hashed whole, in bounded pieces; rows with a null id take part, but the component is the smallest
+component per fingerprint; texts of any length are hashed whole, the fingerprints of `near_duplicates` a megabyte at a time; rows with a null id take part, but the component is the smallest
 id that is not null (null if the class has none); an empty table gives an empty result;
 further columns of the input are not read.
 """
@@ -29,6 +29,7 @@ further columns of the input are not read.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,7 @@ from lumenlake.llm.graph import LocalForest, components
 from lumenlake.plans.scratch import discard, materialised_at
 
 SUB = 256  # fingerprints per sub-tile
+WHITE = re.compile(rb"[\t-\r ]")
 
 
 @dataclass(frozen=True)
@@ -77,18 +79,36 @@ def shingle_hashes(text: bytes | None, shingle_words: int, seed: int) -> np.ndar
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits set in over half the hashes, as an unsigned 64-bit integer; 0 for none."""
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):  # bounded memory for very long texts
-        lanes = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        for lane in range(8):
-            counts[lane * 8 : lane * 8 + 8] += np.bincount(lanes[:, lane], minlength=256) @ BYTE_BITS
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+def shingle_pieces(text: bytes | None, shingle_words: int, seed: int, piece: int = 1 << 20):
+    """The hashes of `shingle_hashes`, for about ``piece`` bytes of text at a time; cuts are at white space."""
+    if len(text or b"") <= piece:
+        yield shingle_hashes(text, shingle_words, seed)
+        return
+    held, start, begun = [], 0, False
+    while start < len(text):
+        cut = WHITE.search(text, start + piece)
+        end = cut.start() if cut else len(text)
+        held += text[start:end].lower().split()
+        start = end
+        if len(held) >= shingle_words or (end == len(text) and not begun):
+            yield shingle_hashes(b" ".join(held), shingle_words, seed)
+            held, begun = held[len(held) - shingle_words + 1 :] if len(held) >= shingle_words else [], True
+
+
+def majority(pieces) -> int:
+    """The bits set in over half the hashes of arrays of them, as an unsigned 64-bit integer; 0 for none."""
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in pieces:
+        total += len(hashes)
+        for at in range(0, len(hashes), 65_536):
+            lanes = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
+            for lane in range(8):
+                counts[lane * 8 : lane * 8 + 8] += np.bincount(lanes[:, lane], minlength=256) @ BYTE_BITS
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
 def fingerprint(text: bytes | None, shingle_words: int, seed: int) -> int:
-    return majority(shingle_hashes(text, shingle_words, seed))
+    return majority(shingle_pieces(text, shingle_words, seed))
 
 
 def remixed(hashes: np.ndarray) -> np.ndarray:
@@ -307,7 +327,7 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], params:
     similarity = params.similarity
 
     def columns(hashes, distinct):
-        prints = np.array([majority(distinct), majority(remixed(distinct))], dtype=np.uint64).view(np.int64)
+        prints = np.array([majority([distinct]), majority([remixed(distinct)])], dtype=np.uint64).view(np.int64)
         return [*prints.tolist(), len(distinct), prefix(distinct, shared.value, similarity).view(np.int64)]
 
     return _by_text(docs, params, columns, "fp long, second long, size long, prefix array<long>")

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontam, langid, mixing, ranking, sharding, warc
+from lumenlake.llm import decontam, langid, mixing, ranking, sharding, simhash, warc
 from lumenlake.llm.common import scratch_dir
 
 DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>")
@@ -98,3 +98,15 @@ def test_archives_are_of_the_size_asked_for(spark, tmp_path):
     files = list((tmp_path / "w").rglob("*.gz"))
     assert sum(sizes) // (1 << 20) <= len(files) <= sum(sizes) // (1 << 20) + 6
     assert len(warc.read_archives(spark, str(tmp_path / "w")).collect()) == len(sizes)
+
+
+def test_fingerprint_pieces_are_those_of_the_whole_text():
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "Bc", "déf", " ", "  ", "\n", "\t\x0b", "\x1c"], k=rng.randrange(60))).encode()
+        for words in (1, 2, 4, 5):
+            whole = simhash.shingle_hashes(text, words, 42).tolist()
+            for piece in (1, 3, 10, 50, 1_000):
+                assert [h for part in simhash.shingle_pieces(text, words, 42, piece) for h in part.tolist()] == whole
+    long = b" ".join(rng.randbytes(4).hex().encode() for _ in range(400_000))
+    assert simhash.fingerprint(long, 4, 42) == simhash.majority([simhash.shingle_hashes(long, 4, 42)])

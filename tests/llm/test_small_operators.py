@@ -590,7 +590,7 @@ def test_prefixes_and_radius_keep_every_pair_at_the_similarity():
             hashes = np.unique(r.choice(x, 3))
             for common in ((np.array([], dtype=np.uint64), np.array([])), (hashes, np.arange(5, 5 + len(hashes)))):
                 assert len(np.intersect1d(simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)))
-            prints = [(simhash.majority(s), simhash.majority(simhash.remixed(s))) for s in (a, b)]
+            prints = [(simhash.majority([s]), simhash.majority([simhash.remixed(s)])) for s in (a, b)]
             missed += sum((p ^ q).bit_count() for p, q in zip(*prints)) > radius
     assert missed == 0
 
