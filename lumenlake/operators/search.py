@@ -33,13 +33,13 @@ def candidate_window(limit: int, narrowed: bool) -> int:
 
 
 def search_media(
-    media: DataFrame, query: list[float], phash: str, filters: SearchFilters, limit: int,
+    media: DataFrame, query: list[float], phash: str, filters: SearchFilters, limit: int | None,
     threshold: int = 8, text: str | None = None, exact: bool = False,
 ) -> DataFrame:
     """Filtered vector search: pushed filters, best candidates, then residual filters and order.
 
     The residual filters see a bounded window of candidates, as the result may be short of
-    ``limit``; ``exact`` applies them to all rows instead.
+    ``limit``; ``exact`` applies them to all rows instead, and may be without a limit (None).
     """
     distance = hamming_hex(F.col("phash"), F.lit(phash))
     rows = media.where(conjunction(pushed(filters)))
@@ -48,17 +48,19 @@ def search_media(
     if text:
         scored = scored.withColumn("text_score", match_score(text, F.col("ocr_text")))
         rest.append(F.col("text_score").isNotNull())
+    if limit is None and not exact:
+        raise ValueError("a search without a limit is exact")
     if not exact:
         window = candidate_window(limit, bool(rest))
         scored = scored.orderBy(F.desc("vector_score"), "id").limit(window)
     best = [F.desc("text_score")] if text else []
-    return (
+    found = (
         scored.where(conjunction(rest))
         .withColumn("near_duplicate", F.coalesce(F.col("phash_distance") <= threshold, F.lit(False)))
         .withColumn("relevance_score", relevance(F.col("vector_score"), F.col("phash_distance"), threshold))
         .orderBy(*best, F.desc("vector_score"), "id")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def text_matches(media: DataFrame, query: str):
@@ -69,12 +71,13 @@ def text_matches(media: DataFrame, query: str):
     return one(F.col("ocr_text")) | several(F.col("ocr_frames")) | one(audio["transcript_text"]) | several(audio["transcript_segments"])
 
 
-def search_text(media: DataFrame, query: str, filters: SearchFilters, limit: int) -> DataFrame:
+def search_text(media: DataFrame, query: str, filters: SearchFilters, limit: int | None) -> DataFrame:
     """The rows with a text that holds the query, by file name; score is 1, as there is no partial credit."""
     if not query.strip():
         raise ValueError("a text query is required")
     found = media.where(conjunction([*pushed(filters), *residual(filters), text_matches(media, query)]))
-    return found.withColumn("score", F.lit(1.0)).orderBy("filename", "id").limit(limit)
+    ordered = found.withColumn("score", F.lit(1.0)).orderBy("filename", "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def response(results: DataFrame, text: bool = False) -> DataFrame:

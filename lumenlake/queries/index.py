@@ -175,6 +175,18 @@ def debounce_sessions(t) -> DataFrame:
     return found.select("user_id", "first_ts", "last_ts", "events", F.array_join("paths", ",").alias("paths"))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id = 5 THEN 'New Tag,b' WHEN doc_id = 7 THEN '' ELSE lang || ',' || source END AS tags FROM documents")
+def tags_of_media(t) -> DataFrame:
+    """Tags of single media are set in a table of all."""
+    rows = t("documents").select("doc_id", F.array("lang", "source").alias("tags"))
+    table = MergeTable(rows.sparkSession, scratch_dir(rows.sparkSession, "tags"), "doc_id", rows.schema)
+    table.upsert(rows)
+    table.set_tags(5, [" New Tag ", "new tag", "", "b"])
+    table.set_tags(7, [" "])
+    table.set_tags(-1, ["nobody"])
+    return table.read().select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("""
 WITH e AS (SELECT 'r' || doc_id // 7 AS root, 'p' || doc_id % 7 AS path, doc_id AS seen FROM documents), r AS (SELECT root, max(seen) AS since FROM e GROUP BY root),
 n AS (SELECT max(seen) + 10 AS now FROM e), given AS (SELECT e.* FROM e JOIN r USING (root), n WHERE now - since >= 40 AND root <> 'r1')

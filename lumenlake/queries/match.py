@@ -9,6 +9,7 @@ from lumenlake.functions.ids import uuid5
 from lumenlake.functions.similarity import as_doubles, hamming_hex, phash_halves, relevance, weighted_mean
 from lumenlake.operators import albums, duplicates, search
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
+from lumenlake.operators.order import numbered
 from lumenlake.plans.scratch import scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
@@ -71,6 +72,38 @@ def relevance_rank(t) -> DataFrame:
     return ranked.select("id", "distance", rounded(F.col("score")).alias("score"), rounded(F.col("rel")).alias("relevance"))
 
 
+SEEN_SQL = f"""{MEDIA_SQL.strip()}, q AS (SELECT m.phash AS h, embedding::DOUBLE[] AS v FROM media m JOIN embeddings e ON m.id = e.vec_id WHERE m.id = 0),
+seen AS (SELECT m.*, list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS s, {_distance_sql('phash', 'h')} AS d FROM media m JOIN embeddings e ON m.id = e.vec_id, q)"""
+
+
+def _seen(t, filters: SearchFilters, text: str | None = None) -> DataFrame:
+    """An exact search over all documents that have an embedding, by the first of them."""
+    m = media(t)
+    target = m.where("id = 0").first().phash
+    rows = m.join(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("visual")), "id")
+    return search.search_media(rows, _query_vector(t), target, filters, None, threshold=28, text=text, exact=True)
+
+
+@query(f"WITH {SEEN_SQL} SELECT id, round(s, 6) AS score, round(2 + (28 - d + 1) / 29.0::DOUBLE + least(1, greatest(0, s)) * 0.01::DOUBLE, 6) AS relevance FROM seen WHERE d <= 28")
+def search_near_duplicates_only(t) -> DataFrame:
+    found = _seen(t, SearchFilters(near_duplicates="only"))
+    return found.select("id", rounded(F.col("vector_score")).alias("score"), rounded(F.col("relevance_score")).alias("relevance"))
+
+
+@query(f"""WITH {SEEN_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS place FROM seen WHERE d > 28 AND contains(lower(ocr_text), 'en') AND contains(lower(ocr_text), 'er'))
+SELECT id, place FROM r""")
+def search_text_then_vector(t) -> DataFrame:
+    """Rows whose text holds all terms and that are no near duplicates, in the order of the search."""
+    found = _seen(t, SearchFilters(near_duplicates="exclude"), "EN er")
+    return numbered(found, [], [F.desc("text_score"), F.desc("vector_score"), F.col("id")], "place").select("id", (F.col("place") + 1).alias("place"))
+
+
+@query(f"WITH {MEDIA_SQL} SELECT id, 1.0::DOUBLE AS vector_score, 1.0::DOUBLE AS relevance_score, CAST(NULL AS INT) AS phash_distance, 1.0::DOUBLE AS text_score, FALSE AS near_duplicate FROM media WHERE width >= 672 AND contains(lower(ocr_text), 'tion')")
+def text_search_response(t) -> DataFrame:
+    found = search.search_text(media(t), "Tion", SearchFilters(width_min=672), None)
+    return search.response(found, text=True).select("id", "vector_score", "relevance_score", "phash_distance", "text_score", "near_duplicate")
+
+
 @query(f"WITH {MEDIA_SQL} SELECT id, CAST('0x' || substr(phash, 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(phash, 9, 8) AS BIGINT) AS lo FROM media")
 def phash_halves_of_media(t) -> DataFrame:
     hi, lo = phash_halves(F.col("phash"))

@@ -154,6 +154,14 @@ def online_cluster(t) -> DataFrame:
     return faces.cluster_in_order(face_rows(t), 0.95)
 
 
+@query(founding_sql("SELECT vec_id // 6 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 0.05) + " SELECT g AS media_id, id AS face_id FROM found WHERE founder = id")
+def faces_apart(t) -> DataFrame:
+    """The faces of each medium without those that are near one kept before them."""
+    rows = t("embeddings").select(F.floor(F.col("vec_id") / 6).alias("media_id"), F.struct(F.col("vec_id").alias("face_id"), F.col("embedding").alias("vector")).alias("f"))
+    nested = rows.groupBy("media_id").agg(F.array_sort(F.collect_list("f")).alias("f"))  # six faces
+    return nested.select("media_id", F.explode(faces.first_apart(F.col("f"), 0.95)).alias("f")).select("media_id", "f.face_id")
+
+
 @query(founding_sql("SELECT 0 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 0.25) + " SELECT id AS face_id, founder AS person FROM found")
 def people_founded(t) -> DataFrame:
     """People across all media by arrival: one group of all faces."""
