@@ -10,6 +10,7 @@ from lumenlake.plans import planning
 from lumenlake.plans.ledger import IndexLedger
 from lumenlake.plans.scratch import materialised, scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
+from lumenlake.sources.layout import write_clustered
 from lumenlake.sources.merge import MergeTable
 from lumenlake.sources.tables import VersionedTable
 from lumenlake.streaming import watch
@@ -175,6 +176,16 @@ def debounce_sessions(t) -> DataFrame:
     return found.select("user_id", "first_ts", "last_ts", "events", F.array_join("paths", ",").alias("paths"))
 
 
+@query("SELECT doc_id, n_chars, source FROM documents WHERE n_chars BETWEEN 300 AND 900 AND lang = 'en' AND doc_id % 1000 < 700")
+def clustered_scan(t) -> DataFrame:
+    """Ranges and equalities on files that are laid out by several fields."""
+    rows = t("documents").select("doc_id", "n_chars", "lang", "source")
+    path = scratch_dir(rows.sparkSession, "clustered")
+    write_clustered(rows, path, ["n_chars", "lang", "doc_id"], files=int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), bloom=("lang",))
+    found = rows.sparkSession.read.parquet(path).where("n_chars BETWEEN 300 AND 900 AND lang = 'en'")
+    return found.where("doc_id % 1000 < 700").select("doc_id", "n_chars", "source")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id = 5 THEN 'New Tag,b' WHEN doc_id = 7 THEN '' ELSE lang || ',' || source END AS tags FROM documents")
 def tags_of_media(t) -> DataFrame:
     """Tags of single media are set in a table of all."""
