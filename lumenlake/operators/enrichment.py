@@ -69,15 +69,18 @@ def with_color_vectors(images: DataFrame, size: int, data: str = "data", name: s
 
 
 def with_hashes(images: DataFrame) -> DataFrame:
-    """``images`` (data, width, height) with a perceptual hash."""
+    """``images`` (data, width, height) with a perceptual hash; null where the bytes are not those of width x height pixels."""
 
     @F.pandas_udf("string")
     def kernel(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
         def one(b, w, h):
+            if b is None or pd.isna(w) or pd.isna(h) or min(w, h) < 1 or len(b) != w * h * 3:
+                return None
+            w, h = int(w), int(h)
             rgb = np.frombuffer(b, np.uint8).reshape(h, w, 3)
             return dct_hash(rgb @ np.array([0.299, 0.587, 0.114]))
 
-        return pd.Series([None if b is None else one(b, w, h) for b, w, h in zip(data, width, height)])
+        return pd.Series([one(b, w, h) for b, w, h in zip(data, width, height)])
 
     return images.withColumn("phash", kernel("data", "width", "height"))
 

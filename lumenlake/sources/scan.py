@@ -146,23 +146,46 @@ def scan(spark: SparkSession, spec: str, extensions: frozenset[str] | None = Non
     return rows.where(F.col("extension").isin(*wanted) & ~below.rlike(r"/\.[^/]")).withColumn("media_kind", kind_of(F.col("extension")))
 
 
-def images(spark: SparkSession, spec: str) -> DataFrame:
-    """(item_uri, data, width, height) of the pictures below a source that Spark's reader decodes, as RGB bytes; others are left out."""
-    read = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(spark_path(spec))
-    rows = read.select("image.*").where("nChannels IN (1, 3, 4)")
+def decoded(spark: SparkSession, spec: str) -> DataFrame:
+    """(item_uri, data, width, height, error) of the pictures below a source, as RGB bytes, by Spark's reader.
+
+    A file with a picture's extension that the reader doesn't decode (a broken one, or of a format that it
+    doesn't know) has an error and no data.
+    """
+    names = "*.{" + ",".join(e for name in EXTENSIONS["image"] for e in (name[1:], name[1:].upper())) + "}"
+    read = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(spark_path(spec))
 
     def rgb(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
+            out, errors = [], []
             for data, width, height, channels in zip(*(batch.column(c).to_pylist() for c in ("data", "width", "height", "nChannels"))):
+                good = channels in (1, 3, 4) and width > 0 and height > 0 and len(data) == width * height * channels
+                errors.append(None if good else "not decoded" if channels not in (1, 3, 4) else "not as many bytes as pixels")
+                if not good:
+                    out.append(None)
+                    continue
                 pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
                 out.append((np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]).tobytes())  # stored as BGR or BGRA
-            yield pa.RecordBatch.from_arrays([batch.column("origin"), pa.array(out, pa.binary()), batch.column("width"), batch.column("height")], ["item_uri", "data", "width", "height"])
+            sizes = [pa.array([v if e is None else None for v, e in zip(batch.column(c).to_pylist(), errors)], pa.int32()) for c in ("width", "height")]
+            columns = [batch.column("origin"), pa.array(out, pa.binary()), *sizes, pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_uri", "data", "width", "height", "error"])
+
+    rows = read.select("image.*").select("origin", "data", "width", "height", "nChannels")
+    seen = rows.mapInArrow(rgb, "item_uri string, data binary, width int, height int, error string")
+    if source_kind(spec) != "local":
+        return seen
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    empty = listed(spark, spec).where((F.col("length") == 0) & ext.isin(*EXTENSIONS["image"]))  # Spark's reader leaves these out
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("data", "binary"), ("width", "int"), ("height", "int"))]
+    return seen.unionByName(empty.select(F.col("path").alias("item_uri"), *nothing, F.lit("empty").alias("error")))
+
 
-    return rows.select("origin", "data", "width", "height", "nChannels").mapInArrow(rgb, "item_uri string, data binary, width int, height int")
+def images(spark: SparkSession, spec: str) -> DataFrame:
+    """(item_uri, data, width, height) of the pictures of `decoded` without an error."""
+    return decoded(spark, spec).where("error IS NULL").drop("error")
 
 
 def scan_all(spark: SparkSession, specs: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:

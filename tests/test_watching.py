@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lumenlake.operators import enrichment
 from lumenlake.plans import planning
 from lumenlake.sources import scan
 from lumenlake.streaming import watch
@@ -86,3 +87,26 @@ def test_totals_by_the_way_are_those_of_a_pass(spark, tmp_path):
     got = planning.with_totals(rows, lambda r: r.write.parquet(str(tmp_path / "o")))
     assert got.first() == planning.totals(spark.read.parquet(str(tmp_path / "o"))).first()
     assert planning.with_totals(rows.limit(0), lambda r: r.write.parquet(str(tmp_path / "none"))).first().total == 0
+
+
+def test_pictures_that_are_not_decoded_have_a_reason(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(w, h, pixels):
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        raw = b"".join(b"\0" + pixels[i * w * 3 : (i + 1) * w * 3] for i in range(h))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    pixels = bytes(range(18))
+    (tmp_path / "good.PNG").write_bytes(png(3, 2, pixels))
+    (tmp_path / "broken.png").write_bytes(png(3, 2, pixels)[:30])
+    (tmp_path / "other.webp").write_bytes(b"RIFF0000WEBP")
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    (tmp_path / "note.txt").write_bytes(b"x")
+    got = {r.item_uri.rsplit("/", 1)[1]: (None if r.data is None else bytes(r.data), r.width, r.error) for r in scan.decoded(spark, str(tmp_path)).collect()}
+    assert got == {"good.PNG": (pixels, 3, None), "empty.jpg": (None, None, "empty"), **{n: (None, None, "not decoded") for n in ("broken.png", "other.webp")}}
+    assert [r.width for r in scan.images(spark, str(tmp_path)).collect()] == [3]
+    rows = [(b"abc", 1, 1), (b"ab", 1, 1), (None, 1, 1), (b"abc", None, 1), (b"", 0, 0)]
+    hashed = enrichment.with_hashes(spark.createDataFrame(rows, "data binary, width int, height int")).collect()
+    assert [r.phash is None for r in hashed] == [False, True, True, True, True]
