@@ -185,7 +185,8 @@ class DuplicateIndex:
     between the two is finished by the next: hashes that are new are compared with the hashes that share a key of
     theirs, and classes that they join are merged by a component search over class names; where the last medium
     of a hash is gone, the other hashes of its class are taken as new.  Keys are made in the scan of
-    the hashes and filtered by those of the new ones, without a shuffle while these are broadcast.
+    the hashes and filtered by those of the new ones, which are broadcast: beyond so many new hashes that nearly
+    every hash shares a key with one of them (2^13 to 2^22 keys, by ``agreeing``), all are compared instead.
     """
 
     def __init__(self, spark: SparkSession, path: str, threshold: int = 8, agreeing: int = 2, id_type: str = "string", buckets: int = 16):
@@ -223,9 +224,12 @@ class DuplicateIndex:
     def _classes(self, settled: DataFrame, new: DataFrame) -> DataFrame:
         """(whole, cls) of the new hashes and of settled ones whose class has another name now."""
         keyed = lambda rows: _keyed(_halves(rows), self.threshold, self.agreeing)
-        wanted = keyed(new).select("n", "key").distinct()
-        every = keyed(settled)
-        near = every.join(wanted, ["n", "key"], "left_semi").select("whole").distinct()
+        keys = len(list(combinations(_bands(self.threshold, self.agreeing), self.agreeing)))
+        if new.count() * keys < 2 ** (64 * self.agreeing / (self.threshold + self.agreeing)):
+            wanted = F.broadcast(keyed(new).select("n", "key").distinct())
+            near = keyed(settled).join(wanted, ["n", "key"], "left_semi").select("whole").distinct()
+        else:
+            near = settled.select("whole")
         links = materialised(hash_links(_halves(near.union(new)), self.threshold, self.agreeing), "links")
         names = settled.select(F.col("whole").alias("hash"), "cls")
         for end in ("a", "b"):
