@@ -121,8 +121,8 @@ def test_nested_url_rules_match_sql(spark):
 
 def test_every_operator_has_a_query(spark):
     names = queries.queries()
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
-    for name in ("op6_pfair_mix", "op9_token_counts", "op10_hash_tree_shards"):
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
+    for name in ("op6_pfair_mix", "op9_token_counts", "op10_hash_tree_shards", "op11_bound_packing"):
         docs = {r.doc_id for r in names[name](spark, DATA).select("doc_id").collect()}
         assert len(docs) == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
