@@ -4,7 +4,8 @@ Documents are encoded, an end token is added, and what is longer than a sequence
 sequences with the remainder in front.  Pieces shorter than a sequence are packed: they are dealt to
 partitions, and each is packed by best-fit decreasing.  Dual-feasible functions of the piece lengths give
 a lower bound of the bins that any packing needs: a partition whose bins equal its bound is as good as it
-can be by itself.  The same bounds over all lengths (a table of at most ``length`` rows) certify the whole:
+can be by itself.  One with a gap is packed again with documents exchanged between its bins so that rooms are filled
+exactly, if that needs fewer.  The same bounds over all lengths (a table of at most ``length`` rows) certify the whole:
 packing ends when the bins equal the whole's bound.  Until then the emptiest bins of partitions with a
 gap are opened, their pieces go to a partition shared by ``fan`` others, and best-fit decreasing is
 run again there; if it doesn't need fewer bins, the bins stay as they were.  Each round has 1/``fan``
@@ -199,9 +200,53 @@ def best_fit_decreasing(lengths: np.ndarray, length: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+def exchanged(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of pieces in falling order, where bins exchange pieces so that rooms are filled exactly.
+
+    Each bin begins with the largest piece left.  Its room takes one piece that fills it, else two that do (the
+    largest such first), else the largest that fits, and so on.
+    """
+    bins = np.empty(len(lengths), dtype=np.int64)
+    offsets = np.empty(len(lengths), dtype=np.int64)
+    left = np.bincount(lengths, minlength=length + 1).tolist()
+    first = np.searchsorted(-lengths, -np.arange(length + 1)).tolist()  # the next piece of each length
+    there = sum(1 << v for v, n in enumerate(left) if n)  # bit v: a piece of length v is left
+
+    def place(v: int, which: int, room: int) -> int:
+        nonlocal there
+        bins[first[v]], offsets[first[v]] = which, length - room
+        first[v] += 1
+        left[v] -= 1
+        if not left[v]:
+            there &= ~(1 << v)
+        return room - v
+
+    used = 0
+    while there:
+        room = place(there.bit_length() - 1, used, length)
+        while fitting := there & ((1 << (room + 1)) - 1):
+            pair, rest = None, fitting
+            while not fitting >> room & 1 and (a := rest.bit_length() - 1) * 2 >= room and a > 0:
+                if left[room - a] > (room == 2 * a):
+                    pair = a
+                    break
+                rest &= ~(1 << a)
+            room = place(fitting.bit_length() - 1 if pair is None else pair, used, room)
+        used += 1
+    return bins, offsets
+
+
 def repacked(lengths: np.ndarray, old: np.ndarray, at: np.ndarray, params: PackParams) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) by best-fit decreasing, or as they were (bin names renumbered) if that needs no fewer bins."""
+    """(bin, offset) by best-fit decreasing, with exchanges where that leaves a gap to the bound and they close some of it.
+
+    As they were (bin names renumbered) if neither needs fewer bins.
+    """
     bins, offsets = best_fit_decreasing(lengths, params.length)
+    bound, _ = dual_bounds(np.bincount(lengths, minlength=params.length + 1), params.length)
+    if bins.max(initial=-1) + 1 > bound:
+        others = exchanged(lengths, params.length)
+        if others[0].max(initial=-1) < bins.max(initial=-1):
+            bins, offsets = others
     names, before = np.unique(old, return_inverse=True)
     if (old >= 0).all() and len(old) and len(names) <= bins.max(initial=-1) + 1:
         return before.reshape(-1), at
