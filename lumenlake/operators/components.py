@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.plans.scratch import discard, materialised_at
 
+HELD = 100_000  # links of which each node's smallest neighbour may be sent to all executors
+
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); component is the smallest node.
@@ -18,23 +20,29 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared checkpoint folder and the round before it removed, so one table stays.  Null ends and self-links are ignored; no links give no rows.
     """
     kind = dict(links.dtypes)["a"]
+
+    def minima(low: DataFrame) -> DataFrame:
+        """Kept from a broadcast beyond HELD links: files of links are small for their rows, by which Spark would choose."""
+        return low if few else low.hint("merge")
+
     edges = (
         links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
     edges, path = materialised_at(edges, "links")
+    few = edges.count() <= HELD
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
         # large-star: neighbours above u move to u's smallest neighbour
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where(F.col("v") > F.col("u")).join(minima(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         # small-star: neighbours below u, and u itself, move to the smallest of them
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(small_low, "u")
+            large.join(minima(small_low), "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u != v")

@@ -76,7 +76,7 @@ def hash_pairs(hashes: DataFrame, threshold: int, agreeing: int = 2) -> DataFram
     differ = F.col("x").bitwiseXOR(F.col("y"))
     same = [F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(bands)]
     first = F.slice(F.filter(F.array(*same), lambda i: i.isNotNull()), 1, min(agreeing, len(bands)))
-    met = left.join(right, ["n", "key"]).where("a < b").withColumn("distance", F.bit_count(differ))
+    met = left.join(right.hint("merge"), ["n", "key"]).where("a < b").withColumn("distance", F.bit_count(differ))
     return met.where((F.col("distance") <= threshold) & (first == F.get(chosen, F.col("n")))).select("a", "b", "distance")
 
 
@@ -84,7 +84,7 @@ def hash_links(hashes: DataFrame, threshold: int, agreeing: int) -> DataFrame:
     """(a, b): links that join all hashes within the threshold, as signed 64 bits; a forest per task."""
     keyed = _keyed(hashes, threshold, agreeing).drop("phash")
     sizes = keyed.groupBy("n", "key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("c"))
-    met = keyed.join(sizes.where("c > 1").drop("c"), ["n", "key"])
+    met = keyed.join(sizes.where("c > 1").drop("c").hint("merge"), ["n", "key"])  # Spark takes the keys for as few as the hashes
     block = F.pmod(F.xxhash64("whole"), F.col("blocks").cast("long")).cast("int")
     placed = (
         met.withColumn("block", block)
@@ -133,7 +133,7 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
     hashes = materialised(distinct_hashes(media), "hashes")
     linked = components(hash_links(hashes, threshold, agreeing_bands(hashes.count())))
     whole = F.shiftleft(F.col("hi"), 32).bitwiseOR(F.col("lo"))
-    classes = hashes.withColumn("whole", whole).join(linked, F.col("whole") == linked["node"], "left").select(
+    classes = hashes.withColumn("whole", whole).join(linked.hint("merge"), F.col("whole") == linked["node"], "left").select(
         "phash", "first_id", F.coalesce("component", "whole").alias("cls")
     )
     roots = classes.groupBy("cls").agg(F.min("first_id").alias("root"))
