@@ -32,3 +32,21 @@ def test_classes_are_the_same_with_links_that_are_not_broadcast(hashes, monkeypa
     assert {tuple(r) for r in duplicates.membership(media, 8).collect()} == found
     first = {r.phash: r.id for r in media.orderBy(F.desc("id")).collect()}
     assert len(found) == 300 and all(root <= id for id, root in found) and len({r for _, r in found}) <= len(first)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_few_links_are_joined_without_rounds(spark, monkeypatch, kind):
+    ends = [(1, 2), (2, 3), (3, 1), (10, 11), (12, 11), (12, 30), (7, 7), (None, 4), (100, 21), (21, 9)]
+    links = spark.createDataFrame(ends, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    rounds = []
+    monkeypatch.setattr(linked, "discard", lambda spark, path: rounds.append(path))
+    once = {tuple(r) for r in linked.components(links).collect()}
+    assert kind == "double" or len(rounds) == 1  # the links themselves
+    monkeypatch.setattr(linked, "HELD", -1)
+    found = linked.components(links)
+    assert {tuple(r) for r in found.collect()} == once and len(once) == 10 and dict(found.dtypes)["node"] == dict(links.dtypes)["a"]
+    assert linked.components(links.where("a IS NULL")).count() == 0
+
+
+def test_no_links_give_no_rows(spark):
+    assert linked.components(spark.createDataFrame([], "a long, b long")).count() == 0
