@@ -106,6 +106,7 @@ def best_per_id(results: DataFrame, id_column: str, score: str, part: str) -> Da
 
 
 QUERY_BLOCK = 1_024
+SCORED_ROWS = 1_024  # rows that are compared with a block of queries at once: 8 MB of scores
 
 
 def batch_top_vectors(vectors: DataFrame, queries: DataFrame, limit: int, id_column: str, vector: str) -> DataFrame:
@@ -177,13 +178,15 @@ def _keep_best(held: list[list[tuple]], x, ids: list, units, limit: int) -> None
     """Merge the scores of rows (in the order of their ids) into the best of each query."""
     import numpy as np
 
-    size = np.linalg.norm(x, axis=1)
-    scores = np.where(size[:, None] > 0, x @ units.T / np.maximum(size, 1e-300)[:, None], 0.0)
-    last = min(limit, len(x)) - 1
-    cut = -np.partition(-scores, last, axis=0)[last]
-    top = scores.max(axis=0)
-    for k, best in enumerate(held):
-        if len(best) == limit and top[k] < best[-1][0]:
-            continue
-        new = [(float(scores[r, k]), ids[r]) for r in np.nonzero(scores[:, k] >= cut[k])[0].tolist()]
-        held[k] = sorted([*best, *new], key=lambda t: (-t[0], t[1] is not None, t[1]))[:limit]
+    for at in range(0, len(x), SCORED_ROWS):
+        part = x[at : at + SCORED_ROWS]
+        size = np.linalg.norm(part, axis=1)
+        scores = np.where(size[:, None] > 0, part @ units.T / np.maximum(size, 1e-300)[:, None], 0.0)
+        last = min(limit, len(part)) - 1
+        cut = -np.partition(-scores, last, axis=0)[last]
+        top = scores.max(axis=0)
+        for k, best in enumerate(held):
+            if len(best) == limit and top[k] < best[-1][0]:
+                continue
+            new = [(float(scores[r, k]), ids[at + r]) for r in np.nonzero(scores[:, k] >= cut[k])[0].tolist()]
+            held[k] = sorted([*best, *new], key=lambda t: (-t[0], t[1] is not None, t[1]))[:limit]

@@ -50,3 +50,26 @@ def test_few_links_are_joined_without_rounds(spark, monkeypatch, kind):
 
 def test_no_links_give_no_rows(spark):
     assert linked.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_scores_of_a_batch_are_never_all_in_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from lumenlake.operators import search
+
+    rng = np.random.default_rng(5)
+    x, units = rng.normal(size=(10_000, 16)), rng.normal(size=(1_024, 16))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    x[7_000:7_400] = x[:400]  # equal scores: ties go by id
+    held = [[] for _ in units]
+    tracemalloc.start()
+    search._keep_best(held, x, list(range(len(x))), units, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all scores at once are 82 MB, and were held several times
+    for k in range(0, 1_024, 50):
+        scores = np.round(x @ units[k] / np.linalg.norm(x, axis=1), 9)
+        best = np.lexsort((np.arange(len(x)), -scores))[:10]
+        assert np.allclose([s for s, _ in held[k]], scores[best]) and {i for _, i in held[k][:9]} <= {*best.tolist(), *np.nonzero(scores >= scores[best[-1]])[0].tolist()}
