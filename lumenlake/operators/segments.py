@@ -52,7 +52,7 @@ def join_overlapping(segments: DataFrame, windows: DataFrame, key: str, bucket:
 def scene_frames(frames: DataFrame, scenes: DataFrame, stride: int, most: int) -> DataFrame:
     """Frames (video_id, frame) of each scene (video_id, scene, start, end): the first, every ``stride``-th, ``most`` at most.
 
-    By a sorted sweep (`sweep.covered`): frames don't meet the other scenes of their video, which may overlap.
+    By `sweep.covered`: frames of long videos don't meet the other scenes of their video, which may overlap.
     """
     kept = covered(frames, scenes, "video_id", "frame", "start", "end").where((F.col("frame") - F.col("start")) % stride == 0)
     n = F.row_number().over(Window.partitionBy("video_id", "scene").orderBy("frame"))  # each task sends its first ones only

@@ -8,6 +8,9 @@ open at the end of a partition is carried into the next by a scan over a row per
 What is shuffled is points + pieces.  A piece holds the spans that overlap there, so a row grows with the depth of
 overlap, and spans within many others are in as many pieces.  Spans that don't end after they start cover
 nothing; null keys and positions meet nothing.
+
+Keys of few points and few spans need no order over all tasks: `covered` joins those by the key, which shuffles each
+row once, and sweeps the others.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from lumenlake.operators.order import all_equal, numbered
 from lumenlake.plans.scratch import materialised
 
+POINTS, SPANS = 100_000, 64  # of a key, up to which its points meet its spans directly
+
 
 def carried_last(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with ``name``: the last value that isn't null at or before each row in the order within equal ``by``."""
@@ -49,6 +54,26 @@ def pieces(spans: DataFrame, key: str, start: str, end: str) -> tuple[DataFrame,
 
 def covered(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Points (key, at, further columns) with each span (key, start, end, further columns) with start <= at < end."""
+    over = lambda rows, most: rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("_key")
+    large = materialised(over(points.where(F.col(key).isNotNull()), POINTS).union(over(spans.where(F.col(key).isNotNull()), SPANS)).distinct(), "large")
+    if large.isEmpty():
+        return _met(points, spans, key, at, start, end)
+    of = lambda rows, how: rows.join(large, F.col(f"`{key}`") == F.col("_key"), how)
+    met = _met(of(points, "left_anti"), of(spans, "left_anti"), key, at, start, end)
+    return met.unionByName(_swept(of(points, "left_semi"), of(spans, "left_semi"), key, at, start, end))
+
+
+def _met(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """As `covered`, for keys with few of both."""
+    dots = points.select(F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("point"))
+    covers = spans.where(F.col(start) < F.col(end)).select(F.struct(*(F.col(f"`{c}`") for c in spans.columns)).alias("span"))
+    inside = (F.col(f"point.`{key}`") == F.col(f"span.`{key}`")) & (F.col(f"point.`{at}`") >= F.col(f"span.`{start}`")) & (F.col(f"point.`{at}`") < F.col(f"span.`{end}`"))
+    met = dots.join(covers.hint("merge"), inside)  # Spark doesn't know how many spans a row of theirs became
+    return met.select("point.*", *[F.col(f"span.`{c}`") for c in spans.columns if c != key])
+
+
+def _swept(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """As `covered`, for keys with many of either."""
     cut, members = pieces(spans, key, start, end)
     active = members.groupBy("key", "piece").agg(F.collect_list("span").alias("spans"))
     open_ = cut.join(active, ["key", "piece"], "left").select(

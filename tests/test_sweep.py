@@ -51,3 +51,20 @@ def test_empty_sides(spark):
     scenes = spark.createDataFrame([(1, 1, 0, 5)], "video_id long, scene long, start long, end long")
     assert segments.scene_frames(frames, scenes, 1, 1).collect() == []
     assert segments.scene_frames(spark.createDataFrame([(1, 2)], frames.schema), scenes.where("start > 9"), 1, 1).collect() == []
+
+
+@pytest.mark.parametrize("bounds", [(100_000, 64), (90, 1_000), (0, 0), (1_000, 15)])
+def test_few_points_and_spans_meet_without_a_sweep(spark, monkeypatch, bounds):
+    monkeypatch.setattr(sweep, "POINTS", bounds[0])
+    monkeypatch.setattr(sweep, "SPANS", bounds[1])
+    swept, sort = [], sweep.carried_last
+    monkeypatch.setattr(sweep, "carried_last", lambda *a: swept.append(a) or sort(*a))
+    rng = random.Random(5)
+    scenes = spans(rng, 60)
+    frames = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(-8, 95)]), i) for i in range(300)]
+    s = spark.createDataFrame([*scenes, scenes[0]], "video_id long, scene long, start long, end long")
+    f = spark.createDataFrame(frames, "video_id long, frame long, kind long")
+    found = sweep.covered(f, s, "video_id", "frame", "start", "end")
+    want = [(v, at, i, scene, a, b) for v, at, i in frames for k, scene, a, b in [*scenes, scenes[0]] if None not in (v, at, a, b) and v == k and a <= at < b]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and want
+    assert found.columns == ["video_id", "frame", "kind", "scene", "start", "end"] and bool(swept) == (bounds != (100_000, 64))
