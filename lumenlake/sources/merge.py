@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenlake.functions.text import normalise_tags
+from lumenlake.plans.scratch import discard
 from lumenlake.sources.tables import ConcurrentChange
 
 BROADCAST_BYTES = 32 << 20  # of what a reader has to know of deltas, estimated
@@ -141,29 +142,44 @@ class MergeTable:
         return rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def _one_each(self, rows: DataFrame, latest_by: str | None) -> DataFrame:
-        """A row for each key; where no key repeats, which a count of keys tells, whole rows aren't shuffled for it."""
-        if rows.groupBy(F.col(f"`{self.key}`")).count().where("count > 1").isEmpty():
-            return rows.drop(latest_by) if latest_by and latest_by not in self.schema.names else rows
+        """A row for each key."""
         columns = [F.col(f"`{c}`") for c in rows.columns if c != latest_by or c in self.schema.names]
         row = F.struct(*columns)
         order = F.struct(*([F.col(f"`{latest_by}`")] if latest_by else []), F.to_json(row, {"ignoreNullFields": "false"}))
         best = rows.groupBy(F.col(f"`{self.key}`").alias("_key")).agg(F.max_by(row, order).alias("_row"))
         return best.select("_row.*")
 
-    def _delta(self, rows: DataFrame, op: str, columns: list[str], base: int | None = None) -> int:
-        name, sizes = self._written(rows, "delta")
-        return self._delta_of(name, sizes, op, columns, base) if sizes else self.version()
+    def _put(self, rows: DataFrame, shape: Callable[[DataFrame], DataFrame], kind: str, latest_by: str | None) -> tuple[str, dict[str, int], dict[str, int]]:
+        """(folder, bytes by bucket, bytes of keys by bucket) of ``shape`` of the rows, one for each key.
 
-    def _weights(self, name: str, sizes: dict[str, int], columns: list[str]) -> dict[str, int]:
-        """Bytes by bucket that a reader has to hold of a delta: its keys and the columns that it sets."""
-        key = F.coalesce(F.octet_length(F.col(f"`{self.key}`").cast("string")), F.lit(0))
+        Whether a key repeats is told by the keys that were written, so the rows are computed once; if one does, they are written anew.
+        """
+        name, sizes = self._written(shape(rows), kind)
+        keys, repeats = self._keys(name, sizes)
+        if repeats:
+            discard(self.spark, posixpath.join(self.path, name))
+            name, sizes = self._written(shape(self._one_each(rows, latest_by)), kind)
+            keys, _ = self._keys(name, sizes)
+        return name, sizes, keys
+
+    def _keys(self, name: str, sizes: dict[str, int]) -> tuple[dict[str, int], bool]:
+        """Bytes by bucket that the keys of a written folder take in a reader, and whether one of them repeats."""
+        if not sizes:
+            return {}, False
+        key = F.col(f"`{self.key}`")
         schema = T.StructType([self.schema[self.key], T.StructField("_bucket", T.IntegerType())])
         rows = self.spark.read.schema(schema).parquet(posixpath.join(self.path, name))
-        found = rows.groupBy("_bucket").agg(F.sum(key + 64).alias("n")).collect()  # a row a bucket
-        return {str(r["_bucket"]): int(r.n) + (4 * sizes[str(r["_bucket"])] if columns else 0) for r in found}
-
-    def _delta_of(self, name: str, sizes: dict[str, int], op: str, columns: list[str], base: int | None = None) -> int:
-        weights = self._weights(name, sizes, columns)
+        each = rows.groupBy("_bucket", key).agg(F.count("*").alias("n"))
+        size = F.coalesce(F.octet_length(key.cast("string")), F.lit(0)) + 64
+        found = each.groupBy("_bucket").agg(F.sum(size * F.col("n")).alias("bytes"), F.max("n").alias("most")).collect()  # a row a bucket
+        return {str(r["_bucket"]): int(r["bytes"]) for r in found}, any(r.most > 1 for r in found)
+
+    def _delta(self, put: tuple[str, dict[str, int], dict[str, int]], op: str, columns: list[str], base: int | None = None) -> int:
+        name, sizes, keys = put
+        if not sizes:
+            return self.version()
+        # what a reader has to hold: the keys and the columns that are set
+        weights = {b: n + (4 * sizes[b] if columns else 0) for b, n in keys.items()}
 
         def change(manifest: dict, number: int) -> dict:
             delta = {"seq": number, "folder": name, "op": op, "columns": columns, "bytes": sizes, "weight": weights}
@@ -173,29 +189,33 @@ class MergeTable:
 
     def upsert(self, rows: DataFrame, latest_by: str | None = None, expect: int | None = None) -> int:
         """Rows replace those of equal key.  With ``expect`` only if that is the present version, as in the others."""
-        whole = self._whole(self._one_each(rows, latest_by))
-        return self._delta(whole, "u", [], expect) if self.version() else self._first_rows(whole, expect)
+        if not self.version():
+            return self._first_rows(rows, latest_by, expect)
+        return self._delta(self._put(rows, self._whole, "delta", latest_by), "u", [], expect)
 
-    def _first_rows(self, rows: DataFrame, expect: int | None) -> int:
+    def _first_rows(self, rows: DataFrame, latest_by: str | None, expect: int | None) -> int:
         """The rows of an empty table are its base at once, unless another change comes first."""
-        name, sizes = self._written(rows, "base")
+        put = name, sizes, _ = self._put(rows, self._whole, "base", latest_by)
         base = {b: {"folder": name, "upto": 1, "bytes": n} for b, n in sizes.items()}
         if not sizes or self.log.commit(1, json.dumps({**self._first, "base": base})):
             return self.version()
         if expect is not None:
             raise ConcurrentChange(f"version 1 of {self.path} is there already")
-        return self._delta_of(name, sizes, "u", [])
+        return self._delta(put, "u", [])
 
     def insert_missing(self, rows: DataFrame, latest_by: str | None = None) -> int:
         """Rows whose key is not there yet are added; an error if the table changes meanwhile."""
         base = self.version()
+        if not base:
+            return self._first_rows(rows, latest_by, base)
         there = self.read_version(base).select(F.col(f"`{self.key}`").alias("_there"))
-        new = self._whole(self._one_each(rows, latest_by))
-        return self._delta(new.join(there, F.col(f"`{self.key}`").eqNullSafe(F.col("_there")), "left_anti"), "u", [], base)
+        new = lambda r: self._whole(r).join(there, F.col(f"`{self.key}`").eqNullSafe(F.col("_there")), "left_anti")
+        return self._delta(self._put(rows, new, "delta", latest_by), "u", [], base)
 
     def delete(self, ids: DataFrame, expect: int | None = None) -> int:
         """Rows of these keys go; keys that aren't there do nothing."""
-        return self._delta(ids.select(F.col(f"`{self.key}`").cast(self.schema[self.key].dataType)).distinct(), "d", [], expect)
+        keys = lambda r: r.select(F.col(f"`{self.key}`").cast(self.schema[self.key].dataType)).distinct()
+        return self._delta(self._put(ids, keys, "delta", None), "d", [], expect)
 
     def set_fields(self, changes: DataFrame, latest_by: str | None = None, expect: int | None = None) -> int:
         """Named columns of ``changes`` (key and others) replace the stored ones; keys that aren't there do nothing."""
@@ -203,8 +223,8 @@ class MergeTable:
         unknown = set(changes.columns) - {self.key, latest_by, *columns}
         if unknown:
             raise ValueError(f"no such columns: {sorted(unknown)}")
-        one = self._one_each(changes, latest_by)
-        return self._delta(one.select(*[F.col(f"`{c}`").cast(self.schema[c].dataType).alias(c) for c in (self.key, *columns)]), "s", columns, expect)
+        named = lambda r: r.select(*[F.col(f"`{c}`").cast(self.schema[c].dataType).alias(c) for c in (self.key, *columns)])
+        return self._delta(self._put(changes, named, "delta", latest_by), "s", columns, expect)
 
     def set_tags(self, key, tags: list[str]) -> int:
         """A row's tags: trimmed, without blanks and case-insensitive repeats.  Writes one file of one row."""

@@ -139,3 +139,24 @@ def test_repeated_keys_and_unknown_columns(spark, tmp_path):
     t.set_fields(spark.createDataFrame([(9, 5)], "id long, n int"))
     t.delete(spark.createDataFrame([(9,)], "id long"))
     assert t.read().count() == 1
+
+
+def test_the_first_rows_are_a_base_and_rows_are_computed_once(spark, tmp_path):
+    t = merge.MergeTable(spark, f"file://{tmp_path}/t", "id", "id long, n long", buckets=2)
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("id", "id * 2 AS n").coalesce(1).mapInArrow(counted, "id long, n long")
+    t.insert_missing(rows)
+    assert runs.value == 50 and not t.manifest()["deltas"] and len(t.manifest()["base"]) == 2
+    t.insert_missing(rows.unionByName(spark.range(60, 62).selectExpr("id", "id AS n")))
+    t.set_fields(rows.selectExpr("id", "n + 1 AS n"))
+    assert runs.value == 150 and t.read().count() == 52
+    t.insert_missing(spark.createDataFrame([(70, 1), (70, 3), (None, 2), (None, 4)], "id long, n long"))
+    found = {r.id: r.n for r in t.read().collect()}
+    assert len(found) == t.read().count() == 54 and found[70] == 3 and found[None] == 4 and found[7] == 15
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name != "_log") == sorted({x["folder"] for x in (*t.manifest()["base"].values(), *t.manifest()["deltas"])})
