@@ -51,7 +51,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(links.sparkSession, path)
         # stars only: no node is both an upper and a lower end, and every upper end has one link
         several = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        both_ends = nxt.select("u").join(nxt.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        both_ends = nxt.select("u").join(nxt.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi")
         stars = several.unionByName(both_ends).isEmpty()
         edges, path = nxt, next_path
         if stars:

@@ -48,6 +48,15 @@ def test_few_links_are_joined_without_rounds(spark, monkeypatch, kind):
     assert linked.components(links.where("a IS NULL")).count() == 0
 
 
+def test_ends_of_links_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(linked, "HELD", -1)
+    plans, empty = [], type(spark.range(0)).isEmpty
+    monkeypatch.setattr(type(spark.range(0)), "isEmpty", lambda df: plans.append(plan(df)) or empty(df))
+    links = spark.range(300).selectExpr("id AS a", "id % 7 AS b")
+    assert linked.components(links).where("component < 7").count() == 300
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_no_links_give_no_rows(spark):
     assert linked.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
