@@ -129,6 +129,7 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
     """(id, root): each media row with a valid hash and the smallest id of its class.
 
     The classes of all media take a few shuffles: write the result and keep it until media change.
+    Tables with a row for each medium, hash or class are joined by a merge, here and below: a broadcast passes them through the driver.
     """
     hashes = materialised(distinct_hashes(media), "hashes")
     linked = components(hash_links(hashes, threshold, agreeing_bands(hashes.count())))
@@ -137,9 +138,9 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
         "phash", "first_id", F.coalesce("component", "whole").alias("cls")
     )
     roots = classes.groupBy("cls").agg(F.min("first_id").alias("root"))
-    by_hash = classes.join(roots, "cls").select("phash", "root")
+    by_hash = classes.join(roots.hint("merge"), "cls").select("phash", "root")
     rows = media.where(valid_phash(F.col("phash"))).select("id", F.lower("phash").alias("phash"))
-    return rows.join(by_hash, "phash").select("id", "root")
+    return rows.join(by_hash.hint("merge"), "phash").select("id", "root")
 
 
 def groups(members: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import components as linked
 from lumenlake.operators import duplicates
 from lumenlake.plans.scratch import materialised
+from lumenlake.queries import QUERIES
 
 
 @pytest.fixture
@@ -25,6 +26,22 @@ def test_keys_of_hashes_are_not_broadcast(hashes, rows):
     assert "BroadcastExchange" not in plan(rows(hashes[1]))
 
 
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("documents"))
+    rows = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id % 250) AS text", "'en' AS lang", "concat('src', id % 4) AS source", "id AS n_chars")
+    rows.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["duplicate_membership"])
+def test_tables_of_classes_are_not_broadcast(spark, documents, name):
+    # they have a row for each medium, hash or class, and Spark would broadcast them up to 10 MB, by then whole tables of members
+    found = QUERIES[name](spark, documents)
+    assert found.collect()
+    assert "isFinalPlan=true" in plan(found) and "BroadcastExchange" not in plan(found)
+
+
 def test_classes_are_the_same_with_links_that_are_not_broadcast(hashes, monkeypatch):
     media, _ = hashes
     found = {tuple(r) for r in duplicates.membership(media, 8).collect()}
