@@ -161,7 +161,7 @@ def groups(members: DataFrame) -> DataFrame:
 def group_sizes(members: DataFrame) -> DataFrame:
     """(id, root, size) of rows in classes of two or more, without gathering any class."""
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes, "root").select("id", "root", "size")
+    return members.join(sizes.hint("merge"), "root").select("id", "root", "size")
 
 
 def only_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def without_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:
 def with_group(media: DataFrame, members: DataFrame) -> DataFrame:
     """Media rows with their class's root (null outside) and its size (1 outside)."""
     sized = group_sizes(members).withColumnsRenamed({"root": "duplicate_root", "size": "duplicate_group_size"})
-    return media.join(sized, "id", "left").withColumn("duplicate_group_size", F.coalesce("duplicate_group_size", F.lit(1)).cast("long"))
+    return media.join(sized.hint("merge"), "id", "left").withColumn("duplicate_group_size", F.coalesce("duplicate_group_size", F.lit(1)).cast("long"))
 
 
 class DuplicateIndex:
