@@ -169,7 +169,7 @@ def only_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def without_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:
-    return media.join(group_sizes(members).select("id"), "id", "left_anti")
+    return media.join(group_sizes(members).select("id").hint("merge"), "id", "left_anti")
 
 
 def with_group(media: DataFrame, members: DataFrame) -> DataFrame:
