@@ -165,7 +165,7 @@ def group_sizes(members: DataFrame) -> DataFrame:
 
 
 def only_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:
-    return media.join(group_sizes(members).select("id"), "id", "left_semi")
+    return media.join(group_sizes(members).select("id").hint("merge"), "id", "left_semi")
 
 
 def without_duplicates(media: DataFrame, members: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def documents(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["duplicate_membership", "album_sort_duplicate_group_size", "duplicate_membership_left", "duplicate_exclude_anti"])
+@pytest.mark.parametrize("name", ["duplicate_membership", "album_sort_duplicate_group_size", "duplicate_membership_left", "duplicate_exclude_anti", "duplicate_only_semi"])
 def test_tables_of_classes_are_not_broadcast(spark, documents, name):
     # they have a row for each medium, hash or class, and Spark would broadcast them up to 10 MB, by then whole tables of members
     found = QUERIES[name](spark, documents)
