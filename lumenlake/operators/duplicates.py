@@ -130,8 +130,10 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
 
     The classes of all media take a few shuffles: write the result and keep it until media change.
     Tables with a row for each medium, hash or class are joined by a merge, here and below: a broadcast passes them through the driver.
+    Media are read once, for their ids and hashes, which are written: the driver's plans then hold neither their scan nor its columns.
     """
-    hashes = materialised(distinct_hashes(media), "hashes")
+    rows = materialised(media.where(valid_phash(F.col("phash"))).select("id", F.lower("phash").alias("phash")), "media")
+    hashes = materialised(distinct_hashes(rows), "hashes")
     linked = components(hash_links(hashes, threshold, agreeing_bands(hashes.count())))
     whole = F.shiftleft(F.col("hi"), 32).bitwiseOR(F.col("lo"))
     classes = hashes.withColumn("whole", whole).join(linked.hint("merge"), F.col("whole") == linked["node"], "left").select(
@@ -139,7 +141,6 @@ def membership(media: DataFrame, threshold: int = 8) -> DataFrame:
     )
     roots = classes.groupBy("cls").agg(F.min("first_id").alias("root"))
     by_hash = classes.join(roots.hint("merge"), "cls").select("phash", "root")
-    rows = media.where(valid_phash(F.col("phash"))).select("id", F.lower("phash").alias("phash"))
     return rows.join(by_hash.hint("merge"), "phash").select("id", "root")
 
 
@@ -159,7 +160,7 @@ def groups(members: DataFrame) -> DataFrame:
 
 
 def group_sizes(members: DataFrame) -> DataFrame:
-    """(id, root, size) of rows in classes of two or more, without gathering any class."""
+    """(id, root, size) of rows in classes of two or more, without gathering any class.  Members are read twice: write them before."""
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     return members.join(sizes.hint("merge"), "root").select("id", "root", "size")
 

@@ -10,7 +10,7 @@ from lumenlake.functions.similarity import as_doubles, hamming_hex, phash_halves
 from lumenlake.operators import albums, duplicates, search
 from lumenlake.operators.filters import SearchFilters, conjunction, pushed, residual
 from lumenlake.operators.order import numbered
-from lumenlake.plans.scratch import scratch_dir
+from lumenlake.plans.scratch import materialised, scratch_dir
 from lumenlake.queries.registry import MEDIA_SQL, media, query, rounded
 
 
@@ -156,7 +156,8 @@ def duplicate_groups(t) -> DataFrame:
 @query(f"WITH RECURSIVE {MEMBERS_SQL} SELECT m.id, CASE WHEN size > 1 THEN root END AS duplicate_root, CASE WHEN size > 1 THEN size ELSE 1 END AS duplicate_group_size FROM media m LEFT JOIN members USING (id)")
 def duplicate_membership_left(t) -> DataFrame:
     m = media(t)
-    return duplicates.with_group(m.select("id", "phash"), duplicates.membership(m, 8)).select("id", "duplicate_root", "duplicate_group_size")
+    members = materialised(duplicates.membership(m, 8), "members")  # read twice
+    return duplicates.with_group(m.select("id", "phash"), members).select("id", "duplicate_root", "duplicate_group_size")
 
 
 @query(f"WITH RECURSIVE {MEMBERS_SQL} SELECT id, filename FROM media WHERE id IN (SELECT id FROM members WHERE size > 1)")

@@ -42,6 +42,13 @@ def test_tables_of_classes_are_not_broadcast(spark, documents, name):
     assert "isFinalPlan=true" in plan(found) and "BroadcastExchange" not in plan(found)
 
 
+@pytest.mark.parametrize("name", ["duplicate_membership", "album_sort_duplicate_group_size", "duplicate_membership_left", "duplicate_exclude_anti", "duplicate_only_semi"])
+def test_media_are_hashed_once(spark, documents, name):
+    # else the last plan scans and hashes all texts again
+    found = plan(QUERIES[name](spark, documents))
+    assert "md5" not in found and (name != "duplicate_membership_left" or found.count("SortMergeJoin") == 2)
+
+
 def test_classes_are_the_same_with_links_that_are_not_broadcast(hashes, monkeypatch):
     media, _ = hashes
     found = {tuple(r) for r in duplicates.membership(media, 8).collect()}
